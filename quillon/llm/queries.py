@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity as tox
+from .flac import flac_column, media_digests
 from .line_dedup import line_dedup
 from .packing import pack
 from .spark_util import table
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), 20).drop("ranges")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048, 1)
 
@@ -32,20 +38,48 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(docs, model, 0.3).withColumn("held_out", fold == 2)
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(flac_column(table(spark, sf_dir, "documents"), "doc_id", "text", 64))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_flac": op9_flac,
     "op10_token_counts": op10_token_counts,
 }
 #: A document's text as lines, keys stripped of the separators and lower-cased (A-Z only).
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS.format("text")} AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM s
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f WHERE nth > 1
+), w AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), m AS (
+  SELECT w.doc_id, w.word, w.p, gone.p IS NOT NULL AS hit FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE hit) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT hit) AS kept FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+""",
     "op5_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
