@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import toxicity as tox
 from .flac import flac_column, media_digests
 from .line_dedup import line_dedup
+from .ngram_join import ngram_components
 from .packing import pack
 from .spark_util import table
 from .substring_dedup import substring_dedup
@@ -31,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), 3, 20)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_flac": op9_flac,
     "op10_token_counts": op10_token_counts,
@@ -79,6 +85,26 @@ WITH d AS (
 )
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+""",
+    "op7_ngram_join": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair WHERE 100 * shared >= 85 * (na + nb - shared)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, edge.b FROM reach r JOIN edge ON edge.a = r.other
+)
+SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY ALL
 """,
     "op5_line_dedup": f"""
 WITH l AS (
