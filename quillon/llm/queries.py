@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity as tox
+from . import warc
+from .decontaminate import contaminated
 from .flac import flac_column, media_digests
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
@@ -24,6 +26,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), 20).drop("ranges")
 
 
+def _replica(pages: DataFrame) -> DataFrame:
+    """A copy of the pages with known damage: about a hundredth each of the bodies has its first character replaced, is
+    cut in half, and is lost."""
+    fold = F.pmod("page_id", F.lit(101))
+    body = F.when(fold == 7, F.expr("concat('#', substr(html, 2))")).when(fold == 23, F.expr("substr(html, 1, length(html) div 2)")).otherwise(F.col("html"))
+    return pages.where(F.coalesce(fold != 11, F.lit(True))).withColumn("html", body)
+
+
+def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    lost = F.coalesce(F.pmod("page_id", F.lit(101)) == 31, F.lit(False))
+    return warc.audit(warc.records(pages.where(~lost)), warc.records(_replica(pages)))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048, 1)
 
@@ -32,6 +48,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), 3, 20)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), 4, 85)
 
@@ -53,8 +73,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_audit": op2_warc_audit,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_flac": op9_flac,
@@ -85,6 +107,24 @@ WITH d AS (
 )
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+""",
+    "op2_warc_audit": """
+WITH r AS (
+  SELECT page_id, url, html, page_id % 101 <> 31 AS in_a, page_id % 101 <> 11 AS in_b,
+    CASE page_id % 101 WHEN 7 THEN '#' || substr(html, 2) WHEN 23 THEN substr(html, 1, length(html) // 2) ELSE html END AS damaged FROM pages
+), t AS (
+  SELECT page_id, in_a, in_b,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, damaged FROM r
+), u AS (
+  SELECT page_id, CASE WHEN in_a THEN head || strlen(html) || gap || html || gap END AS a, CASE WHEN in_b THEN head || strlen(damaged) || gap || damaged || gap END AS b FROM t
+), h AS (
+  SELECT page_id, strlen(a) AS length_a, strlen(b) AS length_b, sha256(a) AS sha_a, sha256(b) AS sha_b, page_id >> 8 AS warc_file,
+    coalesce(sum(strlen(a)) OVER (PARTITION BY page_id >> 8 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM u
+)
+SELECT page_id, CASE WHEN sha_b IS NULL THEN 'missing' WHEN sha_a IS NULL THEN 'extra' ELSE 'changed' END AS fault, warc_file,
+  CASE WHEN sha_a IS NOT NULL THEN before END AS record_offset, length_a, length_b, sha_a, sha_b
+FROM h WHERE sha_a IS DISTINCT FROM sha_b
 """,
     "op7_ngram_join": f"""
 WITH RECURSIVE d AS (
