@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming search and exact weighted-shingle similarity.
 
 The benchmark is the query set. Its items go to the tasks in blocks of at most ITEMS, one pass over the documents each,
-so what is sent is bounded whatever the benchmark's size. Words are lower-cased (A-Z) without outer punctuation; texts
+so what is sent is bounded whatever the benchmark's size. Words are lower-cased, without outer punctuation; texts
 are compared by their 5-word shingles, a shingle weighing log(1 + items / items that hold it).
 
 For each item length, windows of that many words slide over a document. Only windows that hold some shingle of an item
@@ -25,6 +25,7 @@ from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,10 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 
 def codes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[T.Words, np.ndarray]:
-    low = T.LOWER[data]
-    w = T.words(low, offsets)
+    w = T.words(data, offsets)
     if not len(w.starts):
         return w, np.empty(0, np.uint64)
-    return w, T.span_hashes(low, *trimmed(low, w))
+    return w, T.span_hashes(data, *trimmed(data, w))
 
 
 def shingles(codes: np.ndarray, k: int) -> np.ndarray:
@@ -67,7 +67,7 @@ class Index:
         self.k, self.threshold, self.radius = k, threshold, radius
         self.ids, self.sets, self.lengths = [], [], []
         for key, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
+            raw = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().encode(), np.uint8)
             _, codes = codes_of(raw, np.array([0, len(raw)]))
             if len(codes):
                 self.ids.append(key)
@@ -153,7 +153,7 @@ def _pass(index: Index):
     short = sorted({min(index.k, int(n)) for n in index.lengths})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text", 4 << 20):
+        for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
             w, codes = codes_of(s.data, s.offsets)
             hits: dict[int, dict[int, np.ndarray]] = {}
             for k in short:

@@ -96,12 +96,15 @@ class Slice(NamedTuple):
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def slices(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cuts Arrow batches into slices of about max_bytes of text; null texts are empty, null ids NULL_ID."""
+def slices(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, max_bytes: int = SLICE_BYTES, lower: bool = False) -> Iterator[Slice]:
+    """Cuts Arrow batches into slices of about max_bytes of text; null texts are empty, null ids NULL_ID. lower: texts
+    in lower case by Unicode's simple rules."""
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = pc.fill_null(batch.column(text_col).cast(pa.large_string()), "")
+        if lower:
+            texts = pc.utf8_lower(texts)
         ids = np.asarray(pc.fill_null(batch.column(id_col).cast(pa.int64()), NULL_ID))
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]

@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Training. From the labelled rows of the training fold, at most SAMPLE of each class (those with the smallest hash of
-their id; the bound is a parameter), tokens are counted by class: the word without outer punctuation, and its byte
+their id; the bound is a parameter), tokens are counted by class: the word in lower case without outer punctuation, and its byte
 prefixes of PREFIXES, since stems mark inflected or compounded words that are never seen twice. A token's weight is its
 log-odds ratio with an informative Dirichlet prior (half a count, and more in proportion to its overall count); those of
 MIN_ODDS at least, with a z-score of Z and MIN_DOCS documents of the toxic class, are the lexicon. All other words share one weight, the log-odds of their whole
@@ -71,7 +71,7 @@ def trimmed(data: np.ndarray, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def token_hashes(s: T.Slice) -> tuple[T.Words, list[tuple[np.ndarray, np.ndarray]]]:
     """The words, and for the whole words and each prefix length: index of the words that have it, hashes."""
-    data = T.LOWER[s.data]
+    data = s.data
     w = T.words(data, s.offsets)
     if not len(w.starts):
         return w, []
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text", 4 << 20):
+        for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
             w, tokens = token_hashes(s)
             toxic = np.asarray(s.batch.column("toxic"))
             doc = w.doc
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     words, weights = words[order], np.minimum(strong["d"].to_numpy()[order], CAP)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text", 4 << 20):
+        for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
             w, hit, value = scored(s, words, weights)
             cut = np.searchsorted(hit, w.first)
             at = [(hit[a:b] - f).tolist() for a, b, f in zip(cut[:-1], cut[1:], w.first)]
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
 
 def _words_by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for s in T.slices(batches, "id", "text", 4 << 20):
+    for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
         n, y = np.diff(T.words(s.data, s.offsets).first), np.asarray(s.batch.column("toxic"))
         yield pa.RecordBatch.from_arrays([pa.array([int(n[y == 1].sum())]), pa.array([int(n[y == 0].sum())])], ["pos", "neg"])
 
@@ -241,7 +241,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     """doc_id, score, predicted, and the strongest passage (first word, words, score; null without one) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text"):
+        for s in T.slices(batches, "id", "text", lower=True):
             x, top = np.zeros(len(s.ids)), []
             for d, n, segs in evidence(s, model.words, model.weights, model.drift):
                 if segs:
