@@ -15,6 +15,7 @@ from .flac import flac_column, media_digests
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .packing import pack
+from .pitman_yor import language_model_scores
 from .spark_util import table
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -40,6 +41,10 @@ def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.records(pages.where(~lost)), warc.records(_replica(pages)))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048, 1)
 
@@ -74,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_audit": op2_warc_audit,
+    "op3_language_model": op3_language_model,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
