@@ -149,30 +149,34 @@ class Index:
         return list(best.values())
 
 
-def _pass(index: Index):
-    short = sorted({min(index.k, int(n)) for n in index.lengths})
+def matches(s: T.Slice, index: Index) -> list[tuple]:
+    """Best windows of a slice of lower-cased texts: document (place in the slice), item id, start, words, distance,
+    similarity."""
+    w, codes = codes_of(s.data, s.offsets)
+    hits: dict[int, dict[int, np.ndarray]] = {}
+    for k in sorted({min(index.k, int(n)) for n in index.lengths}):
+        h = T.window_hashes(codes, k, 31)
+        ok = np.flatnonzero(T.inside(w.first, k, len(h)) & index.filled[h >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(index.known, h[ok]), len(index.known) - 1)
+        ok = ok[index.known[at] == h[ok]]
+        doc = np.searchsorted(w.first, ok, "right") - 1
+        for d in np.unique(doc).tolist():
+            hits.setdefault(d, {})[k] = ok[doc == d] - w.first[d]
+    rows = []
+    for d, found in sorted(hits.items()):
+        best: dict[int, tuple] = {}
+        for i, start, size, distance, sim in index.search(codes[w.first[d] : w.first[d + 1]], found):
+            row = (d, index.ids[i], start, size, distance, sim)
+            if row[1] not in best or (sim, -start) > (best[row[1]][5], -best[row[1]][2]):
+                best[row[1]] = row
+        rows += best.values()
+    return rows
+
 
+def _pass(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
-            w, codes = codes_of(s.data, s.offsets)
-            hits: dict[int, dict[int, np.ndarray]] = {}
-            for k in short:
-                h = T.window_hashes(codes, k, 31)
-                ok = np.flatnonzero(T.inside(w.first, k, len(h)) & index.filled[h >> np.uint64(44)])
-                at = np.minimum(np.searchsorted(index.known, h[ok]), len(index.known) - 1)
-                ok = ok[index.known[at] == h[ok]]
-                doc = np.searchsorted(w.first, ok, "right") - 1
-                for d in np.unique(doc).tolist():
-                    hits.setdefault(d, {})[k] = ok[doc == d] - w.first[d]
-            rows = []
-            for d, found in sorted(hits.items()):
-                best: dict[int, tuple] = {}
-                for i, start, size, distance, sim in index.search(codes[w.first[d] : w.first[d + 1]], found):
-                    row = (d, index.ids[i], start, size, distance, sim)
-                    if row[1] not in best or (sim, -start) > (best[row[1]][5], -best[row[1]][2]):
-                        best[row[1]] = row
-                rows += best.values()
-            if rows:
+            if rows := matches(s, index):
                 d, *rest = zip(*rows)
                 ids = s.batch.column("id").take(pa.array(d))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())))], ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])

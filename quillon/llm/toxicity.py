@@ -237,19 +237,22 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
+def probability(model: Model, segs: list, n: int) -> float:
+    """Calibrated score of a document of n words with these segments."""
+    x = np.log1p(excess(segs, n, model.lam, model.log_k)) if segs else 0.0
+    return float(1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -30, 30))))
+
+
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted, and the strongest passage (first word, words, score; null without one) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches, "id", "text", lower=True):
-            x, top = np.zeros(len(s.ids)), []
-            for d, n, segs in evidence(s, model.words, model.weights, model.drift):
-                if segs:
-                    x[d] = excess(segs, n, model.lam, model.log_k)
-                    top.append(max(segs, key=lambda g: g[2]))
-                else:
-                    top.append((None, None, None))
-            score = 1 / (1 + np.exp(-np.clip(model.slope * np.log1p(x) + model.bias, -30, 30)))
+            score, top = [], []
+            for _, n, segs in evidence(s, model.words, model.weights, model.drift):
+                score.append(probability(model, segs, n))
+                top.append(max(segs, key=lambda g: g[2]) if segs else (None, None, None))
+            score = np.array(score)
             yield pa.RecordBatch.from_arrays(
                 [s.batch.column("id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([t[0] for t in top], pa.int64()), pa.array([None if t[0] is None else t[1] - t[0] for t in top], pa.int64()), pa.array([t[2] for t in top], pa.float64())],
                 ["doc_id", "score", "predicted", "passage_start", "passage_words", "passage_score"],
