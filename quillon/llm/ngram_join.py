@@ -7,7 +7,9 @@
    shingle's group, repeats neither pairs nor documents.
 3. Stars are cut into chunks of at most about CHUNK documents, the centre in each. In a chunk a signature tree holds
    OR-combined shingle bitmaps and size ranges; a dual traversal prunes pairs of nodes whose maximum possible overlap is
-   too small or whose documents are connected already, and exact set intersection decides pairs of leaves.
+   too small. It runs twice: over the documents' bitmaps alone, which are a fraction of their texts, to find who has any
+   possible partner in the chunk, then over the shingle sets of those, where exact intersection decides pairs of leaves
+   and pairs that are connected already are passed over.
 4. Components follow. Where a star has several chunks and more than one component, documents outside its largest
    component still meet all its documents, chunk by chunk, through the same traversal; all links are then found.
 
@@ -84,6 +86,24 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n shingles: the power of two from 2 n, 64 at least."""
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
+def bitmap(x: np.ndarray, bits: int) -> np.ndarray:
+    """Shingles' top bits as a bitmap; one of half as many bits is this one with neighbours OR-combined."""
+    flag = np.zeros(bits, np.uint8)
+    flag[(x >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = 1
+    return np.packbits(flag)
+
+
+def folded(sig: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of bytes) of half as many bits."""
+    flags = np.unpackbits(sig, axis=1)
+    return np.packbits(flags[:, ::2] | flags[:, 1::2], axis=1)
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of the shingles that most documents hold, from counts over all documents; at most FREQUENT."""
 
@@ -97,7 +117,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-PREFIX = "id long, doc long, n long, same_as long, tokens array<long>"
+PREFIX = "id long, doc long, n long, same_as long, tokens array<long>, sig binary"
 
 
 def _prefixes(k: int, t: Threshold, frequent: np.ndarray):
@@ -109,19 +129,21 @@ def _prefixes(k: int, t: Threshold, frequent: np.ndarray):
             for key, doc in zip(keys, s.ids.tolist()):
                 if key:
                     least[key] = min(doc, least.get(key, doc))
-            sent, tokens, same = set(), [], []
+            sent, tokens, same, sigs = set(), [], [], []
             for key, doc, x in zip(keys, s.ids.tolist(), sets):
                 home = least[key] if key else doc
                 same.append(home)
                 if key is None or doc != home or key in sent:
                     tokens.append([])
+                    sigs.append(None)
                     continue
                 sent.add(key)
+                sigs.append(bitmap(x, width(len(x))).tobytes())
                 if len(frequent):
                     last = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
                     x = np.concatenate([x[~last], x[last]])
                 tokens.append(T.signed(x[: t.prefix(len(x))]))
-            yield pa.RecordBatch.from_arrays([s.batch.column("id"), pa.array(s.ids), pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "doc", "n", "same_as", "tokens"])
+            yield pa.RecordBatch.from_arrays([s.batch.column("id"), pa.array(s.ids), pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "doc", "n", "same_as", "tokens", "sig"])
 
     return run
 
@@ -144,78 +166,140 @@ class SignatureTree:
     """Nodes over documents in order of size: OR-combined bitmaps, size ranges, and the largest surplus of shingles over
     set bits (several shingles of a document may share a bit, so an overlap can exceed the common bits by that much)."""
 
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
-        sizes = np.array([len(sets[i]) for i in members])
-        # Neighbours in (size class, least shingle) tend to be alike, so their bitmaps overlap.
-        low = np.array([int(sets[i][0]) if len(sets[i]) else 0 for i in members], np.uint64)
-        order = np.lexsort((low, np.floor(np.log(np.maximum(sizes, 1)) / 0.15)))
-        self.members, self.sizes = members[order], sizes[order]
-
-    def build(self, sets: list[np.ndarray], bits: int) -> None:
-        n = len(self.members)
-        sig = np.zeros((n, bits // 8), np.uint8)
-        for r, i in enumerate(self.members):
-            flag = np.zeros(bits, np.uint8)
-            flag[(sets[i] >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
-            sig[r] = np.packbits(flag)
-        self.sig = sig.view(np.uint64)
-        ones = np.bitwise_count(self.sig).sum(1, dtype=np.int64)
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, sig: np.ndarray):
+        # Neighbours in (size class, bitmap) tend to be alike, so their nodes stay sparse.
+        order = np.lexsort((*sig.view(np.uint64)[:, ::-1].T[-2:], np.floor(np.log(np.maximum(sizes, 1)) / 0.15)))
+        self.members, sizes, sig = members[order], sizes[order], np.ascontiguousarray(sig[order]).view(np.uint64)
         # levels[0]: documents; each next level has a node for LEAF nodes below.
-        self.levels = [(self.sig, self.sizes, self.sizes, self.sizes - ones)]
+        self.levels = [(sig, sizes, sizes, sizes - np.bitwise_count(sig).sum(1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             sig, lo, hi, extra = self.levels[-1]
             at = np.arange(0, len(sig), LEAF)
             self.levels.append((np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(extra, at)))
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree, sets: list[np.ndarray], t: Threshold, forest: Forest) -> None:
-    """Joins all linked pairs of a's and b's documents in forest; a and b may be one tree."""
-    level = max(len(a.levels), len(b.levels)) - 1
-    stack = [(level, np.array([0]), np.array([0]))]
+def dual_traversal(a: SignatureTree, b: SignatureTree, t: Threshold, todo, visit) -> None:
+    """Calls visit(x, y) with arrays of a's and b's documents that may be linked; todo(x, y) masks pairs that are still
+    of interest. a and b may be one tree."""
+    if not len(a.members) or not len(b.members):
+        return
+    stack = [(max(len(a.levels), len(b.levels)) - 1, np.array([0]), np.array([0]))]
     while stack:
         level, i, j = stack.pop()
         (sa, la, ha, ea), (sb, lb, hb, eb) = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
-        # Node pairs of this level whose size ranges meet; then the maximum possible overlap.
         if a is b:
             ok = i <= j
             i, j = i[ok], j[ok]
+        # Node pairs whose size ranges meet; then the maximum possible overlap.
         ok = (100 * hb[j] >= t.percent * la[i]) & (100 * ha[i] >= t.percent * lb[j]) & (ha[i] > 0) & (hb[j] > 0)
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        both = np.bitwise_count(sa[i] & sb[j]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[j])
-        most = np.minimum(both, np.minimum(ha[i], hb[j]))
+        most = np.minimum(np.bitwise_count(sa[i] & sb[j]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[j]), np.minimum(ha[i], hb[j]))
         ok = most >= t.overlap(la[i], lb[j])
         i, j = i[ok], j[ok]
         if level == 0:
-            for x, y in zip(a.members[i].tolist(), b.members[j].tolist()):
-                if forest.label[x] != forest.label[y] and t.links(sets[x], sets[y]):
-                    forest.join(x, y)
+            if len(i):
+                visit(a.members[i], b.members[j])
             continue
         na, nb = (len(x.levels[min(level - 1, len(x.levels) - 1)][0]) for x in (a, b))
         fa, fb = (LEAF if level < len(x.levels) else 1 for x in (a, b))
         for p, q in zip(i.tolist(), j.tolist()):
             ci, cj = np.arange(p * fa, min((p + 1) * fa, na)), np.arange(q * fb, min((q + 1) * fb, nb))
-            if level == 1:  # children are documents: skip what is connected
-                x, y = forest.label[a.members[ci]], forest.label[b.members[cj]]
-                gi, gj = np.nonzero(x[:, None] != y[None, :])
-                if len(gi):
-                    stack.append((0, ci[gi], cj[gj]))
-            else:
-                stack.append((level - 1, np.repeat(ci, len(cj)), np.tile(cj, len(ci))))
-
-
-def tree_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, t: Threshold, forest: Forest) -> None:
-    largest = max((len(x) for x in sets), default=1)
-    bits = 1 << min(16, max(8, (4 * largest).bit_length()))
-    a = SignatureTree(sets, left)
-    a.build(sets, bits)
-    b = a
-    if right is not None:
-        b = SignatureTree(sets, right)
-        b.build(sets, bits)
-    if len(a.members) and len(b.members):
-        dual_traversal(a, b, sets, t, forest)
+            ci, cj = np.repeat(ci, len(cj)), np.tile(cj, len(ci))
+            if level == 1:  # children are documents
+                ok = todo(a.members[ci], b.members[cj])
+                ci, cj = ci[ok], cj[ok]
+            if len(ci):
+                stack.append((level - 1, ci, cj))
+
+
+def with_partners(sizes: np.ndarray, sigs: list[bytes], side: np.ndarray, t: Threshold) -> np.ndarray:
+    """Mask of the documents of a block that may be linked to another (of the other side, if there are sides)."""
+    found = np.zeros(len(sizes), bool)
+    bits = np.array([8 * len(x) for x in sigs])
+
+    def todo(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x != y) & ~(found[x] & found[y])
+
+    def visit(x: np.ndarray, y: np.ndarray) -> None:
+        found[x] = True
+        found[y] = True
+
+    def tree(mask: np.ndarray, fold: bool) -> SignatureTree:
+        at = np.flatnonzero(mask)
+        sig = np.frombuffer(b"".join(sigs[i] for i in at), np.uint8).reshape(len(at), -1)
+        return SignatureTree(at, sizes[at], folded(sig) if fold else sig)
+
+    for b in np.unique(bits).tolist():
+        # Sizes of linked sets differ by less than a factor of 2, so their bitmaps' widths by one step at most.
+        if (side == 2).all():
+            own = tree(bits == b, False)
+            dual_traversal(own, own, t, todo, visit)
+            if (bits == 2 * b).any():
+                dual_traversal(own, tree(bits == 2 * b, True), t, todo, visit)
+        else:
+            for x, y, fx, fy in ((b, b, False, False), (b, 2 * b, False, True), (2 * b, b, True, False)):
+                left, right = (side == 0) & (bits == x), (side == 1) & (bits == y)
+                if left.any() and right.any():
+                    dual_traversal(tree(left, fx), tree(right, fy), t, todo, visit)
+    return found
+
+
+def tree_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: Threshold, forest: Forest) -> None:
+    """Joins all linked pairs of left and right documents in forest; left and right may be one array."""
+    bits = min(1 << 16, width(max(map(len, sets), default=1)))
+    sizes = np.array([len(x) for x in sets])
+    make = lambda at: SignatureTree(at, sizes[at], np.stack([bitmap(sets[i], bits) for i in at]))
+    if not len(left) or not len(right):
+        return
+    a = make(left)
+    b = a if right is left else make(right)
+
+    def todo(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return forest.label[x] != forest.label[y]
+
+    def visit(x: np.ndarray, y: np.ndarray) -> None:
+        for i, j in zip(x.tolist(), y.tolist()):
+            if forest.label[i] != forest.label[j] and t.links(sets[i], sets[j]):
+                forest.join(i, j)
+
+    dual_traversal(a, b, t, todo, visit)
+
+
+def _candidates(t: Threshold):
+    """Rows sorted by block (c, p, q, side, doc, n, sig): those with a possible partner in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def solve() -> list[tuple]:
+            if len(rows) < 2:
+                return []
+            ok = with_partners(np.array([r[2] for r in rows]), [r[3] for r in rows], np.array([r[0] for r in rows]), t)
+            return [(*key, r[0], r[1]) for r, x in zip(rows, ok) if x]
+
+        for b in batches:
+            out = []
+            for c, p, q, side, doc, n, sig in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if (c, p, q) != key:
+                    out += solve()
+                    key, rows = (c, p, q), []
+                rows.append((side, doc, n, sig))
+            if out:
+                yield _block_rows(out)
+        if out := solve():
+            yield _block_rows(out)
+
+    return run
+
+
+BLOCK = "c long, p int, q int, side int, doc long"
+
+
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["c", "p", "q", "side", "doc"])
 
 
 def _blocks(k: int, t: Threshold):
@@ -230,7 +314,7 @@ def _blocks(k: int, t: Threshold):
         if (side == 2).all():
             order = np.argsort(ids, kind="stable")
             tree_edges(sets, order[:1], order[1:], t, forest)  # the centre first: most are linked to it
-            tree_edges(sets, order, None, t, forest)
+            tree_edges(sets, order, order, t, forest)
         else:
             tree_edges(sets, np.flatnonzero(side == 0), np.flatnonzero(side == 1), t, forest)
         return [(int(ids[i]), int(ids[j])) for i, j in forest.edges]
@@ -258,11 +342,14 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _solved(blocks: DataFrame, base: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """blocks: c, p, q, side, doc. Joins the texts and solves each block."""
+def _solved(blocks: DataFrame, info: DataFrame, base: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Links of blocks (c, p, q, side, doc): prunes them by bitmaps, then joins the texts of the rest and decides."""
     p = partitions(base.sparkSession)
+    sigs = info.where("sig is not null").select("doc", "n", "sig")
+    small = blocks.join(sigs, "doc").select("c", "p", "q", "side", "doc", "n", "sig")
+    rest = small.repartition(p, "c", "p", "q").sortWithinPartitions("c", "p", "q", "doc").mapInArrow(_candidates(t), BLOCK)
     texts = base.select(F.coalesce("id", F.lit(T.NULL_ID)).alias("doc"), "text")
-    rows = blocks.join(texts, "doc").select("c", "p", "q", "side", "doc", "text")
+    rows = rest.join(texts, "doc").select("c", "p", "q", "side", "doc", "text")
     return rows.repartition(p, "c", "p", "q").sortWithinPartitions("c", "p", "q", "doc").mapInArrow(_blocks(k, t), "u long, v long")
 
 
@@ -281,7 +368,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     part = F.pmod(F.xxhash64("doc"), F.coalesce("chunks", F.lit(1))).cast("int")
     members = stars.join(large, "c", "left").select("c", part.alias("p"), "doc")
     blocks = members.unionByName(sizes.select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("p"), F.col("c").alias("doc")))
-    edges = written(_solved(blocks.select("c", "p", F.lit(0).alias("q"), F.lit(2).alias("side"), "doc"), base, k, t).unionByName(info.where("doc <> same_as").select(F.col("doc").alias("u"), F.col("same_as").alias("v"))), "links")
+    edges = written(_solved(blocks.select("c", "p", F.lit(0).alias("q"), F.lit(2).alias("side"), "doc"), info, base, k, t).unionByName(info.where("doc <> same_as").select(F.col("doc").alias("u"), F.col("same_as").alias("v"))), "links")
     found = components(edges)
 
     # Stars of several chunks: whoever is outside the largest component meets everyone.
@@ -297,7 +384,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
             each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
             outside = wide.where("component <> main").select("c", number("left").alias("p"), each("right").alias("q"), F.lit(0).alias("side"), "doc")
             everyone = wide.select("c", each("left").alias("p"), number("right").alias("q"), F.lit(1).alias("side"), "doc")
-            more = _solved(outside.unionByName(everyone), base, k, t)
+            more = _solved(outside.unionByName(everyone), info, base, k, t)
             found = components(edges.unionByName(more))
 
     out = info.select("id", "doc", "n")
