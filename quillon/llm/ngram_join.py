@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -155,6 +155,11 @@ class Forest:
         self.label = np.arange(n)
         self.edges: list[tuple[int, int]] = []
 
+    def known(self, component: np.ndarray) -> None:
+        """Documents of one component are connected from the start."""
+        _, first, inv = np.unique(component, return_index=True, return_inverse=True)
+        self.label = first[inv]
+
     def join(self, i: int, j: int) -> None:
         a, b = self.label[i], self.label[j]
         if a != b:
@@ -214,13 +219,13 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, t: Threshold, todo, visit
                 stack.append((level - 1, ci, cj))
 
 
-def with_partners(sizes: np.ndarray, sigs: list[bytes], side: np.ndarray, t: Threshold) -> np.ndarray:
-    """Mask of the documents of a block that may be linked to another (of the other side, if there are sides)."""
+def with_partners(sizes: np.ndarray, sigs: list[bytes], side: np.ndarray, component: np.ndarray, t: Threshold) -> np.ndarray:
+    """Mask of the documents of a block that may be linked to one of another component (and side, if there are sides)."""
     found = np.zeros(len(sizes), bool)
     bits = np.array([8 * len(x) for x in sigs])
 
     def todo(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (x != y) & ~(found[x] & found[y])
+        return (component[x] != component[y]) & ~(found[x] & found[y])
 
     def visit(x: np.ndarray, y: np.ndarray) -> None:
         found[x] = True
@@ -268,7 +273,7 @@ def tree_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: T
 
 
 def _candidates(t: Threshold):
-    """Rows sorted by block (c, p, q, side, doc, n, sig): those with a possible partner in the block."""
+    """Rows sorted by block (c, p, q, side, doc, component, n, sig): those with a possible partner in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -276,16 +281,17 @@ def _candidates(t: Threshold):
         def solve() -> list[tuple]:
             if len(rows) < 2:
                 return []
-            ok = with_partners(np.array([r[2] for r in rows]), [r[3] for r in rows], np.array([r[0] for r in rows]), t)
-            return [(*key, r[0], r[1]) for r, x in zip(rows, ok) if x]
+            side, _, component, n, sigs = zip(*rows)
+            ok = with_partners(np.array(n), list(sigs), np.array(side), np.array(component), t)
+            return [(*key, *r[:3]) for r, x in zip(rows, ok) if x]
 
         for b in batches:
             out = []
-            for c, p, q, side, doc, n, sig in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for c, p, q, *row in zip(*(b.column(i).to_pylist() for i in range(8))):
                 if (c, p, q) != key:
                     out += solve()
                     key, rows = (c, p, q), []
-                rows.append((side, doc, n, sig))
+                rows.append(tuple(row))
             if out:
                 yield _block_rows(out)
         if out := solve():
@@ -294,23 +300,24 @@ def _candidates(t: Threshold):
     return run
 
 
-BLOCK = "c long, p int, q int, side int, doc long"
+BLOCK = "c long, p int, q int, side int, doc long, component long"
 
 
 def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["c", "p", "q", "side", "doc"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["c", "p", "q", "side", "doc", "component"])
 
 
 def _blocks(k: int, t: Threshold):
-    """Rows sorted by block: (block..., side, doc, text); side 0: left, 1: right, 2: both (a self-join)."""
+    """Rows sorted by block: (block..., side, doc, component, text); side 0: left, 1: right, 2: both (a self-join)."""
 
-    def solve(rows: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    def solve(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
         ids = np.array([r[1] for r in rows], np.int64)
         side = np.array([r[0] for r in rows])
-        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r[2] for r in rows], pa.string())], ["id", "text"])
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r[3] for r in rows], pa.string())], ["id", "text"])
         sets = [x for s in T.slices([batch], "id", "text", SLICE) for x in shingle_sets(s, k)]
         forest = Forest(len(ids))
+        forest.known(np.array([r[2] for r in rows]))
         if (side == 2).all():
             order = np.argsort(ids, kind="stable")
             tree_edges(sets, order[:1], order[1:], t, forest)  # the centre first: most are linked to it
@@ -323,12 +330,12 @@ def _blocks(k: int, t: Threshold):
         key, rows = None, []
         for b in batches:
             out = []
-            for c, p, q, side, doc, text in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for c, p, q, *row in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if (c, p, q) != key:
                     if len(rows) > 1:
                         out += solve(rows)
                     key, rows = (c, p, q), []
-                rows.append((side, doc, text))
+                rows.append(tuple(row))
             if out:
                 yield _edges(out)
         if len(rows) > 1:
@@ -343,16 +350,29 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _solved(blocks: DataFrame, info: DataFrame, base: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Links of blocks (c, p, q, side, doc): prunes them by bitmaps, then joins the texts of the rest and decides."""
+    """Links of blocks (see BLOCK): prunes them by bitmaps, then joins the texts of the rest and decides."""
     p = partitions(base.sparkSession)
+    block = ["c", "p", "q", "side", "doc", "component"]
     sigs = info.where("sig is not null").select("doc", "n", "sig")
-    small = blocks.join(sigs, "doc").select("c", "p", "q", "side", "doc", "n", "sig")
+    small = blocks.join(sigs, "doc").select(*block, "n", "sig")
     rest = small.repartition(p, "c", "p", "q").sortWithinPartitions("c", "p", "q", "doc").mapInArrow(_candidates(t), BLOCK)
     texts = base.select(F.coalesce("id", F.lit(T.NULL_ID)).alias("doc"), "text")
-    rows = rest.join(texts, "doc").select("c", "p", "q", "side", "doc", "text")
+    rows = rest.join(texts, "doc").select(*block, "text")
     return rows.repartition(p, "c", "p", "q").sortWithinPartitions("c", "p", "q", "doc").mapInArrow(_blocks(k, t), "u long, v long")
 
 
+def _number(n: str):
+    return F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+
+
+def _each(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _chunks(n):
+    return F.ceil(n / CHUNK).cast("int")
+
+
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     t = Threshold(percent)
@@ -362,30 +382,30 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     centres = token.groupBy("token").agg(F.min("doc").alias("c"), F.max("doc").alias("top")).where("c <> top").select("token", "c")
     stars = written(token.join(centres, "token").where("doc <> c").select("c", "doc").distinct(), "stars")
 
-    # Chunks of a star; the centre goes to each.
-    sizes = stars.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    large = sizes.where("chunks > 1").select("c", "chunks")
-    part = F.pmod(F.xxhash64("doc"), F.coalesce("chunks", F.lit(1))).cast("int")
-    members = stars.join(large, "c", "left").select("c", part.alias("p"), "doc")
-    blocks = members.unionByName(sizes.select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("p"), F.col("c").alias("doc")))
-    edges = written(_solved(blocks.select("c", "p", F.lit(0).alias("q"), F.lit(2).alias("side"), "doc"), info, base, k, t).unionByName(info.where("doc <> same_as").select(F.col("doc").alias("u"), F.col("same_as").alias("v"))), "links")
-    found = components(edges)
-
-    # Stars of several chunks: whoever is outside the largest component meets everyone.
-    if not large.isEmpty():
-        wide = stars.join(large, "c").select("c", "doc").unionByName(large.select("c", F.col("c").alias("doc")))
-        wide = wide.join(found, wide.doc == found.node, "left").select("c", "doc", F.coalesce("component", "doc").alias("component"))
-        counts = wide.groupBy("c", "component").agg(F.count(F.lit(1)).alias("m"))
-        main = counts.groupBy("c").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("all")).where("main.m < all")
-        main = main.select("c", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / CHUNK).cast("int").alias("left"), F.ceil(F.col("all") / CHUNK).cast("int").alias("right"))
-        wide = written(wide.join(main, "c"), "wide")
-        if not wide.isEmpty():
-            number = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-            each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-            outside = wide.where("component <> main").select("c", number("left").alias("p"), each("right").alias("q"), F.lit(0).alias("side"), "doc")
-            everyone = wide.select("c", each("left").alias("p"), number("right").alias("q"), F.lit(1).alias("side"), "doc")
-            more = _solved(outside.unionByName(everyone), info, base, k, t)
-            found = components(edges.unionByName(more))
+    # Each document in its smallest centre's star; the centre goes to each chunk.
+    nearest = stars.groupBy("doc").agg(F.min("c").alias("c"))
+    sizes = nearest.groupBy("c").agg(_chunks(F.count(F.lit(1))).alias("chunks"))
+    members = nearest.join(sizes.where("chunks > 1"), "c", "left").select("c", F.coalesce(_number("chunks"), F.lit(0)).alias("p"), "doc")
+    blocks = members.unionByName(sizes.select("c", _each("chunks").alias("p"), F.col("c").alias("doc")))
+    first = _solved(blocks.select("c", "p", F.lit(0).alias("q"), F.lit(2).alias("side"), "doc", F.col("doc").alias("component")), info, base, k, t)
+    links = written(first.unionByName(info.where("doc <> same_as").select(F.col("doc").alias("u"), F.col("same_as").alias("v"))), "links")
+    found = components(links)
+
+    # All stars that hold more than one component, for the pairs across components.
+    whole = stars.unionByName(stars.select("c", F.col("c").alias("doc")).distinct())
+    whole = whole.join(found, whole.doc == found.node, "left").select("c", "doc", F.coalesce("component", "doc").alias("component"))
+    counts = whole.groupBy("c", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = counts.groupBy("c").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n")).where("main.m < n")
+    mixed = mixed.select("c", F.col("main.component").alias("main"), _chunks(F.col("n") - F.col("main.m")).alias("left"), _chunks(F.col("n")).alias("right"))
+    wide = written(whole.join(mixed, "c"), "mixed")
+    if not wide.isEmpty():
+        one = wide.where("right = 1").select("c", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side"), "doc", "component")
+        many = wide.where("right > 1")
+        outside = many.where("component <> main").select("c", _number("left").alias("p"), _each("right").alias("q"), F.lit(0).alias("side"), "doc", "component")
+        everyone = many.select("c", _each("left").alias("p"), _number("right").alias("q"), F.lit(1).alias("side"), "doc", "component")
+        more = written(_solved(one.unionByName(outside).unionByName(everyone), info, base, k, t), "more")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
 
     out = info.select("id", "doc", "n")
     null = lambda c: F.when(F.col("id").isNotNull(), F.nullif(c, F.lit(T.NULL_ID)))
