@@ -87,8 +87,8 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n shingles: the power of two from 2 n, 64 at least."""
-    return 1 << max(6, (2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n shingles: the power of two from 4 n, 64 at least."""
+    return 1 << max(6, (4 * n - 1).bit_length())
 
 
 def bitmap(x: np.ndarray, bits: int) -> np.ndarray:
