@@ -2,7 +2,7 @@
 
 1. Every document's prefix (its n - ceil(t n) + 1 first shingles in a global order, tokens of a bounded list of frequent
    ones last, then by hash) is written once. Two sets of similarity t share a prefix shingle.
-2. Of each prefix shingle the smallest document is the centre; (centre, document) pairs form stars. Both ends of every
+2. Of each prefix shingle and pair of neighbouring size classes the smallest document is the centre; (centre, document) pairs form stars. Both ends of every
    qualifying pair lie in the star of a shingle that they share, so the stars cover the join, and a star, unlike a
    shingle's group, repeats neither pairs nor documents.
 3. Stars are cut into chunks of at most about CHUNK documents, the centre in each. In a chunk a signature tree holds
@@ -24,6 +24,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -378,7 +379,9 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     t = Threshold(percent)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     info = written(base.mapInArrow(_prefixes(k, t, frequent_shingles(base, k)), PREFIX), "prefixes")
-    token = info.select("doc", F.explode("tokens").alias("token"))
+    # Sizes of linked sets lie in one size class or in neighbouring ones: a group has a shingle and two classes.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100 - 0.001)).cast("int")
+    token = info.select("doc", size_class.alias("k"), F.explode("tokens").alias("token")).select("doc", F.explode(F.array(F.xxhash64("token", "k"), F.xxhash64("token", F.col("k") + 1))).alias("token"))
     centres = token.groupBy("token").agg(F.min("doc").alias("c"), F.max("doc").alias("top")).where("c <> top").select("token", "c")
     stars = written(token.join(centres, "token").where("doc <> c").select("c", "doc").distinct(), "stars")
 
