@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from . import textops as T
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Chunks whose counts a worker keeps; when full it starts anew, which costs time, not results.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -145,13 +146,19 @@ class RankMerger:
         return [sum(map(get, w)) for w in split]
 
 
+@lru_cache(1)
+def merger(path: str) -> RankMerger:
+    """One merger for all tasks of a worker process."""
+    return RankMerger(path)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(tokenizer_path)
+        counts = merger(tokenizer_path).counts
         for s in T.slices(batches, "id", "text", 1 << 20):
-            n = np.array(merger.counts([s.text(i) for i in range(len(s.ids))]), np.int64)
+            n = np.array(counts([s.text(i) for i in range(len(s.ids))]), np.int64)
             yield pa.RecordBatch.from_arrays([s.batch.column("id"), pa.array(np.diff(s.offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
