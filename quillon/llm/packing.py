@@ -15,7 +15,6 @@ unique, and the same when a task over the same input runs again.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ WEIGHT = 12_000_000
 #: A window this close to full is padded rather than cut into powers of two.
 SLACK = 32
 #: Chunks whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 1_500_000
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -82,9 +81,27 @@ def min_bin_slack(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[
         yield used, times
 
 
-#: Punctuation after an ASCII letter or digit, or a letter of U+00C0 to U+00FF, and before white space is a token of its own: it is cut off, so that
-#: "word", "word," and "Word." share an entry.
-_TAIL = re.compile(rb"([.,;:])(?=[ \n]|$)(?:(?<=[a-z0-9][.,;:])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,;:]))")
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord(c) for c in ".,;:"]] = True
+_WORD_END = np.zeros(256, bool)
+_WORD_END[[*range(48, 58), *range(97, 123)]] = True
+
+
+def chunks_of(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """White-space free chunks of lower-cased texts: starts, ends, and each document's first (one more at the end). One
+    sign of punctuation after an ASCII letter or digit, or a letter of U+00C0 to U+00FF, at a word's end is a token of
+    its own and a chunk of its own here, so that "word", "word," and "Word." share one."""
+    w = T.words(low, offsets)
+    n = w.ends - w.starts
+    e = w.ends - 1
+    a, b = low[np.maximum(e - 1, 0)], low[np.maximum(e - 2, 0)]
+    latin = (n >= 3) & (b == 0xC3) & (a != 0x97) & (a != 0xB7)
+    cut = (n >= 2) & _TAIL[low[e]] & (_WORD_END[a] | latin) if len(n) else np.zeros(0, bool)
+    at = np.cumsum(1 + cut) - 1 - cut
+    starts, ends = np.empty(len(n) + int(cut.sum()), np.int64), np.empty(len(n) + int(cut.sum()), np.int64)
+    starts[at], ends[at] = w.starts, w.ends - cut
+    starts[at[cut] + 1], ends[at[cut] + 1] = e[cut], w.ends[cut]
+    return starts, ends, np.append(at, len(starts))[w.first]
 
 
 class Encoder:
@@ -143,19 +160,29 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(size)])
         self.used += len(new)
 
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        # The special tokens' strings are matched before lower-casing.
-        split = [(t if b"<|" in t else _TAIL.sub(rb" \1", t.lower())).split() for t in texts]
-        fresh = set().union(*split) - self.at.keys() if split else set()
+    def known(self, chunks: list[bytes]) -> np.ndarray:
+        """Entries of distinct chunks."""
+        fresh = [c for c in chunks if c not in self.at]
         if len(self.at) + len(fresh) > CACHE:
             self.clear()
-            fresh = set().union(*split)
+            fresh = chunks
         if fresh:
-            self.learn(list(fresh))
-        get = self.at.__getitem__
-        for w in split:
-            i = np.fromiter(map(get, w), np.int64, len(w))
-            yield self.flat[T.ragged(self.starts[i], self.starts[i + 1] - self.starts[i])]
+            self.learn(fresh)
+        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+
+    def encode(self, s: T.Slice) -> Iterator[np.ndarray]:
+        """Ids of each document of a slice."""
+        raw = s.data.tobytes()
+        low = s.data if b"<|" in raw else T.LOWER[s.data]  # the special tokens' strings are matched before lower-casing
+        starts, ends, first = chunks_of(low, s.offsets)
+        raw = low.tobytes()
+        _, at, inverse = np.unique(T.span_hashes(low, starts, ends, 3), return_index=True, return_inverse=True)
+        i = self.known([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])[inverse]
+        size = self.starts[i + 1] - self.starts[i]
+        ids = self.flat[T.ragged(self.starts[i], size)]
+        bound = np.concatenate([[0], np.cumsum(size)])[first]
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            yield ids[a:b]
 
 
 @lru_cache(1)
@@ -212,7 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
         weight = 0
         for s in T.slices(batches, "id", "text", 1 << 20):
-            for doc, ids in zip(s.ids.tolist(), enc.encode([s.text(i) for i in range(len(s.ids))])):
+            for doc, ids in zip(s.ids.tolist(), enc.encode(s)):
                 raw = np.append(ids, np.int32(end_id)).astype("<u4").tobytes()
                 tokens = len(raw) // 4
                 for start in range(0, tokens - tokens % capacity, capacity):
