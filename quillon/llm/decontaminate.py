@@ -175,7 +175,7 @@ def matches(s: T.Slice, index: Index) -> list[tuple]:
 
 def _pass(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
+        for s in T.slices(batches, "id", "text", 2 << 20, lower=True):
             if rows := matches(s, index):
                 d, *rest = zip(*rows)
                 ids = s.batch.column("id").take(pa.array(d))

@@ -21,7 +21,7 @@ def _kept(docs: DataFrame, keep, id_col: str, text_col: str) -> DataFrame:
     """Rows for whose slices keep() is true; other columns pass through untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, id_col, text_col, 4 << 20, lower=True):
+        for s in T.slices(batches, id_col, text_col, 2 << 20, lower=True):
             mask = keep(s)
             yield s.batch if mask.all() else s.batch.filter(pa.array(mask))
 

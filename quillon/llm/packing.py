@@ -37,7 +37,7 @@ WEIGHT = 12_000_000
 #: A window this close to full is padded rather than cut into powers of two.
 SLACK = 32
 #: Chunks whose ids a worker keeps.
-CACHE = 1_500_000
+CACHE = 500_000
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

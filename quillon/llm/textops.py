@@ -103,8 +103,6 @@ def slices(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, max_by
         if not batch.num_rows:
             continue
         texts = pc.fill_null(batch.column(text_col).cast(pa.large_string()), "")
-        if lower:
-            texts = pc.utf8_lower(texts)
         ids = np.asarray(pc.fill_null(batch.column(id_col).cast(pa.int64()), NULL_ID))
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -113,7 +111,14 @@ def slices(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, max_by
         while i < len(ids):
             j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1)
             j = min(j, len(ids))
-            yield Slice(batch.slice(i, j - i), ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i])
+            if lower:
+                part = pc.utf8_lower(texts.slice(i, j - i))
+                ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+                raw = part.buffers()[2]
+                chars = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
+                yield Slice(batch.slice(i, j - i), ids[i:j], chars[ends[0] : ends[-1]], ends - ends[0])
+            else:
+                yield Slice(batch.slice(i, j - i), ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i])
             i = j
 
 

@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
+        for s in T.slices(batches, "id", "text", 2 << 20, lower=True):
             w, tokens = token_hashes(s)
             toxic = np.asarray(s.batch.column("toxic"))
             doc = w.doc
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     words, weights = words[order], np.minimum(strong["d"].to_numpy()[order], CAP)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
+        for s in T.slices(batches, "id", "text", 2 << 20, lower=True):
             w, hit, value = scored(s, words, weights)
             cut = np.searchsorted(hit, w.first)
             at = [(hit[a:b] - f).tolist() for a, b, f in zip(cut[:-1], cut[1:], w.first)]
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
 
 def _words_by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for s in T.slices(batches, "id", "text", 4 << 20, lower=True):
+    for s in T.slices(batches, "id", "text", 2 << 20, lower=True):
         n, y = np.diff(T.words(s.data, s.offsets).first), np.asarray(s.batch.column("toxic"))
         yield pa.RecordBatch.from_arrays([pa.array([int(n[y == 1].sum())]), pa.array([int(n[y == 0].sum())])], ["pos", "neg"])
 
