@@ -470,6 +470,11 @@ class Lowering:
         return [] if frame.parent is None else [frame.parent, *self.outers(frame.parent)]
 
     def guess(self, e: tuple) -> T.DataType:
+        """Type of an expression over list elements, which no DataFrame can be asked for."""
+        if e[0] == "lit":
+            return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), type(None): T.NullType()}.get(type(e[1]), T.StringType())
+        if e[0] == "call" and e[1] in ("size", "count", "sum", "avg") or e[0] == "method" and e[2] in ("size", "year", "month", "day", "weekday", "hour", "minute", "second"):
+            return T.DoubleType()
         if e[0] == "op" and e[1] in "+-*/%" or e[0] == "neg":
             return T.DoubleType()
         return T.BooleanType() if e[0] in ("op", "not") else T.StringType()
