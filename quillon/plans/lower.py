@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
+from ..functions import temporal
+from ..operators.walk import MAX_DEPTH, walk
 from ..sources.catalog import Catalog
 from .parser import Body, QueryError, parse
 
+#: What a walk says of each row.
+WALKED = ("$depth", "$stop", "$leaf", "$frontier", "$ordinal")
 REDUCTIONS = ("count", "sum", "avg", "min", "max", "collect", "first", "last", "any", "all")
 
 
@@ -30,6 +34,7 @@ class Frame:
         self.df, self.fields, self.order, self.parent = df, fields, order, parent
         self.aliases: dict[str, tuple] = {}
         self.open: set[str] = set()
+        self.coll: str | None = None
 
     def at(self, depth: int) -> Frame | None:
         frame = self
@@ -63,7 +68,9 @@ class Lowering:
             raise QueryError(f"unknown collection {name!r}")
         df, tag = self.catalog.tables[name], self.fresh()
         fields = {c: f"{tag}_{c}" for c in df.columns}
-        return Frame(df.toDF(*fields.values()), fields, [fields[c] for c in self.catalog.keys[name]], parent)
+        frame = Frame(df.toDF(*fields.values()), fields, [fields[c] for c in self.catalog.keys[name]], parent)
+        frame.coll = name
+        return frame
 
     def root(self, e: tuple, frame: Frame | None) -> str | None:
         """The collection that a receiver names: a name which no row on the way has."""
@@ -104,8 +111,21 @@ class Lowering:
     def shaped(self, frame: Frame, body: Body) -> tuple[Frame, list[tuple[str | None, str]]]:
         """Applies a body's clauses in order; the frame, and output names with their columns."""
         frame.aliases = {n: x for n, lift, x in body.select or [] if n and not lift}
+        key = next((x for n, _, x in body.select or [] if n == "$key"), None)
+        if body.select is not None:
+            body.select = [i for i in body.select if i[0] != "$key"]
+        after = [e for e in conjuncts(body.where) if body.follow and any(d == 0 and n in WALKED for d, n in self.reads(e))]
         for e in conjuncts(body.where):
+            if e not in after:
+                self.filter(frame, e)
+        if body.follow:
+            self.follow(frame, body, key)
+        elif body.frontier is not None:
+            raise QueryError("`frontier` needs a `follow`")
+        for e in after:
             self.filter(frame, e)
+        if body.source is not None:
+            self.reproject(frame, body.source)
         for name, e in body.flatten:
             self.flatten(frame, name, e)
         if body.group:
@@ -154,6 +174,59 @@ class Lowering:
             frame.open.discard(name or "")
         return out
 
+    def key(self, frame: Frame, e: tuple | None) -> Column:
+        """A row's identity: the expression given, else the collection's key."""
+        if e is not None:
+            return self.value(frame, e)
+        cols = [frame.fields[c] for c in self.catalog.keys[frame.coll]]
+        return F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
+
+    def follow(self, frame: Frame, body: Body, key: tuple | None) -> None:
+        """Replaces the seeds by the rows of their walk. The destinations become one table of edges between keys."""
+        coll = frame.coll
+        if coll is None:
+            raise QueryError("`follow` needs the rows of a collection")
+        mark = F.lit(False) if body.frontier is None else self.test(frame, body.frontier)
+        seeds = frame.df.select(self.key(frame, key).alias("key"), mark.alias("frontier"))
+        edges, depths = None, []
+        for rank, dest in enumerate(body.follow):
+            if dest[0] != "block" or self.root(dest[1], None) != coll or dest[2] not in ("collect", "first", "single"):
+                raise QueryError("`follow` takes blocks over the walk's own collection: `follow ^rows { where ... }`")
+            b, base = dest[3], self.scan(coll, frame.parent)
+            src = self.named(base, self.key(base, key))
+            inner, keys, cond = self.correlated(coll, b.where, base)
+            inner, keys = self.keyed(base, inner, keys, cond)
+            limit = 1 if dest[2] != "collect" else b.limit
+            if limit is not None:
+                n = self.fresh()
+                inner.df = inner.df.withColumn(n, F.row_number().over(Window.partitionBy(*(k for k, _ in keys)).orderBy(*self.sort(inner, b))))
+                inner.df = inner.df.where((F.col(n) > (b.offset or 0)) & (F.col(n) <= (b.offset or 0) + limit))
+            dst, front = self.named(inner, self.key(inner, key)), self.named(inner, F.lit(False) if b.frontier is None else self.test(inner, b.frontier))
+            depths.append(b.depth or MAX_DEPTH)
+            step = base.df.join(inner.df.select(*dict.fromkeys([*(k for k, _ in keys), dst, front])), self.condition(keys, []), "inner")
+            step = step.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(front).alias("frontier"), F.lit(depths[-1]).alias("depth"), F.lit(rank).alias("rank"))
+            edges = step if edges is None else edges.unionByName(step)
+        reads = set().union(*(self.reads(x) for _, _, x in body.select or []), *(self.reads(x) for x, _ in body.order), self.reads(body.where), *(self.reads(x) for _, x in body.group))
+        rows = walk(seeds, edges, max(depths), body.follow_distinct, (0, "$ordinal") in reads, min(depths))
+        tag = self.fresh()
+        rows = rows.withColumnsRenamed({c: f"{tag}_{c}" for c in rows.columns})
+        fresh = self.scan(coll, frame.parent)
+        own = self.named(fresh, self.key(fresh, key))
+        frame.df = rows.join(fresh.df, F.col(f"{tag}_key").eqNullSafe(F.col(own))).withColumn(f"{tag}_leaf", F.col(f"{tag}_stop") == "leaf").withColumn(f"{tag}_frontier", F.col(f"{tag}_stop").isin("frontier", "depth"))
+        frame.fields = fresh.fields | {n: c for n in WALKED if (c := f"{tag}_{n[1:]}") in frame.df.columns} | {"$key": f"{tag}_key"}
+        frame.order = [f"{tag}_path"]
+
+    def reproject(self, frame: Frame, e: tuple) -> None:
+        """`from e`: each row gives way to the rows of e."""
+        self.flatten(frame, "$it", e)
+        c = frame.fields["$it"]
+        t = frame.df.schema[c].dataType
+        names = t.fieldNames() if isinstance(t, T.StructType) else []
+        if not names:
+            frame.df = frame.df.where(F.col(c).isNotNull())
+        frame.fields = {n: self.named(frame, F.col(c)[n]) for n in names} | {"$it": c}
+        frame.coll = None
+
     def flatten(self, frame: Frame, name: str, e: tuple) -> None:
         if e[0] == "block" and (coll := self.root(e[1], frame)):
             inner, keys, cond = self.correlated(coll, e[3].where, frame)
@@ -187,7 +260,8 @@ class Lowering:
 
     # -- grouping
 
-    def grouped(self, frame: Frame, body: Body) -> list[tuple[str | None, str]]:
+    def grouped(self, frame: Frame, body: Body, by: tuple[str, ...] = ()) -> list[tuple[str | None, str]]:
+        """Groups by the body's keys, and by columns of a nested block's outer row."""
         keys = []
         for name, e in body.group:
             frame.open.add(name)
@@ -227,7 +301,7 @@ class Lowering:
         order = [(walk(e), d) for e, d in body.order]
         first = self.fresh()
         aggs.append(F.min(F.struct(*frame.order)).alias(first))
-        frame.df = frame.df.groupBy(*(c for _, c in keys)).agg(*aggs)
+        frame.df = frame.df.groupBy(*by, *(c for _, c in keys)).agg(*aggs)
         frame.fields, frame.aliases, frame.order = dict(keys), {}, [first]
         body.having, body.order = having, order
         return [(n, self.named(frame, self.value(frame, e))) for n, e in trees]
@@ -295,9 +369,12 @@ class Lowering:
         """The inner collection with its own filters applied, (inner column, outer value) keys, and other conditions
         with the outer columns that they read."""
         inner = self.scan(coll, frame)
-        keys, cond = [], []
+        keys, cond, late = [], [], []
         for e in conjuncts(where):
             out = self.outer(e)
+            if out and self.blocks(e):
+                late.append((e, self.columns(frame, out)))
+                continue
             if not out:
                 self.filter(inner, e)
                 continue
@@ -310,8 +387,15 @@ class Lowering:
                     cond.append((self.test(inner, e), self.columns(frame, out)))
                 continue
             cond.append((self.test(inner, e), self.columns(frame, out)))
+        if late:  # blocks that read the outer row too: its distinct values come to the inner rows first
+            inner, keys = self.keyed(frame, inner, keys, [*cond, (F.lit(True), []), *((F.lit(True), c) for _, c in late)], late)
+            cond = []
         return inner, keys, cond
 
+    def blocks(self, e) -> bool:
+        """Whether a tree holds a block."""
+        return isinstance(e, (tuple, list)) and (bool(e) and e[0] == "block" or any(self.blocks(x) for x in e))
+
     def reads(self, e) -> set[tuple[int, str]]:
         """All names that a tree reads, own row's too."""
         if isinstance(e, list):
@@ -332,7 +416,7 @@ class Lowering:
     def condition(self, keys: list[tuple[str, Column]], cond: list[Column]) -> Column:
         return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(v) for k, v in keys] + cond, F.lit(True))
 
-    def keyed(self, frame: Frame, inner: Frame, keys: list, cond: list) -> tuple[Frame, list[tuple[str, Column]]]:
+    def keyed(self, frame: Frame, inner: Frame, keys: list, cond: list, late: list | None = None) -> tuple[Frame, list[tuple[str, Column]]]:
         """Inner rows with columns that are equal to outer values exactly where the block's conditions hold."""
         if not cond:
             return inner, keys
@@ -340,7 +424,10 @@ class Lowering:
         outer_keys = [(self.fresh(), v) for _, v in keys]
         values = frame.df.select(*held, *(v.alias(n) for n, v in outer_keys)).distinct()
         on = self.condition([(k, F.col(n)) for (k, _), (n, _) in zip(keys, outer_keys)], [c for c, _ in cond])
-        inner.df = inner.df.join(values, on, "inner").withColumnsRenamed(held)
+        inner.df = inner.df.join(values, on, "inner")
+        for e, _ in late or []:
+            self.filter(inner, e)
+        inner.df = inner.df.withColumnsRenamed(held)
         return inner, [(held[c], F.col(c)) for c in held] + outer_keys
 
     def filter(self, frame: Frame, e: tuple) -> None:
@@ -373,6 +460,12 @@ class Lowering:
         inner, keys = self.keyed(frame, inner, keys, cond)
         by = [k for k, _ in keys]
         out = self.fresh()
+        items = None
+        if body.group:
+            inner.aliases = {n: x for n, lift, x in body.select or [] if n and not lift}
+            items = self.grouped(inner, body, tuple(by))
+            for h in conjuncts(body.having):
+                self.filter(inner, h)
         if consumer in ("count", "exists", "none"):
             if body.distinct and body.select:
                 n = F.count_distinct(self.value(inner, body.select[0][2]))
@@ -381,7 +474,7 @@ class Lowering:
             inner.df = inner.df.groupBy(*by).agg(n.alias(out))
         else:
             order = self.sort(inner, body)
-            items = self.project(inner, body.select)
+            items = items or self.project(inner, body.select)
             value = F.col(items[0][1]) if body.values else F.struct(*(F.col(c).alias(n) for n, c in items))
             rank, v = self.fresh(), self.fresh()
             w = Window.partitionBy(*by).orderBy(*order)
@@ -417,8 +510,8 @@ class Lowering:
         t = frame.type(arr)
         if not isinstance(t, T.ArrayType):
             raise QueryError("a block needs a list or a collection")
-        if body.flatten or body.group or body.order or body.distinct:
-            raise QueryError("flatten, group by, order by and distinct are not supported in a block over a list")
+        if body.flatten or body.group or body.follow:
+            raise QueryError("flatten, group by and follow are not supported in a block over a list")
 
         def scope(x: Column) -> Frame:
             f = Frame(frame.df, {}, [], frame)
@@ -428,7 +521,20 @@ class Lowering:
 
         if body.where is not None:
             arr = F.filter(arr, lambda x: self.test(scope(x), body.where))
-        if body.offset or body.limit is not None:
+        if body.order:
+
+            def before(x: Column, y: Column) -> Column:
+                test = F.lit(0)
+                for spec, desc in reversed(body.order):
+                    p, q = self.value(scope(x), spec), self.value(scope(y), spec)
+                    less, more = (F.lit(1), F.lit(-1)) if desc else (F.lit(-1), F.lit(1))
+                    test = F.when(p.isNull() & q.isNull(), test).when(p.isNull(), 1).when(q.isNull(), -1).when(p < q, less).when(p > q, more).otherwise(test)
+                return test
+
+            arr = F.array_sort(arr, before)
+        if body.distinct and body.select is None:
+            arr = F.array_distinct(arr)
+        if (body.offset or body.limit is not None) and not (body.distinct and body.select):
             arr = F.slice(arr, 1 + (body.offset or 0), body.limit if body.limit is not None else 2**31 - 1)
         if consumer in ("count", "exists", "none"):
             n = F.coalesce(F.size(arr), F.lit(0))
@@ -436,6 +542,10 @@ class Lowering:
         if body.select is not None:
             make = lambda x: self.value(scope(x), body.select[0][2]) if body.values else F.struct(*(self.value(scope(x), i).alias(n) for n, _, i in body.select))
             arr = F.transform(arr, make)
+            if body.distinct:
+                arr = F.array_distinct(arr)
+                if body.offset or body.limit is not None:
+                    arr = F.slice(arr, 1 + (body.offset or 0), body.limit if body.limit is not None else 2**31 - 1)
         if consumer in ("first", "single", "single!"):
             return F.get(arr, F.lit(0))
         return F.coalesce(arr, F.array().cast(frame.type(arr)))
@@ -534,6 +644,14 @@ class Lowering:
                 return F.coalesce(F.rlike(c.cast("string"), self.value(frame, e[3][0])), F.lit(False))
             if e[2] == "format":
                 return S.date_format(c, e[3][0][1])
+            if e[2] in ("plus", "minus"):
+                return temporal.moved(c, t, e[3][0][1] if e[3][0][0] == "lit" else self.value(frame, e[3][0]), 1 if e[2] == "plus" else -1)
+            if e[2] == "until":
+                return temporal.until(c, self.value(frame, e[3][0]))
+            if e[2] in ("dur_text", "dur_iso"):
+                return getattr(temporal, e[2])(c)
+            if e[2] in self.catalog.functions:
+                return self.catalog.functions[e[2]](c, *(self.value(frame, x) for x in e[3]))
             if e[2] not in S.METHODS:
                 raise QueryError(f"unknown method {e[2]!r}")
             return S.METHODS[e[2]](c, t, *(self.value(frame, x) for x in e[3]))
@@ -574,7 +692,24 @@ class Lowering:
             kept = F.filter(c, lambda x: x.isNotNull())
             total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.cast("double"))
             return {"count": lambda: F.size(kept), "sum": lambda: total, "avg": lambda: F.try_divide(total, F.size(kept)), "min": lambda: F.array_min(c), "max": lambda: F.array_max(c), "collect": lambda: kept, "first": lambda: F.get(kept, F.lit(0)), "last": lambda: F.get(kept, F.size(kept) - 1), "any": lambda: F.exists(c, lambda x: S.truthy(x, t.elementType)), "all": lambda: F.forall(c, lambda x: S.truthy(x, t.elementType))}[name]()
+        if name in self.catalog.functions:
+            return self.catalog.functions[name](*(self.value(frame, x) for x in args))
+        if not args:
+            raise QueryError(f"unknown function {name!r}")
+        if name in ("date", "dur") and args[0][0] == "lit" and isinstance(args[0][1], str):
+            return F.lit(temporal.named_date(args[0][1], self.catalog.today) if name == "date" else temporal.seconds(args[0][1]))
         c, t = self.typed(frame, args[0])
+        if name == "dur":
+            return c.cast("double") if S.kind(t) == "number" else temporal.seconds_of(c)
+        if name == "entries":
+            if isinstance(t, T.MapType):
+                return F.map_entries(c)
+            if isinstance(t, T.ArrayType):
+                return F.transform(c, lambda x, i: F.struct(i.alias("key"), x.alias("value")))
+            if isinstance(t, T.StructType):
+                same = len({f.dataType.simpleString() for f in t}) == 1
+                return F.when(c.isNotNull(), F.array(*(F.struct(F.lit(f.name).alias("key"), (c[f.name] if same else S.text(c[f.name], f.dataType)).alias("value")) for f in t)))
+            return F.array().cast("array<struct<key:string,value:string>>")
         if name == "size":
             return S.size(c, t)
         if name == "has":
@@ -586,6 +721,16 @@ class Lowering:
         raise QueryError(f"unknown function {name!r}")
 
 
-def execute(catalog: Catalog, text: str) -> DataFrame:
-    """The rows of a query over a catalog."""
-    return Lowering(catalog).run(parse(text))
+def execute(catalog: Catalog, query: str | tuple, bindings: dict | None = None) -> DataFrame:
+    """The rows of a query, text or tree, over a catalog. Bindings that are DataFrames or lists of records are
+    collections; records get the order of their list."""
+    held = {}
+    for n, v in (bindings or {}).items():
+        if isinstance(v, DataFrame):
+            held[f"${{{n}}}"] = (v, v.columns[:1])
+        elif isinstance(v, list) and v and isinstance(v[0], dict):
+            spark = next(iter(catalog.tables.values())).sparkSession
+            held[f"${{{n}}}"] = (spark.createDataFrame([{**r, "$ord": i} for i, r in enumerate(v)]), ["$ord"])
+    if held:
+        catalog = Catalog({**catalog.tables, **{n: d for n, (d, _) in held.items()}}, {**catalog.keys, **{n: k for n, (_, k) in held.items()}}, catalog.functions, catalog.today)
+    return Lowering(catalog).run(parse(query, bindings) if isinstance(query, str) else query)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Keys of the sample tables, where it is not the first column alone.
 KEYS = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "conversations": ["conv_id", "turn"]}
@@ -16,8 +18,15 @@ class Catalog:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     keys: dict[str, list[str]] = field(default_factory=dict)
-
-    def add(self, name: str, df: DataFrame, key: list[str] | None = None) -> Catalog:
+    #: Host functions, called with Columns.
+    functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
+    #: The day that named dates count from, ISO; None: the day of the query.
+    today: str | None = None
+
+    def add(self, name: str, df: DataFrame, key: list[str] | None = None, json: dict[str, str] | None = None) -> Catalog:
+        """Adds a collection; json gives the DDL schema of columns that hold JSON texts (malformed ones are absent)."""
+        for c, ddl in (json or {}).items():
+            df = df.withColumn(c, F.from_json(c, ddl))
         self.tables[name] = df
         self.keys[name] = key or df.columns[:1]
         return self
