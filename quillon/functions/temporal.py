@@ -94,7 +94,7 @@ def moved(c: Column, t: T.DataType, by: str | float | int | Column | None, sign:
     time = F.unix_micros(ts) - F.unix_micros(F.date_trunc("day", ts))
     out = F.timestamp_micros((F.unix_micros(F.add_months(ts, months).cast("timestamp")) + time + F.round(rest * 1e6).cast("long")))
     if not isinstance(t, T.StringType):
-        return out
+        return out.cast(t) if isinstance(t, T.TimestampNTZType) else out
     whole = (F.length(c) == 10) & (rest % 86400 == 0)
     return F.when(whole, F.date_format(out, "yyyy-MM-dd")).when(F.unix_micros(out) % 1_000_000 == 0, F.date_format(out, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(out, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 

@@ -138,11 +138,12 @@ def retention(revisions: DataFrame, doc: str, seq: str, ts: str, now: str, polic
     """Adds `kept` to live revisions: the head, the young, the newest, the named, the gap below the ladder, and the
     newest of each period of a rung. One shuffle by document; versions of one document meet in a sort, not in memory.
     """
-    age = F.floor((F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(ts)) / 86_400_000)
+    at = F.col(ts).cast("timestamp")
+    age = F.floor((F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(at)) / 86_400_000)
     rung, bucket = F.lit(-1), F.lit(None).cast("timestamp")
     for i, (after, grain) in enumerate(sorted(policy.ladder)):
         rung = F.when(age >= after, i).otherwise(rung)
-        bucket = F.when(age >= after, F.date_trunc(grain, ts)).otherwise(bucket)
+        bucket = F.when(age >= after, F.date_trunc(grain, at)).otherwise(bucket)
     newest = Window.partitionBy(doc).orderBy(F.col(seq).desc())
     rows = revisions.withColumn("_age", age).withColumn("_rung", rung).withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(newest))
     period = Window.partitionBy(doc, "_rung", "_bucket").orderBy(F.col(seq).desc())

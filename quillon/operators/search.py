@@ -122,7 +122,7 @@ def vector_search(df: DataFrame, key: str, vector: str, query: list[float], limi
 def pooled(df: DataFrame, doc: str, vector: str, weight: str) -> DataFrame:
     """One vector a document: the weighted mean of its parts' vectors at unit length; sums are combined map-side."""
     dims = df.select(doc, F.col(weight).cast("double").alias("w"), F.posexplode(vector).alias("i", "x"))
-    means = dims.groupBy(doc, "i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
+    means = dims.groupBy(doc, "i").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("x"))
     vec = means.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return vec.select(doc, F.transform("v", lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x / length)).alias("vector"))

@@ -573,7 +573,8 @@ class Lowering:
             return c, self.guess(e)
         # The expression may read outer columns: their frames' columns stand beside.
         names = frame.df.columns
-        cols = [F.lit(None).cast(f.dataType).alias(f.name) for g in self.outers(frame) for f in g.df.schema if f.name not in names]
+        beside = {f.name: f.dataType for g in self.outers(frame) for f in g.df.schema if f.name not in names}
+        cols = [F.lit(None).cast(t).alias(n) for n, t in beside.items()]
         return c, frame.df.select("*", *cols).select(c.alias("x")).schema[0].dataType
 
     def outers(self, frame: Frame) -> list[Frame]:

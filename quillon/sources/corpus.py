@@ -162,7 +162,12 @@ _LINKS = {"md:link": (r"\[[^\]]*\]\(([^)\s]+)[^)]*\)", 1), "md:wikilink": (r"\[\
 
 def links(blocks: DataFrame, key: str) -> DataFrame:
     """(key, ordinal, kind, target), a row per link in source order of each kind; code has none."""
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), g), lambda t, k=kind: F.struct(F.lit(k).alias("kind"), t.alias("target"))) for kind, (p, g) in _LINKS.items()]
+
+    def of(kind: str) -> Column:
+        pattern, group = _LINKS[kind]
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), group), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+
+    found = [of(kind) for kind in _LINKS]
     rows = blocks.where(~F.col("type").isin("code", "frontmatter"))
     return rows.select(key, "ordinal", F.explode(F.concat(*found)).alias("l")).select(key, "ordinal", "l.kind", "l.target")
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quillon.plans import catalogue
 from quillon.plans.catalogue import CATALOGUE, TABLES
 from quillon.plans.lower import execute
 from quillon.plans.parser import QueryError, parse
@@ -13,13 +14,13 @@ DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return Catalog.parquet(spark, DIR, TABLES)
+    return catalogue.tables(spark, DIR)
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for n in TABLES:
+    for n in [*TABLES, "pages", "benchmark", "labels", "conversations"]:
         con.execute(f"create view {n} as select * from '{DIR}/{n}.parquet'")
     return con
 
@@ -27,7 +28,9 @@ def duck():
 def plain(v):
     if isinstance(v, (int, float)) and not isinstance(v, bool):
         return round(float(v), 6)
-    return [plain(x) for x in v] if isinstance(v, list) else v
+    if isinstance(v, dict):
+        return [plain(x) for x in v.values()]
+    return [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
 
 
 @pytest.mark.parametrize("name", sorted(CATALOGUE))
