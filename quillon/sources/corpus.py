@@ -207,7 +207,7 @@ def properties(blocks: DataFrame, key: str) -> DataFrame:
     body = body.select(key, F.lit("inline").alias("source"), F.col("ordinal").alias("p"), F.regexp_extract("line", r"^([A-Za-z_][\w-]*)::(.*)$", 1).alias("name"), F.trim(F.regexp_extract("line", r"^([A-Za-z_][\w-]*)::(.*)$", 2)).alias("v")).where("name <> ''")
     rows = front.unionByName(body)
     is_list = F.col("v").rlike(r"^\[.*\]$")
-    parts = F.when(is_list, F.filter(F.transform(F.split(F.expr("substring(v, 2, length(v) - 2)"), ","), F.trim), lambda x: x != "")).otherwise(F.array("v"))
+    parts = F.when(is_list, F.filter(F.transform(F.split(F.expr("substring(v, 2, length(v) - 2)"), ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("v"))
     quoted = F.col("raw").rlike("""^(".*"|'.*')$""")
     rows = rows.select(key, "source", "name", F.posexplode(parts).alias("ord", "raw"))
     value = F.when(quoted, F.expr("substring(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))
