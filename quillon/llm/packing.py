@@ -111,7 +111,8 @@ class Encoder:
 
     WORDS = 512
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -163,7 +164,7 @@ class Encoder:
     def known(self, chunks: list[bytes]) -> np.ndarray:
         """Entries of distinct chunks."""
         fresh = [c for c in chunks if c not in self.at]
-        if len(self.at) + len(fresh) > CACHE:
+        if len(self.at) + len(fresh) > self.cache:
             self.clear()
             fresh = chunks
         if fresh:
@@ -186,16 +187,17 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int) -> Encoder:
     """One encoder for all tasks of a worker process."""
-    return Encoder(path)
+    return Encoder(path, cache)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. cache: chunks whose ids a
+    worker keeps, some 150 bytes each; more than that are encoded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache)
         waiting: dict[int, list] = defaultdict(list)  # remainders by length: id, start, length, ids, tokens of the document
         out: list[tuple] = []
         held = 0

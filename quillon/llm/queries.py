@@ -46,7 +46,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048, 1)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048, 1, cache=1_500_000)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
