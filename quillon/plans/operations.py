@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history, search, walk
+from ..operators.edits import apply_edits
+from ..operators.matching import match_blocks
 from ..sources import corpus
 from ..streaming import feed
 from . import dql
@@ -143,6 +145,19 @@ def rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.rescan(at(0).where("doc % 4 <> 0"), at(1).where("doc % 5 <> 0"), "doc")
 
 
+def block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _revisions(spark, sf_dir).select("doc", F.col("seq").cast("string").alias("id"), F.col("seq").alias("ordinal"), "text")
+    new = r.where("doc % 3 <> 0 or ordinal <> 1").withColumn("ordinal", F.col("ordinal") + F.col("doc") % 2)
+    return match_blocks(r, new).select("doc", "old_id", "new_id", "method")
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _revisions(spark, sf_dir).select("doc", F.col("seq").cast("string").alias("id"), F.col("seq").alias("order"), F.col("text").alias("raw"))
+    one = r.where("order = 0").select("doc", F.lit(1).alias("seq"), F.lit("remove").alias("op"), "id", F.lit(None).cast("string").alias("raw"))
+    two = r.where("order = 1").select("doc", F.lit(2).alias("seq"), F.lit("update").alias("op"), "id", F.lit("changed").alias("raw"))
+    return apply_edits(r, one.unionByName(two))[0].select("doc", "id", "order", "raw")
+
+
 #: Texts of the second dialect with the DuckDB form.
 DQL: dict[str, tuple[str, str]] = {
     "dql_table": ('TABLE lang, length(text) AS n WHERE n_chars > 500 AND contains(lang, "e") SORT n_chars DESC, doc_id LIMIT 30', "SELECT doc_id AS \"File\", lang, length(text)::INT AS n FROM documents WHERE n_chars > 500 AND contains(lang, 'e') ORDER BY n_chars DESC, doc_id LIMIT 30"),
@@ -190,6 +205,8 @@ OPERATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "keyset_page": (keyset_page, "SELECT source, doc_id FROM documents WHERE (source, doc_id) > ('a', 0) ORDER BY source, doc_id LIMIT 50"),
     "observe": (observe, "WITH k AS (SELECT conv_id AS doc, text FROM conversations WHERE turn = 0 AND conv_id % 4 <> 0), b AS (SELECT conv_id AS doc, arg_max(text, turn) AS text FROM conversations WHERE turn <= conv_id % 3 GROUP BY 1) SELECT doc, CASE WHEN k.text IS NULL THEN 'create' ELSE 'update' END AS kind FROM b LEFT JOIN k USING (doc) WHERE k.text IS DISTINCT FROM b.text"),
     "rescan": (rescan, "WITH a AS (SELECT conv_id AS doc, text FROM conversations WHERE turn = 0 AND conv_id % 4 <> 0), b AS (SELECT conv_id AS doc, arg_max(text, turn) AS text FROM conversations WHERE turn <= 1 AND conv_id % 5 <> 0 GROUP BY 1) SELECT doc, CASE WHEN a.text IS NULL THEN 'create' WHEN b.text IS NULL THEN 'delete' ELSE 'update' END AS kind FROM a FULL JOIN b USING (doc) WHERE a.text IS DISTINCT FROM b.text"),
+    "block_match": (block_match, None),
+    "edits": (edits, "SELECT conv_id AS doc, turn::VARCHAR AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS \"order\", CASE WHEN turn = 1 THEN 'changed' ELSE text END AS raw FROM conversations WHERE turn <> 0"),
     **{n: (_dql(t), s) for n, (t, s) in DQL.items()},
 }
 
