@@ -73,7 +73,7 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFra
     doc = blocks.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc", doc), *T.StructType.fromDDL("kind string, id string, order long, raw string, error string").fields])
     need = {"id": "string", "raw": "string", "after": "string", "at": "int", "expect": "string"}
-    edits = edits.select("doc", F.col("seq").cast("long").alias("seq"), "op", *(F.col(c).cast(t).alias(c) if c in edits.columns else F.lit(None).cast(t).alias(c) for c, t in need.items()))
+    edits = edits.select(F.col("doc").alias("doc"), F.col("seq").cast("long").alias("seq"), "op", *(F.col(c).cast(t).alias(c) if c in edits.columns else F.lit(None).cast(t).alias(c) for c, t in need.items()))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         d = (a if len(a) else b)["doc"].iloc[0]

@@ -42,7 +42,7 @@ def match_blocks(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD) -
     """(doc, old_id, new_id, method, similarity) of two tables (doc, id, ordinal, text). method: exact, normalised,
     scored, deleted (no new_id), inserted (no old_id), near (a pair just below the threshold, as evidence; its blocks
     have a deleted and an inserted row too). Null texts are empty; ids are strings."""
-    old, new = (df.select("doc", F.col("id").cast("string").alias("id"), "ordinal", F.coalesce("text", F.lit("")).alias("text")) for df in (old, new))
+    old, new = (df.select(F.col("doc").alias("doc"), F.col("id").cast("string").alias("id"), F.col("ordinal").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text")) for df in (old, new))
     matched = None
     left, right = old, new
     for method, form in (("exact", F.col("text")), ("normalised", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))):
