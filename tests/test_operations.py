@@ -18,3 +18,11 @@ def test_operation(name, spark, duck):  # noqa: F811
     assert sorted(df.columns) == sorted(cols)
     got = sorted(([plain(v) for v in r] for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=str)
     assert got == sorted(([plain(v) for v in r] for r in want.fetchall()), key=str)
+
+
+def test_neighbourhood_whole_reaches_all_orders(spark):
+    rows = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    parts = {p for o, p in rows if o == 1}
+    want = {o for o, p in rows if p in parts and o != 1}
+    got = {r.key for r in OPERATIONS["neighbourhood_whole"][0](spark, DIR).where("distance = 2").collect()}
+    assert got == want and max(got) >= 200
