@@ -6,7 +6,8 @@ are compared by their 5-word shingles, a shingle weighing log(1 + items / items
 
 For each item length, windows of that many words slide over a document. Only windows that hold some shingle of an item
 of their length can have a similarity above 0 with one, so the others are skipped without loss. A window's 64-bit
-SimHash (sign of the weighted sums of shingle bits, from running sums) is looked up in a multi-index: fingerprints are
+SimHash (sign of the sums of shingle bits times the roots of the weights, from running sums; the roots make its cosine
+the weighted overlap, which is at least 2 s / (1 + s) at a similarity of s for windows without repeated shingles) is looked up in a multi-index: fingerprints are
 cut into BLOCKS blocks and a pair within RADIUS bits has a block within RADIUS // BLOCKS bits, under which the items are
 listed, so every item within the radius is found. The radius lies 3.5 standard deviations beyond the distance expected
 at the similarity threshold. Exact weighted Jaccard similarity of the shingle multisets decides; a document's best
@@ -84,7 +85,7 @@ class Index:
         of = np.repeat(self.lengths, [len(np.unique(s)) for s in self.sets]) if n else np.empty(0, np.int64)
         pair = np.unique(np.stack([at, of], 1), axis=0) if n else np.empty((0, 2), np.int64)
         self.len_ptr, self.len_of = np.searchsorted(pair[:, 0], np.arange(len(known) + 1)), pair[:, 1]
-        self.prints = np.array([fingerprint((signs(s) * self.weights(s)[:, None]).sum(0)) for s in self.sets], np.uint64)
+        self.prints = np.array([fingerprint((signs(s) * np.sqrt(self.weights(s))[:, None]).sum(0)) for s in self.sets], np.uint64)
         width = 64 // blocks
         self.width, self.blocks = width, blocks
         flips = [0] + [sum(1 << b for b in c) for r in range(1, radius // blocks + 1) for c in combinations(range(width), r)]
@@ -136,7 +137,7 @@ class Index:
                     # Running sums only where windows lie; the rest of a long text is never expanded to bits.
                     lo, hi = max(0, int(at.min()) - int(self.lengths.max())), min(len(h), int(at.max()) + int(self.lengths.max()) + 1)
                     sums = np.zeros((hi - lo + 1, 64))
-                    np.cumsum(signs(h[lo:hi]) * self.weights(h[lo:hi])[:, None], axis=0, out=sums[1:])
+                    np.cumsum(signs(h[lo:hi]) * np.sqrt(self.weights(h[lo:hi]))[:, None], axis=0, out=sums[1:])
                 count = size - k + 1
                 prints = fingerprint(sums[starts + count - lo] - sums[starts - lo])
                 for start, p in zip(starts.tolist(), prints.tolist()):

@@ -163,6 +163,32 @@ def test_decontamination(spark, odd):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 7), (3, 7), (5, 8)}
 
 
+def best_similarities(docs, items, k=5):
+    """(document, item) -> similarity of the best window, for distinct lower-case words without punctuation."""
+    shingles = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    sets = {i: collections.Counter(shingles(t.split())) for i, t in items}
+    df = collections.Counter(s for c in sets.values() for s in c)
+    weigh = lambda c: sum(n * math.log1p(len(items) / max(1, df[s])) for s, n in c.items())
+    best = {}
+    for d, text in docs:
+        w = text.split()
+        for i, t in items:
+            size = min(len(t.split()), len(w))
+            wins = [collections.Counter(shingles(w[a : a + size])) for a in range(len(w) - size + 1)]
+            best[d, i] = max(weigh(x & sets[i]) / weigh(x | sets[i]) for x in wins)
+    return best
+
+
+def test_decontamination_finds_items_with_a_shared_template(spark):
+    """Unshared shingles are rare and shared ones common, so weights differ most."""
+    template = " ".join(f"t{i}" for i in range(70))
+    items = [(i, f"{template} own{i}") for i in range(200)]
+    docs = [(i, f"{template} else{i}") for i in range(5)]
+    want = {k for k, s in best_similarities(docs, items).items() if s >= 0.8}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) == 1000 and len(got) >= 995
+
+
 def test_language_model(spark):
     rows = [(i, f"the cat number {i % 7} sat on the mat {'again ' * (i % 3)}") for i in range(300)] + [(1000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
