@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming search and exact weighted-shingle similarity.
 
 The benchmark is the query set. Its items go to the tasks in blocks of at most ITEMS, one pass over the documents each,
-so what is sent is bounded whatever the benchmark's size. Words are lower-cased, without outer punctuation; texts
+so an index is bounded whatever the benchmark's size; beside it go the shingles that at least two items of the whole
+benchmark hold, as weights are the same in every block. Words are lower-cased, without outer punctuation; texts
 are compared by their 5-word shingles, a shingle weighing log(1 + items / items that hold it).
 
 For each item length, windows of that many words slide over a document. Only windows that hold some shingle of an item
@@ -61,10 +62,43 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(-1, dtype=np.uint64)
 
 
+class Weights:
+    """Shingle weights over the whole benchmark. A shingle of one item weighs as much as one of none, so only those of
+    several items are listed."""
+
+    def __init__(self, shared: np.ndarray, df: np.ndarray, n: int):
+        order = np.argsort(shared)
+        self.shared, self.weight, self.fresh = shared[order], np.log1p(n / df[order]), float(np.log1p(max(n, 1)))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.shared):
+            return np.full(len(h), self.fresh)
+        k = np.minimum(np.searchsorted(self.shared, h), len(self.shared) - 1)
+        return np.where(self.shared[k] == h, self.weight[k], self.fresh)
+
+
+def weights(items: DataFrame, k: int) -> Weights:
+    """Counts the items that have words, and those that hold each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in T.slices(batches, "item_id", "text", lower=True):
+            w, codes = codes_of(s.data, s.offsets)
+            sets = [np.unique(shingles(codes[a:b], k)) for a, b in zip(w.first[:-1], w.first[1:]) if b > a]
+            h = T.signed(np.concatenate([np.empty(0, np.uint64), *sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, np.zeros(len(sets), np.int64)), mask=np.arange(len(h) + len(sets)) >= len(h))], ["h"])
+
+    # The null group is the number of items.
+    found = items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("h is null or n > 1").toArrow()
+    h, n = found.column("h"), np.asarray(found.column("n"), np.int64)
+    null = np.asarray(h.is_null())
+    return Weights(np.asarray(h.filter(pa.array(~null)), np.int64).view(np.uint64), n[~null], int(n[null].sum()))
+
+
 class Index:
-    """A block of items: shingle weights, and the multi-index over their fingerprints."""
+    """A block of items: the multi-index over their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, weights: Weights, radius: int = RADIUS, blocks: int = BLOCKS):
+        self.weights = weights
         self.k, self.threshold, self.radius = k, threshold, radius
         self.ids, self.sets, self.lengths = [], [], []
         for key, text in items:
@@ -76,8 +110,7 @@ class Index:
                 self.lengths.append(len(codes))
         self.lengths = np.array(self.lengths, np.int64)
         n = len(self.ids)
-        known, df = np.unique(np.concatenate([np.unique(s) for s in self.sets] or [np.empty(0, np.uint64)]), return_counts=True)
-        self.known, self.weight, self.fresh = known, np.log1p(n / np.maximum(df, 1)), float(np.log1p(max(n, 1)))
+        self.known = known = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
         self.filled = np.zeros(1 << 20, bool)
         self.filled[known >> np.uint64(44)] = True
         # Shingle -> item lengths that hold it, as CSR over (known, length).
@@ -96,12 +129,6 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.table.append((np.searchsorted(key[order], np.arange((1 << width) + 1)), np.repeat(np.arange(n), len(flips))[order]))
 
-    def weights(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(h), self.fresh)
-        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[k] == h, self.weight[k], self.fresh)
-
     def near(self, print_: int) -> list[int]:
         """Items within the radius of a fingerprint."""
         found = set()
@@ -185,15 +212,20 @@ def _pass(index: Index):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, start_word, n_words, distance, similarity."""
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+def indexes(items: DataFrame, k: int, threshold: float) -> Iterator[Index]:
+    """The blocks of the benchmark that have an item with words."""
     rows = ((r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator())
-    passes = []
+    common = weights(items, k)
     while block := list(islice(rows, ITEMS)):
-        index = Index(block, k, threshold)
+        index = Index(block, k, threshold, common)
         if index.ids:
-            passes.append(base.mapInArrow(_pass(index), SCHEMA))
+            yield index
+
+
+def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per document and item that it holds: doc_id, item_id, start_word, n_words, distance, similarity."""
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    passes = [base.mapInArrow(_pass(index), SCHEMA) for index in indexes(items, k, threshold)]
     if not passes:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     return reduce(DataFrame.unionByName, passes)

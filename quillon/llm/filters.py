@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +67,12 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
 
 def without_benchmark(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    rows = ((r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator())
-    while block := list(islice(rows, dec.ITEMS)):
-        index = dec.Index(block, k, threshold)
-        if index.ids:
+    for index in dec.indexes(items, k, threshold):
 
-            def keep(s: T.Slice, index: dec.Index = index) -> np.ndarray:
-                mask = np.ones(len(s.ids), bool)
-                mask[[row[0] for row in dec.matches(s, index)]] = False
-                return mask
+        def keep(s: T.Slice, index: dec.Index = index) -> np.ndarray:
+            mask = np.ones(len(s.ids), bool)
+            mask[[row[0] for row in dec.matches(s, index)]] = False
+            return mask
 
-            docs = _kept(docs, keep, id_col, text_col)
+        docs = _kept(docs, keep, id_col, text_col)
     return docs

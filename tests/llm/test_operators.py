@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import decontaminate, flac, packing, queries, warc
+from quillon.llm import decontaminate, filters, flac, packing, queries, warc
 from quillon.llm import pitman_yor as hpy
 from quillon.llm import toxicity as tox
 from quillon.llm.components import components
@@ -189,6 +189,21 @@ def test_decontamination_finds_items_with_a_shared_template(spark):
     assert got <= want and len(want) == 1000 and len(got) >= 995
 
 
+def test_decontamination_weighs_over_the_whole_benchmark(spark, monkeypatch):
+    """The result does not depend on how the items fall into blocks; the last block has one item."""
+    template = " ".join(f"t{i}" for i in range(64))
+    items = [(i, f"{template} {' '.join(f'own{i}x{j}' for j in range(7))}") for i in range(21)]
+    docs = [(1, f"{template} {' '.join(f'else{j}' for j in range(7))}"), (2, items[20][1]), (3, items[3][1])]
+    want = {k: s for k, s in best_similarities(docs, items).items() if s >= 0.8}
+    assert set(want) == {(2, 20), (3, 3)}
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (5000, 5):
+        monkeypatch.setattr(decontaminate, "ITEMS", size)
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(*tables).collect()}
+        assert got == pytest.approx(want)
+        assert [r.doc_id for r in filters.without_benchmark(*tables).collect()] == [1]
+
+
 def test_language_model(spark):
     rows = [(i, f"the cat number {i % 7} sat on the mat {'again ' * (i % 3)}") for i in range(300)] + [(1000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
