@@ -56,6 +56,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "follow_tree": ("part { p_partkey, d: $depth, s: $stop where p_partkey == 1 follow ^part { where (p_partkey - p_partkey % 2) / 2 == ^p_partkey and p_partkey > 1 depth 4 } }", "WITH RECURSIVE w AS (SELECT p_partkey, 1 AS d FROM part WHERE p_partkey = 1 UNION ALL SELECT c.p_partkey, d + 1 FROM w JOIN part c ON c.p_partkey // 2 = w.p_partkey AND c.p_partkey > 1 WHERE d < 4) SELECT p_partkey, d, CASE WHEN d = 4 THEN 'depth' WHEN EXISTS (SELECT 1 FROM part c WHERE c.p_partkey // 2 = w.p_partkey) THEN 'interior' ELSE 'leaf' END AS s FROM w"),
     "follow_distinct": ("nation { n_nationkey, d: $depth follow distinct ^nation { where n_regionkey == ^n_regionkey and n_nationkey > ^n_nationkey depth 3 } }", "SELECT n_nationkey, 1 AS d FROM nation"),
     "follow_cycle": ("nation { n_nationkey, d: $depth, s: $stop, o: $ordinal where n_regionkey == 0 and n_nationkey < 11 follow ^nation { where n_regionkey == ^n_regionkey and n_nationkey < 11 depth 4 } }", "WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey < 11 AND n_regionkey = 0), w AS (SELECT k, r, 1 AS d, [k] AS p, false AS c FROM n UNION ALL SELECT n.k, n.r, d + 1, list_append(p, n.k), list_contains(p, n.k) FROM w JOIN n ON n.r = w.r WHERE d < 4 AND NOT w.c) SELECT k AS n_nationkey, d, CASE WHEN c THEN 'cycle' WHEN d = 4 THEN 'depth' ELSE 'interior' END AS s, row_number() OVER (ORDER BY d, p) AS o FROM w"),
+    "follow_cycle_whole": ("nation { n_nationkey, d: $depth, s: $stop, o: $ordinal where n_regionkey == 0 follow ^nation { where n_regionkey == ^n_regionkey depth 4 } }", "WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_regionkey = 0), w AS (SELECT k, r, 1 AS d, [k] AS p, false AS c FROM n UNION ALL SELECT n.k, n.r, d + 1, list_append(p, n.k), list_contains(p, n.k) FROM w JOIN n ON n.r = w.r WHERE d < 4 AND NOT w.c) SELECT k AS n_nationkey, d, CASE WHEN c THEN 'cycle' WHEN d = 4 THEN 'depth' ELSE 'interior' END AS s, row_number() OVER (ORDER BY d, p) AS o FROM w"),
     "follow_leaves": ("part { p_partkey where p_partkey == 3 and $leaf follow ^part { where (p_partkey - p_partkey % 2) / 2 == ^p_partkey } }", "WITH RECURSIVE w AS (SELECT p_partkey, 1 AS d FROM part WHERE p_partkey = 3 UNION ALL SELECT c.p_partkey, d + 1 FROM w JOIN part c ON c.p_partkey // 2 = w.p_partkey WHERE d < 8) SELECT p_partkey FROM w WHERE d < 8 AND NOT EXISTS (SELECT 1 FROM part c WHERE c.p_partkey // 2 = w.p_partkey)"),
     "two_level": ("region { r_name, n: ^nation count { where n_regionkey == ^r_regionkey and ^^customer count { where c_nationkey == ^n_nationkey and c_custkey > ^^r_regionkey } > 2 } }", "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey > r_regionkey) > 2) AS n FROM region"),
     "nested_group": ("region { r_name, gs: ^supplier { s_nationkey, n: count($rows) where s_nationkey == ^r_regionkey group by s_nationkey } }", "SELECT r_name, CASE WHEN count(s_suppkey) = 0 THEN [] ELSE [{'s_nationkey': r_regionkey, 'n': count(s_suppkey)}] END AS gs FROM region LEFT JOIN supplier ON s_nationkey = r_regionkey GROUP BY r_name, r_regionkey"),
@@ -66,6 +67,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "except": ("customer { select distinct c_nationkey where ^supplier none { where s_nationkey == ^c_nationkey } }", "SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier"),
     "date_plus": ('orders { o_orderkey, a: o_orderdate.plus("1 month"), b: o_orderdate.minus(86400), u: o_orderdate.until("1998-01-01") }', "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS a, o_orderdate - INTERVAL 1 DAY AS b, date_diff('second', o_orderdate, TIMESTAMP '1998-01-01')::DOUBLE AS u FROM orders"),
     "durations": ('events { event_id, d: (event_id * 61).dur_text(), s: dur("1h 30m") + event_id where event_id < 60 }', "SELECT event_id, CASE WHEN event_id = 0 THEN '0s' ELSE concat_ws(' ', CASE WHEN event_id * 61 >= 3600 THEN (event_id * 61 // 3600) || 'h' END, CASE WHEN (event_id * 61 // 60) % 60 > 0 THEN (event_id * 61 // 60) % 60 || 'm' END, CASE WHEN event_id * 61 % 60 > 0 THEN event_id * 61 % 60 || 's' END) END AS d, 5400 + event_id::DOUBLE AS s FROM events WHERE event_id < 60"),
+    "durations_whole": ('events { event_id, d: (event_id * 61).dur_text(), s: dur("1h 30m") + event_id }', "SELECT event_id, CASE WHEN event_id = 0 THEN '0s' ELSE concat_ws(' ', CASE WHEN event_id * 61 >= 86400 THEN (event_id * 61 // 86400) || 'd' END, CASE WHEN (event_id * 61 // 3600) % 24 > 0 THEN (event_id * 61 // 3600) % 24 || 'h' END, CASE WHEN (event_id * 61 // 60) % 60 > 0 THEN (event_id * 61 // 60) % 60 || 'm' END, CASE WHEN event_id * 61 % 60 > 0 THEN event_id * 61 % 60 || 's' END) END AS d, 5400 + event_id::DOUBLE AS s FROM events"),
     "entries": ("embeddings { vec_id, k: e.key, v: e.value flatten entries(embedding) as e }", "SELECT vec_id, i::INT AS k, embedding[i + 1] AS v FROM embeddings, unnest(range(len(embedding))) AS t(i)"),
     "json_props": ("events { event_id, k: props.k where props.k > 50 }", "SELECT event_id, (props->>'k')::INT AS k FROM events WHERE (props->>'k')::INT > 50"),
     "list_top": ("embeddings { vec_id, best: embedding { $it values where $it > 0 order by $it desc limit 3 } }", "SELECT vec_id, list_reverse_sort(list_filter(embedding, lambda x: x > 0))[:3] AS best FROM embeddings"),
