@@ -1,13 +1,14 @@
 """Hierarchical Pitman-Yor language model with Chinese-restaurant seating sampled by Gibbs.
 
-Restaurants. The context of a token is its preceding word, hashed to one of 2**16 restaurants in 2**6 families: a
-word's family is the hash of its last bytes, the rest a hash of the whole word, so restaurants of one family share a
-parent, families share the root, and the root's base measure is uniform over the known tokens and one unknown. The
-number of restaurants is a parameter of the model; dishes (words) and seatings grow with the corpus.
+Restaurants. The context of a token is its preceding word; each word has its own restaurant, known by 64 bits: 58 of the
+hash of the whole word below 6 of the hash of its last bytes, its family. Restaurants of one family share a parent,
+families share the root, and the root's base measure is uniform over the known tokens and one unknown. The number of
+families is a parameter of the model; restaurants, dishes (words) and seatings grow with the corpus.
 
 Sharding by dish. All customers of a word, whatever the restaurant, lie in one shard, so a word's seatings on all three
-levels and its predictive probabilities are computed in one place; what restaurants share across words (customers and
-tables in each) are 2**16 pairs of numbers, summed by Spark after each sweep and sent back.
+levels and its predictive probabilities are computed in one place. What restaurants share across words (customers and
+tables in each) is sharded by context: after each sweep a shard sends its sums, and is sent the totals of the contexts
+it knows or is asked for by documents that are not learnt from. Only those of families and root pass the driver.
 
 Gibbs. A sweep seats every word's customers anew in each restaurant, customer by customer (a new table with weight
 (strength + discount * tables) * parent's probability, else an old one's), level by level from the leaves up, given
@@ -16,7 +17,7 @@ totals and a seed, so a shard that is lost replays them. After BURN_IN sweeps th
 sweeps are averaged. Discounts are n1 / (n1 + 2 n2) of each level's customer counts.
 
 Traffic. Slices of documents send, for each shard, packed arrays: for counting, distinct (word, context) pairs with
-counts, so a hot word costs a slice at most 2**16 pairs; for scoring, (word, context, document) triples, from which a
+counts, so a hot word costs a slice at most its distinct contexts; for scoring, (word, context, document) triples, from which a
 shard returns three sums per document. Texts are never shuffled.
 
 Documents whose fold is held out are scored only. Null id: held_out null, not learnt from. Null or empty text: the end
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .spark_util import partitions, written
 
-CONTEXT_BITS, FAMILY_BITS = 16, 6
-CONTEXTS, FAMILIES = 1 << CONTEXT_BITS, 1 << FAMILY_BITS
+FAMILY_BITS = 6
+FAMILIES = 1 << FAMILY_BITS
+_FAMILY = np.uint64(64 - FAMILY_BITS)  # where a context's family begins
 STRENGTH = (2.0, 5.0, 10.0)  # leaves, families, root
 BURN_IN, SAMPLES, SEED = 1, 2, 20240607
 #: Customers that are seated one by one; larger parties are seated in blocks that grow with them.
@@ -80,18 +82,18 @@ def tokens(s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n_docs = len(s.ids)
     codes = T.span_hashes(data, w.starts, w.ends, 41)
     tail = T.span_hashes(data, np.maximum(w.starts, w.ends - 3), w.ends, 43)
-    own = ((tail >> np.uint64(64 - FAMILY_BITS)) << np.uint64(CONTEXT_BITS - FAMILY_BITS)) | (codes & np.uint64((1 << (CONTEXT_BITS - FAMILY_BITS)) - 1))
+    own = tail >> _FAMILY << _FAMILY | codes & ((np.uint64(1) << _FAMILY) - np.uint64(1))
     size = np.diff(w.first) + 1
     first = np.cumsum(size) - size
     total = len(codes) + n_docs
-    code, ctx = np.full(total, END), np.zeros(total, np.int64)
+    code, ctx = np.full(total, END), np.zeros(total, np.uint64)
     is_end = np.zeros(total, bool)
     is_end[first + size - 1] = True
     code[~is_end] = codes
     # The context of a document's first token is the end of another: restaurant 0.
     follow = np.ones(total, bool)
     follow[first] = False
-    ctx[follow] = own.astype(np.int64)
+    ctx[follow] = own
     return code, ctx, np.repeat(np.arange(n_docs), size), size
 
 
@@ -111,24 +113,39 @@ def _cuts(code: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.append(at, len(s))
 
 
+def _listed(contexts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that are used, and the place of each use among them; rank: places among all."""
+    used = np.zeros(len(contexts), bool)
+    used[rank] = True
+    return contexts[used], _small((np.cumsum(used, dtype=np.int32) - 1)[rank])
+
+
+def _dealt(ctxs: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of contexts by the shard that keeps their totals, shards present and where each begins."""
+    s = shard_of(ctxs << np.uint64(FAMILY_BITS), shards)
+    order = np.argsort(s, kind="stable")
+    at = T.distinct_runs(s[order])
+    return order, s[order][at], np.append(at, len(s))
+
+
 def _count(shards: int):
-    """(shard, blob): distinct words, contexts of each, context ids, counts."""
+    """(shard, blob): distinct words, number of contexts of each, contexts, place of each pair's, counts (0: not learnt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches, "id", "text", SLICE):
             code, ctx, doc, _ = tokens(s)
             learn = (folds(s.ids) > 0)[doc]
-            code, ctx = code[learn], ctx[learn]
+            contexts, ctx = np.unique(ctx, return_inverse=True)
             order = np.lexsort((ctx, code))
-            code, ctx = code[order], ctx[order]
+            code, ctx, learn = code[order], ctx[order], learn[order]
             pair = T.distinct_runs(code, ctx)
-            count = np.diff(np.append(pair, len(code)))
+            count = np.add.reduceat(learn.astype(np.int64), pair)
             code, ctx = code[pair], ctx[pair]
             present, cut = _cuts(code, shards)
             blobs = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 word = T.distinct_runs(code[a:b])
-                blobs.append(_pack(code[a:b][word], _small(np.diff(np.append(word, b - a))), ctx[a:b].astype(np.uint16), _small(count[a:b])))
+                blobs.append(_pack(code[a:b][word], _small(np.diff(np.append(word, b - a))), *_listed(contexts, ctx[a:b]), _small(count[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     return run
@@ -149,21 +166,24 @@ def _by_shard(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iter
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One model row per shard: sorted words, contexts of each, context ids, counts."""
+    """One model row per shard: sorted words, number of contexts of each, contexts (also those asked for), place of each
+    pair's, counts."""
     for shard, rows in _by_shard(batches, ("shard", "blob")):
         parts = [_unpack(r[0]) for r in rows]
         code = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        ctx = np.concatenate([p[2] for p in parts])
-        count = np.concatenate([p[3].astype(np.int64) for p in parts])
+        ctx = np.concatenate([p[2][p[3]] for p in parts])
+        count = np.concatenate([p[4].astype(np.int64) for p in parts])
         del parts, rows
         order = np.lexsort((ctx, code))
         code, ctx, count = code[order], ctx[order], count[order]
         pair = T.distinct_runs(code, ctx)
         count = np.add.reduceat(count, pair)
         code, ctx = code[pair], ctx[pair]
+        known, learnt = np.unique(ctx), count > 0
+        code, ctx, count = code[learnt], ctx[learnt], count[learnt]
         word = T.distinct_runs(code)
         size = np.diff(np.append(word, len(code)))
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_pack(code[word], _small(size), ctx, _small(count))], pa.binary()), pa.array([int(count.sum())]), pa.array([len(word)])], ["shard", "blob", "n", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_pack(code[word], _small(size), known, _small(np.searchsorted(known, ctx)), _small(count))], pa.binary()), pa.array([int(count.sum())]), pa.array([len(word)])], ["shard", "blob", "n", "v"])
 
 
 class Shard:
@@ -171,16 +191,17 @@ class Shard:
 
     def __init__(self, shard: int, blob: bytes, vocabulary: int):
         self.shard, self.base = shard, 1.0 / (vocabulary + 1)
-        self.words, size, ctx, count = _unpack(blob)
+        self.words, size, self.contexts, self.local, count = _unpack(blob)
         word = np.repeat(np.arange(len(self.words)), size)
-        self.key = [word << CONTEXT_BITS | ctx]
-        up = word << FAMILY_BITS | (ctx >> (CONTEXT_BITS - FAMILY_BITS))
+        ctx = self.contexts[self.local]
+        self.key = [(self.contexts, word << 32 | self.local)]
+        up = word << FAMILY_BITS | (ctx >> _FAMILY).astype(np.int64)
         at = T.distinct_runs(up)
         self.key += [up[at], np.arange(len(self.words))]
         root = T.distinct_runs(word[at])
         self.begin = [at, root]  # where each parent's children begin
         self.parent = [np.repeat(np.arange(len(at)), np.diff(np.append(at, len(up)))), np.repeat(np.arange(len(root)), np.diff(np.append(root, len(at))))]
-        self.place = [ctx.astype(np.int64), (up[at] & (FAMILIES - 1)), np.zeros(len(self.words), np.int64)]
+        self.place = [ctx, (up[at] & (FAMILIES - 1)), np.zeros(len(self.words), np.int64)]
         self.count = np.add.reduceat(count.astype(np.int64), at[root])  # of each word
         self.c = [count.astype(np.int64), None, None]
         self.t = [np.ones(len(count), np.int64), None, None]
@@ -193,21 +214,34 @@ class Shard:
             if self.t[level + 1] is None:
                 self.t[level + 1] = np.ones(len(self.c[level + 1]), np.int64)
 
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables here of each context."""
+        return tuple(np.bincount(self.local, x, len(self.contexts)).astype(np.int64) for x in (self.c[0], self.t[0]))
+
     def totals(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per level: restaurants with customers here, their customers and tables; and how many dishes have 1 and 2."""
-        out = []
-        for level, n in enumerate((CONTEXTS, FAMILIES, 1)):
+        """Per level: restaurants with customers here, their customers and tables."""
+        c, t = self.leaves()
+        at = np.flatnonzero(c)
+        out = [(0, self.contexts[at], c[at], t[at])]
+        for level, n in ((1, FAMILIES), (2, 1)):
             c = np.bincount(self.place[level], self.c[level], n).astype(np.int64)
             t = np.bincount(self.place[level], self.t[level], n).astype(np.int64)
             at = np.flatnonzero(c)
             out.append((level, at, c[at], t[at]))
         return out
 
+    def shared(self, level: int, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each dish's restaurant."""
+        if level:
+            return totals.c[level][self.place[level]], totals.t[level][self.place[level]]
+        c, t = totals.leaves(self.contexts)
+        return c[self.local], t[self.local]
+
     def predict(self, level: int, totals: Totals, parent: np.ndarray) -> np.ndarray:
         """Probability of each dish of a level in its restaurant, given its parent's probability."""
-        r = self.place[level]
+        c, t = self.shared(level, totals)
         d, s = totals.discount[level], STRENGTH[level]
-        return (self.c[level] - d * self.t[level] + (s + d * totals.t[level][r]) * parent) / (s + totals.c[level][r])
+        return (self.c[level] - d * self.t[level] + (s + d * t) * parent) / (s + c)
 
     def probabilities(self, totals: Totals) -> list[np.ndarray]:
         """Of the dishes of each level."""
@@ -224,7 +258,7 @@ class Shard:
             if level:
                 self.c[level] = np.add.reduceat(self.t[level - 1], self.begin[level - 1])
             d, s = totals.discount[level], STRENGTH[level]
-            self.t[level] = seat(self.c[level], (s + d * totals.t[level][self.place[level]]) * above[level], d, rng)
+            self.t[level] = seat(self.c[level], (s + d * self.shared(level, totals)[1]) * above[level], d, rng)
 
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -248,50 +282,109 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
 
 
 class Totals:
-    """Customers and tables of every restaurant of the three levels, and the discounts."""
+    """Customers and tables of restaurants of the three levels (of the leaves those listed), and the discounts."""
 
     def __init__(self, rows: list[tuple[int, int, int, int]], discount: tuple[float, float, float]):
         self.discount = discount
-        self.c = [np.zeros(n, np.int64) for n in (CONTEXTS, FAMILIES, 1)]
-        self.t = [np.zeros(n, np.int64) for n in (CONTEXTS, FAMILIES, 1)]
+        leaf = sorted(r[1:] for r in rows if r[0] == 0)
+        self.contexts = np.array([r[0] for r in leaf], np.uint64)
+        self.c = [np.array([r[1] for r in leaf], np.int64), np.zeros(FAMILIES, np.int64), np.zeros(1, np.int64)]
+        self.t = [np.array([r[2] for r in leaf], np.int64), np.zeros(FAMILIES, np.int64), np.zeros(1, np.int64)]
         for level, place, c, t in rows:
-            self.c[level][place] = c
-            self.t[level][place] = t
-
-
-def _replayed(shard: int, blob: bytes, vocabulary: int, history: list[Totals]) -> Iterator[Shard]:
-    """The shard after each sweep; history[i] are the totals before sweep i, the last those after the last sweep."""
-    x = Shard(shard, blob, vocabulary)
-    for number, totals in enumerate(history[:-1]):
-        x.sweep(number, totals)
-        yield x
+            if level:
+                self.c[level][place] = c
+                self.t[level][place] = t
 
+    def with_leaves(self, contexts: np.ndarray, c: np.ndarray, t: np.ndarray) -> Totals:
+        out = Totals([], self.discount)
+        out.contexts, out.c, out.t = contexts, [c, *self.c[1:]], [t, *self.t[1:]]
+        return out
 
-def _totals(model: DataFrame, vocabulary: int, history: list[Totals]) -> Totals:
-    """Totals over all shards after the sweeps of history; 2**16 rows reach the driver at most."""
+    def leaves(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of contexts; none of those that are not listed."""
+        if contexts is self.contexts:
+            return self.c[0], self.t[0]
+        if not len(self.contexts):
+            return np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        hit = self.contexts[at] == contexts
+        return self.c[0][at] * hit, self.t[0][at] * hit
+
+
+def _loaded(shard: int, rows: list[tuple], vocabulary: int, heads: list[Totals], shards: int) -> tuple[Shard, list[Totals]]:
+    """A shard before its first sweep, and the totals before each sweep, from its rows (kind, slice, blob): kind 0 is the
+    model, kind i + 1 the totals of its contexts before sweep i."""
+    x = Shard(shard, rows[0][2], vocabulary)
+    order, _, _ = _dealt(x.contexts, shards)
+    history = []
+    c = np.empty(len(order), np.int64)  # the leaves' customers are the same in each sweep
+    for i, head in enumerate(heads):
+        parts = [_unpack(blob) for kind, _, blob in rows if kind == i + 1]
+        if not i:
+            c[order] = np.concatenate([p[0] for p in parts])
+        t = np.empty(len(order), np.int64)
+        t[order] = np.concatenate([p[1] for p in parts])
+        history.append(head.with_leaves(x.contexts, c, t))
+    return x, history
+
+
+def _seated(vocabulary: int, heads: list[Totals], shards: int):
+    """(place, shard, blob): a shard's contexts, customers and tables after the sweeps; place -1: sums of the other levels
+    and how many dishes of each level have 1 and 2 customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {level: [np.zeros(n, np.int64), np.zeros(n, np.int64)] for level, n in enumerate((CONTEXTS, FAMILIES, 1))}
-        ones = np.zeros((3, 2), np.int64)
-        for shard, rows in _by_shard(batches, ("shard", "blob")):
-            x = Shard(shard, rows[0][0], vocabulary)
+        sums = [np.zeros(n, np.int64) for n in (FAMILIES, FAMILIES, 1, 1, 6)]
+        for shard, rows in _by_shard(batches, ("shard", "kind", "slice", "blob")):
+            x, history = _loaded(shard, rows, vocabulary, heads, shards)
             for number, totals in enumerate(history):
                 x.sweep(number, totals)
-            for level, at, c, t in x.totals():
-                sums[level][0][at] += c
-                sums[level][1][at] += t
-                ones[level] += [(x.c[level] == 1).sum(), (x.c[level] == 2).sum()]
-        for level, (c, t) in sums.items():
-            at = np.flatnonzero(c)
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k + 1, level)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], ones[level][0])), pa.array(np.append(t[at], ones[level][1]))], ["level", "place", "c", "t"])
+            for level, at, c, t in x.totals()[1:]:
+                sums[2 * level - 2][at] += c
+                sums[2 * level - 1][at] += t
+            sums[4] += [(c == n).sum() for c in x.c for n in (1, 2)]
+            c, t = x.leaves()
+            order, present, cut = _dealt(x.contexts, shards)
+            blobs = [_pack(x.contexts[o], _small(c[o]), _small(t[o])) for o in np.split(order, cut[1:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(np.full(len(blobs), shard)), pa.array(blobs, pa.binary())], ["place", "shard", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), pa.array([_pack(*sums)], pa.binary())], ["place", "shard", "blob"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals over all shards, sent back to each shard in the order of its contexts; shard -1: the other levels."""
+    for place, rows in _by_shard(batches, ("place", "shard", "blob")):
+        parts = [_unpack(blob) for _, blob in rows]
+        if place < 0:
+            to, blobs = [-1], [_pack(*(np.sum(x, 0) for x in zip(*parts)))]
+        else:
+            u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            c, t = (np.bincount(at, np.concatenate([p[k] for p in parts]), len(u)).astype(np.int64) for k in (1, 2))
+            to = [shard for shard, _ in rows]
+            blobs = [_pack(_small(c[a]), _small(t[a])) for a in np.split(at, np.cumsum([len(p[0]) for p in parts])[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), place)), pa.array(blobs, pa.binary())], ["shard", "slice", "blob"])
 
-    rows = [tuple(r) for r in model.select("shard", "blob").mapInArrow(run, "level long, place long, c long, t long").groupBy("level", "place").agg(F.sum("c"), F.sum("t")).collect()]
-    n = {level: (a, b) for level, place, a, b in rows if place < 0}
-    discount = history[0].discount if history else tuple(min(0.95, max(0.05, n[k][0] / max(1, n[k][0] + 2 * n[k][1]))) if k in n else 0.5 for k in range(3))
-    return Totals([r for r in rows if r[1] >= 0], discount)
 
+def _kinds(model: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """The model and the totals before each sweep as rows (shard, kind, slice, blob)."""
+    rows = model.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("slice"), "blob")
+    for i, r in enumerate(replies):
+        rows = rows.unionByName(r.where("shard >= 0").select("shard", F.lit(i + 1).alias("kind"), "slice", "blob"))
+    return rows
 
+
+def _totals(model: DataFrame, vocabulary: int, replies: list[DataFrame], heads: list[Totals], shards: int) -> tuple[DataFrame, Totals]:
+    """Totals after the sweeps so far: those of contexts as a table, of families and the root here."""
+    sent = _kinds(model, replies).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "slice").mapInArrow(_seated(vocabulary, heads, shards), "place long, shard long, blob binary")
+    out = written(sent.repartition(shards, "place").sortWithinPartitions("place", "shard").mapInArrow(_summed, "shard long, slice long, blob binary"), "totals")
+    row = out.where("shard < 0").first()
+    *sums, n = _unpack(row["blob"]) if row else [np.empty(0, np.int64)] * 4 + [np.zeros(6, np.int64)]
+    discount = heads[0].discount if heads else tuple(min(0.95, max(0.05, int(a) / max(1, int(a + 2 * b)))) if a + b else 0.5 for a, b in n.reshape(3, 2))
+    return out, Totals([(level, i, int(c), int(t)) for level in (1, 2) for i, (c, t) in enumerate(zip(sums[2 * level - 2], sums[2 * level - 1]))], discount)
+
+
+#: The kind of a slice's tokens; those of a shard come before.
+ASKED = 1 << 20
 SCORE = "shard long, kind int, slice long, blob binary"
 
 
@@ -303,45 +396,49 @@ def _ask(shards: int):
         number = (task.partitionId() if task else 0) << 32
         for s in T.slices(batches, "id", "text", SLICE):
             code, ctx, doc, size = tokens(s)
+            contexts, ctx = np.unique(ctx, return_inverse=True)
             order = np.lexsort((doc, ctx, code))
             code, ctx, doc = code[order], ctx[order], doc[order]
             present, cut = _cuts(code, shards)
             blobs = [_pack(s.ids, size, folds(s.ids))]
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 word = T.distinct_runs(code[a:b])
-                blobs.append(_pack(code[a:b][word], _small(np.diff(np.append(word, b - a))), ctx[a:b].astype(np.uint16), _small(doc[a:b]), np.array([len(s.ids)])))
+                blobs.append(_pack(code[a:b][word], _small(np.diff(np.append(word, b - a))), *_listed(contexts, ctx[a:b]), _small(doc[a:b]), np.array([len(s.ids)])))
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, present)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, number)), pa.array(blobs, pa.binary())], ["shard", "kind", "slice", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, present)), pa.array(np.full(n, ASKED, np.int32)), pa.array(np.full(n, number)), pa.array(blobs, pa.binary())], ["shard", "kind", "slice", "blob"])
             number += 1
 
     return run
 
 
-def _answer(vocabulary: int, n_tokens: int, history: list[Totals]):
-    """Shards' rows, the model (kind 0) first: sums per document of known tokens, base and model log10 probabilities."""
+def _answer(vocabulary: int, n_tokens: int, heads: list[Totals], shards: int):
+    """Shards' rows, the model and totals first: sums per document of known tokens, base and model log10 probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, words, count, keys, samples = None, None, None, None, []
+        shard, held = None, []
         for b in batches:
             for k, kind, number, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if kind == 0 or k != shard:
-                    shard, samples = k, []
-                    words, count, keys = np.empty(0, np.uint64), np.empty(0, np.int64), [np.empty(0, np.int64)] * 2
-                if kind == 0:
-                    for i, x in enumerate(_replayed(k, blob, vocabulary, history)):
+                if kind != ASKED:
+                    if k != shard:
+                        shard, held, samples = k, [], []
+                    held.append((kind, number, blob))
+                    continue
+                if held:  # every word that is asked for was counted, so each shard has a model
+                    x, history = _loaded(k, held, vocabulary, heads, shards)
+                    held = []
+                    for i, totals in enumerate(history[:-1]):
+                        x.sweep(i, totals)
                         if i >= BURN_IN:
                             samples.append((x.probabilities(history[i + 1]), history[i + 1]))
                     words, count, keys = x.words, x.count, x.key[:2]
-                    del x
-                    continue
-                code, size, ctx, doc, n_docs = _unpack(blob)
+                    del x, history
+                code, size, ctx, local, doc, n_docs = _unpack(blob)
                 at = np.searchsorted(words, code)
                 at[at == len(words)] = 0
                 known = (words[at] == code) if len(words) else np.zeros(len(code), bool)
                 c = np.repeat(np.where(known, count[at], 0) if len(words) else np.zeros(len(code)), size)
                 word = np.repeat(np.where(known, at, -1), size)
-                ctx = ctx.astype(np.int64)
-                p = predictive(word, ctx, keys, samples, vocabulary)
+                p = predictive(word, ctx, keys, samples, vocabulary, local)
                 n = int(n_docs[0])
                 base = np.log10((c + 0.1) / (n_tokens + 0.1 * (vocabulary + 1)))
                 sums = [np.bincount(doc, x, n) for x in (c > 0, base, np.log10(p))]
@@ -350,30 +447,31 @@ def _answer(vocabulary: int, n_tokens: int, history: list[Totals]):
     return run
 
 
-def predictive(word: np.ndarray, ctx: np.ndarray, keys: list[np.ndarray], samples: list, vocabulary: int) -> np.ndarray:
-    """Averaged probability of tokens (word: index in the shard, or -1 if unknown)."""
-    if not samples:
-        samples = [([np.empty(0)] * 3, None)]
-    family = ctx >> (CONTEXT_BITS - FAMILY_BITS)
-    places = (ctx, family)
+def predictive(word: np.ndarray, ctx: np.ndarray, keys: list, samples: list, vocabulary: int, local: np.ndarray | None = None) -> np.ndarray:
+    """Averaged probability of tokens (word: index in the shard, or -1 if unknown); local: the places of the tokens'
+    contexts in ctx."""
+    ctx = ctx.astype(np.uint64)
+    if local is None:
+        ctx, local = np.unique(ctx, return_inverse=True)
+    contexts, pairs = keys[0]
+    own = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
+    own = np.where(contexts[own] == ctx, own, len(contexts))[local]
+    family = (ctx >> _FAMILY).astype(np.int64)[local]
     found = []
-    for key, asked in zip(keys, (word << CONTEXT_BITS | ctx, word << FAMILY_BITS | family)):
+    for key, asked in ((pairs, word << 32 | own), (keys[1], word << FAMILY_BITS | family)):
         at = np.minimum(np.searchsorted(key, asked), max(0, len(key) - 1))
         found.append((at, (key[at] == asked) & (word >= 0) if len(key) else np.zeros(len(asked), bool)))
     out = np.zeros(len(word))
     for (leaf, fam, root), totals in samples:
-        if totals is None:  # nothing was learnt in this shard
-            out += 1.0 / (vocabulary + 1)
-            continue
         unknown = 1.0 / (vocabulary + 1)
         d, s = totals.discount[2], STRENGTH[2]
         rest = (s + d * totals.t[2][0]) / (s + totals.c[2][0]) * unknown
         p = np.where(word >= 0, root[np.maximum(word, 0)] if len(root) else rest, rest)
-        for level, values in ((1, fam), (0, leaf)):
+        c, t = totals.leaves(ctx)
+        for level, values, c, t in ((1, fam, totals.c[1][family], totals.t[1][family]), (0, leaf, c[local], t[local])):
             at, hit = found[level]
-            r = places[level]
             d, s = totals.discount[level], STRENGTH[level]
-            back = (s + d * totals.t[level][r]) / (s + totals.c[level][r])
+            back = (s + d * t) / (s + c)
             p = np.where(hit, values[at] if len(values) else 0.0, back * p)
         out += p
     return out / len(samples)
@@ -402,16 +500,19 @@ def _sum(n_tokens: int):
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    shards = max(1, partitions(spark) // 2)
+    shards = max(1, partitions(spark))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = base.mapInArrow(_count(shards), "shard long, blob binary")
     model = written(counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, blob binary, n long, v long"), "restaurants")
     n_tokens, vocabulary = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    history: list[Totals] = []
+    replies: list[DataFrame] = []
+    heads: list[Totals] = []
     for _ in range(BURN_IN + SAMPLES + 1):  # before each sweep, and after the last
-        history.append(_totals(model, vocabulary, history))
+        reply, head = _totals(model, vocabulary, replies, heads, shards)
+        replies.append(reply)
+        heads.append(head)
     asked = base.mapInArrow(_ask(shards), SCORE)
-    rows = asked.where("shard >= 0").unionByName(model.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("slice"), "blob"))
-    answers = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(vocabulary, n_tokens, history), "slice long, blob binary")
-    heads = asked.where("shard < 0").select("slice", F.lit(0).alias("kind"), "blob")
-    return heads.unionByName(answers.select("slice", F.lit(1).alias("kind"), "blob")).repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = asked.where("shard >= 0").unionByName(_kinds(model, replies))
+    answers = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "slice").mapInArrow(_answer(vocabulary, n_tokens, heads, shards), "slice long, blob binary")
+    slices = asked.where("shard < 0").select("slice", F.lit(0).alias("kind"), "blob")
+    return slices.unionByName(answers.select("slice", F.lit(1).alias("kind"), "blob")).repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -235,6 +235,30 @@ def test_predictive_sums_to_one(spark):
         x.sweep(1, totals)
 
 
+def test_each_word_is_a_context(spark):
+    """Unlike preceding words share no restaurant, and a shard is sent the totals over all shards."""
+    rows = [(i, " ".join(f"w{i}x{j} {'the' if j % 2 else 'a'}" for j in range(100))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    c = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            c.update([None, *t.split()])
+    model = docs.mapInArrow(hpy._count(2), "shard long, blob binary").repartition(2, "shard").sortWithinPartitions("shard").mapInArrow(hpy._merge, "shard long, blob binary, n long, v long").persist()
+    reply, head = hpy._totals(model, 1000, [], [], 2)
+    held = collections.defaultdict(list)
+    for r in hpy._kinds(model, [reply]).orderBy("shard", "kind", "slice").collect():
+        held[r.shard].append((r.kind, r.slice, r.blob))
+    found, tables = {}, collections.Counter()
+    for shard, parts in held.items():
+        x, (totals,) = hpy._loaded(shard, parts, 1000, [head], 2)
+        for k, n, t in zip(x.contexts.tolist(), *(v.tolist() for v in totals.leaves(x.contexts))):
+            assert found.setdefault(k, (n, t)) == (n, t)
+        tables.update(dict(zip(x.contexts.tolist(), x.leaves()[1].tolist())))
+    assert len(held) == 2 and len(found) > 30000
+    assert sorted(n for n, _ in found.values() if n) == sorted(c.values())
+    assert {k: t for k, (_, t) in found.items()} == dict(tables)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op8_toxicity(spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
