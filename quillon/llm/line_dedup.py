@@ -1,7 +1,7 @@
 """Line dedup by range-partitioned hashes and per-document keep bitmaps.
 
-Each line's key (stripped, A-Z lower-cased) becomes a 128-bit hash; a document's lines with one key travel as one row
-(hash, document, line numbers). Rows are range-partitioned by hash and sorted by hash and document, largest document
+Each line's key (stripped, A-Z lower-cased) becomes a 128-bit xxh3 hash, which stands for the key in all that follows;
+a text's lines with one key travel as one row (hash, document, line numbers). Rows are range-partitioned by hash and sorted by hash and document, largest document
 first, so one streaming pass sees the keeper first, then knows with the third document that the key is dropped
 elsewhere; it holds one waiting row, whatever the group's size. What returns is no text but, for each document, its
 dropped lines as a compressed bitmap (zlib), which the documents, read again, apply.
@@ -9,9 +9,9 @@ dropped lines as a compressed bitmap (zlib), which the documents, read again, ap
 Before the shuffle each batch settles what it can: with min_docs of its own documents in a group all but the largest
 lose the key for certain, so of a hot key no more than min_docs - 1 rows leave a batch, flagged with what was seen.
 
-A document is known by (doc_id, hash of its text), in this order: repeated rows are one document and get the same
-result each, different texts under one id are documents of their own. Null text:
-one empty line, kept. Null id: counts as one document below all others; its id stays null. Keys shorter than min_chars
+A document is its doc_id: rows that share it, with whatever texts, count once, and all of them keep a line that its
+document keeps; bitmaps go back to rows by (doc_id, hash of the text), so each row has the result of its own text. Null
+text: one empty line, kept. Null id: counts as one document below all others; its id stays null. Keys shorter than min_chars
 stay. Empty table: no rows. Extra columns are not read.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,20 +60,20 @@ def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def text_hash(s: T.Slice) -> np.ndarray:
-    return T.span_hashes(s.data, s.offsets[:-1], s.offsets[1:], 7)
+    return T.text_hashes(s.data, s.offsets)
 
 
 def keyed(s: T.Slice, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with a long enough key: two hashes, document, line number in it."""
+    """Of each line with a long enough key: both halves of its hash, document, line number in it."""
     starts, ends, first = lines(s.data, s.offsets)
     a, b = stripped(s.data, starts, ends)
     chars = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])
     keep = np.flatnonzero(chars[b] - chars[a] >= min_chars)
-    low = T.LOWER[s.data]
+    low = memoryview(T.LOWER[s.data])
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    a, b = a[keep], b[keep]
-    flip = np.bitwise_xor(low, 0x5A)
-    return T.span_hashes(low, a, b, 1), T.span_hashes(flip, a, b, 2), doc[keep], (keep - first[doc[keep]])
+    digests = b"".join([xxhash.xxh3_128_digest(low[i:j]) for i, j in zip(a[keep].tolist(), b[keep].tolist())])
+    h1, h2 = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+    return h1, h2, doc[keep], (keep - first[doc[keep]])
 
 
 def bitmap(numbers: np.ndarray) -> bytes:
@@ -97,7 +98,7 @@ def _rows(min_docs: int, min_chars: int):
             h1, h2, doc, line = keyed(s, min_chars)
             if not len(h1):
                 continue
-            # Rows of a batch by key, largest document first; equal (id, text) rows are one document.
+            # Texts by (id, hash), largest first; equal rows are one text.
             rank = np.lexsort((th, s.ids))[::-1]
             place = np.empty(len(rank), np.int64)
             place[rank] = np.arange(len(rank))
@@ -110,13 +111,17 @@ def _rows(min_docs: int, min_chars: int):
             d = doc[begin]
             new = T.distinct_runs(h1[begin], h2[begin])
             size = np.diff(np.append(new, len(begin)))
-            nth = np.arange(len(begin)) - np.repeat(new, size)
-            many = np.repeat(size, size) >= min_docs
+            ids = s.ids[d]
+            fresh = np.ones(len(begin), bool)  # another document than the row before, or another key
+            fresh[1:] = ids[1:] != ids[:-1]
+            fresh[new] = True
+            many = np.repeat(np.add.reduceat(fresh.astype(np.int64), new), size) >= min_docs
+            top = ids == np.repeat(ids[new], size)
             end = np.append(begin[1:], len(h1))
             blobs = [np.unique(line[i:j]).astype("<u4").tobytes() for i, j in zip(begin.tolist(), end.tolist())]
             # docs: documents that the row stands for, itself included; -1: dropped for certain.
-            docs = np.where(many, np.where(nth == 0, min_docs, -1), 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(h1[begin])), pa.array(T.signed(h2[begin])), pa.array(s.ids[d]), pa.array(th[d]), pa.array(docs), pa.array(blobs, pa.binary())], ["h1", "h2", "doc", "th", "docs", "numbers"])
+            docs = np.where(many, np.where(top, min_docs, -1), 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(h1[begin])), pa.array(T.signed(h2[begin])), pa.array(ids), pa.array(th[d]), pa.array(docs), pa.array(blobs, pa.binary())], ["h1", "h2", "doc", "th", "docs", "numbers"])
 
     return run
 
@@ -132,13 +137,13 @@ def _stream(min_docs: int):
             out: list[tuple] = []
             for h1, h2, doc, th, docs, numbers in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if (h1, h2) != key:
-                    key, keeper, seen, last, waiting = (h1, h2), (doc, th), 0, None, []
-                if (doc, th) != last:
+                    key, keeper, seen, last, waiting = (h1, h2), doc, 0, None, []
+                if doc != last:
                     seen += docs
-                    last = (doc, th)
-                else:  # a repeated row of another batch
+                    last = doc
+                else:  # another text of the document, or a repeated row of another batch
                     seen = max(seen, docs)
-                if last != keeper:
+                if doc != keeper:
                     waiting.append((doc, th, numbers))
                 if seen >= min_docs and waiting:
                     out += waiting

@@ -5,7 +5,8 @@
 2. Of each prefix shingle and pair of neighbouring size classes the smallest document is the centre; (centre, document) pairs form stars. Both ends of every
    qualifying pair lie in the star of a shingle that they share, so the stars cover the join, and a star, unlike a
    shingle's group, repeats neither pairs nor documents.
-3. Stars are cut into chunks of at most about CHUNK documents, the centre in each. In a chunk a signature tree holds
+3. Stars are cut into chunks of about CHUNK documents and WORDS shingles at most, the centre in each; the members of a
+   large star are dealt by (centre, salt), so none of its tables lands in one task. In a chunk a signature tree holds
    OR-combined shingle bitmaps and size ranges; a dual traversal prunes pairs of nodes whose maximum possible overlap is
    too small. It runs twice: over the documents' bitmaps alone, which are a fraction of their texts, to find who has any
    possible partner in the chunk, then over the shingle sets of those, where exact intersection decides pairs of leaves
@@ -38,8 +39,10 @@ from .spark_util import partitions, written
 
 #: Frequent shingles that go last in the order, at most.
 FREQUENT = 1 << 16
-#: Documents of a star that meet in one task.
-CHUNK = 2000
+#: Documents of a star, and shingles of all of them, that meet in one task.
+CHUNK, WORDS = 2000, 1_000_000
+#: Parts that the members of a large star are dealt to.
+SALTS = 64
 SLICE = 4 << 20
 LEAF = 8
 
@@ -55,7 +58,7 @@ def shingle_sets(s: T.Slice, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(all_[a : b - k + 1]))
         elif b > a:
-            out.append(T.span_hashes(codes, np.array([a]), np.array([b]), 29))
+            out.append(T.sequence_hash(codes[a:b], 29))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -362,16 +365,25 @@ def _solved(blocks: DataFrame, info: DataFrame, base: DataFrame, k: int, t: Thre
     return rows.repartition(p, "c", "p", "q").sortWithinPartitions("c", "p", "q", "doc").mapInArrow(_blocks(k, t), "u long, v long")
 
 
+def _salt():
+    return F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+
+
 def _number(n: str):
-    return F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    return F.pmod(F.xxhash64("doc", F.lit(1)), F.col(n)).cast("int")
 
 
 def _each(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _chunks(n):
-    return F.ceil(n / CHUNK).cast("int")
+def _salted(stars: DataFrame) -> DataFrame:
+    """Stars (c, ...) with a row for each salt of their members."""
+    return stars.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _chunks(docs, words):
+    return F.greatest(F.ceil(docs / CHUNK), F.ceil(words / WORDS), F.lit(1)).cast("int")
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,26 +393,31 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     info = written(base.mapInArrow(_prefixes(k, t, frequent_shingles(base, k)), PREFIX), "prefixes")
     # Sizes of linked sets lie in one size class or in neighbouring ones: a group has a shingle and two classes.
     size_class = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100 - 0.001)).cast("int")
-    token = info.select("doc", size_class.alias("k"), F.explode("tokens").alias("token")).select("doc", F.explode(F.array(F.xxhash64("token", "k"), F.xxhash64("token", F.col("k") + 1))).alias("token"))
+    token = info.select("doc", "n", size_class.alias("k"), F.explode("tokens").alias("token")).select("doc", "n", F.explode(F.array(F.xxhash64("token", "k"), F.xxhash64("token", F.col("k") + 1))).alias("token"))
     centres = token.groupBy("token").agg(F.min("doc").alias("c"), F.max("doc").alias("top")).where("c <> top").select("token", "c")
-    stars = written(token.join(centres, "token").where("doc <> c").select("c", "doc").distinct(), "stars")
+    stars = written(token.join(centres, "token").where("doc <> c").groupBy("c", "doc").agg(F.max("n").alias("n")), "pairs")
+    size = stars.groupBy("c").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"))
+    large = _salted(size.where((F.col("docs") > CHUNK // 2) | (F.col("words") > WORDS // 2)).select("c", F.lit(True).alias("large")))
+    stars = stars.withColumn("s", _salt()).join(large, ["c", "s"], "left")
+    stars = written(stars.select("c", F.when(F.col("large"), F.col("s")).otherwise(0).alias("s"), F.coalesce("large", F.lit(False)).alias("large"), "doc", "n"), "stars")
 
     # Each document in its smallest centre's star; the centre goes to each chunk.
-    nearest = stars.groupBy("doc").agg(F.min("c").alias("c"))
-    sizes = nearest.groupBy("c").agg(_chunks(F.count(F.lit(1))).alias("chunks"))
-    members = nearest.join(sizes.where("chunks > 1"), "c", "left").select("c", F.coalesce(_number("chunks"), F.lit(0)).alias("p"), "doc")
+    nearest = stars.groupBy("doc").agg(F.min("c").alias("c"), F.max("n").alias("n"))
+    sizes = nearest.groupBy("c").agg(_chunks(F.count(F.lit(1)), F.sum("n")).alias("chunks"))
+    members = nearest.withColumn("s", _salt()).join(_salted(sizes.where("chunks > 1")), ["c", "s"], "left").select("c", F.coalesce(_number("chunks"), F.lit(0)).alias("p"), "doc")
     blocks = members.unionByName(sizes.select("c", _each("chunks").alias("p"), F.col("c").alias("doc")))
     first = _solved(blocks.select("c", "p", F.lit(0).alias("q"), F.lit(2).alias("side"), "doc", F.col("doc").alias("component")), info, base, k, t)
     links = written(first.unionByName(info.where("doc <> same_as").select(F.col("doc").alias("u"), F.col("same_as").alias("v"))), "links")
     found = components(links)
 
     # All stars that hold more than one component, for the pairs across components.
-    whole = stars.unionByName(stars.select("c", F.col("c").alias("doc")).distinct())
-    whole = whole.join(found, whole.doc == found.node, "left").select("c", "doc", F.coalesce("component", "doc").alias("component"))
-    counts = whole.groupBy("c", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = counts.groupBy("c").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n")).where("main.m < n")
-    mixed = mixed.select("c", F.col("main.component").alias("main"), _chunks(F.col("n") - F.col("main.m")).alias("left"), _chunks(F.col("n")).alias("right"))
-    wide = written(whole.join(mixed, "c"), "mixed")
+    whole = stars.unionByName(stars.groupBy("c").agg(F.max("large").alias("large")).select("c", F.lit(0).alias("s"), "large", F.col("c").alias("doc"), F.lit(0).cast("long").alias("n")))
+    whole = whole.join(found, whole.doc == found.node, "left").select("c", "s", "large", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    counts = whole.groupBy("c", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words"), F.max("large").alias("large"))
+    mixed = counts.groupBy("c").agg(F.max_by("component", "m").alias("main"), F.max("m").alias("m"), F.sum("m").alias("docs"), F.sum("words").alias("words"), F.max("large").alias("large")).where("m < docs")
+    mixed = mixed.select("c", "main", "large", _chunks(F.col("docs") - F.col("m"), F.col("words")).alias("left"), _chunks(F.col("docs"), F.col("words")).alias("right"))
+    mixed = mixed.withColumn("s", F.explode(F.sequence(F.lit(0), F.when(F.col("large"), SALTS - 1).otherwise(0)))).drop("large")
+    wide = written(whole.join(mixed, ["c", "s"]), "mixed")
     if not wide.isEmpty():
         one = wide.where("right = 1").select("c", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side"), "doc", "component")
         many = wide.where("right > 1")

@@ -65,7 +65,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tox.train(docs, table(spark, sf_dir, "labels"), fold != 2)
-    return tox.toxicity(docs, model, 0.3).withColumn("held_out", fold == 2)
+    top = F.array_max(F.transform("passages", lambda x: F.struct(x["score"].alias("score"), (-x["start"]).alias("back"), x["words"].alias("words"))))
+    return tox.toxicity(docs, model, 0.3).select("doc_id", (fold == 2).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"), (-top["back"]).alias("passage_start"), top["words"].alias("passage_words"), top["score"].alias("passage_score"))
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
 """Repeated token spans by compacting a De Bruijn graph over word k-mers.
 
-The graph's edges are windows of `window` consecutive words. Its paths are compacted before they are shuffled: windows
-that choose the same anchor, the least hash of the ANCHOR-word k-mers inside them, follow each other in a document and
-form one path (a super-k-mer). A path is known by its anchor's and its whole word sequence's hashes (128 bits) and
-carries its source coordinates (document, first window).
-
-1. Paths meet by anchor in one shuffle. Equal paths are one nonbranching repeat: the occurrence with the least
-   coordinates is its source, every other occurrence is a repeated span, without looking at its windows.
-2. Where an anchor has several different paths the graph branches there. Only the sources of such paths go back to
-   their documents by a join and are cut into windows; windows meet by hash, the least coordinates are the source, the
-   others are repeated windows.
-3. A document's repeated spans, joined back by its id, merge into maximal ones and cover the removed words.
+The graph's edges are windows of `window` consecutive words. They are dealt by anchor, the least hash of the ANCHOR-word
+k-mers inside a window: edges that follow each other in a document and share their anchor travel as one packed run, a
+path, with its source coordinates (document, first window).
+
+1. Path join. Runs meet by anchor, sorted by path and coordinates. Runs of one path are the same chain of edges: the
+   occurrence with the least coordinates is the path's source, every other one is a repeated span of it as a whole.
+2. Branch join. An anchor with one path is nonbranching, its chain stays compact. Where an anchor has several paths the
+   graph branches: the sources of those paths go back to their documents by a join and are cut into single edges, which
+   meet by hash; the least coordinates are the source, the others are repeats.
+3. Compaction. Repeats that follow each other in a document, and whose sources do so too, are one longer repeat: chains
+   join across anchors and branches by their coordinates alone.
+4. Verification. Every repeat is compared with its source: the source's document, found by its coordinates, and the
+   repeat's own document both digest the words of the range (BLAKE2b, 128 bits); a repeat whose digest differs removes
+   nothing. Hashes above only propose.
 
 Each slice of documents settles its own repeats of a path before the shuffle (all but the least coordinates are spans
-already), so a path that a third of all rows hold sends one row per slice.
+already), so a path that a third of all rows hold sends one row per slice; both joins stream over sorted rows and hold
+one row at a time, whatever the size of a group.
 
 Coordinates order by (doc_id, hash of the text, position), so rows that repeat both are one document, with one result
 each. Null id: below all others, kept null. Null or empty text: no words. Empty table: no rows. Extra columns are not
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -77,14 +81,21 @@ def paths(codes: np.ndarray, first: np.ndarray, window: int, anchor: int = ANCHO
     begin = np.flatnonzero(new)
     lo = ok[begin]
     hi = ok[np.append(begin[1:], len(ok)) - 1]
-    return lo, hi, a[pick[begin]], T.span_hashes(codes, lo, hi + window, 13)
+    # Windows of one path share a k-mer, so the first and the last one cover it.
+    edge = T.window_hashes(codes, window, 13)
+    return lo, hi, a[pick[begin]], T.mix64(edge[lo] + T.mix64(edge[hi] + (hi - lo).astype(T.U64)))
 
 
-ROW = "anchor long, path long, doc long, th long, lo int, n int"
+REPEAT, BRANCH = 1, 2
+SPAN = "doc long, th long, lo int, n int, sdoc long, sth long, slo int"
+ROW = "anchor long, path long, " + SPAN
+FOUND = "kind int, " + SPAN
 
 
-def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["anchor", "path", "doc", "th", "lo", "n"])
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), kinds[t]) for c, t in zip(columns, types)], list(names))
 
 
 def _paths(window: int):
@@ -106,7 +117,55 @@ def _paths(window: int):
             source |= (s.ids[d] == s.ids[d[head]]) & (th[d] == th[d[head]]) & (p == p[head])
             # n > 0: a path to be shuffled; n < 0: a repeated span of -n windows, settled here.
             n = (hi - lo + 1)[order] * np.where(source, 1, -1)
-            yield _emit([T.signed(anchor[order]), T.signed(path[order]), s.ids[d], th[d], p.astype(np.int32), n.astype(np.int32)])
+            yield _batch([T.signed(anchor[order]), T.signed(path[order]), s.ids[d], th[d], p, n, s.ids[d[head]], th[d[head]], p[head]], ROW)
+
+    return run
+
+
+EDGE = "h1 long, h2 long, doc long, th long, lo int"
+
+
+def _met(by_path: bool):
+    """Rows sorted by two keys and coordinates: later coordinates of equal keys as REPEAT of the first ones. by_path (keys
+    anchor and path): also first coordinates as BRANCH, where the anchor has several paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # keys and source of the row before
+        held = None  # the source of an anchor's only path so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a, k, doc, th, lo = (np.asarray(b.column(i)) for i in range(5))
+            n = np.asarray(b.column(5)) if by_path else np.ones(len(a), np.int32)
+            if last is not None:  # the source of the row before goes first
+                a, k, doc, th, lo, n = (np.concatenate([[x], y]) for x, y in zip(last, (a, k, doc, th, lo, n)))
+            other = np.ones(len(a), bool)  # another anchor than the row before
+            other[1:] = a[1:] != a[:-1]
+            new = other.copy()
+            new[1:] |= k[1:] != k[:-1]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+            again = (doc != doc[head]) | (th != th[head]) | (lo != lo[head])
+            i = np.flatnonzero(again)
+            out = [[np.full(len(i), REPEAT), doc[i], th[i], lo[i], n[i], doc[head[i]], th[head[i]], lo[head[i]]]]
+            if by_path:
+                first = np.flatnonzero(new)
+                if last is not None:
+                    first = first[first > 0]
+                if held is not None and len(first):
+                    if not other[first[0]]:
+                        out.append([[BRANCH], *([x] for x in held), [0], [0], [0]])
+                    held = None
+                alone = other[first]
+                branch = ~alone
+                branch[:-1] |= ~other[first[1:]]
+                if len(first) and alone[-1]:
+                    held = tuple(x[first[-1]] for x in (doc, th, lo, n))
+                    branch[-1] = False
+                j = first[branch]
+                zero = np.zeros(len(j), np.int64)
+                out.append([np.full(len(j), BRANCH), doc[j], th[j], lo[j], n[j], zero, zero, zero])
+            last = tuple(x[head[-1]] for x in (a, k, doc, th, lo, n))
+            yield _batch([np.concatenate(c) for c in zip(*out)], FOUND)
 
     return run
 
@@ -126,9 +185,9 @@ def _windows(window: int):
             at, doc = np.concatenate(at), np.concatenate(doc)
             order = np.argsort(at, kind="stable")
             at, doc = at[order], doc[order]
-            h1, h2 = T.span_hashes(codes, at, at + window, 17), T.span_hashes(codes ^ T.U64(0x5DEECE66D), at, at + window, 19)
+            h1, h2 = (T.window_hashes(codes, window, salt)[at] for salt in (17, 19))
             th = np.asarray(s.batch.column("th"))
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(h1)), pa.array(T.signed(h2)), pa.array(s.ids[doc]), pa.array(th[doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["h1", "h2", "doc", "th", "lo"])
+            yield _batch([T.signed(h1), T.signed(h2), s.ids[doc], th[doc], at - w.first[doc]], EDGE)
 
     return run
 
@@ -173,43 +232,65 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text string, doc long, th long")
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, th, spans: for each document its runs of repeated windows (first window, windows) as int32 pairs."""
+RUN = np.dtype([("lo", "<i4"), ("n", "<i4"), ("sdoc", "<i8"), ("sth", "<i8"), ("slo", "<i4")])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted repeats as one row per document; repeats that follow each other, like their sources, become one."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc, th, lo, n, sdoc, sth, slo = (np.asarray(b.column(i)) for i in range(7))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (lo[1:] != lo[:-1] + n[:-1]) | (sdoc[1:] != sdoc[:-1]) | (sth[1:] != sth[:-1]) | (slo[1:] != slo[:-1] + n[:-1])
+        at = np.flatnonzero(new)
+        rows = np.empty(len(at), RUN)
+        for name, x in (("lo", lo), ("sdoc", sdoc), ("sth", sth), ("slo", slo)):
+            rows[name] = x[at]
+        rows["n"] = np.add.reduceat(n, at)
+        doc, th = doc[at], th[at]
+        begin = T.distinct_runs(doc, th).tolist()
+        out = []
+        for i, j in zip(begin, [*begin[1:], len(doc)]):
+            k = (int(doc[i]), int(th[i]))
+            if k != key:
+                if held:
+                    out.append((*key, b"".join(held)))
+                key, held = k, []
+            held.append(rows[i:j].tobytes())
+        if out:
+            yield _packed(out)
+    if held:
+        yield _packed([(*key, b"".join(held))])
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(partitions(df.sparkSession), "doc").sortWithinPartitions("doc", "th", "lo")
+
+
+def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, th, spans: for each document its repeated runs of windows with their sources (see RUN), not yet verified."""
+    p = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = base.mapInArrow(_paths(window), ROW)
-    # One sort by anchor, path and coordinates serves both questions: is an earlier occurrence of the path just before,
-    # and does the anchor have another path (its first and last path differ)?
-    by_anchor = Window.partitionBy("anchor")
-    by_path = by_anchor.orderBy("path", "doc", "th", "lo")
-    whole = by_path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = rows.where("n > 0").withColumns({**{f"b_{c}": F.lag(c).over(by_path) for c in ("path", "doc", "th", "lo")}, "first": F.first("path").over(whole), "last": F.last("path").over(whole)})
-    again = F.coalesce(F.col("b_path") == F.col("path"), F.lit(False))
-    same = _same()
-    kind = F.when(again & ~same, REPEAT).when(~again & (F.col("first") != F.col("last")), BRANCH)
-    met = met.select("doc", "th", "lo", "n", kind.alias("kind")).where("kind is not null")
-    settled = rows.where("n < 0").select("doc", "th", "lo", (-F.col("n")).alias("n"), F.lit(REPEAT).alias("kind"))
+    met = rows.where("n > 0").select("anchor", "path", "doc", "th", "lo", "n").repartition(p, "anchor").sortWithinPartitions("anchor", "path", "doc", "th", "lo").mapInArrow(_met(True), FOUND)
+    settled = rows.where("n < 0").select(F.lit(REPEAT).alias("kind"), "doc", "th", "lo", (-F.col("n")).alias("n"), "sdoc", "sth", "slo")
     found = written(met.unionByName(settled), "spans")
 
     branching = packed(found.where(F.col("kind") == BRANCH)).withColumnRenamed("spans", "asked")
     cut = hashed(docs, id_col, text_col).join(branching, ["doc", "th"]).select("id", "text", "doc", "th", "asked")
-    by_window = Window.partitionBy("h1", "h2").orderBy("doc", "th", "lo")
-    windows = cut.mapInArrow(_windows(window), "h1 long, h2 long, doc long, th long, lo int")
-    later = windows.withColumns({f"b_{c}": F.lag(c).over(by_window) for c in ("doc", "th", "lo")}).where(F.col("b_doc").isNotNull() & ~_same())
-    return packed(found.where(F.col("kind") == REPEAT).select("doc", "th", "lo", "n").unionByName(later.select("doc", "th", "lo", F.lit(1).alias("n"))))
-
-
-REPEAT, BRANCH = 1, 2
-
-
-def _same():
-    return (F.col("b_doc") == F.col("doc")) & (F.col("b_th") == F.col("th")) & (F.col("b_lo") == F.col("lo"))
+    edges = cut.mapInArrow(_windows(window), EDGE).repartition(p, "h1", "h2").sortWithinPartitions("h1", "h2", "doc", "th", "lo")
+    later = found.where(F.col("kind") == REPEAT).unionByName(edges.mapInArrow(_met(False), FOUND)).drop("kind")
+    return written(_dealt(later).mapInArrow(_runs, "doc long, th long, spans binary"), "runs")
 
 
 def merged_spans(blob: bytes | None, window: int) -> np.ndarray:
     """Word ranges (begin, end) that runs of repeated windows cover, merged where they touch."""
     if not blob:
         return np.empty((0, 2), np.int64)
-    lo, n = np.frombuffer(blob, "<i4").astype(np.int64).reshape(-1, 2).T
+    runs = np.frombuffer(blob, RUN)
+    lo, n = runs["lo"].astype(np.int64), runs["n"].astype(np.int64)
     order = np.argsort(lo, kind="stable")
     b, e = lo[order], np.maximum.accumulate((lo + n + window - 1)[order])
     new = np.ones(len(b), bool)
@@ -218,25 +299,88 @@ def merged_spans(blob: bytes | None, window: int) -> np.ndarray:
     return np.stack([b[begin], e[np.append(begin[1:], len(b)) - 1]], 1)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row, and the removed word ranges (begin, end)."""
-    spans = repeated_spans(docs, window, id_col, text_col)
-    joined = hashed(docs, id_col, text_col).join(spans, ["doc", "th"], "left").select("id", "text", "spans")
+RANGE = "sdoc long, sth long, slo int, n int"
+CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<array<long>>, doc long, th long, spans binary, mine binary, asked binary, theirs binary"
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(window: int):
+    """Removes the repeats of each document and digests the word ranges of its repeats (mine) and of those that others
+    repeat from it (theirs, for the asked ones)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches, "id", "text", SLICE):
-            n, gone, sha, out = [], [], [], []
-            for i, blob in enumerate(s.batch.column("spans").to_pylist()):
+            rows = []
+            for i, (spans, asked) in enumerate(zip(s.batch.column("spans").to_pylist(), s.batch.column("asked").to_pylist())):
                 words = s.text(i).split()
-                kept, at, ranges = [], 0, merged_spans(blob, window).tolist()
+                kept, at, ranges = [], 0, merged_spans(spans, window).tolist()
                 for b, e in ranges:
                     kept += words[at:b]
                     at = e
                 kept += words[at:]
-                n.append(len(words))
-                gone.append(len(words) - len(kept))
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                out.append(ranges)
-            yield pa.RecordBatch.from_arrays([s.batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(out, pa.list_(pa.list_(pa.int64())))], ["doc_id", "n_words", "n_removed", "kept_sha256", "ranges"])
+                digest = lambda lo, n: hashlib.blake2b(b" ".join(words[lo : lo + n + window - 1]), digest_size=16).digest()  # noqa: E731, B023
+                mine = None if spans is None else b"".join(digest(lo, n) for lo, n, *_ in np.frombuffer(spans, RUN).tolist())
+                theirs = None if asked is None else b"".join(digest(lo, n) for lo, n in np.frombuffer(asked, "<i4").reshape(-1, 2).tolist())
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), ranges, mine, theirs))
+            n, gone, sha, out, mine, theirs = zip(*rows)
+            column = s.batch.column
+            arrays = [column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(out, pa.list_(pa.list_(pa.int64()))), column("doc"), column("th"), column("spans"), pa.array(mine, pa.binary()), column("asked"), pa.array(theirs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in CUT.split(", ")])
+
+    return run
+
+
+PROOF = RANGE + ", d1 long, d2 long"
+
+
+def _proofs(whose: str):
+    """Distinct ranges of a batch with their digests: of the sources that repeats name (mine), or of those asked for."""
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<array<long>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, th, spans, digests in zip(*(b.column(i).to_pylist() for i in range(4))):
+                pairs = np.frombuffer(digests, "<i8").reshape(-1, 2).tolist()
+                if whose == "mine":
+                    out += [(r[2], r[3], r[4], r[1], *d) for r, d in zip(np.frombuffer(spans, RUN).tolist(), pairs)]
+                else:
+                    out += [(doc, th, *r, *d) for r, d in zip(np.frombuffer(spans, "<i4").reshape(-1, 2).tolist(), pairs)]
+            if out:
+                yield _batch(list(zip(*set(out))), PROOF)
+
+    return run
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct source ranges of a batch of runs."""
+    for b in batches:
+        if b.num_rows:
+            rows = np.unique(np.frombuffer(b"".join(b.column("spans").to_pylist()), RUN)[["sdoc", "sth", "slo", "n"]])
+            yield _batch([rows[c] for c in ("sdoc", "sth", "slo", "n")], RANGE)
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for doc, th, spans, digests in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for r, d in zip(np.frombuffer(spans, RUN).tolist(), np.frombuffer(digests, "<i8").reshape(-1, 2).tolist()):
+                out.append((doc, th, *r, *d))
+        if out:
+            yield _batch(list(zip(*out)), SPAN + ", d1 long, d2 long")
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row, and the removed word ranges (begin, end)."""
+    runs = repeats(docs, window, id_col, text_col)
+    while True:
+        asked = runs.mapInArrow(_sources, RANGE).distinct().select(F.col("sdoc").alias("doc"), F.col("sth").alias("th"), F.col("slo").alias("lo"), "n")
+        joined = hashed(docs, id_col, text_col).join(runs, ["doc", "th"], "left").join(packed(asked).withColumnRenamed("spans", "asked"), ["doc", "th"], "left")
+        cut = written(joined.mapInArrow(_cut(window), CUT), "cut")
+        mine = cut.where("mine is not null").select("doc", "th", "spans", "mine").mapInArrow(_proofs("mine"), PROOF).distinct()
+        theirs = cut.where("theirs is not null").select("doc", "th", "asked", "theirs").mapInArrow(_proofs("theirs"), PROOF).distinct()
+        wrong = mine.join(theirs, mine.columns, "left_anti")
+        if wrong.isEmpty():
+            return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "ranges")
+        # Hashes that met by chance: those repeats remove nothing.
+        rest = cut.where("mine is not null").select("doc", "th", "spans", "mine").mapInArrow(_without, SPAN + ", d1 long, d2 long").distinct()
+        rest = rest.join(written(wrong, "wrong"), wrong.columns, "left_anti").drop("d1", "d2")
+        runs = written(_dealt(rest).mapInArrow(_runs, "doc long, th long, spans binary"), "runs")

@@ -12,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Word separators of every contract: space and the bytes 0x09 to 0x0D.
@@ -23,8 +24,6 @@ LOWER[65:91] += 32
 #: Stands for a null id inside the operators; it sorts before every other id.
 NULL_ID = -(2**63)
 SLICE_BYTES = 2 << 20
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -38,50 +37,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, b in (("up", _BASE), ("down", _INVERSE)):
-            a = np.full(size, b, U64)
-            a[0] = 1
-            _powers[name] = np.cumprod(a, dtype=U64)
-    up, down = _powers["up"][:n], _powers["down"][:n]
-    if len(_powers["up"]) > 1 << 21:  # one huge text must not keep its tables
-        _powers.clear()
-    return up, down
-
-
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hash of codes[s:e] for each span; spans are sorted by start. Equal contents give equal hashes."""
-    out = np.empty(len(starts), U64)
-    i, step = 0, 1 << 18
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + step, "left")))
-        lo, hi = int(starts[i]), int(ends[i:j].max())
-        seg = codes[lo:hi]
-        seg = _BYTE_CODE[seg] if seg.dtype == np.uint8 else seg
-        up, down = powers(len(seg) + 1)
-        acc = np.zeros(len(seg) + 1, U64)
-        np.cumsum(seg * up[:-1], out=acc[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (acc[e] - acc[s]) * down[s]
-        i = j
-    out += (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(salt)
-    return mix64(out)
+_STEP, _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA0761D6478BD642F)
+#: Keeps the first n of 8 little-endian bytes.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Longer spans go to the library one by one.
+LONG = 256
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes data[s:e] of each span: eight bytes at a time are folded in and mixed, so unlike spans
+    of up to 8 bytes and one length never collide; spans longer than LONG are hashed by xxh3."""
+    size = ends - starts
+    out = mix64(size.astype(U64) * _STEP + U64(salt))
+    if not len(out):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # 8 bytes from every place
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix64((out[live] ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _LEFT)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), salt)
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two sequences one after another from their hashes."""
+    return mix64((a * _LEFT + mix64(b * _RIGHT + _STEP)) ^ U64(0x2545F4914F6CDD1D))
 
 
 def window_hashes(codes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of each k consecutive codes; windows across documents are for the caller to mask."""
+    """Hash of each k consecutive codes, as a tree of mixed pairs; windows across documents are for the caller to mask."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    s = np.arange(n)
-    return span_hashes(codes, s, s + k, salt)
+    span, level, out, done = 1, mix64(codes + mix64(np.array([salt], U64))), None, 0
+    while True:
+        if k & span:
+            part = level[done : done + n]
+            out, done = part if out is None else _joined(out, part), done + span
+        if 2 * span > k:
+            return mix64(out + U64(k * int(_STEP) % 2**64))
+        level = _joined(level[: len(level) - span], level[span:])
+        span *= 2
+
+
+def sequence_hash(codes: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of all codes as one window."""
+    return window_hashes(codes, len(codes), salt)
+
+
+def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit xxh3 of each whole text."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], U64)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether data[a:a+size] equals data[b:b+size] for every pair of spans."""
+    other = a != b
+    return bool((data[ragged(a[other], size[other])] == data[ragged(b[other], size[other])]).all())
 
 
 class Slice(NamedTuple):

@@ -4,13 +4,14 @@ Training. From the labelled rows of the training fold, at most SAMPLE of each cl
 their id; the bound is a parameter), tokens are counted by class: the word in lower case without outer punctuation, and its byte
 prefixes of PREFIXES, since stems mark inflected or compounded words that are never seen twice. A token's weight is its
 log-odds ratio with an informative Dirichlet prior (half a count, and more in proportion to its overall count); those of
-MIN_ODDS at least, with a z-score of Z and MIN_DOCS documents of the toxic class, are the lexicon. All other words share one weight, the log-odds of their whole
-mass, so a passage's score is a log-likelihood ratio. Scoring. A word takes its strongest token; a linear-time scan
-finds all maximal scoring segments of a document, skipping words without evidence as whole gaps. The scale comes from
+MIN_ODDS at least, with a z-score of Z and MIN_DOCS documents of the toxic class, are the lexicon, however many they
+are (the sample bounds them). All other words share one weight, the log-odds of their whole mass, so a passage's score
+is a log-likelihood ratio. Scoring. A word takes its strongest token; a linear-time scan finds all maximal scoring
+segments of a document, skipping words without evidence as whole gaps. The scale comes from
 Karlin and Altschul: lambda solves sum p(s) exp(lambda s) = 1 over the word scores of clean training rows, and K is
 fitted to their best segments, so a segment's excess is lambda * S - log(K * n). The sum of a document's positive
 excesses (Poisson clumping treats separate segments as independent) goes through a logistic curve that is fitted on the
-sample with the classes' true weights.
+sample with the classes' true weights. Every passage with a positive excess, a significant one, is returned.
 
 Scoring is one narrow pass over all whole texts; the model (a bounded lexicon) goes to the tasks inside the function.
 Null and empty texts have no segment: the curve's value at 0. Null ids: the row is scored, its fold is null. Rows whose
@@ -33,8 +34,6 @@ from . import textops as T
 
 #: Labelled rows of each class that are learnt from at most.
 SAMPLE = 6_000
-#: Words in the lexicon at most, the strongest by z-score.
-LEXICON = 20_000
 Z, MIN_DOCS, MIN_ODDS, PRIOR, CAP = 3.5, 4, 1.5, 1000.0, 6.0
 #: Lengths in bytes of the prefixes that are tokens beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -86,7 +85,7 @@ def token_hashes(s: T.Slice) -> tuple[T.Words, list[tuple[np.ndarray, np.ndarray
 def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, one past the last, score) of a sequence that has score[i] at word
     at[i] and -drift elsewhere; linear time. Only positions of positive score can begin or end one."""
-    stack: list[list] = []  # begin, end, sum before, sum after
+    stack: list[tuple] = []  # begin, end, sum before, sum after, place of the nearest one before with a lesser sum before
     total, prev = 0.0, -1
     for i, x in zip(at.tolist(), score.tolist()):
         total -= drift * (i - prev - 1)
@@ -94,18 +93,17 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int,
         if x <= 0:
             total += x
             continue
-        new = [i, i + 1, total, total + x]
+        begin, left = i, total
         total += x
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:  # what is passed over here is passed over by all that come later
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < total:
+            begin, _, left, _, link = stack[j]
             del stack[j:]
-        stack.append(new)
-    return [(b, e, r - left) for b, e, left, r in stack]
+            j = link
+        stack.append((begin, i + 1, left, total, j))
+    return [(b, e, r - left) for b, e, left, r, _ in stack]
 
 
 def scored(s: T.Slice, words: np.ndarray, weights: np.ndarray) -> tuple[T.Words, np.ndarray, np.ndarray]:
@@ -175,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     a = (F.col("pos") + F.col("neg")) * F.lit(PRIOR / (n_pos + n_neg)) + 0.5
     pos, neg = F.col("pos") + a, F.col("neg") + a
     delta = F.log(pos / (n_pos + PRIOR - pos)) - F.log(neg / (n_neg + PRIOR - neg))
-    strong = counted.where(F.col("docs") >= MIN_DOCS).select("h", delta.alias("d"), (delta / F.sqrt(1 / pos + 1 / neg)).alias("z")).where((F.col("z") >= Z) & (F.col("d") >= MIN_ODDS)).orderBy(F.col("z").desc(), "h").limit(LEXICON).toPandas()
+    strong = counted.where(F.col("docs") >= MIN_DOCS).select("h", delta.alias("d"), (delta / F.sqrt(1 / pos + 1 / neg)).alias("z")).where((F.col("z") >= Z) & (F.col("d") >= MIN_ODDS)).toPandas()
     words = strong["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     words, weights = words[order], np.minimum(strong["d"].to_numpy()[order], CAP)
@@ -243,19 +241,20 @@ def probability(model: Model, segs: list, n: int) -> float:
     return float(1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -30, 30))))
 
 
+PASSAGES = "array<struct<start: long, words: long, score: double, excess: double>>"
+
+
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted, and the strongest passage (first word, words, score; null without one) of every row."""
+    """doc_id, score, predicted, and the significant passages (first word, words, score, excess) of every row, in order."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("score", pa.float64()), ("excess", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches, "id", "text", lower=True):
-            score, top = [], []
+            score, found = [], []
             for _, n, segs in evidence(s, model.words, model.weights, model.drift):
                 score.append(probability(model, segs, n))
-                top.append(max(segs, key=lambda g: g[2]) if segs else (None, None, None))
+                found.append([{"start": b, "words": e - b, "score": x, "excess": y} for b, e, x in segs if (y := excess([(b, e, x)], n, model.lam, model.log_k)) > 0])
             score = np.array(score)
-            yield pa.RecordBatch.from_arrays(
-                [s.batch.column("id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([t[0] for t in top], pa.int64()), pa.array([None if t[0] is None else t[1] - t[0] for t in top], pa.int64()), pa.array([t[2] for t in top], pa.float64())],
-                ["doc_id", "score", "predicted", "passage_start", "passage_words", "passage_score"],
-            )
+            yield pa.RecordBatch.from_arrays([s.batch.column("id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(found, kind)], ["doc_id", "score", "predicted", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, passage_start long, passage_words long, passage_score double")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, f"doc_id long, score double, predicted int, passages {PASSAGES}")
