@@ -10,15 +10,19 @@ levels and its predictive probabilities are computed in one place. What restaura
 tables in each) is sharded by context: after each sweep a shard sends its sums, and is sent the totals of the contexts
 it knows or is asked for by documents that are not learnt from. Only those of families and root pass the driver.
 
-Gibbs. A sweep seats every word's customers anew in each restaurant, customer by customer (a new table with weight
-(strength + discount * tables) * parent's probability, else an old one's), level by level from the leaves up, given
-the restaurants' totals and the parents' probabilities of the sweep before. Sweeps are functions of the counts, the
-totals and a seed, so a shard that is lost replays them. After BURN_IN sweeps the predictive probabilities of SAMPLES
-sweeps are averaged. Discounts are n1 / (n1 + 2 n2) of each level's customer counts.
+Gibbs. A sweep takes each party (a word's customers in one restaurant) out of its restaurant and seats it again, level
+by level from the leaves up, given the other parties' tables there and the parents' probabilities of the sweep before:
+one customer after another opens a table with weight (strength + discount * tables there) * parent's probability, else
+joins one of the party's. From the 32nd customer on a step seats 1 + seated / 32 customers at the weights of its
+beginning, at every size alike. Draws are functions of (word, restaurant, sweep, step), and all sums are integers, so
+scores are the same however the corpus is partitioned or sharded. After BURN_IN sweeps the predictive probabilities of
+SAMPLES sweeps are averaged; perplexity is 10 ** (-score / n_tokens). Discounts are n1 / (n1 + 2 n2) of each level's
+customer counts.
 
 Traffic. Slices of documents send, for each shard, packed arrays: for counting, distinct (word, context) pairs with
 counts, so a hot word costs a slice at most its distinct contexts; for scoring, (word, context, document) triples, from which a
-shard returns three sums per document. Texts are never shuffled.
+shard returns three sums per document. Texts are never shuffled. Seatings are written after each sweep. There is a shard
+for each SHARD_BYTES of text at least, so a shard's memory does not grow with the corpus.
 
 Documents whose fold is held out are scored only. Null id: held_out null, not learnt from. Null or empty text: the end
 token alone. Repeated rows: learnt as often as they occur, one result each. Empty table or no training row: no known
@@ -44,10 +48,14 @@ FAMILY_BITS = 6
 FAMILIES = 1 << FAMILY_BITS
 _FAMILY = np.uint64(64 - FAMILY_BITS)  # where a context's family begins
 STRENGTH = (2.0, 5.0, 10.0)  # leaves, families, root
-BURN_IN, SAMPLES, SEED = 1, 2, 20240607
-#: Customers that are seated one by one; larger parties are seated in blocks that grow with them.
-SINGLY = 64
+BURN_IN, SAMPLES, SEED = 1, 2, np.uint64(20240607)
+#: Customers that are seated one by one; each later step seats a 32nd of those seated.
+SINGLY = 32
 SLICE = 6 << 20
+#: Text of a shard at most, on average.
+SHARD_BYTES = 16 << 20
+#: Log probabilities are summed as integers of this unit, so that the order of the sums doesn't matter.
+UNIT = 2.0**-34
 END = np.uint64(0xE5D0C5D0E5D0C5D1)
 
 
@@ -202,17 +210,18 @@ class Shard:
         self.begin = [at, root]  # where each parent's children begin
         self.parent = [np.repeat(np.arange(len(at)), np.diff(np.append(at, len(up)))), np.repeat(np.arange(len(root)), np.diff(np.append(root, len(at))))]
         self.place = [ctx, (up[at] & (FAMILIES - 1)), np.zeros(len(self.words), np.int64)]
+        code = [self.words[word], self.words[up[at] >> FAMILY_BITS], self.words]
+        self.seed = [T.mix64(c ^ T.mix64(p.astype(np.uint64) + np.uint64(level + 1))) for level, (c, p) in enumerate(zip(code, self.place))]
         self.count = np.add.reduceat(count.astype(np.int64), at[root])  # of each word
         self.c = [count.astype(np.int64), None, None]
         self.t = [np.ones(len(count), np.int64), None, None]
-        self.lift()
+        self.restore([self.t[0], np.ones(len(at), np.int64), np.ones(len(self.words), np.int64)])
 
-    def lift(self) -> None:
-        """Children's tables are the parents' customers; one table each until they are seated."""
+    def restore(self, tables: list[np.ndarray]) -> None:
+        """Takes the tables of the three levels; children's tables are the parents' customers."""
+        self.t = [t.astype(np.int64) for t in tables]
         for level in (0, 1):
             self.c[level + 1] = np.add.reduceat(self.t[level], self.begin[level])
-            if self.t[level + 1] is None:
-                self.t[level + 1] = np.ones(len(self.c[level + 1]), np.int64)
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables here of each context."""
@@ -250,34 +259,34 @@ class Shard:
         return [self.predict(0, totals, family[self.parent[0]]), family, root]
 
     def sweep(self, number: int, totals: Totals) -> None:
-        """Seats all customers anew, given the totals and probabilities of the sweep before."""
-        rng = np.random.default_rng([SEED, number, self.shard])
+        """Seats all parties anew, given the totals and probabilities of the sweep before."""
         _, family, root = self.probabilities(totals)
         above = [family[self.parent[0]], root[self.parent[1]], np.full(len(self.words), self.base)]
         for level in range(3):
             if level:
                 self.c[level] = np.add.reduceat(self.t[level - 1], self.begin[level - 1])
             d, s = totals.discount[level], STRENGTH[level]
-            self.t[level] = seat(self.c[level], (s + d * self.shared(level, totals)[1]) * above[level], d, rng)
+            others = self.shared(level, totals)[1] - self.t[level]
+            self.t[level] = seat(self.c[level], (s + d * others) * above[level], d * above[level], d, T.mix64(self.seed[level] ^ (SEED + np.uint64(number))))
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of parties of customers of one dish each; new: weight of opening a table."""
-    tables = np.ones(len(customers), np.int64)
+def seat(customers: np.ndarray, new: np.ndarray, more: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
+    """Tables of parties of customers of one dish each; new: weight of opening a table, and more by each of the party's
+    tables. A step's expected tables are rounded up or down at random, which for one customer is a coin."""
     order = np.argsort(-customers, kind="stable")
-    c, w = customers[order], new[order]
-    t = np.ones(len(c), np.int64)
-    seated, m = 1, int(np.searchsorted(-c, -1, "left"))
+    c, w, v, key = customers[order], new[order], more[order], seed[order]
+    t = np.ones(len(c), np.float64)
+    seated, step, m = 1, 0, int(np.searchsorted(-c, -1, "left"))
     while m:
-        block = 1 if seated < SINGLY else seated // 16
-        p = w[:m] / (w[:m] + np.maximum(seated - discount * t[:m], 1e-12))
-        if block == 1:
-            t[:m] += rng.random(m) < p
-        else:
-            t[:m] += rng.binomial(np.minimum(block, c[:m] - seated), np.clip(p, 0, 1))
-        seated += block
+        block = np.minimum(1 + seated // SINGLY, c[:m] - seated)
+        weight = w[:m] + v[:m] * t[:m]
+        coin = (T.mix64(key[:m] + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
+        t[:m] += np.floor(block * (weight / (weight + np.maximum(seated - discount * t[:m], 1e-12))) + coin)
+        seated += 1 + seated // SINGLY
+        step += 1
         m = int(np.searchsorted(-c, -seated, "left"))
-    tables[order] = t
+    tables = np.ones(len(customers), np.int64)
+    tables[order] = np.minimum(t.astype(np.int64), c)
     return tables
 
 
@@ -311,42 +320,45 @@ class Totals:
         return self.c[0][at] * hit, self.t[0][at] * hit
 
 
-def _loaded(shard: int, rows: list[tuple], vocabulary: int, heads: list[Totals], shards: int) -> tuple[Shard, list[Totals]]:
-    """A shard before its first sweep, and the totals before each sweep, from its rows (kind, slice, blob): kind 0 is the
-    model, kind i + 1 the totals of its contexts before sweep i."""
-    x = Shard(shard, rows[0][2], vocabulary)
+MODEL, STATE, TOTALS = 0, 1, 2
+
+
+def _loaded(x: Shard, kind: int, rows: list[tuple], head: Totals, shards: int) -> Totals:
+    """Restores a shard's seating from its rows (kind, slice, blob): kind is the seating's, the next one its totals'."""
+    x.restore(_unpack(next(blob for k, _, blob in rows if k == kind)))
     order, _, _ = _dealt(x.contexts, shards)
-    history = []
-    c = np.empty(len(order), np.int64)  # the leaves' customers are the same in each sweep
-    for i, head in enumerate(heads):
-        parts = [_unpack(blob) for kind, _, blob in rows if kind == i + 1]
-        if not i:
-            c[order] = np.concatenate([p[0] for p in parts])
-        t = np.empty(len(order), np.int64)
-        t[order] = np.concatenate([p[1] for p in parts])
-        history.append(head.with_leaves(x.contexts, c, t))
-    return x, history
-
-
-def _seated(vocabulary: int, heads: list[Totals], shards: int):
-    """(place, shard, blob): a shard's contexts, customers and tables after the sweeps; place -1: sums of the other levels
-    and how many dishes of each level have 1 and 2 customers."""
+    parts = [_unpack(blob) for k, _, blob in rows if k == kind + 1]
+    c, t = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    if parts:
+        c[order], t[order] = (np.concatenate(p) for p in zip(*parts))
+    return head.with_leaves(x.contexts, c, t)
+
+
+def _seated(vocabulary: int, number: int, head: Totals | None, shards: int):
+    """(kind, place, shard, blob). STATE: a shard's seating, after another sweep if there are totals; TOTALS: its contexts,
+    customers and tables, for the shards that sum them; place -1: sums of the other levels and how many dishes of each
+    level have 1 and 2 customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(n, np.int64) for n in (FAMILIES, FAMILIES, 1, 1, 6)]
-        for shard, rows in _by_shard(batches, ("shard", "kind", "slice", "blob")):
-            x, history = _loaded(shard, rows, vocabulary, heads, shards)
-            for number, totals in enumerate(history):
-                x.sweep(number, totals)
+
+        def rows(kind: int, place: np.ndarray, shard: int, blobs: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind, np.int32)), pa.array(place), pa.array(np.full(len(blobs), shard)), pa.array(blobs, pa.binary())], ["kind", "place", "shard", "blob"])
+
+        for shard, held in _by_shard(batches, ("shard", "kind", "slice", "blob")):
+            x = Shard(shard, held[0][2], vocabulary)
+            if head is not None:
+                x.sweep(number, _loaded(x, STATE, held, head, shards))
+            del held
             for level, at, c, t in x.totals()[1:]:
                 sums[2 * level - 2][at] += c
                 sums[2 * level - 1][at] += t
             sums[4] += [(c == n).sum() for c in x.c for n in (1, 2)]
             c, t = x.leaves()
             order, present, cut = _dealt(x.contexts, shards)
-            blobs = [_pack(x.contexts[o], _small(c[o]), _small(t[o])) for o in np.split(order, cut[1:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(np.full(len(blobs), shard)), pa.array(blobs, pa.binary())], ["place", "shard", "blob"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), pa.array([_pack(*sums)], pa.binary())], ["place", "shard", "blob"])
+            yield rows(TOTALS, present, shard, [_pack(x.contexts[o], _small(c[o]), _small(t[o])) for o in np.split(order, cut[1:-1])] if len(present) else [])
+            yield rows(STATE, np.array([shard]), shard, [_pack(*map(_small, x.t))])
+        yield rows(TOTALS, np.array([-1]), -1, [_pack(*sums)])
 
     return run
 
@@ -365,22 +377,30 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), place)), pa.array(blobs, pa.binary())], ["shard", "slice", "blob"])
 
 
-def _kinds(model: DataFrame, replies: list[DataFrame]) -> DataFrame:
-    """The model and the totals before each sweep as rows (shard, kind, slice, blob)."""
-    rows = model.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("slice"), "blob")
-    for i, r in enumerate(replies):
-        rows = rows.unionByName(r.where("shard >= 0").select("shard", F.lit(i + 1).alias("kind"), "slice", "blob"))
+def _kinds(model: DataFrame, seatings: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """The model, seatings and their totals as rows (shard, kind, slice, blob), kinds in this order."""
+    rows = model.select("shard", F.lit(MODEL).alias("kind"), F.lit(0).cast("long").alias("slice"), "blob")
+    for i, (state, reply) in enumerate(seatings):
+        rows = rows.unionByName(state.select("shard", F.lit(2 * i + STATE).alias("kind"), F.lit(0).cast("long").alias("slice"), "blob"))
+        rows = rows.unionByName(reply.where("shard >= 0").select("shard", F.lit(2 * i + TOTALS).alias("kind"), "slice", "blob"))
     return rows
 
 
-def _totals(model: DataFrame, vocabulary: int, replies: list[DataFrame], heads: list[Totals], shards: int) -> tuple[DataFrame, Totals]:
-    """Totals after the sweeps so far: those of contexts as a table, of families and the root here."""
-    sent = _kinds(model, replies).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "slice").mapInArrow(_seated(vocabulary, heads, shards), "place long, shard long, blob binary")
-    out = written(sent.repartition(shards, "place").sortWithinPartitions("place", "shard").mapInArrow(_summed, "shard long, slice long, blob binary"), "totals")
+def _sorted(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "slice")
+
+
+def _swept(model: DataFrame, vocabulary: int, number: int, before: tuple[DataFrame, DataFrame] | None, head: Totals | None, shards: int) -> tuple[DataFrame, DataFrame, Totals]:
+    """The seating after a sweep (the first one: before any), its contexts' totals, and those of families and the root."""
+    rows = _sorted(_kinds(model, [before] if before else []), shards)
+    sent = written(rows.mapInArrow(_seated(vocabulary, number, head, shards), "kind int, place long, shard long, blob binary"), "seating")
+    asked = sent.where(F.col("kind") == TOTALS).drop("kind")
+    out = written(asked.repartition(shards, "place").sortWithinPartitions("place", "shard").mapInArrow(_summed, "shard long, slice long, blob binary"), "totals")
     row = out.where("shard < 0").first()
     *sums, n = _unpack(row["blob"]) if row else [np.empty(0, np.int64)] * 4 + [np.zeros(6, np.int64)]
-    discount = heads[0].discount if heads else tuple(min(0.95, max(0.05, int(a) / max(1, int(a + 2 * b)))) if a + b else 0.5 for a, b in n.reshape(3, 2))
-    return out, Totals([(level, i, int(c), int(t)) for level in (1, 2) for i, (c, t) in enumerate(zip(sums[2 * level - 2], sums[2 * level - 1]))], discount)
+    discount = head.discount if head else tuple(min(0.95, max(0.05, int(a) / max(1, int(a + 2 * b)))) if a + b else 0.5 for a, b in n.reshape(3, 2))
+    found = Totals([(level, i, int(c), int(t)) for level in (1, 2) for i, (c, t) in enumerate(zip(sums[2 * level - 2], sums[2 * level - 1]))], discount)
+    return sent.where(F.col("kind") == STATE).select("shard", "blob"), out, found
 
 
 #: The kind of a slice's tokens; those of a shard come before.
@@ -424,14 +444,12 @@ def _answer(vocabulary: int, n_tokens: int, heads: list[Totals], shards: int):
                     held.append((kind, number, blob))
                     continue
                 if held:  # every word that is asked for was counted, so each shard has a model
-                    x, history = _loaded(k, held, vocabulary, heads, shards)
-                    held = []
-                    for i, totals in enumerate(history[:-1]):
-                        x.sweep(i, totals)
-                        if i >= BURN_IN:
-                            samples.append((x.probabilities(history[i + 1]), history[i + 1]))
-                    words, count, keys = x.words, x.count, x.key[:2]
-                    del x, history
+                    x = Shard(k, held[0][2], vocabulary)
+                    for i, head in enumerate(heads):
+                        totals = _loaded(x, 2 * i + STATE, held, head, shards)
+                        samples.append((x.probabilities(totals), totals))
+                    words, count, keys, held = x.words, x.count, x.key[:2], []
+                    del x
                 code, size, ctx, local, doc, n_docs = _unpack(blob)
                 at = np.searchsorted(words, code)
                 at[at == len(words)] = 0
@@ -441,7 +459,9 @@ def _answer(vocabulary: int, n_tokens: int, heads: list[Totals], shards: int):
                 p = predictive(word, ctx, keys, samples, vocabulary, local)
                 n = int(n_docs[0])
                 base = np.log10((c + 0.1) / (n_tokens + 0.1 * (vocabulary + 1)))
-                sums = [np.bincount(doc, x, n) for x in (c > 0, base, np.log10(p))]
+                sums = [np.zeros(n, np.int64) for _ in range(3)]
+                for total, x in zip(sums, (c > 0, np.rint(base / UNIT), np.rint(np.log10(p) / UNIT))):
+                    np.add.at(total, doc, x.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(*sums)], pa.binary())], ["slice", "blob"])
 
     return run
@@ -483,36 +503,38 @@ def _sum(n_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_shard(batches, ("slice", "kind", "blob")):
             ids, size, fold = _unpack(next(b for k, b in rows if k == 0))
-            sums = [np.zeros(len(ids)) for _ in range(3)]
+            sums = [np.zeros(len(ids), np.int64) for _ in range(3)]
             for k, blob in rows:
                 if k:
                     for a, x in zip(sums, _unpack(blob)):
                         a += x
             null = ids == T.NULL_ID
+            score = sums[2] * UNIT
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=null), pa.array(fold == 0, mask=null), pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(ids), n_tokens)), pa.array(sums[1]), pa.array(sums[2])],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [pa.array(ids, mask=null), pa.array(fold == 0, mask=null), pa.array(size), pa.array(sums[0]), pa.array(np.full(len(ids), n_tokens)), pa.array(sums[1] * UNIT), pa.array(score), pa.array(10 ** (-score / size))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
     return run
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
     spark = docs.sparkSession
-    shards = max(1, partitions(spark))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, partitions(spark), -(-size // SHARD_BYTES))
     counted = base.mapInArrow(_count(shards), "shard long, blob binary")
     model = written(counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, blob binary, n long, v long"), "restaurants")
     n_tokens, vocabulary = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    replies: list[DataFrame] = []
-    heads: list[Totals] = []
-    for _ in range(BURN_IN + SAMPLES + 1):  # before each sweep, and after the last
-        reply, head = _totals(model, vocabulary, replies, heads, shards)
-        replies.append(reply)
+    seatings: list[tuple[DataFrame, DataFrame]] = []
+    head, heads = None, []
+    for number in range(burn_in + samples + 1):  # the first one is before any sweep
+        state, reply, head = _swept(model, vocabulary, number, seatings[-1] if seatings else None, head, shards)
+        seatings.append((state, reply))
         heads.append(head)
     asked = base.mapInArrow(_ask(shards), SCORE)
-    rows = asked.where("shard >= 0").unionByName(_kinds(model, replies))
-    answers = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "slice").mapInArrow(_answer(vocabulary, n_tokens, heads, shards), "slice long, blob binary")
+    rows = asked.where("shard >= 0").unionByName(_kinds(model, seatings[burn_in + 1 :]))
+    answers = _sorted(rows, shards).mapInArrow(_answer(vocabulary, n_tokens, heads[burn_in + 1 :], shards), "slice long, blob binary")
     slices = asked.where("shard < 0").select("slice", F.lit(0).alias("kind"), "blob")
-    return slices.unionByName(answers.select("slice", F.lit(1).alias("kind"), "blob")).repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return slices.unionByName(answers.select("slice", F.lit(1).alias("kind"), "blob")).repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
