@@ -6,8 +6,10 @@ samples; residuals are Rice coded with one parameter. Every frame ends with a CR
 stream opens with STREAMINFO (with the MD5 of the samples) and a SEEKTABLE of one point per frame.
 
 Reading checks every header's CRC-8 and frame's CRC-16, decodes the Rice residuals of all frames of a slice in lockstep
-(one numpy step per sample position over all frames), runs the linear predictors the same way, and checks the MD5. PCM
-blocks carry the offset of their first sample. No shuffle: narrow passes; a payload never leaves its row.
+(one numpy step per sample position over all frames), runs the linear predictors the same way, and checks the MD5.
+Frames of other encoders (several Rice partitions, escaped residuals, wasted bits, other sample sizes, two and more
+channels) are decoded one by one. PCM blocks carry the offset of their first sample. No shuffle: narrow passes; a payload
+never leaves its row.
 
 Null payloads are empty; an empty one is padded to one unit. Equal payloads give equal streams. Extra columns are not
 read. A stream whose checksums fail raises an error that names the check.
@@ -250,11 +252,11 @@ def _read_utf8(b: bytes, i: int) -> tuple[int, int]:
     return v, i + n
 
 
-def _parse(b: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
-    """Samples, MD5, frames as (first sample, begin, end), of a stream."""
+def _parse(b: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], tuple[int, int, int]]:
+    """Samples, MD5, frames as (first sample, begin, end), and (rate, channels, bits) of a stream."""
     if b[:4] != b"fLaC":
         raise Corrupt("not a FLAC stream")
-    i, last, total, md5, seek = 4, False, 0, b"", b""
+    i, last, total, md5, seek, form = 4, False, 0, b"", b"", (0, 1, 8)
     while not last:
         last, kind, n = bool(b[i] & 0x80), b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
         block = b[i + 4 : i + 4 + n]
@@ -262,8 +264,7 @@ def _parse(b: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
         if kind == 0:
             packed = int.from_bytes(block[10:18], "big")
             total, md5 = packed & (1 << 36) - 1, block[18:34]
-            if packed >> 41 & 7 or (packed >> 36 & 31) != 7:
-                raise Corrupt("only 8-bit mono streams are read")
+            form = (packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1)
         elif kind == 3:
             seek = block
     points = np.frombuffer(seek, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
@@ -273,7 +274,7 @@ def _parse(b: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
     else:  # no whole seek table: every sync code whose header's CRC-8 holds and where a frame's CRC-16 ends
         at, j = [], i
         a = np.frombuffer(b, np.uint8)
-        sync = [int(k) for k in np.flatnonzero((a[:-1] == 0xFF) & (a[1:] == 0xF8)) if k >= i and _is_header(b, int(k))]
+        sync = [int(k) for k in np.flatnonzero((a[:-1] == 0xFF) & ((a[1:] & 0xFE) == 0xF8)) if k >= i and _is_header(b, int(k))]
         while j < len(b):
             at.append(j)
             ends = [k for k in sync if k > j] + [len(b)]
@@ -288,9 +289,9 @@ def _parse(b: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
         frames.append((done, s, e))
         sizes.append(n)
         done += n
-    if done != total:
+    if total and done != total:
         raise Corrupt("sample count")
-    return total, md5, frames, i
+    return done, md5, frames, form
 
 
 def _is_header(b: bytes, s: int) -> bool:
@@ -324,9 +325,117 @@ def _frame_size(b: bytes, s: int) -> tuple[int, int]:
     return n, i + 1
 
 
+class _Bits:
+    """The bits of a frame from its subframes on."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.word, self.n, self.at = np.unpackbits(np.frombuffer(data, np.uint8)).tobytes(), int.from_bytes(data, "big"), 8 * len(data), 0
+
+    def take(self, w: int) -> int:
+        self.at += w
+        if self.at > self.n:
+            raise Corrupt("end of frame")
+        return self.word >> (self.n - self.at) & ((1 << w) - 1)
+
+    def signed(self, w: int) -> int:
+        v = self.take(w)
+        return v - (1 << w) if w and v >> (w - 1) else v
+
+    def unary(self) -> int:
+        stop = self.bits.find(1, self.at)
+        if stop < 0:
+            raise Corrupt("end of frame")
+        n, self.at = stop - self.at, stop + 1
+        return n
+
+    def subframe(self, n: int, bits: int) -> list[int]:
+        """Samples of one channel's subframe."""
+        kind = self.take(7)
+        wasted = self.unary() + 1 if self.take(1) else 0
+        bits -= wasted
+        if kind == 0:
+            out = [self.signed(bits)] * n
+        elif kind == 1:
+            out = [self.signed(bits) for _ in range(n)]
+        elif 8 <= kind <= 12 or kind >= 32:
+            order = kind - 8 if kind < 32 else kind - 31
+            out, coef, shift = [self.signed(bits) for _ in range(order)], FIXED[order] if kind < 32 else [], 0
+            if kind >= 32:
+                precision = self.take(4) + 1
+                shift = self.signed(5)
+                coef = [self.signed(precision) for _ in range(order)]
+            for r in self.residual(n, order):
+                out.append(r + (sum(c * x for c, x in zip(coef, reversed(out[len(out) - order :]))) >> shift))
+        else:
+            raise Corrupt("subframe type")
+        return [x << wasted for x in out]
+
+    def residual(self, n: int, order: int) -> list[int]:
+        method, parts = self.take(2), self.take(4)
+        if method > 1 or (n >> parts) < order:
+            raise Corrupt("residual coding")
+        width, out = 4 + method, []
+        for j in range(1 << parts):
+            k, count = self.take(width), (n >> parts) - (0 if j else order)
+            if k == (1 << width) - 1:
+                w = self.take(5)
+                out += [self.signed(w) for _ in range(count)]
+            else:
+                for _ in range(count):
+                    u = self.unary() << k | self.take(k)
+                    out.append(u >> 1 ^ -(u & 1))
+        return out
+
+
+#: Bits of a sample by the code of a frame's header; 0: as the stream says.
+_SAMPLE_BITS = {0: 0, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def _frame(b: bytes, s: int, e: int, bits: int) -> np.ndarray:
+    """Samples x channels of the frame at s, decoded on its own."""
+    n, i = _frame_size(b, s)
+    code, size = b[s + 3] >> 4, _SAMPLE_BITS.get(b[s + 3] >> 1 & 7)
+    if size is None or code > 10:
+        raise Corrupt("frame header")
+    bits = size or bits
+    data = _Bits(b[i : e - 2])
+    if code < 8:
+        return np.array([data.subframe(n, bits) for _ in range(code + 1)], np.int64).T
+    x, y = (np.array(data.subframe(n, bits + side), np.int64) for side in ((0, 1), (1, 0), (0, 1))[code - 8])
+    if code == 8:  # left, side
+        return np.stack([x, x - y], 1)
+    if code == 9:  # side, right
+        return np.stack([x + y, y], 1)
+    mid = x * 2 | y & 1
+    return np.stack([(mid + y) >> 1, (mid - y) >> 1], 1)
+
+
+def read_pcm(b: bytes) -> tuple[tuple[int, int, int], np.ndarray]:
+    """(rate, channels, bits) and samples x channels of any stream, all checksums verified."""
+    total, md5, frames, form = _parse(b)
+    flat = np.frombuffer(b, np.uint8)
+    for _, s, e in frames:
+        if crc16(flat, np.array([s]), np.array([e - 2]))[0] != int.from_bytes(b[e - 2 : e], "big"):
+            raise Corrupt("frame CRC-16")
+    x = np.concatenate([np.empty((0, form[1]), np.int64), *(_frame(b, s, e, form[2]) for _, s, e in frames)])
+    if md5 != bytes(16) and hashlib.md5(_pcm_bytes(x, form[2])).digest() != md5:
+        raise Corrupt("MD5")
+    return form, x
+
+
+def _pcm_bytes(x: np.ndarray, bits: int) -> bytes:
+    """Interleaved little-endian samples of whole bytes."""
+    size = -(-bits // 8)
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
 def decode(streams: list[bytes]) -> list[bytes]:
-    """Payloads of streams that encode() or another 8-bit mono encoder with whole-frame Rice partitions wrote."""
+    """Payloads of 8-bit mono streams."""
     parsed = [_parse(b) for b in streams]
+    if not streams:
+        return []
+    if any(p[3][1:] != (1, 8) for p in parsed):
+        raise Corrupt("not 8-bit mono")
     flat = np.frombuffer(b"".join(streams), np.uint8)
     base = np.cumsum([0, *map(len, streams)]).tolist()
     spans = np.array([(base[k] + s, base[k] + e) for k, p in enumerate(parsed) for _, s, e in p[2]])
@@ -339,9 +448,9 @@ def decode(streams: list[bytes]) -> list[bytes]:
         for first, s, e in p[2]:
             n, i = _frame_size(b, s)
             kind = b[i] >> 1
-            if b[i] & 1:
-                raise Corrupt("wasted bits are not read")
-            if kind == 0:
+            if b[i] & 1:  # wasted bits
+                out[k][first : first + n] = _frame(b, s, e, 8)[:, 0]
+            elif kind == 0:
                 out[k][first : first + n] = np.int8(b[i + 1] - 256 if b[i + 1] > 127 else b[i + 1])
             elif kind == 1:
                 out[k][first : first + n] = np.frombuffer(b, np.int8, n, i + 1)
@@ -365,8 +474,9 @@ def decode(streams: list[bytes]) -> list[bytes]:
                     coef = [v - (1 << prec) if v >> (prec - 1) else v for v in (take(prec) for _ in range(order))]
                 method, parts = take(2), take(4)
                 k_rice = take(4 if method == 0 else 5)
-                if method > 1 or parts or k_rice == (15 if method == 0 else 31):
-                    raise Corrupt("Rice partitions are not read")
+                if method or parts or k_rice == 15 or k_rice > 16:
+                    out[k][first : first + n] = _frame(b, s, e, 8)[:, 0]
+                    continue
                 coded.append((k, first, 8 * base[k] + bit + pos, k_rice, order, warm, coef, shift, n, base[k] + e))
             else:
                 raise Corrupt("subframe type")
@@ -454,15 +564,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             i = j
 
 
+def blocks_of(payload: bytes) -> list[tuple[int, int, int, bytes]]:
+    """block, first sample, samples and PCM bytes (signed 8-bit) of each frame of a payload."""
+    pcm = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
+    return [(k // BLOCK, k, len(pcm[k : k + BLOCK]), pcm[k : k + BLOCK]) for k in range(0, len(pcm), BLOCK)]
+
+
+def joined(blocks: list[tuple[int, int, int, bytes]]) -> bytes:
+    """The payload of PCM blocks, each placed at its offset."""
+    out = np.zeros(sum(b[2] for b in blocks), np.uint8)
+    for _, first, n, pcm in blocks:
+        out[first : first + n] = np.frombuffer(pcm, np.uint8) ^ 0x80
+    return out.tobytes()
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """id, block, first_sample, n_samples and PCM bytes (signed 8-bit) of each frame: a seek reads one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, payloads in _groups(batches):
-            rows = []
-            for key, p in zip(part.column("id").to_pylist(), payloads):
-                pcm = (np.frombuffer(p, np.uint8).astype(np.int16) - 128).astype(np.int8).tobytes()
-                rows += [(key, k // BLOCK, k, len(pcm[k : k + BLOCK]), pcm[k : k + BLOCK]) for k in range(0, len(pcm), BLOCK)]
+            rows = [(key, *b) for key, p in zip(part.column("id").to_pylist(), payloads) for b in blocks_of(p)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "block", "first_sample", "n_samples", "pcm"])
 
     return media.select("id", "media").mapInArrow(run, "id long, block long, first_sample long, n_samples long, pcm binary")
@@ -481,6 +602,7 @@ def media_digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, streams, payloads in _groups(batches):
+            payloads = [joined(blocks_of(p)) for p in payloads]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"), part.column("n_bytes"),

@@ -178,6 +178,9 @@ class Encoder:
         starts, ends, first = chunks_of(low, s.offsets)
         raw = low.tobytes()
         _, at, inverse = np.unique(T.span_hashes(low, starts, ends, 3), return_index=True, return_inverse=True)
+        size = ends - starts
+        if (size != size[at][inverse]).any() or not T.same_bytes(low, starts, starts[at][inverse], size):  # hashes that met by chance
+            _, at, inverse = np.unique(np.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], object), return_index=True, return_inverse=True)
         i = self.known([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])[inverse]
         size = self.starts[i + 1] - self.starts[i]
         ids = self.flat[T.ragged(self.starts[i], size)]

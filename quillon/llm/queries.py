@@ -16,7 +16,7 @@ from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .packing import pack
 from .pitman_yor import language_model_scores
-from .spark_util import table
+from .spark_util import table, written
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -70,7 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(flac_column(table(spark, sf_dir, "documents"), "doc_id", "text", 64))
+    return media_digests(written(flac_column(table(spark, sf_dir, "documents"), "doc_id", "text", 64), "media"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 A page becomes a WARC response record; files hold FANOUT consecutive record positions, with each record's offset. The
 tree's leaves are records (position, length, SHA-256 of the bytes); an inner node hashes its children in order of
-position, with the range that they cover, FANOUT children at most, so the level-1 nodes are the files. Two replicas are
-compared from the root; only children of mismatching nodes are compared on the next level, down to the records.
+position, each with the offset of its bytes in the node, its length and its digest, FANOUT children at most, so the
+level-1 nodes are the files. Every level is written once. Two replicas are compared from the root; only children of
+mismatching nodes are compared on the next level, down to the records, whose offsets are computed in mismatching files
+alone.
 
 All of it is DataFrame expressions: one aggregation per level with map-side combining, levels a 256th of the one below,
 and the descent's joins touch mismatching branches only.
 
-Null ids: a position of their own below all others. Records that repeat a position are one leaf that hashes the sorted
-digests' sum and count, so repeats in any number cost one row; they are reported with their count. Null uri or body:
-empty. Empty replicas: the other's records are missing or extra. Extra columns are not read.
+Null ids: a position of their own below all others. Records that repeat a position are one leaf that hashes their count,
+their least and greatest digest and the sums of all four quarters of the digests, so repeats in any number cost one row;
+they are reported with their total length. Null uri or body: empty. Empty replicas: the other's records are missing or
+extra. Very long bodies are hashed whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,16 +43,18 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", bod
 
 def leaves(recs: DataFrame) -> DataFrame:
     """One leaf per position: its records' count, total length, and one digest."""
-    short = F.conv(F.substring("sha256", 1, 12), 16, 10).cast("decimal(38,0)")
-    g = recs.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.min("sha256").alias("low"), F.max("sha256").alias("high"), F.sum(short).alias("total"))
-    one = F.when(F.col("n") == 1, F.col("low")).otherwise(F.sha2(F.concat_ws("|", "n", "low", "high", "total"), 256))
+    quarters = [F.sum(F.conv(F.substring("sha256", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"q{i}") for i in range(4)]
+    g = recs.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.min("sha256").alias("low"), F.max("sha256").alias("high"), *quarters)
+    one = F.when(F.col("n") == 1, F.col("low")).otherwise(F.sha2(F.concat_ws("|", "n", "low", "high", "q0", "q1", "q2", "q3"), 256))
     return g.select("position", F.coalesce("position", F.lit(-(2**63))).alias("node"), "n", "length", one.alias("sha256"))
 
 
 def parents(level: DataFrame) -> DataFrame:
     """The next level: nodes over FANOUT positions of the one below, each with its bytes and records."""
     children = F.array_sort(F.collect_list(F.struct("node", "length", "sha256")))
-    text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"], c["length"], c["sha256"])), "|")
+    start = F.struct(F.lit(0).cast("long").alias("offset"), F.lit("").alias("text"))
+    text = lambda s, c: F.concat_ws(":", s["text"], c["node"], s["offset"], c["length"], c["sha256"])
+    text = F.aggregate(children, start, lambda s, c: F.struct((s["offset"] + c["length"]).alias("offset"), text(s, c).alias("text")), lambda s: s["text"])
     up = F.shiftrightunsigned("node", FANOUT_BITS)
     return level.groupBy(up.alias("parent")).agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.sha2(text, 256).alias("sha256")).withColumnRenamed("parent", "node")
 
@@ -61,6 +66,11 @@ def offsets(leaf: DataFrame) -> DataFrame:
     return leaf.withColumn("warc_file", file).withColumn("record_offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
+def _in(level: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The children of suspect nodes."""
+    return level.withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).join(suspects, "up", "left_semi").drop("up")
+
+
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records (see records()) that differ: page_id, fault ('changed', 'missing' in right, 'extra' in right), warc_file,
     record_offset (in left), lengths and digests on both sides."""
@@ -73,16 +83,19 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
             depth += 1
     levels = [(a, b)]
     for _ in range(depth):
-        levels.append(tuple(parents(x) for x in levels[-1]))
+        levels.append(tuple(written(parents(x), "level") for x in levels[-1]))
     suspects = None
     for la, lb in reversed(levels):
-        x = la.select("node", F.col("length").alias("length_a"), F.col("sha256").alias("sha_a"))
-        y = lb.select("node", F.col("length").alias("length_b"), F.col("sha256").alias("sha_b"))
         if suspects is not None:
-            x, y = (z.withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).join(suspects, "up", "left_semi").drop("up") for z in (x, y))
+            la, lb = _in(la, suspects), _in(lb, suspects)
+        if "position" in la.columns:  # the leaves: only those of mismatching files
+            la = offsets(la)
+        else:
+            la, lb = (x.withColumn("position", F.lit(None).cast("long")) for x in (la, lb))
+            la = la.withColumn("record_offset", F.lit(None).cast("long"))
+        x = la.select("node", "position", "record_offset", F.col("length").alias("length_a"), F.col("sha256").alias("sha_a"))
+        y = lb.select("node", F.col("position").alias("position_b"), F.col("length").alias("length_b"), F.col("sha256").alias("sha_b"))
         differ = x.join(y, "node", "full_outer").where(~F.col("sha_a").eqNullSafe(F.col("sha_b")))
         suspects = differ.select(F.col("node").alias("up"))
-    file = offsets(a).select("node", "record_offset")
-    keys = a.select("node", "position").unionByName(b.select("node", "position")).distinct()
     fault = F.when(F.col("sha_b").isNull(), "missing").when(F.col("sha_a").isNull(), "extra").otherwise("changed")
-    return differ.join(keys, "node").join(file, "node", "left").select(F.col("position").alias("page_id"), fault.alias("fault"), F.shiftrightunsigned("node", FANOUT_BITS).alias("warc_file"), "record_offset", "length_a", "length_b", "sha_a", "sha_b")
+    return differ.select(F.coalesce("position", "position_b").alias("page_id"), fault.alias("fault"), F.shiftrightunsigned("node", FANOUT_BITS).alias("warc_file"), "record_offset", "length_a", "length_b", "sha_a", "sha_b")
