@@ -21,7 +21,7 @@ customer counts.
 
 Traffic. Slices of documents send, for each shard, packed arrays: for counting, distinct (word, context) pairs with
 counts, so a hot word costs a slice at most its distinct contexts; for scoring, (word, context, document) triples, from which a
-shard returns three sums per document. Texts are never shuffled. Seatings are written after each sweep. There is a shard
+shard returns three sums per document; the shards are asked in ROUNDS. Texts are never shuffled. Seatings are written after each sweep. There is a shard
 for each SHARD_BYTES of text at least, so a shard's memory does not grow with the corpus.
 
 Documents whose fold is held out are scored only. Null id: held_out null, not learnt from. Null or empty text: the end
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .spark_util import partitions, written
+from .spark_util import partitions, removed, written
 
 FAMILY_BITS = 6
 FAMILIES = 1 << FAMILY_BITS
@@ -53,7 +53,7 @@ BURN_IN, SAMPLES, SEED = 1, 2, np.uint64(20240607)
 SINGLY = 32
 SLICE = 6 << 20
 #: Text of a shard at most, on average.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 10 << 20
 #: Log probabilities are summed as integers of this unit, so that the order of the sums doesn't matter.
 UNIT = 2.0**-34
 END = np.uint64(0xE5D0C5D0E5D0C5D1)
@@ -83,26 +83,46 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def tokens(s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word code, context and document of every token of a slice, and tokens per document; ends included."""
-    data = T.LOWER[s.data]
-    w = T.words(data, s.offsets)
-    n_docs = len(s.ids)
-    codes = T.span_hashes(data, w.starts, w.ends, 41)
-    tail = T.span_hashes(data, np.maximum(w.starts, w.ends - 3), w.ends, 43)
-    own = tail >> _FAMILY << _FAMILY | codes & ((np.uint64(1) << _FAMILY) - np.uint64(1))
-    size = np.diff(w.first) + 1
-    first = np.cumsum(size) - size
-    total = len(codes) + n_docs
-    code, ctx = np.full(total, END), np.zeros(total, np.uint64)
-    is_end = np.zeros(total, bool)
-    is_end[first + size - 1] = True
-    code[~is_end] = codes
-    # The context of a document's first token is the end of another: restaurant 0.
-    follow = np.ones(total, bool)
-    follow[first] = False
-    ctx[follow] = own
-    return code, ctx, np.repeat(np.arange(n_docs), size), size
+class Tokens:
+    """A slice's tokens by document, ends included: distinct words and contexts, and for each token the places of its
+    word and context among them, and its document; size: tokens of each document."""
+
+    def __init__(self, s: T.Slice):
+        data = T.LOWER[s.data]
+        w = T.words(data, s.offsets)
+        codes = T.span_hashes(data, w.starts, w.ends, 41)
+        order = np.argsort(codes)
+        new = T.distinct_runs(codes[order])
+        self.words, at, inverse = codes[order[new]], order[new], np.empty(len(codes), np.int64)
+        inverse[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(codes))))
+        tail = T.span_hashes(data, np.maximum(w.starts, w.ends - 3)[at], w.ends[at], 43)
+        own = tail >> _FAMILY << _FAMILY | self.words & ((np.uint64(1) << _FAMILY) - np.uint64(1))
+        # The context of a document's first token is the end of another: restaurant 0. Contexts are sorted.
+        self.contexts = np.append(own, np.uint64(0))
+        order = np.argsort(self.contexts)
+        self.contexts, place = self.contexts[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.size = np.diff(w.first) + 1
+        first = np.cumsum(self.size) - self.size
+        is_end = np.zeros(len(codes) + len(s.ids), bool)
+        is_end[first + self.size - 1] = True
+        self.word = np.full(len(is_end), len(self.words), np.int64)
+        self.word[~is_end] = inverse
+        self.words = np.append(self.words, END)
+        self.ctx = np.full(len(is_end), place[-1], np.int64)
+        follow = np.ones(len(is_end), bool)
+        follow[first] = False
+        self.ctx[follow] = place[inverse]
+        self.doc = np.repeat(np.arange(len(s.ids)), self.size)
+
+    def ordered(self, keep: np.ndarray | None = None) -> np.ndarray:
+        """Tokens (of the words that keep marks) by word, context and document."""
+        at = np.arange(len(self.word)) if keep is None else np.flatnonzero(keep[self.word])
+        wide, deep = len(self.contexts).bit_length(), len(self.word).bit_length()
+        if 2 * wide + deep <= 63:  # one key sorts faster than three
+            key = np.sort((self.word[at] << wide | self.ctx[at]) << deep | at)
+            return key & ((1 << deep) - 1)
+        return at[np.lexsort((self.ctx[at], self.word[at]))]
 
 
 def folds(ids: np.ndarray) -> np.ndarray:
@@ -114,13 +134,6 @@ def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
     return ((code >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
-def _cuts(code: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shards present in sorted codes and where each begins (one more at the end)."""
-    s = shard_of(code, shards)
-    at = T.distinct_runs(s)
-    return s[at], np.append(at, len(s))
-
-
 def _listed(contexts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The contexts that are used, and the place of each use among them; rank: places among all."""
     used = np.zeros(len(contexts), bool)
@@ -131,30 +144,34 @@ def _listed(contexts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _dealt(ctxs: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of contexts by the shard that keeps their totals, shards present and where each begins."""
     s = shard_of(ctxs << np.uint64(FAMILY_BITS), shards)
-    order = np.argsort(s, kind="stable")
+    order = np.argsort(s.astype(np.uint16) if shards < 1 << 16 else s, kind="stable")
     at = T.distinct_runs(s[order])
     return order, s[order][at], np.append(at, len(s))
 
 
+def _blobs(x: Tokens, word: np.ndarray, ctx: np.ndarray, shards: int, more, columns: dict) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, columns..., blob): distinct words, how many rows each has, contexts, place of each row's, and what
+    more(begin, end) adds. word, ctx: places sorted by word; END is the last one, wherever its code sorts."""
+    cut = np.append(T.distinct_runs(shard_of(x.words[word], shards)), len(word))
+    present, blobs = shard_of(x.words[word[cut[:-1]]], shards), []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        new = T.distinct_runs(word[a:b])
+        blobs.append(_pack(x.words[word[a:b][new]], _small(np.diff(np.append(new, b - a))), *_listed(x.contexts, ctx[a:b]), *more(a, b)))
+    if blobs:
+        yield pa.RecordBatch.from_arrays([pa.array(present), *(pa.array(np.full(len(blobs), v)) for v in columns.values()), pa.array(blobs, pa.binary())], ["shard", *columns, "blob"])
+
+
 def _count(shards: int):
     """(shard, blob): distinct words, number of contexts of each, contexts, place of each pair's, counts (0: not learnt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches, "id", "text", SLICE):
-            code, ctx, doc, _ = tokens(s)
-            learn = (folds(s.ids) > 0)[doc]
-            contexts, ctx = np.unique(ctx, return_inverse=True)
-            order = np.lexsort((ctx, code))
-            code, ctx, learn = code[order], ctx[order], learn[order]
-            pair = T.distinct_runs(code, ctx)
+            x = Tokens(s)
+            order = x.ordered()
+            word, ctx, learn = x.word[order], x.ctx[order], (folds(s.ids) > 0)[x.doc[order]]
+            pair = T.distinct_runs(word, ctx)
             count = np.add.reduceat(learn.astype(np.int64), pair)
-            code, ctx = code[pair], ctx[pair]
-            present, cut = _cuts(code, shards)
-            blobs = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                word = T.distinct_runs(code[a:b])
-                blobs.append(_pack(code[a:b][word], _small(np.diff(np.append(word, b - a))), *_listed(contexts, ctx[a:b]), _small(count[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(blobs, pa.binary())], ["shard", "blob"])
+            yield from _blobs(x, word[pair], ctx[pair], shards, lambda a, b, count=count: [_small(count[a:b])], {})
 
     return run
 
@@ -178,16 +195,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pair's, counts."""
     for shard, rows in _by_shard(batches, ("shard", "blob")):
         parts = [_unpack(r[0]) for r in rows]
-        code = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        ctx = np.concatenate([p[2][p[3]] for p in parts])
+        words, contexts = (np.unique(np.concatenate([p[i] for p in parts])) for i in (0, 2))
+        key = np.concatenate([np.repeat(np.searchsorted(words, p[0]), p[1]) << 32 | np.searchsorted(contexts, p[2])[p[3]] for p in parts])
         count = np.concatenate([p[4].astype(np.int64) for p in parts])
         del parts, rows
-        order = np.lexsort((ctx, code))
-        code, ctx, count = code[order], ctx[order], count[order]
-        pair = T.distinct_runs(code, ctx)
-        count = np.add.reduceat(count, pair)
-        code, ctx = code[pair], ctx[pair]
-        known, learnt = np.unique(ctx), count > 0
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        pair = T.distinct_runs(key)
+        count, key = np.add.reduceat(count, pair), key[pair]
+        code, ctx = words[key >> 32], contexts[key & 0xFFFFFFFF]
+        known, learnt = contexts, count > 0
         code, ctx, count = code[learnt], ctx[learnt], count[learnt]
         word = T.distinct_runs(code)
         size = np.diff(np.append(word, len(code)))
@@ -210,8 +227,6 @@ class Shard:
         self.begin = [at, root]  # where each parent's children begin
         self.parent = [np.repeat(np.arange(len(at)), np.diff(np.append(at, len(up)))), np.repeat(np.arange(len(root)), np.diff(np.append(root, len(at))))]
         self.place = [ctx, (up[at] & (FAMILIES - 1)), np.zeros(len(self.words), np.int64)]
-        code = [self.words[word], self.words[up[at] >> FAMILY_BITS], self.words]
-        self.seed = [T.mix64(c ^ T.mix64(p.astype(np.uint64) + np.uint64(level + 1))) for level, (c, p) in enumerate(zip(code, self.place))]
         self.count = np.add.reduceat(count.astype(np.int64), at[root])  # of each word
         self.c = [count.astype(np.int64), None, None]
         self.t = [np.ones(len(count), np.int64), None, None]
@@ -252,22 +267,35 @@ class Shard:
         d, s = totals.discount[level], STRENGTH[level]
         return (self.c[level] - d * self.t[level] + (s + d * t) * parent) / (s + c)
 
+    def parents(self, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the dishes of families and the root."""
+        root = self.predict(2, totals, np.full(len(self.words), self.base))
+        return self.predict(1, totals, root[self.parent[1]]), root
+
     def probabilities(self, totals: Totals) -> list[np.ndarray]:
         """Of the dishes of each level."""
-        root = self.predict(2, totals, np.full(len(self.words), self.base))
-        family = self.predict(1, totals, root[self.parent[1]])
+        family, root = self.parents(totals)
         return [self.predict(0, totals, family[self.parent[0]]), family, root]
 
     def sweep(self, number: int, totals: Totals) -> None:
         """Seats all parties anew, given the totals and probabilities of the sweep before."""
-        _, family, root = self.probabilities(totals)
-        above = [family[self.parent[0]], root[self.parent[1]], np.full(len(self.words), self.base)]
+        family, root = self.parents(totals)
+        above = [lambda i: family[self.parent[0][i]], lambda i: root[self.parent[1][i]], lambda i: np.full(len(i), self.base)]
         for level in range(3):
             if level:
                 self.c[level] = np.add.reduceat(self.t[level - 1], self.begin[level - 1])
-            d, s = totals.discount[level], STRENGTH[level]
-            others = self.shared(level, totals)[1] - self.t[level]
-            self.t[level] = seat(self.c[level], (s + d * others) * above[level], d * above[level], d, T.mix64(self.seed[level] ^ (SEED + np.uint64(number))))
+            several = np.flatnonzero(self.c[level] > 1)  # one customer sits alone
+            d, s, p = totals.discount[level], STRENGTH[level], above[level](several)
+            others = totals.t[level][(self.local if not level else self.place[level])[several]] - self.t[level][several]
+            seed = T.mix64(self.seed(level, several) ^ (SEED + np.uint64(number)))
+            tables = np.ones(len(self.c[level]), np.int64)
+            tables[several] = seat(self.c[level][several], (s + d * others) * p, d * p, d, seed)
+            self.t[level] = tables
+
+    def seed(self, level: int, at: np.ndarray) -> np.ndarray:
+        """A number of each party's word and restaurant."""
+        word = self.key[0][1][at] >> 32 if not level else self.key[1][at] >> FAMILY_BITS if level == 1 else at
+        return T.mix64(self.words[word] ^ T.mix64(self.place[level][at].astype(np.uint64) + np.uint64(level + 1)))
 
 
 def seat(customers: np.ndarray, new: np.ndarray, more: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
@@ -393,9 +421,10 @@ def _sorted(rows: DataFrame, shards: int) -> DataFrame:
 def _swept(model: DataFrame, vocabulary: int, number: int, before: tuple[DataFrame, DataFrame] | None, head: Totals | None, shards: int) -> tuple[DataFrame, DataFrame, Totals]:
     """The seating after a sweep (the first one: before any), its contexts' totals, and those of families and the root."""
     rows = _sorted(_kinds(model, [before] if before else []), shards)
-    sent = written(rows.mapInArrow(_seated(vocabulary, number, head, shards), "kind int, place long, shard long, blob binary"), "seating")
+    sent = written(rows.mapInArrow(_seated(vocabulary, number, head, shards), "kind int, place long, shard long, blob binary"), "seating", "kind")
     asked = sent.where(F.col("kind") == TOTALS).drop("kind")
     out = written(asked.repartition(shards, "place").sortWithinPartitions("place", "shard").mapInArrow(_summed, "shard long, slice long, blob binary"), "totals")
+    removed(sent, f"kind={TOTALS}")
     row = out.where("shard < 0").first()
     *sums, n = _unpack(row["blob"]) if row else [np.empty(0, np.int64)] * 4 + [np.zeros(6, np.int64)]
     discount = head.discount if head else tuple(min(0.95, max(0.05, int(a) / max(1, int(a + 2 * b)))) if a + b else 0.5 for a, b in n.reshape(3, 2))
@@ -408,29 +437,39 @@ ASKED = 1 << 20
 SCORE = "shard long, kind int, slice long, blob binary"
 
 
-def _ask(shards: int):
-    """Tokens of each slice by shard, sorted by word, context and document; shard -1: the slice's ids and sizes."""
+#: Parts of the shards that are asked one after another, so that the tokens on their way take a part of the disk.
+ROUNDS = 2
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, T.Slice]]:
+    """Slices with numbers that are the same whenever a task runs again."""
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 32
+    for s in T.slices(batches, "id", "text", SLICE):
+        yield number, s
+        number += 1
+
+
+def _ask(shards: int, part: int):
+    """Tokens of each slice for the shards of a round, sorted by word, context and document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 32
-        for s in T.slices(batches, "id", "text", SLICE):
-            code, ctx, doc, size = tokens(s)
-            contexts, ctx = np.unique(ctx, return_inverse=True)
-            order = np.lexsort((doc, ctx, code))
-            code, ctx, doc = code[order], ctx[order], doc[order]
-            present, cut = _cuts(code, shards)
-            blobs = [_pack(s.ids, size, folds(s.ids))]
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                word = T.distinct_runs(code[a:b])
-                blobs.append(_pack(code[a:b][word], _small(np.diff(np.append(word, b - a))), *_listed(contexts, ctx[a:b]), _small(doc[a:b]), np.array([len(s.ids)])))
-            n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, present)), pa.array(np.full(n, ASKED, np.int32)), pa.array(np.full(n, number)), pa.array(blobs, pa.binary())], ["shard", "kind", "slice", "blob"])
-            number += 1
+        for number, s in _numbered(batches):
+            x = Tokens(s)
+            order = x.ordered(shard_of(x.words, shards) % ROUNDS == part)
+            doc, n = x.doc[order], np.array([len(s.ids)])
+            yield from _blobs(x, x.word[order], x.ctx[order], shards, lambda a, b, doc=doc, n=n: [_small(doc[a:b]), n], {"kind": np.int32(ASKED), "slice": np.int64(number)})
 
     return run
 
 
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice's ids, tokens per document and folds."""
+    for number, s in _numbered(batches):
+        size = np.diff(T.words(s.data, s.offsets).first) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([0], pa.int32()), pa.array([_pack(s.ids, size, folds(s.ids))], pa.binary())], ["slice", "kind", "blob"])
+
+
 def _answer(vocabulary: int, n_tokens: int, heads: list[Totals], shards: int):
     """Shards' rows, the model and totals first: sums per document of known tokens, base and model log10 probabilities."""
 
@@ -454,19 +493,28 @@ def _answer(vocabulary: int, n_tokens: int, heads: list[Totals], shards: int):
                 at = np.searchsorted(words, code)
                 at[at == len(words)] = 0
                 known = (words[at] == code) if len(words) else np.zeros(len(code), bool)
-                c = np.repeat(np.where(known, count[at], 0) if len(words) else np.zeros(len(code)), size)
-                word = np.repeat(np.where(known, at, -1), size)
-                p = predictive(word, ctx, keys, samples, vocabulary, local)
-                n = int(n_docs[0])
-                base = np.log10((c + 0.1) / (n_tokens + 0.1 * (vocabulary + 1)))
-                sums = [np.zeros(n, np.int64) for _ in range(3)]
-                for total, x in zip(sums, (c > 0, np.rint(base / UNIT), np.rint(np.log10(p) / UNIT))):
-                    np.add.at(total, doc, x.astype(np.int64))
+                c = np.where(known, count[at], 0) if len(words) else np.zeros(len(code))
+                base = np.rint(np.log10((c + 0.1) / (n_tokens + 0.1 * (vocabulary + 1))) / UNIT)
+                # Equal pairs of word and context lie together: each is looked up once.
+                of = np.repeat(np.arange(len(code)), size)
+                pair = T.distinct_runs(of, local)
+                p = predictive(np.where(known, at, -1)[of[pair]], ctx, keys, samples, vocabulary, local[pair])
+                p = np.repeat(np.rint(np.log10(p) / UNIT), np.diff(np.append(pair, len(of))))
+                sums = [_summed_by(doc, x, int(n_docs[0])) for x in ((c > 0)[of], base[of], p)]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(*sums)], pa.binary())], ["slice", "blob"])
 
     return run
 
 
+def _summed_by(doc: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Exact sums of whole numbers by document."""
+    if len(x) < 1 << 14:  # far below what doubles hold exactly
+        return np.bincount(doc, x, n).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, doc, x.astype(np.int64))
+    return out
+
+
 def predictive(word: np.ndarray, ctx: np.ndarray, keys: list, samples: list, vocabulary: int, local: np.ndarray | None = None) -> np.ndarray:
     """Averaged probability of tokens (word: index in the shard, or -1 if unknown); local: the places of the tokens'
     contexts in ctx."""
@@ -523,7 +571,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, partitions(spark), -(-size // SHARD_BYTES))
+    shards = max(1, -(-size // SHARD_BYTES))
     counted = base.mapInArrow(_count(shards), "shard long, blob binary")
     model = written(counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, blob binary, n long, v long"), "restaurants")
     n_tokens, vocabulary = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -533,8 +581,11 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
         state, reply, head = _swept(model, vocabulary, number, seatings[-1] if seatings else None, head, shards)
         seatings.append((state, reply))
         heads.append(head)
-    asked = base.mapInArrow(_ask(shards), SCORE)
-    rows = asked.where("shard >= 0").unionByName(_kinds(model, seatings[burn_in + 1 :]))
-    answers = _sorted(rows, shards).mapInArrow(_answer(vocabulary, n_tokens, heads[burn_in + 1 :], shards), "slice long, blob binary")
-    slices = asked.where("shard < 0").select("slice", F.lit(0).alias("kind"), "blob")
-    return slices.unionByName(answers.select("slice", F.lit(1).alias("kind"), "blob")).repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    last = _kinds(model, seatings[burn_in + 1 :])
+    answers = base.mapInArrow(_ids, "slice long, kind int, blob binary")
+    for part in range(ROUNDS):
+        rows = base.mapInArrow(_ask(shards, part), SCORE).unionByName(last.where(F.col("shard") % ROUNDS == part))
+        found = written(_sorted(rows, shards).mapInArrow(_answer(vocabulary, n_tokens, heads[burn_in + 1 :], shards), "slice long, blob binary"), "answers")
+        answers = answers.unionByName(found.select("slice", F.lit(1).alias("kind"), "blob"))
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return answers.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), out)

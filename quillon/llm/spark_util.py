@@ -27,19 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, and is computed once. The shuffles
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df (with a folder for each value of column by) as a table in the shared folder: cuts lineage, survives lost executors, and is computed once. The shuffles
     behind it are not needed again and go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame, part: str = "") -> None:
+    """Deletes a written table, or a folder of it, that nothing reads any more."""
+    spark = table.sparkSession
+    for root in {f.rsplit("/", 2 if part else 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{part}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
