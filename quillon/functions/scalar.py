@@ -71,6 +71,23 @@ def contains(c: Column, t: T.DataType, v: Column) -> Column:
     return F.coalesce(F.contains(c.cast("string"), v.cast("string")), F.lit(False))
 
 
+_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+_ISO_TEXT = r"\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:\d{2})?)?"
+
+
+def in_text_range(x: Column, t: T.DataType, text: Column) -> Column:
+    """Whether a number or text lies in the range that a text like `1..5`, `..5` or `2024-01-01...2024-02-01` writes."""
+    k = kind(t)
+    if k not in ("number", "string"):
+        return F.lit(False)
+    bound = _NUMBER if k == "number" else _ISO_TEXT
+    pattern = rf"^\s*({bound})?\s*(\.{{2,3}})\s*({bound})?\s*$"
+    lo, dots, hi = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
+    cast = (lambda c: c.cast("double")) if k == "number" else (lambda c: c)
+    below = F.when(dots == "...", x < cast(F.nullif(hi, F.lit("")))).otherwise(x <= cast(F.nullif(hi, F.lit(""))))
+    return F.coalesce((dots != "") & ((lo != "") | (hi != "")) & ((lo == "") | (x >= cast(F.nullif(lo, F.lit(""))))) & ((hi == "") | below) & x.isNotNull(), F.lit(False))
+
+
 #: Tokens of date patterns and their Spark pattern.
 DATE_TOKENS = ("yyyy", "MMM", "EEE", "MM", "dd", "HH", "mm", "ss")
 

@@ -9,6 +9,7 @@ other than equalities, the distinct outer values they read take the place of the
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from itertools import count
 
@@ -24,6 +25,7 @@ from .parser import Body, QueryError, parse
 
 #: What a walk says of each row.
 WALKED = ("$depth", "$stop", "$leaf", "$frontier", "$ordinal")
+FUNCTIONS = ("date", "dur", "entries", "size", "has", "list", "range")
 REDUCTIONS = ("count", "sum", "avg", "min", "max", "collect", "first", "last", "any", "all")
 
 
@@ -55,8 +57,9 @@ def conjuncts(e: tuple | None) -> list[tuple]:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog):
-        self.catalog, self.ids = catalog, count()
+    def __init__(self, catalog: Catalog, ordered: bool = False):
+        self.catalog, self.ids, self.ordered = catalog, count(), ordered
+        self.guarded = 0  # inside an operand that may not be reached: errors wait for a row that reaches it
 
     def fresh(self) -> str:
         return f"_{next(self.ids)}"
@@ -74,13 +77,22 @@ class Lowering:
 
     def root(self, e: tuple, frame: Frame | None) -> str | None:
         """The collection that a receiver names: a name which no row on the way has."""
-        if e[0] != "name":
+        if e[0] != "name" or e[2] in ("$rows", "$it"):
             return None
         at = frame.at(e[1]) if frame else None
-        if at is not None and (e[2] in at.fields or e[2] in at.aliases):
+        if at is not None and (e[2] in at.fields or e[2] in at.aliases or e[2] in (getattr(at, "elements", None) or ())):
             return None
         return e[2]
 
+    def related(self, frame: Frame, e: tuple) -> tuple:
+        """A block whose receiver is a relation of the row, as a block over the relation's collection."""
+        receiver, consumer, body = (e[1], e[2], e[3]) if e[0] == "block" else (e, "collect", Body())
+        if receiver[0] != "name" or (at := frame.at(receiver[1])) is None or (rel := self.catalog.relations.get((at.coll, receiver[2]))) is None:
+            return e
+        test = reduce(lambda a, b: ("op", "and", a, b), [("op", op, ("name", 0, theirs), ("name", receiver[1] + 1, own)) for own, op, theirs in rel.on])
+        body = replace(body, where=test if body.where is None else ("op", "and", test, body.where))
+        return ("block", ("name", receiver[1], rel.to), rel.consumer if rel.consumer and consumer == "collect" else consumer, body)
+
     def run(self, e: tuple) -> DataFrame:
         if e[0] == "method" or e[0] != "block":
             raise QueryError("a query is a collection with a body")
@@ -91,9 +103,17 @@ class Lowering:
             n = frame.df.agg(F.count(F.lit(1)).alias("value"))
             return n if consumer == "count" else n.select((F.col("value") > 0 if consumer == "exists" else F.col("value") == 0).alias("value"))
         frame, items = self.shaped(frame, body)
-        if consumer in ("first", "single"):
+        if self.ordered and not (body.order or body.limit is not None or body.offset):
+            frame.df = frame.df.orderBy(*self.sort(frame, Body()))
+        out = [F.col(c).alias(n or "value") for n, c in items]
+        if consumer == "first":
             frame.df = frame.df.limit(1)
-        return frame.df.select(*(F.col(c).alias(n or "value") for n, c in items))
+        if consumer == "single":  # two rows tell whether there is more than one
+            rows = frame.df.limit(2).agg(F.collect_list(F.struct(*out)).alias("r"))
+            kind = rows.schema["r"].dataType.simpleString()
+            rows = rows.select(F.explode(F.when(F.size("r") > 1, F.raise_error(F.lit("`single` found more than one row")).cast(kind)).otherwise(F.col("r"))).alias("r"))
+            return rows.select("r.*")
+        return frame.df.select(*out)
 
     def union(self, parts: list[tuple]) -> Frame:
         """A tuple source: collections one after another, columns by name."""
@@ -115,9 +135,7 @@ class Lowering:
         if body.select is not None:
             body.select = [i for i in body.select if i[0] != "$key"]
         after = [e for e in conjuncts(body.where) if body.follow and any(d == 0 and n in WALKED for d, n in self.reads(e))]
-        for e in conjuncts(body.where):
-            if e not in after:
-                self.filter(frame, e)
+        self.where(frame, [e for e in conjuncts(body.where) if e not in after])
         if body.follow:
             self.follow(frame, body, key)
         elif body.frontier is not None:
@@ -136,7 +154,9 @@ class Lowering:
             for e in conjuncts(body.having):
                 self.filter(frame, e)
         order = self.sort(frame, body)
-        if body.distinct:
+        if body.distinct and items and not (body.order or body.limit is not None or body.offset or self.ordered):
+            frame.df = frame.df.select(*(c for _, c in items)).distinct()
+        elif body.distinct and (items or frame.coll):
             keys = [c for _, c in items]
             w = Window.partitionBy(*keys).orderBy(*order)
             first = self.fresh()
@@ -149,6 +169,18 @@ class Lowering:
             frame.df = frame.df.limit(body.limit)
         return frame, items
 
+    def where(self, frame: Frame, tests: list[tuple]) -> None:
+        """Conjuncts from left to right; one that is false ends them, and errors of later ones wait for a row."""
+        for i, e in enumerate(tests):
+            if e == ("lit", False):
+                frame.df = frame.df.where(F.lit(False))
+                return
+            self.guarded += bool(i)
+            try:
+                self.filter(frame, e)
+            finally:
+                self.guarded -= bool(i)
+
     def sort(self, frame: Frame, body: Body) -> list[Column]:
         """Sort columns: absent last in both directions, then the source order."""
         out = []
@@ -228,6 +260,7 @@ class Lowering:
         frame.coll = None
 
     def flatten(self, frame: Frame, name: str, e: tuple) -> None:
+        e = self.related(frame, e)
         if e[0] == "block" and (coll := self.root(e[1], frame)):
             inner, keys, cond = self.correlated(coll, e[3].where, frame)
             if e[3].limit is not None:  # per outer row
@@ -281,11 +314,12 @@ class Lowering:
         def walk(e, active: frozenset = frozenset()):
             if not isinstance(e, tuple):
                 return [walk(x, active) for x in e] if isinstance(e, list) else e
-            if e[0] == "call" and e[1] in REDUCTIONS:
+            if e[0] == "call" and e[1] in REDUCTIONS and not self.late(e[1], e[2][0]):
                 return put(self.reduction(frame, e[1], e[2][0]))
+            if e == ("name", 0, "$rows") or e[0] == "block" and e[1] == ("name", 0, "$rows") and (e[2] not in ("count", "exists", "none") or not plain(e[3])):
+                rows = put(self.listed(frame, self.value(frame, ("name", 0, "$it"))))
+                return rows if e[0] == "name" else ("block", rows, e[2], e[3])
             if e[0] == "block" and e[1] == ("name", 0, "$rows"):
-                if e[2] not in ("count", "exists", "none"):
-                    raise QueryError(f"`$rows {e[2]}` is not supported here")
                 n = F.count_if(self.test(frame, e[3].where)) if e[3].where is not None else F.count(F.lit(1))
                 return put({"count": n, "exists": n > 0, "none": n == 0}[e[2]])
             if e[0] == "name" and e[1] == 0:
@@ -296,16 +330,29 @@ class Lowering:
                 return put(self.listed(frame, self.value(frame, e)))
             return (e[0], *(walk(x, active) for x in e[1:]))
 
+        plain = lambda b: not (b.distinct or b.order or b.offset or b.limit is not None or b.group or b.flatten or b.source)
         trees = [(n, walk(e, frozenset([n]) if n else frozenset())) for n, _, e in select]
         having = walk(body.having) if body.having is not None else None
         order = [(walk(e), d) for e, d in body.order]
-        first = self.fresh()
-        aggs.append(F.min(F.struct(*frame.order)).alias(first))
-        frame.df = frame.df.groupBy(*by, *(c for _, c in keys)).agg(*aggs)
-        frame.fields, frame.aliases, frame.order = dict(keys), {}, [first]
+        # Groups keep the order of their first rows where that shows: in bounds and values, and to part ties.
+        told = {("col", c) for _, c in keys} <= {e for e, _ in order}
+        shown = bool(by) or body.limit is not None or bool(body.offset) or bool(order) or self.ordered
+        ties = [] if told or not shown else [self.fresh()]
+        for name in ties:
+            aggs.append((F.min(frame.order[0]) if len(frame.order) == 1 else F.min(F.struct(*frame.order))).alias(name))
+        grouped = frame.df.groupBy(*by, *(c for _, c in keys))
+        frame.df = grouped.agg(*aggs) if aggs else grouped.agg(F.count(F.lit(1)).alias(self.fresh()))
+        frame.fields, frame.aliases, frame.order, frame.coll = dict(keys), {}, ties, None
         body.having, body.order = having, order
         return [(n, self.named(frame, self.value(frame, e))) for n, e in trees]
 
+    def late(self, name: str, arg: tuple) -> bool:
+        """Whether a reduction takes the group's rows in a form that only their list can give."""
+        if arg[0] != "block" or arg[1] != ("name", 0, "$rows"):
+            return False
+        b = arg[3]
+        return arg[2] != "collect" or bool(b.order or b.limit is not None or b.offset or b.group or b.flatten or b.source) or b.distinct and (name != "count" or not b.select)
+
     def listed(self, frame: Frame, c: Column, where: Column | None = None, present: bool = False) -> Column:
         """Values in source order."""
         row = F.struct(*frame.order, c.alias("v"))
@@ -433,7 +480,9 @@ class Lowering:
     def filter(self, frame: Frame, e: tuple) -> None:
         negated = e[0] == "not" and e[1][0] == "block"
         block = e[1] if negated else e
-        if block[0] == "block" and block[2] in ("exists", "none", "collect") and (coll := self.root(block[1], frame)) and not block[3].group and not block[3].flatten:
+        if block[0] == "block":
+            block = self.related(frame, block)
+        if block[0] == "block" and not block[3].offset and block[3].limit != 0 and block[2] in ("exists", "none", "collect") and (coll := self.root(block[1], frame)) and not block[3].group and not block[3].flatten:
             lifts = [(n, x) for n, lift, x in block[3].select or [] if lift]
             if lifts and not negated:
                 value = self.block(frame, ("block", block[1], "collect", Body(select=[(n, 0, x) for n, x in lifts], where=block[3].where, order=block[3].order)))
@@ -445,17 +494,74 @@ class Lowering:
                 return
             inner, keys, cond = self.correlated(coll, block[3].where, frame)
             anti = (block[2] == "none") != negated
+            if not keys and not cond:  # one row answers for all
+                inner.df = inner.df.limit(1)
             frame.df = frame.df.join(inner.df, self.condition(keys, [c for c, _ in cond]), "left_anti" if anti else "left_semi")
             return
-        keep = self.test(frame, e)
+        keep = self.test(frame, ("not", block) if negated else block)
         frame.df = frame.df.where(keep)
 
+    def ranged(self, frame: Frame, coll: str, consumer: str, body: Body) -> Column | None:
+        """A block whose only condition beside equalities bounds an inner value by an outer one: the nearest such row
+        (`first`, ordered by that value), or how many there are (count, exists, none). Outer values and inner rows are
+        laid side by side in one window per key, so each is read once; None where the block has another form."""
+        if body.group or body.flatten or body.follow or body.source or body.distinct or body.offset or body.limit is not None or consumer not in ("first", "count", "exists", "none"):
+            return None
+        tests = conjuncts(body.where)
+        bounds = [e for e in tests if self.outer(e) and e[0] == "op" and e[1] in ("<", "<=", ">", ">=") and not self.blocks(e)]
+        if len(bounds) != 1 or any(self.outer(e) and (e[0] != "op" or e[1] != "==" or self.blocks(e)) for e in tests if e is not bounds[0]):
+            return None
+        _, op, a, b = bounds[0]
+        if self.outer(a) and not self.outer(b):
+            a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op]
+        if self.outer(a) or self.outer(b) != self.reads(b):
+            return None
+        down = op[0] == "<"  # inner values below the outer one
+        if consumer == "first" and (not body.order or body.order[0] != (a, down)):
+            return None
+        rest = [e for e in tests if e is not bounds[0]]
+        inner, keys, cond = self.correlated(coll, reduce(lambda x, y: ("op", "and", x, y), rest) if rest else None, frame)
+        if cond:
+            return None
+        (x, tx), (y, ty) = self.typed(inner, a), self.typed(inner, b)
+        if S.kind(tx) != S.kind(ty) or S.kind(tx) not in ("number", "string"):
+            return None
+        at, side, by = self.fresh(), self.fresh(), [k for k, _ in keys]
+        inner_first = len(op) == 2  # equal values count
+        outer_value = self.named(frame, y)
+        probes = frame.df.select(*(v.alias(k) for k, v in keys), F.col(outer_value).alias(at)).where(F.col(at).isNotNull()).distinct().withColumn(side, F.lit(1 if inner_first else 0))
+        rows = inner.df.withColumn(at, x).where(F.col(at).isNotNull()).withColumn(side, F.lit(0 if inner_first else 1))
+        found, out = self.fresh(), self.fresh()
+        names = [*by, at, side]
+        if consumer == "first":
+            inner.df = rows
+            order = [(self.named(inner, self.value(inner, e)), desc) for e, desc in body.order[1:]] + [(c, False) for c in inner.order]
+            items = self.project(inner, body.select)
+            value = F.col(items[0][1]) if body.values else F.struct(*(F.col(c).alias(n) for n, c in items))
+            rows = inner.df.select(*names, *dict.fromkeys(c for c, _ in order), F.struct(value.alias("v")).alias(found))
+            # The row that is wanted is the last one before the outer value in the reverse order.
+            back = [F.col(c).asc_nulls_first() if desc else F.col(c).desc_nulls_first() for c, desc in order]
+        else:
+            rows, back = rows.select(*names, F.lit(1).alias(found)), []
+        both = rows.unionByName(probes, allowMissingColumns=True)
+        w = Window.partitionBy(*by).orderBy(F.col(at).asc() if down else F.col(at).desc(), side, *back).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = F.last(found, ignorenulls=True).over(w)["v"] if consumer == "first" else F.count(found).over(w)
+        answer, key, match = both.withColumn(out, last).where(F.col(side) == (1 if inner_first else 0)), self.fresh(), {k: self.fresh() for k in by}
+        answer = answer.select(*(F.col(k).alias(n) for k, n in match.items()), F.col(at).alias(key), out)
+        on = self.condition([(match[k], v) for k, v in keys], [F.col(key) == F.col(outer_value)])
+        frame.df = frame.df.join(answer, on, "left").drop(*match.values(), key)
+        c = F.col(out)
+        return c if consumer == "first" else {"count": F.coalesce(c, F.lit(0)), "exists": F.coalesce(c, F.lit(0)) > 0, "none": F.coalesce(c, F.lit(0)) == 0}[consumer]
+
     def block(self, frame: Frame, e: tuple) -> Column:
         """A block over a collection as a value of each outer row."""
+        e = self.related(frame, e)
         _, receiver, consumer, body = e
         coll = self.root(receiver, frame)
-        if coll is None:
+        if coll is None or coll not in self.catalog.tables and receiver[0] == "name" and (at := frame.at(receiver[1])) is not None and at.parent is None and at.coll:
             return self.array_block(frame, e)
+        if (c := self.ranged(frame, coll, consumer, body)) is not None:
+            return c
         inner, keys, cond = self.correlated(coll, body.where, frame)
         inner, keys = self.keyed(frame, inner, keys, cond)
         by = [k for k, _ in keys]
@@ -467,18 +573,28 @@ class Lowering:
             for h in conjuncts(body.having):
                 self.filter(inner, h)
         if consumer in ("count", "exists", "none"):
-            if body.distinct and body.select:
-                n = F.count_distinct(self.value(inner, body.select[0][2]))
+            if body.distinct and body.select:  # an absent value is one of them
+                n = F.count_distinct(F.struct(*(self.value(inner, x) for _, _, x in body.select)))
             else:
                 n = F.count(F.lit(1))
+            if body.offset:
+                n = F.greatest(n - body.offset, F.lit(0))
+            if body.limit is not None:
+                n = F.least(n, F.lit(body.limit))
             inner.df = inner.df.groupBy(*by).agg(n.alias(out))
         else:
             order = self.sort(inner, body)
             items = items or self.project(inner, body.select)
             value = F.col(items[0][1]) if body.values else F.struct(*(F.col(c).alias(n) for n, c in items))
             rank, v = self.fresh(), self.fresh()
+            if not by and consumer == "first" and not body.offset:  # the first row of all needs no window
+                inner.df = inner.df.orderBy(*order).limit(1)
             w = Window.partitionBy(*by).orderBy(*order)
-            inner.df = inner.df.withColumn(rank, F.row_number().over(w)).withColumn(v, value)
+            inner.df = inner.df.withColumn(v, value)
+            if body.distinct and body.select:
+                once = self.fresh()
+                inner.df = inner.df.withColumn(once, F.row_number().over(Window.partitionBy(*by, v).orderBy(*order))).where(F.col(once) == 1).drop(once)
+            inner.df = inner.df.withColumn(rank, F.row_number().over(w))
             if consumer in ("first", "single", "single!"):
                 if consumer != "first":
                     every = F.count(F.lit(1)).over(Window.partitionBy(*by))
@@ -490,13 +606,14 @@ class Lowering:
                     inner.df = inner.df.where((F.col(rank) > lo) & (F.col(rank) <= lo + (body.limit if body.limit is not None else 2**31 - 1 - lo)))
                 rows = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(v).alias("v"))))
                 inner.df = inner.df.groupBy(*by).agg(F.transform(rows, lambda x: x["v"]).alias(out))
-        frame.df = frame.df.join(inner.df.select(*by, out), self.condition(keys, []), "left") if by else frame.df.join(F.broadcast(inner.df.select(out)), how="left")
+        frame.df = frame.df.join(inner.df.select(*by, out), self.condition(keys, []), "left") if by else frame.df.join(inner.df.select(out), how="left")
         frame.df = frame.df.drop(*by)
         c = F.col(out)
         if consumer == "count":
             return F.coalesce(c, F.lit(0))
         if consumer in ("exists", "none"):
-            return c.isNotNull() if consumer == "exists" else c.isNull()
+            some = F.coalesce(c, F.lit(0)) > 0
+            return some if consumer == "exists" else ~some
         if consumer == "collect":
             return F.coalesce(c, F.array().cast(frame.type(c)))
         if consumer == "single!":
@@ -508,19 +625,57 @@ class Lowering:
         _, receiver, consumer, body = e
         arr = self.value(frame, receiver)
         t = frame.type(arr)
+        single = isinstance(t, T.StructType)  # one object is one row
+        if single:
+            arr, t = F.when(arr.isNull(), F.array().cast(T.ArrayType(t))).otherwise(F.array(arr)), T.ArrayType(t)
         if not isinstance(t, T.ArrayType):
             raise QueryError("a block needs a list or a collection")
-        if body.flatten or body.group or body.follow:
-            raise QueryError("flatten, group by and follow are not supported in a block over a list")
+        if body.follow or body.source is not None:
+            raise QueryError("follow and from are not supported in a block over a list")
+        if consumer in ("count", "exists", "none", "collect") and not single:
+            arr = F.coalesce(arr, F.array().cast(t))
+        names = t.elementType.fieldNames() if isinstance(t.elementType, T.StructType) else []
+        fields = {n: (lambda x, n=n: x[n], t.elementType[n].dataType) for n in names}
+        fields["$it"] = (lambda x: x, t.elementType)
 
         def scope(x: Column) -> Frame:
             f = Frame(frame.df, {}, [], frame)
-            names = t.elementType.fieldNames() if isinstance(t.elementType, T.StructType) else []
-            f.elements = {"$it": (x, t.elementType)} | {n: (x[n], t.elementType[n].dataType) for n in names}
+            f.elements = {n: (get(x), kind) for n, (get, kind) in fields.items()}
             return f
 
         if body.where is not None:
             arr = F.filter(arr, lambda x: self.test(scope(x), body.where))
+        for name, e in body.flatten:  # each element once for each of its inner values
+            had = dict(fields)
+
+            def spread(x: Column, e=e) -> Column:
+                c, kind = self.typed(scope(x), e)
+                return c if isinstance(kind, T.ArrayType) else F.array(c)
+
+            kind = self.typed(scope(F.lit(None)), e)[1]
+            arr = F.flatten(F.transform(arr, lambda x: F.transform(spread(x), lambda y: F.struct(x.alias("row"), y.alias("value")))))
+            fields = {n: (lambda x, get=get: get(x["row"]), k) for n, (get, k) in had.items()}
+            fields[name] = (lambda x: x["value"], kind.elementType if isinstance(kind, T.ArrayType) else kind)
+        if body.group:
+            kinds = {n: self.typed(scope(F.lit(None)), e)[1] for n, e in body.group}
+            rows_of, had = arr, dict(fields)
+            key = lambda x: F.struct(*(self.value(scope(x), e).alias(n) for n, e in body.group))
+            whole = lambda x: F.struct(*(get(x).alias(n) for n, (get, _) in had.items() if not n.startswith("$")))
+            keyed = F.transform(rows_of, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
+            arr = F.transform(F.array_distinct(F.transform(keyed, lambda y: y["k"])), lambda k: F.struct(k.alias("k"), F.transform(F.filter(keyed, lambda y: y["k"].eqNullSafe(k)), lambda y: y["x"]).alias("rows")))
+            row = T.StructType([T.StructField(n, kd) for n, (_, kd) in had.items() if not n.startswith("$")])
+            fields = {n: (lambda g, get=get: F.transform(g["rows"], get), T.ArrayType(kd)) for n, (get, kd) in had.items() if not n.startswith("$")}
+            fields["$rows"] = (lambda g: F.transform(g["rows"], whole), T.ArrayType(row)) if names or body.flatten else (lambda g: g["rows"], t)
+            fields |= {n: (lambda g, n=n: g["k"][n], kd) for n, kd in kinds.items()}
+            fields["$it"] = (lambda g: g["k"], T.StructType([T.StructField(n, kd) for n, kd in kinds.items()]))
+            if body.select is None:
+                body.select = [*((n, 0, ("name", 0, n)) for n, _ in body.group), ("count", 0, ("call", "count", [("name", 0, "$rows")]))]
+            inline = {n: e for n, _, e in body.select if n and n not in kinds}
+            named = lambda e: tuple(named(x) for x in e) if isinstance(e, tuple) and e[:2] != ("name", 0) else [named(x) for x in e] if isinstance(e, list) else inline.get(e[2], e) if isinstance(e, tuple) else e
+            if body.having is not None:
+                having = named(body.having)
+                arr = F.filter(arr, lambda g: self.test(scope(g), having))
+            body.order = [(named(e), d) for e, d in body.order]
         if body.order:
 
             def before(x: Column, y: Column) -> Column:
@@ -532,36 +687,74 @@ class Lowering:
                 return test
 
             arr = F.array_sort(arr, before)
-        if body.distinct and body.select is None:
-            arr = F.array_distinct(arr)
-        if (body.offset or body.limit is not None) and not (body.distinct and body.select):
-            arr = F.slice(arr, 1 + (body.offset or 0), body.limit if body.limit is not None else 2**31 - 1)
+        bounded = body.offset or body.limit is not None
+        cut = lambda a: F.slice(a, 1 + (body.offset or 0), body.limit if body.limit is not None else 2**31 - 1) if bounded else a
+        if body.select is not None and (body.distinct or consumer not in ("count", "exists", "none")):
+            arr = arr if body.distinct else cut(arr)
+            make = lambda x: self.value(scope(x), body.select[0][2]) if body.values else F.struct(*(self.value(scope(x), i).alias(n) for n, _, i in body.select))
+            arr = F.transform(arr, make)
+            arr = cut(F.array_distinct(arr)) if body.distinct else arr
+        else:
+            arr = cut(F.array_distinct(arr) if body.distinct else arr)
         if consumer in ("count", "exists", "none"):
             n = F.coalesce(F.size(arr), F.lit(0))
             return {"count": n, "exists": n > 0, "none": n == 0}[consumer]
-        if body.select is not None:
-            make = lambda x: self.value(scope(x), body.select[0][2]) if body.values else F.struct(*(self.value(scope(x), i).alias(n) for n, _, i in body.select))
-            arr = F.transform(arr, make)
-            if body.distinct:
-                arr = F.array_distinct(arr)
-                if body.offset or body.limit is not None:
-                    arr = F.slice(arr, 1 + (body.offset or 0), body.limit if body.limit is not None else 2**31 - 1)
-        if consumer in ("first", "single", "single!"):
+        if consumer == "first" or single:
             return F.get(arr, F.lit(0))
-        return F.coalesce(arr, F.array().cast(frame.type(arr)))
+        if consumer in ("single", "single!"):
+            kind = self.element_type(frame)(arr)
+            one = F.when(F.size(arr) > 1, F.raise_error(F.lit("`single` found more than one row")).cast(kind)).otherwise(F.get(arr, F.lit(0)))
+            return one if consumer == "single" else F.when(one.isNull(), F.raise_error(F.lit("required value is absent")).cast(kind)).otherwise(one)
+        return arr
+
+    def element_type(self, frame: Frame):
+        """A function that gives the type of a list's elements in a frame."""
+        beside = {f.name: f.dataType for g in self.outers(frame) for f in g.df.schema}
+
+        def of(arr: Column) -> T.DataType:
+            df = frame.df.select("*", *(F.lit(None).cast(t).alias(n) for n, t in beside.items() if n not in frame.df.columns))
+            return df.select(arr.alias("x")).schema[0].dataType.elementType
+
+        return of
 
     # -- expressions
 
     def test(self, frame: Frame, e: tuple) -> Column:
         """A predicate: the truth of a value."""
         if e[0] == "op" and e[1] in ("and", "or"):
-            a, b = self.test(frame, e[2]), self.test(frame, e[3])
+            if e[2] == ("lit", e[1] == "or"):  # decided
+                return F.lit(e[1] == "or")
+            a = self.test(frame, e[2])
+            self.guarded += 1
+            try:
+                b = self.test(frame, e[3])
+            finally:
+                self.guarded -= 1
+            if self.raises(e[3]):  # reached only by rows that the left side doesn't decide
+                return F.when(a, b).otherwise(False) if e[1] == "and" else F.when(a, True).otherwise(b)
             return a & b if e[1] == "and" else a | b
         if e[0] == "not":
             return ~self.test(frame, e[1])
         c, t = self.typed(frame, e)
         return S.truthy(c, t)
 
+    def raises(self, e) -> bool:
+        """Whether a tree holds something that may fail."""
+        if not isinstance(e, (tuple, list)):
+            return False
+        if e and (e[0] == "required" or e[0] == "block" and e[2] in ("single", "single!") or e[0] == "call" and e[1] not in REDUCTIONS and not self.known(e[1])):
+            return True
+        return any(self.raises(x) for x in e)
+
+    def known(self, name: str) -> bool:
+        return name in FUNCTIONS or name in self.catalog.functions or name in self.catalog.macros
+
+    def failed(self, message: str) -> Column:
+        """An error of a call: at once, or where a row reaches it."""
+        if self.guarded:
+            return F.raise_error(F.lit(message)).cast("boolean")
+        raise QueryError(message)
+
     def value(self, frame: Frame, e: tuple) -> Column:
         return self.typed(frame, e)[0]
 
@@ -595,7 +788,19 @@ class Lowering:
         if at is None:
             return F.lit(None), T.NullType()
         if getattr(at, "elements", None) is not None:
+            if name == "$rows" and "$rows" not in at.elements:  # a row is a group of one
+                c, t = at.elements["$it"]
+                return F.array(c), T.ArrayType(t)
             return at.elements.get(name, (F.lit(None), T.NullType()))
+        if name in ("$it", "$rows") and name not in at.fields:
+            c = F.struct(*(F.col(x).alias(n) for n, x in at.fields.items() if not n.startswith("$")))
+            t = T.StructType([T.StructField(n, at.df.schema[x].dataType) for n, x in at.fields.items() if not n.startswith("$")])
+            return (c, t) if name == "$it" else (F.array(c), T.ArrayType(t))
+        if name == "$key" and name not in at.fields and at.coll:
+            c = self.key(at, None)
+            return c, at.type(c)
+        if name in at.aliases and name in at.open and name not in at.fields and at.aliases[name] != ("name", 0, name):
+            raise QueryError(f"`{name}` is defined by itself")
         if name in at.aliases and name not in at.open:
             at.open.add(name)
             out = self.typed(at, at.aliases[name])
@@ -614,6 +819,8 @@ class Lowering:
         if op == "name":
             return self.name(frame, e[1], e[2])
         if op == "get":
+            if e[1][0] == "name" and (linked := self.related(frame, e[1])) is not e[1]:
+                return self.expr(frame, ("get", linked, e[2]))
             c, t = self.typed(frame, e[1])
             if isinstance(t, T.StructType):
                 return c[e[2]] if e[2] in t.fieldNames() else F.lit(None)
@@ -654,7 +861,7 @@ class Lowering:
             if e[2] in self.catalog.functions:
                 return self.catalog.functions[e[2]](c, *(self.value(frame, x) for x in e[3]))
             if e[2] not in S.METHODS:
-                raise QueryError(f"unknown method {e[2]!r}")
+                return self.failed(f"unknown method {e[2]!r}")
             return S.METHODS[e[2]](c, t, *(self.value(frame, x) for x in e[3]))
         if op == "op":
             return self.operator(frame, *e[1:])
@@ -669,6 +876,13 @@ class Lowering:
             lo, hi = self.typed(frame, b[1]), self.typed(frame, b[2]) if b[2] is not None else None
             test = S.compare(">=", x, tx, *lo)
             return test if hi is None else test & S.compare("<" if b[3] else "<=", x, tx, *hi)
+        if op == "in" and b[0] == "call" and b[1] == "range" and len(b[2]) == 1:
+            if b[2][0][0] == "range":
+                return self.operator(frame, op, a, b[2][0])
+            y, ty = self.typed(frame, b[2][0])
+            return S.in_text_range(x, tx, y) if S.kind(ty) == "string" else F.lit(False)
+        if op == "in" and b[0] == "tuple":
+            return reduce(lambda p, q: p | q, (S.equal(x, tx, *self.typed(frame, i)) for i in b[1]), F.lit(False))
         y, ty = self.typed(frame, b)
         if op in ("==", "is"):
             return S.equal(x, tx, y, ty)
@@ -690,13 +904,19 @@ class Lowering:
             c, t = self.typed(frame, args[0])
             if not isinstance(t, T.ArrayType):
                 c, t = F.when(c.isNull(), F.array().cast(T.ArrayType(t))).otherwise(F.array(c)), T.ArrayType(t)
+            else:
+                c = F.coalesce(c, F.array().cast(t))
+            if name in ("sum", "avg") and S.kind(t.elementType) not in ("number", "absent"):
+                raise QueryError(f"can't {name} values that are no numbers")
             kept = F.filter(c, lambda x: x.isNotNull())
             total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.cast("double"))
             return {"count": lambda: F.size(kept), "sum": lambda: total, "avg": lambda: F.try_divide(total, F.size(kept)), "min": lambda: F.array_min(c), "max": lambda: F.array_max(c), "collect": lambda: kept, "first": lambda: F.get(kept, F.lit(0)), "last": lambda: F.get(kept, F.size(kept) - 1), "any": lambda: F.exists(c, lambda x: S.truthy(x, t.elementType)), "all": lambda: F.forall(c, lambda x: S.truthy(x, t.elementType))}[name]()
         if name in self.catalog.functions:
             return self.catalog.functions[name](*(self.value(frame, x) for x in args))
-        if not args:
-            raise QueryError(f"unknown function {name!r}")
+        if name in self.catalog.macros:
+            return self.typed(frame, self.catalog.macros[name](frame.coll, args))
+        if name not in FUNCTIONS or not args:
+            return self.failed(f"unknown function {name!r}")
         if name in ("date", "dur") and args[0][0] == "lit" and isinstance(args[0][1], str):
             return F.lit(temporal.named_date(args[0][1], self.catalog.today) if name == "date" else temporal.seconds(args[0][1]))
         c, t = self.typed(frame, args[0])
@@ -722,8 +942,8 @@ class Lowering:
         raise QueryError(f"unknown function {name!r}")
 
 
-def execute(catalog: Catalog, query: str | tuple, bindings: dict | None = None) -> DataFrame:
-    """The rows of a query, text or tree, over a catalog. Bindings that are DataFrames or lists of records are
+def execute(catalog: Catalog, query: str | tuple, bindings: dict | None = None, ordered: bool = False) -> DataFrame:
+    """The rows of a query, text or tree, over a catalog; ordered: in the collection's order where the query states none. Bindings that are DataFrames or lists of records are
     collections; records get the order of their list."""
     held = {}
     for n, v in (bindings or {}).items():
@@ -733,5 +953,5 @@ def execute(catalog: Catalog, query: str | tuple, bindings: dict | None = None)
             spark = next(iter(catalog.tables.values())).sparkSession
             held[f"${{{n}}}"] = (spark.createDataFrame([{**r, "$ord": i} for i, r in enumerate(v)]), ["$ord"])
     if held:
-        catalog = Catalog({**catalog.tables, **{n: d for n, (d, _) in held.items()}}, {**catalog.keys, **{n: k for n, (_, k) in held.items()}}, catalog.functions, catalog.today)
-    return Lowering(catalog).run(parse(query, bindings) if isinstance(query, str) else query)
+        catalog = replace(catalog, tables={**catalog.tables, **{n: d for n, (d, _) in held.items()}}, keys={**catalog.keys, **{n: k for n, (_, k) in held.items()}})
+    return Lowering(catalog, ordered).run(parse(query, bindings) if isinstance(query, str) else query)

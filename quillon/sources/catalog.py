@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 KEYS = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "conversations": ["conv_id", "turn"]}
 
 
+@dataclass(frozen=True)
+class Relation:
+    """From a row to rows of a collection: (own column, comparison, their column) triples, `==` first. consumer `first`:
+    at most one row, which is read as a record."""
+
+    to: str
+    on: tuple[tuple[str, str, str], ...]
+    consumer: str | None = None
+
+
 @dataclass
 class Catalog:
     """Collections by name; key columns order a collection's rows and tell them apart."""
@@ -22,6 +32,10 @@ class Catalog:
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     #: The day that named dates count from, ISO; None: the day of the query.
     today: str | None = None
+    #: (collection, name): rows that a row of the collection leads to.
+    relations: dict[tuple[str, str], Relation] = field(default_factory=dict)
+    #: Functions of the row: name -> (collection, arguments as trees) -> tree.
+    macros: dict[str, Callable[[str | None, list], tuple]] = field(default_factory=dict)
 
     def add(self, name: str, df: DataFrame, key: list[str] | None = None, json: dict[str, str] | None = None) -> Catalog:
         """Adds a collection; json gives the DDL schema of columns that hold JSON texts (malformed ones are absent)."""

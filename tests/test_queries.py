@@ -64,6 +64,33 @@ def small(spark):
         ("people { id, m: max(tags), k: tags count { where $it > 1 } order by id }", [(1, 2, 1), (2, None, 0), (3, None, 0), (4, 7, 1)]),
         ("people { select distinct name order by name limit 2 }", [("ann",), ("bob",)]),
         ("people { id, x: rank / 0, y: nothing order by id limit 1 }", [(1, None, None)]),
+        ("people { id where ^people exists { where name == ^name offset 1 } }", [(1,), (4,)]),
+        ("people { id where ^people none { where name == ^name offset 1 } }", [(2,), (3,)]),
+        ("people { id where ^people exists { where name == ^name limit 0 } }", []),
+        ("people { id, n: ^people count { where name == ^name limit 1 } order by id }", [(1, 1), (2, 1), (3, 1), (4, 1)]),
+        ("people { id, n: ^people count { select distinct name where id <= ^id } order by id }", [(1, 1), (2, 2), (3, 3), (4, 3)]),
+        ("people { id, n: count($rows), s: sum($rows { rank * 2 values }) order by id }", [(1, 1, 6.0), (2, 1, 0.0), (3, 1, 0.0), (4, 1, 10.0)]),
+        ("people { id, s: sum(tags), c: count(tags), a: any(tags), e: all(tags) order by id }", [(1, 3.0, 2, True, True), (2, 0.0, 0, False, True), (3, 0.0, 0, False, True), (4, 7.0, 1, True, False)]),
+        ("people { id, s: sum(nope), f: sum(5) order by id limit 1 }", [(1, 0.0, 5.0)]),
+        ("people { id where false and foo(1) }", []),
+        ("people { id where id > 9 and foo(1) }", []),
+        ("people { id where id > 0 or foo(1) }", [(1,), (2,), (3,), (4,)]),
+        ('people { id where name in (1, "ann") }', [(1,), (4,)]),
+        ("people { id where rank in (0, null) }", [(2,), (3,)]),
+        ('people { id where rank in range("1..4") }', [(1,)]),
+        ('people { id where rank in range("3...5") }', [(1,)]),
+        ('people { id where rank in range("..3") }', [(1,), (3,)]),
+        ('people { id where rank in range("a..z") or rank in range("../3") }', []),
+        ("people { id where $key == 3 }", [(3,)]),
+        ("people { id, n: $it.name order by id limit 1 }", [(1, "ann")]),
+        ("people { id, m: tags single { where $it > 1 } order by id }", [(1, 2), (2, None), (3, None), (4, 7)]),
+        ("people { name, top: $rows first { id values order by rank desc } group by name order by name }", [("ann", 4), ("bob", 3), (None, 2)]),
+        ("people { name, n: $rows collect { id values where rank > 0 } group by name order by name }", [("ann", [1, 4]), ("bob", []), (None, [])]),
+        ("people { name, n: collect($rows { select distinct name values }) group by name order by name }", [("ann", ["ann"]), ("bob", ["bob"]), (None, [])]),
+        ("people { id, g: tags { k, n: count($rows) group by k: $it % 2 order by k } order by id limit 1 }", [(1, [(0.0, 1), (1.0, 1)])]),
+        ("people { id, n: tags count { select distinct $it values } order by id }", [(1, 2), (2, 0), (3, 0), (4, 2)]),
+        ("people { id, b: ^people first { id values where id < ^id order by id desc }, c: ^people first { id values where id >= ^rank order by id } order by id }", [(1, None, 3), (2, 1, None), (3, 2, 1), (4, 3, None)]),
+        ("people { id, n: ^people count { where rank > ^rank } order by id }", [(1, 1), (2, 0), (3, 2), (4, 0)]),
     ],
 )
 def test_absent_values(text, want, small):
@@ -77,6 +104,25 @@ def test_errors(text):
         parse(text)
 
 
+@pytest.mark.parametrize("text", ["people single { id }", "people { id, m: tags single { $it > 0 } }", "people { id, s: ^people single { id values where name == ^name } }", "people { id where true and foo(1) }", "people { id where id > 0 and foo(1) }", "people { s: sum(name) }", "people { a: b, b: a }"])
+def test_evaluation_errors(text, small):
+    with pytest.raises(Exception):
+        execute(small, text).collect()
+
+
+def test_single_and_default_order(small):
+    assert [tuple(r) for r in execute(small, "people single { id where id == 3 }").collect()] == [(3,)]
+    assert execute(small, "people single { id where id == 9 }").collect() == []
+    assert [r.id for r in execute(small, "people { id where id <> 0 or true }".replace("<>", "!="), ordered=True).collect()] == [1, 2, 3, 4]
+
+
+def test_plans(tables):
+    """No quadratic join for the nearest row before, and hash aggregates for groups."""
+    near = execute(tables, CATALOGUE["asof"][0])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in near and "Window" in near
+    assert "SortAggregate" not in execute(tables, CATALOGUE["group_basic"][0])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_semi_join_plan(tables):
     plan = execute(tables, CATALOGUE["semi"][0])._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "PythonUDF" not in plan
