@@ -19,7 +19,7 @@ UNITS = {
 _NUMBER = r"-?\d+(?:\.\d+)?"
 _PAIR = rf"({_NUMBER}) *({'|'.join(sorted(UNITS, key=len, reverse=True))})"
 _ALL = rf"^{_PAIR}(?:(?: *, *| *){_PAIR})*$"
-_ISO = r"^(-?)P(?=.)(?:(\d+(?:\.\d+)?)Y)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)W)?(?:(\d+(?:\.\d+)?)D)?(?:T(?=.)(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+_ISO = r"^([+-]?)P(?=.)(?:(\d+(?:\.\d+)?)Y)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)W)?(?:(\d+(?:\.\d+)?)D)?(?:T(?=.)(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
 _ISO_SECONDS = (31536000, 2592000, 604800, 86400, 3600, 60, 1)
 
 
@@ -46,7 +46,7 @@ def seconds(text: str) -> float | None:
 
 def _pairs(text: str) -> list[tuple[float, int]]:
     if m := re.match(_ISO, text.strip(), re.I):
-        return [((-1 if m[1] else 1) * float(v), u) for v, u in zip(m.groups()[1:], _ISO_SECONDS) if v is not None]
+        return [((-1 if m[1] == "-" else 1) * float(v), u) for v, u in zip(m.groups()[1:], _ISO_SECONDS) if v is not None]
     return [(float(n), UNITS[u.lower()]) for n, u in re.findall(_PAIR, text, re.I)]
 
 
@@ -60,8 +60,14 @@ def seconds_of(c: Column) -> Column:
 
 
 def named_date(text: str, today: str | None) -> str | None:
-    """ISO form of a named day or a date text; None for anything else."""
-    day = dt.date.fromisoformat(today) if today else dt.date.today()
+    """ISO form of a named point or a date text, upper or lower case, trimmed; None for anything else. `now` is the
+    instant, with milliseconds; the others are days. today: the day, or the instant, that they count from."""
+    text = text.strip()
+    if text.lower() == "now" and (today is None or len(today) > 10):
+        at = dt.datetime.fromisoformat(today) if today else dt.datetime.now(dt.timezone.utc)
+        return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
+    today = today[:10] if today else None
+    day = dt.date.fromisoformat(today) if today else dt.datetime.now(dt.timezone.utc).date()
     month = day.replace(day=1)
     after = (month + dt.timedelta(days=32)).replace(day=1)
     points = {
@@ -69,8 +75,8 @@ def named_date(text: str, today: str | None) -> str | None:
         "sow": day - dt.timedelta(day.weekday()), "eow": day + dt.timedelta(6 - day.weekday()), "som": month, "eom": after - dt.timedelta(1),
         "soy": day.replace(month=1, day=1), "eoy": day.replace(month=12, day=31),
     }
-    if text in points:
-        return points[text].isoformat()
+    if text.lower() in points:
+        return points[text.lower()].isoformat()
     try:
         return text if dt.date.fromisoformat(text[:10]) and len(text) >= 10 else None
     except ValueError:

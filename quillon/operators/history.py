@@ -38,15 +38,13 @@ def diff(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFram
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """Shortest edit script of two lists as (" ", i, j), ("-", i, _), ("+", _, j) steps; removals come first.
 
-    The greedy furthest-reaching search over diagonals; common ends are cut off before.
+    The greedy furthest-reaching search over diagonals. Of two ways that reach equally far the removal is taken, which
+    makes the script canonical; a common head is kept as it is, which every such script does, a common tail is not cut.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    x, y = a[head:], b[head:]
     n, m = len(x), len(y)
     reach, trace = {1: 0}, []
     found = None
@@ -80,7 +78,7 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     while i and j:
         i, j = i - 1, j - 1
         steps.append((" ", head + i, head + j))
-    return [(" ", k, k) for k in range(head)] + steps[::-1] + [(" ", len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return [(" ", k, k) for k in range(head)] + steps[::-1]
 
 
 def unified(before: str, after: str, context: int = 3) -> str:
@@ -159,3 +157,37 @@ def retention(revisions: DataFrame, doc: str, seq: str, ts: str, now: str, polic
 def unreachable(objects: DataFrame, key: str, references: DataFrame, column: str) -> DataFrame:
     """Objects that no reference names: the sweep's candidates."""
     return objects.join(references.select(F.col(column).alias(key)).distinct(), key, "left_anti")
+
+
+def dispositions(revisions: DataFrame, doc: str, block: str, seq: str, text: str) -> DataFrame:
+    """(doc, block, seq, kind) of every version of every block: inserted, same or edited, against the version before."""
+    before = F.lag(text).over(Window.partitionBy(doc, block).orderBy(seq))
+    first = F.row_number().over(Window.partitionBy(doc, block).orderBy(seq)) == 1
+    kind = F.when(first, "inserted").when(before.eqNullSafe(F.col(text)), "same").otherwise("edited")
+    return revisions.select(doc, block, seq, kind.alias("kind"))
+
+
+def pruned(feed: DataFrame, seq: str, ts: str, now: str, keep_days: int, epoch: str) -> tuple[DataFrame, DataFrame]:
+    """What stays of a feed, and one row (epoch, floor) that its readers check: a cursor below floor has expired. The
+    newest row always stays."""
+    last = feed.agg(F.max(seq).alias("_last"))
+    old = F.col(ts) < F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(keep_days))
+    kept = feed.join(F.broadcast(last)).where(~old | (F.col(seq) == F.col("_last"))).drop("_last")  # last is one row
+    return kept, kept.agg(F.lit(epoch).alias("epoch"), F.min(seq).alias("floor"))
+
+
+def released(claims: DataFrame, key: str, minted: str, now: str, keep_days: int, live: list[DataFrame]) -> DataFrame:
+    """Claims on ids that are older than keep_days and that no live row names."""
+    out = claims.where(F.col(minted) < F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(keep_days)))
+    for rows in live:
+        out = out.join(rows.select(F.col(rows.columns[0]).alias(key)).distinct(), key, "left_anti")
+    return out
+
+
+def squashed(revisions: DataFrame, doc: str, seq: str, kept: str) -> DataFrame:
+    """Kept versions, each with the versions (`squashed`) that were dropped since the kept one before it."""
+    w = Window.partitionBy(doc).orderBy(seq)
+    run = F.coalesce(F.sum(F.when(F.col(kept), 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = revisions.withColumn("_run", run)
+    n = rows.groupBy(doc, "_run").agg(F.count_if(~F.col(kept)).alias("squashed"))
+    return rows.where(F.col(kept)).join(n, [doc, "_run"]).drop("_run")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .search import similar_pairs
+
 #: Similarity from which a changed block keeps its identity, and how far below it pairs are reported.
 THRESHOLD, NEAR = 0.6, 0.1
 
@@ -82,3 +84,28 @@ def match_blocks(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD) -
 
     rest = left.groupBy("doc").cogroup(right.groupBy("doc")).applyInPandas(run, schema)
     return matched.unionByName(rest)
+
+
+def moves(deleted: DataFrame, inserted: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(from_doc, to_doc, carried_id, replaced_id, kind, confidence): blocks (doc, id, position, type, text) that went from
+    one document to another. The most similar pairs first, then by positions; each block once. Candidates come from the
+    shingle join; rounds then take every pair that is the best one left for both of its blocks, which is what taking
+    them one by one gives."""
+    a = deleted.select(F.concat_ws("/", "doc", "id").alias("_o"), F.col("doc").alias("from_doc"), F.col("id").alias("carried_id"), F.col("position").alias("_po"), F.col("type").alias("_to"), F.coalesce("text", F.lit("")).alias("_texto"))
+    b = inserted.select(F.concat_ws("/", "doc", "id").alias("_i"), F.col("doc").alias("to_doc"), F.col("id").alias("replaced_id"), F.col("position").alias("_pi"), F.col("type").alias("_ti"), F.coalesce("text", F.lit("")).alias("_texti"))
+    near = similar_pairs(a.select("_o", F.col("_texto").alias("text")), b.select("_i", F.col("_texti").alias("text")), "_o", "_i", "text", threshold)
+    size = lambda c: F.greatest(F.size(F.filter(F.split(c, r"\s+"), lambda t: t != "")), F.lit(1))
+    pairs = near.join(a, "_o").join(b, "_i").where((F.col("_to") == F.col("_ti")) & (F.col("from_doc") != F.col("to_doc")))
+    pairs = pairs.where(F.greatest(size("_texto") / size("_texti"), size("_texti") / size("_texto")) <= 3)
+    same = F.col("_texto") == F.col("_texti")
+    pairs = pairs.withColumn("confidence", F.when(same, 1.0).otherwise(F.col("similarity"))).withColumn("kind", F.when(same, "moved").otherwise("edited_moved"))
+    pairs = pairs.select("_o", "_i", "_po", "_pi", "from_doc", "to_doc", "carried_id", "replaced_id", "kind", "confidence").persist()
+    out = None
+    while not pairs.isEmpty():
+        order = [F.col("confidence").desc(), "_po", "_pi", "_o", "_i"]
+        best = pairs.withColumn("_x", F.row_number().over(Window.partitionBy("_o").orderBy(*order))).withColumn("_y", F.row_number().over(Window.partitionBy("_i").orderBy(*order)))
+        taken = best.where("_x = 1 and _y = 1").drop("_x", "_y").persist()
+        out = taken if out is None else out.unionByName(taken)
+        pairs = pairs.join(taken.select("_o"), "_o", "left_anti").join(taken.select("_i"), "_i", "left_anti").persist()
+    out = pairs if out is None else out
+    return out.select("from_doc", "to_doc", "carried_id", "replaced_id", "kind", "confidence")

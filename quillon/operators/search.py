@@ -192,3 +192,51 @@ def similar_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str,
 def idf(n: int, found: int) -> float:
     """Inverse document frequency as the ranking uses it."""
     return max(math.log((n - found + 0.5) / (found + 0.5)), 1e-6)
+
+
+# -- what is embedded, and resolving a search to places
+
+#: Tokens from which a leaf block is embedded on its own; estimated model tokens of a word.
+LEAF_TOKENS, PER_WORD = 24, 1.3
+
+
+def spaced(text: Column) -> Column:
+    """The pieces of a text between white space."""
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def embed_tasks(blocks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(_id, ctx, input, ctx_hash, content_hash, weight) of live leaf blocks of LEAF_TOKENS tokens and more. The context
+    is title, path, the chain of headings from the shallowest, and the type."""
+    parents = blocks.where(F.col("_parent_id").isNotNull()).select(F.col("_parent_id").alias("_id")).distinct()
+    n = F.size(spaced(F.col("_text")))
+    leaf = blocks.join(parents, "_id", "left_anti").where(n >= LEAF_TOKENS).withColumn("weight", F.ceil(n * PER_WORD))
+    heads = sections.where(F.col("first_ordinal").isNotNull()).select(F.col("_doc_id").alias("_d"), "first_ordinal", "last_ordinal", F.col("level").alias("_level"), "_name")
+    chain = leaf.join(heads, (F.col("_doc_id") == F.col("_d")) & F.col("_ordinal").between(F.col("first_ordinal"), F.col("last_ordinal"))).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_level", "_name"))).alias("h"))
+    chain = chain.select("_id", F.array_join(F.transform("h", lambda x: x["_name"]), " \u203a ").alias("headings"))
+    rows = leaf.join(chain, "_id", "left").join(docs.select(F.col("_id").alias("_doc_id"), "_title"), "_doc_id")
+    ctx = F.concat_ws(" \u00b7 ", "_title", "_path", F.coalesce("headings", F.lit("")), "_type")
+    rows = rows.withColumn("ctx", ctx)
+    return rows.select("_id", "ctx", F.concat("ctx", F.lit("\n"), "_text").alias("input"), F.sha2("ctx", 256).alias("ctx_hash"), F.col("_hash").alias("content_hash"), "weight")
+
+
+def due(tasks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Tasks whose content and context have no vector of a model yet: cache (content_hash, ctx_hash, model)."""
+    return tasks.join(cache.where(F.col("model") == model).select("content_hash", "ctx_hash").distinct(), ["content_hash", "ctx_hash"], "left_anti")
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, dims: int = 32) -> DataFrame:
+    """A provider without a model: tokens hashed to signed dimensions, summed, at unit length; for tests and cold starts."""
+    digest = lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long")
+    h = F.transform(tokens(F.col(text)), digest)
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(x % dims == d, F.when(F.floor(x / dims) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    return df.select(key, F.transform(vector, lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x / length)).alias("vector"))
+
+
+def resolve(ranked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(_id, rank, locator, preview) of ranked blocks: path#type[ordinal], and the first 12 words."""
+    words_ = spaced(F.col("_text"))
+    preview = F.concat(F.array_join(F.slice(words_, 1, 12), " "), F.when(F.size(words_) > 12, "\u2026").otherwise(""))
+    locator = F.concat("_path", F.lit("#"), "_type", F.lit("["), "_ordinal", F.lit("]"))
+    return ranked.join(blocks, "_id").select("_id", "rank", locator.alias("locator"), preview.alias("preview"))

@@ -9,6 +9,7 @@ other than equalities, the distinct outer values they read take the place of the
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from functools import reduce
 from itertools import count
@@ -25,6 +26,8 @@ from .parser import Body, QueryError, parse
 
 #: What a walk says of each row.
 WALKED = ("$depth", "$stop", "$leaf", "$frontier", "$ordinal")
+#: Comparisons with their sides changed.
+MIRROR = {"==": "==", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 FUNCTIONS = ("date", "dur", "entries", "size", "has", "list", "range")
 REDUCTIONS = ("count", "sum", "avg", "min", "max", "collect", "first", "last", "any", "all")
 
@@ -89,7 +92,7 @@ class Lowering:
         receiver, consumer, body = (e[1], e[2], e[3]) if e[0] == "block" else (e, "collect", Body())
         if receiver[0] != "name" or (at := frame.at(receiver[1])) is None or (rel := self.catalog.relations.get((at.coll, receiver[2]))) is None:
             return e
-        test = reduce(lambda a, b: ("op", "and", a, b), [("op", op, ("name", 0, theirs), ("name", receiver[1] + 1, own)) for own, op, theirs in rel.on])
+        test = reduce(lambda a, b: ("op", "and", a, b), [("op", MIRROR[op], ("name", 0, theirs), ("name", receiver[1] + 1, own)) for own, op, theirs in rel.on])
         body = replace(body, where=test if body.where is None else ("op", "and", test, body.where))
         return ("block", ("name", receiver[1], rel.to), rel.consumer if rel.consumer and consumer == "collect" else consumer, body)
 
@@ -154,10 +157,11 @@ class Lowering:
             for e in conjuncts(body.having):
                 self.filter(frame, e)
         order = self.sort(frame, body)
-        if body.distinct and items and not (body.order or body.limit is not None or body.offset or self.ordered):
+        if body.distinct and items and (body.select is not None or not frame.coll) and not (body.order or body.limit is not None or body.offset or self.ordered):
             frame.df = frame.df.select(*(c for _, c in items)).distinct()
         elif body.distinct and (items or frame.coll):
-            keys = [c for _, c in items]
+            # Rows that are not projected are told apart by their identity.
+            keys = [c for _, c in items] if body.select is not None or not frame.coll else [frame.fields[c] for c in self.catalog.keys[frame.coll]]
             w = Window.partitionBy(*keys).orderBy(*order)
             first = self.fresh()
             frame.df = frame.df.withColumn(first, F.row_number().over(w)).where(F.col(first) == 1).drop(first)
@@ -478,8 +482,14 @@ class Lowering:
         return inner, [(held[c], F.col(c)) for c in held] + outer_keys
 
     def filter(self, frame: Frame, e: tuple) -> None:
-        negated = e[0] == "not" and e[1][0] == "block"
+        negated = e[0] == "not" and e[1][0] in ("block", "call")
         block = e[1] if negated else e
+        if block[0] == "call" and block[1] in self.catalog.macros:
+            block = self.catalog.macros[block[1]](frame.coll, block[2])
+            e = ("not", block) if negated else block
+        if block[0] == "op" and block[1] == "and" and not negated:
+            self.where(frame, conjuncts(block))
+            return
         if block[0] == "block":
             block = self.related(frame, block)
         if block[0] == "block" and not block[3].offset and block[3].limit != 0 and block[2] in ("exists", "none", "collect") and (coll := self.root(block[1], frame)) and not block[3].group and not block[3].flatten:
@@ -513,7 +523,7 @@ class Lowering:
             return None
         _, op, a, b = bounds[0]
         if self.outer(a) and not self.outer(b):
-            a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op]
+            a, b, op = b, a, MIRROR[op]
         if self.outer(a) or self.outer(b) != self.reads(b):
             return None
         down = op[0] == "<"  # inner values below the outer one
@@ -812,6 +822,8 @@ class Lowering:
 
     def expr(self, frame: Frame, e: tuple):
         op = e[0]
+        if op == "host":
+            return e[1](frame)
         if op == "col":
             return F.col(e[1]), frame.df.schema[e[1]].dataType
         if op == "lit":
@@ -820,6 +832,10 @@ class Lowering:
             return self.name(frame, e[1], e[2])
         if op == "get":
             if e[1][0] == "name" and (linked := self.related(frame, e[1])) is not e[1]:
+                at = frame.at(e[1][1])
+                rel = self.catalog.relations[at.coll, e[1][2]]
+                if rel.consumer == "first" and rel.on[0][2] == e[2]:  # the row holds it itself
+                    return self.name(frame, e[1][1], rel.on[0][0])
                 return self.expr(frame, ("get", linked, e[2]))
             c, t = self.typed(frame, e[1])
             if isinstance(t, T.StructType):
@@ -849,6 +865,7 @@ class Lowering:
         if op == "method":
             c, t = self.typed(frame, e[1])
             if e[2] == "matches":
+                self.pattern(e[3][0])
                 return F.coalesce(F.rlike(c.cast("string"), self.value(frame, e[3][0])), F.lit(False))
             if e[2] == "format":
                 return S.date_format(c, e[3][0][1])
@@ -891,6 +908,7 @@ class Lowering:
         if op in ("<", "<=", ">", ">="):
             return S.compare(op, x, tx, y, ty)
         if op in ("~", "~*", "!~", "!~*"):
+            self.pattern(b)
             hit = F.coalesce(F.rlike(x.cast("string"), F.concat(F.lit("(?i)"), y) if op.endswith("*") else y), F.lit(False))
             return ~hit if op[0] == "!" else hit
         if op == "in":
@@ -899,6 +917,17 @@ class Lowering:
             return F.concat(S.text(x, tx), S.text(y, ty))
         return S.arithmetic(op, x, y)
 
+    def pattern(self, e: tuple) -> None:
+        """Refuses what the portable dialect lacks, unless the catalog asks for the engine's own."""
+        if self.catalog.native_regex or e[0] != "lit" or not isinstance(e[1], str):
+            return
+        text = re.sub(r"\\[\\^$.|?*+()\[\]{}/-]", "", e[1])  # escaped signs stand for themselves
+        text, classes = re.sub(r"\[\^?[^\]]*\]", "C", text), re.findall(r"\[\^?([^\]]*)\]", text)
+        if found := re.search(r"\(\?(?:[=!#>iPmsx-]|<[=!])|\\[1-9kpPxcAzZGKQEU0]|[*+?}]\+", text):
+            raise QueryError(f"{found[0]!r} is not supported in regular expressions")
+        if any("[" in c or "&&" in c or "~~" in c or r"\b" in c for c in classes):
+            raise QueryError("nested classes and class operations are not supported in regular expressions")
+
     def call(self, frame: Frame, name: str, args: list[tuple]):
         if name in REDUCTIONS and len(args) == 1:
             c, t = self.typed(frame, args[0])

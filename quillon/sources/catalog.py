@@ -14,7 +14,7 @@ KEYS = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_
 
 @dataclass(frozen=True)
 class Relation:
-    """From a row to rows of a collection: (own column, comparison, their column) triples, `==` first. consumer `first`:
+    """From a row to rows of a collection: (own column, comparison, their column) triples, `own <= theirs`, `==` first. consumer `first`:
     at most one row, which is read as a record."""
 
     to: str
@@ -37,6 +37,9 @@ class Catalog:
     #: Functions of the row: name -> (collection, arguments as trees) -> tree.
     macros: dict[str, Callable[[str | None, list], tuple]] = field(default_factory=dict)
 
+    #: Patterns go to the engine unchecked.
+    native_regex: bool = False
+
     def add(self, name: str, df: DataFrame, key: list[str] | None = None, json: dict[str, str] | None = None) -> Catalog:
         """Adds a collection; json gives the DDL schema of columns that hold JSON texts (malformed ones are absent)."""
         for c, ddl in (json or {}).items():

@@ -180,14 +180,63 @@ def resolved(links: DataFrame, docs: DataFrame, path: str, doc: str) -> DataFram
     return links.join(d, "target", "left").withColumn("dst", dst).withColumn("dst_kind", F.when(external, "external").when(F.col("_dst").isNotNull(), "doc").otherwise("phantom")).drop("_dst")
 
 
+def _samples(rows: DataFrame, by: list[str], value: str, n: int, name: str) -> DataFrame:
+    """Counts by some columns, with the n least distinct values of another."""
+    w = Window.partitionBy(*by).orderBy(value)
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.row_number().over(w))
+    return counted.groupBy(*by).agg(F.sum("_c").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= n, F.col(value)))).alias(name), F.count(F.lit(1)).alias("of"))
+
+
 def stale_links(resolved_links: DataFrame, key: str) -> DataFrame:
-    """(dst, n, sources): destinations that no document answers, with three of the documents that name them."""
-    return resolved_links.where(F.col("dst_kind") == "phantom").groupBy("dst", key).agg(F.count(F.lit(1)).alias("c")).groupBy("dst").agg(F.sum("c").alias("n"), F.min(key).alias("first_source"), F.count(F.lit(1)).alias("sources"))
+    """(dst, n, sources, of): destinations that no document answers, with three of the documents that name them."""
+    return _samples(resolved_links.where(F.col("dst_kind") == "phantom"), ["dst"], key, 3, "sources")
+
+
+def edge_counts(links: DataFrame, predicate: str, dst: str, source: str | None = None) -> DataFrame:
+    """Rollup of edges: how many per predicate and destination, with three of their sources if there is a column."""
+    if source is None:
+        return links.groupBy(predicate, dst).agg(F.count(F.lit(1)).alias("n"))
+    return _samples(links, [predicate, dst], source, 3, "samples").drop("of")
+
+
+def adopted(links: DataFrame, docs: DataFrame, path: str, doc: str) -> DataFrame:
+    """Links whose phantom destination has become a document lead to it."""
+    d = docs.select(F.concat(F.lit("phantom:"), path).alias("dst"), F.col(doc).cast("string").alias("_new"))
+    rows = links.join(d, "dst", "left")
+    return rows.select(*(F.coalesce("_new", "dst").alias(c) if c == "dst" else F.when(F.col("_new").isNotNull(), "doc").otherwise(F.col(c)).alias(c) if c == "dst_kind" else c for c in links.columns))
+
+
+def inbound(links: DataFrame, dst: str, ids: DataFrame) -> DataFrame:
+    """Links that lead to some documents (one column of ids)."""
+    return links.join(ids.select(F.col(ids.columns[0]).alias(dst)).distinct(), dst, "left_semi")
+
+
+def retargeted(blocks: DataFrame, raw: str, moves: DataFrame) -> DataFrame:
+    """Blocks with their link destinations rewritten after moves (old, new): (old) in Markdown links, [[old in wikilinks.
+    Only blocks that name an old path change; moves must not chain."""
+    targets = F.regexp_extract_all(raw, F.lit(r"\]\(/?([^)\s#]+)|\[\[([^\]|#]+)"), F.lit(0))
+    at = blocks.withColumn("_row", F.monotonically_increasing_id())
+    named = at.select("_row", F.explode(F.array_distinct(targets)).alias("_t")).withColumn("old", F.regexp_replace("_t", r"^(?:\]\(/?|\[\[)", ""))
+    pairs = named.join(moves, "old").groupBy("_row").agg(F.collect_list(F.struct("_t", F.concat(F.expr("substring(_t, 1, length(_t) - length(old))"), "new").alias("new"))).alias("_m"))
+    rows = at.join(pairs, "_row", "left")
+    text = F.when(F.col("_m").isNull(), F.col(raw)).otherwise(F.aggregate("_m", F.col(raw), lambda s, m: F.replace(s, m["_t"], m["new"])))
+    return rows.withColumn(raw, text).select(*blocks.columns)
+
+
+def tree(docs: DataFrame, path: str) -> DataFrame:
+    """(directory, n): how many documents each directory holds, with those below it; the root is the empty one."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return docs.select(F.explode(above).alias("directory")).groupBy("directory").agg(F.count(F.lit(1)).alias("n"))
 
 
-def edge_counts(links: DataFrame, predicate: str, dst: str) -> DataFrame:
-    """Rollup of edges: how many per predicate and destination."""
-    return links.groupBy(predicate, dst).agg(F.count(F.lit(1)).alias("n"))
+def json_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, kind, value) of each entry of a document that is a JSON mapping; values are texts, nested ones JSON.
+    Malformed documents have none."""
+    entries = F.from_json(text, "map<string, string>")
+    rows = docs.where(F.col(text).rlike(r"^\s*\{")).select(key, F.explode(F.map_entries(entries)).alias("e")).select(key, F.col("e.key").alias("name"), F.col("e.value").alias("value"))
+    kind = F.when(F.col("value").isNull(), "null").when(F.col("value").rlike(r"^\{"), "object").when(F.col("value").rlike(r"^\["), "array").otherwise(scalar_kind(F.col("value")))
+    return rows.withColumn("kind", kind).select(key, "name", "kind", "value")
 
 
 def scalar_kind(value: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.history import read_at
+from ..operators.search import due
 
 
 def tail(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -52,3 +53,39 @@ def recoverable(deleted: DataFrame, now: str, ttl_days: int = 30) -> DataFrame:
 def append(folder: str) -> Callable[[DataFrame, int], None]:
     """A batch handler that writes each batch to its own subfolder, so that a repeated batch replaces itself."""
     return lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+
+def backlog_alerts(pending: DataFrame, repo: str, created: str, now: str, minutes: int = 15) -> DataFrame:
+    """(repo, code, severity, pending, oldest): one alert for each repository with pending rows older than a threshold."""
+    late = pending.where(F.col(created) < F.lit(now).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))
+    return late.groupBy(repo).agg(F.lit("materialization_backlog").alias("code"), F.lit("warning").alias("severity"), F.count(F.lit(1)).alias("pending"), F.min(created).alias("oldest"))
+
+
+def updated_alerts(known: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """The alert table (repo, code, severity, pending, oldest, since, cleared_at) after a check: alerts that hold keep
+    their `since`, new and returning ones begin now, those no longer found are cleared now."""
+    k = known.select("repo", "code", F.col("severity").alias("_s"), F.col("pending").alias("_p"), F.col("oldest").alias("_o"), F.col("since").alias("_since"), F.col("cleared_at").alias("_cleared"))
+    at, held = F.lit(now).cast("timestamp"), F.col("_since").isNotNull() & F.col("_cleared").isNull()
+    on = F.col("severity").isNotNull()
+    rows = found.join(k, ["repo", "code"], "full")
+    return rows.select("repo", "code", F.coalesce("severity", "_s").alias("severity"), F.when(on, F.col("pending")).otherwise(F.col("_p")).alias("pending"), F.when(on, F.col("oldest")).otherwise(F.col("_o")).alias("oldest"), F.when(on & ~held, at).otherwise(F.col("_since")).alias("since"), F.when(on, None).otherwise(F.coalesce("_cleared", at)).alias("cleared_at"))
+
+
+def embedded(tasks: Callable[[DataFrame], DataFrame], folder: str, embed: Callable[[DataFrame], DataFrame], model: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler that embeds what a feed batch changed and is not yet in the cache folder; a repeated batch finds
+    its own vectors there and adds nothing twice."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        out = f"{folder}/batch={n}"
+        todo = tasks(batch)
+        try:
+            cache = spark.read.option("basePath", folder).parquet(folder).where(F.col("batch") != n)
+        except Exception as e:  # the first batch finds no folder
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        else:
+            todo = due(todo, cache, model)
+        embed(todo).withColumn("model", F.lit(model)).write.mode("overwrite").parquet(out)
+
+    return each
