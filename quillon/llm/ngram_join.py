@@ -40,7 +40,7 @@ from .spark_util import partitions, written
 #: Frequent shingles that go last in the order, at most.
 FREQUENT = 1 << 16
 #: Documents of a star, and shingles of all of them, that meet in one task.
-CHUNK, WORDS = 2000, 1_000_000
+CHUNK, WORDS = 600, 1_000_000
 #: Parts that the members of a large star are dealt to.
 SALTS = 64
 SLICE = 4 << 20
