@@ -267,12 +267,12 @@ class Lowering:
         e = self.related(frame, e)
         if e[0] == "block" and (coll := self.root(e[1], frame)):
             inner, keys, cond = self.correlated(coll, e[3].where, frame)
-            if e[3].limit is not None:  # per outer row
+            if e[3].limit is not None or e[3].offset:  # per outer row
                 inner, keys = self.keyed(frame, inner, keys, cond)
                 cond = []
                 rank = self.fresh()
                 w = Window.partitionBy(*(k for k, _ in keys)).orderBy(*self.sort(inner, e[3]))
-                inner.df = inner.df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= e[3].limit)
+                inner.df = inner.df.withColumn(rank, F.row_number().over(w)).where((F.col(rank) > (e[3].offset or 0)) & (F.col(rank) <= (e[3].offset or 0) + (2**31 if e[3].limit is None else e[3].limit)))
             value = self.fresh()
             inner.aliases = {n: x for n, _, x in e[3].select or [] if n}
             if e[3].select is not None and e[3].values:
@@ -829,6 +829,8 @@ class Lowering:
         if op == "lit":
             return F.lit(e[1])
         if op == "name":
+            if (linked := self.related(frame, e)) is not e:
+                return self.block(frame, linked)
             return self.name(frame, e[1], e[2])
         if op == "get":
             if e[1][0] == "name" and (linked := self.related(frame, e[1])) is not e[1]:

@@ -33,7 +33,7 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(_read(spark, sf_dir, "benchmark"), "item_id", "text")
+    return search.postings(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _read(spark, sf_dir, "benchmark").select("item_id", "text")
-    b = _read(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), "text")
+    b = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), "text")
     pairs = search.similar_pairs(a.unionByName(b.select((-F.col("msg") - 1).alias("item_id"), "text")), b, "item_id", "msg", "text", 0.8)
     return pairs.select("item_id", "msg", F.round("similarity", 6).alias("similarity"))
 
@@ -99,12 +99,6 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
-    links = li.where("l_orderkey < 200").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"), F.lit("holds").alias("predicate"))
-    return walk.neighbourhood(links, [1], 2, "both")[0]
-
-
-def neighbourhood_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"), F.lit("holds").alias("predicate"))
     return walk.neighbourhood(links, [1], 2, "both")[0]
 
@@ -113,19 +107,6 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.blocks(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = corpus.blocks(_read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return b.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
-
-
-def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.outline(corpus.blocks(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-
-
-def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.links(corpus.blocks(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-
-
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.html_links(_read(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -167,7 +148,7 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 DQL: dict[str, tuple[str, str]] = {
     "dql_table": ('TABLE lang, length(text) AS n WHERE n_chars > 500 AND contains(lang, "e") SORT n_chars DESC, doc_id LIMIT 30', "SELECT doc_id AS \"File\", lang, length(text)::INT AS n FROM documents WHERE n_chars > 500 AND contains(lang, 'e') ORDER BY n_chars DESC, doc_id LIMIT 30"),
     "dql_group": ("TABLE length(rows) AS n, max(rows.n_chars) AS m WHERE n_chars > 100 GROUP BY lang AS l SORT l", "SELECT lang AS l, count(*) AS n, max(n_chars) AS m FROM documents WHERE n_chars > 100 GROUP BY 1"),
-    "dql_list": ('LIST WITHOUT ID upper(source) WHERE startswith(source, "w") OR regextest("^b", source)', "SELECT upper(source) AS \"upper(source)\" FROM documents WHERE starts_with(source, 'w') OR regexp_matches(source, '^b')"),
+    "dql_list": ('LIST WITHOUT ID upper(lang) WHERE startswith(lang, "e") OR regextest("^d", lang)', "SELECT upper(lang) AS \"upper(lang)\" FROM documents WHERE starts_with(lang, 'e') OR regexp_matches(lang, '^d')"),
 }
 
 
@@ -182,13 +163,13 @@ r AS (SELECT doc_id, greatest(ln((m - x + 0.5) / (x + 0.5)), 1e-6) * a * 2.2 / (
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r""".format(tok=_TOKENS)
 _COSINE = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, coalesce(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 0) AS cosine, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings, q"
 _SETS = "SELECT id, list_distinct(CASE WHEN len(t) > 2 THEN list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS s FROM (SELECT id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS t FROM ({src}))"
-_MSG = "SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'"
+_MSG = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
 
 #: name: (query, SQL or None)
 OPERATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "text_filter": (text_filter, f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'er'))) > 0"),
     "bm25": (bm25, f"SELECT doc_id, round(score, 6) AS score, rank::INT AS rank FROM ({_RANKED}) WHERE rank <= 20"),
-    "postings": (postings, f"SELECT term, item_id, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL"),
+    "postings": (postings, f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL"),
     "vector_topk": (vector_topk, f"SELECT vec_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM ({_COSINE}) WHERE rank <= 10"),
     "rrf": (rrf, f"SELECT doc_id, round(coalesce(1 / (60 + t.rank), 0) + coalesce(1 / (60 + v.rank), 0), 9) AS score FROM (SELECT * FROM ({_RANKED}) WHERE rank <= 200) t FULL JOIN (SELECT vec_id AS doc_id, rank FROM ({_COSINE}) WHERE rank <= 200) v USING (doc_id) ORDER BY coalesce(1 / (60 + t.rank), 0) + coalesce(1 / (60 + v.rank), 0) DESC, doc_id LIMIT 50"),
     "near_pairs": (near_pairs, "WITH b AS (" + _SETS.replace("{src}", _MSG) + "), a AS (" + _SETS.replace("{src}", "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -id - 1, text FROM (" + _MSG + ")") + ") SELECT a.id AS item_id, b.id AS msg, round(2 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)), 6) AS similarity FROM a, b WHERE len(a.s) > 0 AND len(b.s) > 0 AND 2 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) >= 0.8"),
@@ -200,12 +181,8 @@ OPERATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "feed_page": (feed_page, "WITH p AS (SELECT event_id, event_type FROM events WHERE event_id > 40 AND event_type = 'purchase' ORDER BY event_id LIMIT 26) SELECT event_id, event_type, (SELECT count(*) FROM p) > 25 AS truncated FROM p ORDER BY event_id LIMIT 25"),
     "retention": (retention, "WITH a AS (SELECT user_id, event_id, ts, floor((epoch_ms(TIMESTAMP '2024-02-15') - epoch_ms(ts)) / 86400000) AS age FROM events), g AS (SELECT *, CASE WHEN age >= 20 THEN 1 WHEN age >= 5 THEN 0 ELSE -1 END AS rung, CASE WHEN age >= 20 THEN date_trunc('week', ts) WHEN age >= 5 THEN date_trunc('day', ts) END AS p FROM a) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 2 OR age < 5 OR rung < 0 OR row_number() OVER (PARTITION BY user_id, rung, p ORDER BY event_id DESC) = 1 AS kept FROM g"),
     "sweep": (sweep, "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)"),
-    "neighbourhood": (neighbourhood, "WITH e AS (SELECT l_orderkey AS o, -l_partkey - 1 AS p FROM lineitem WHERE l_orderkey < 200), n1 AS (SELECT DISTINCT p FROM e WHERE o = 1), n2 AS (SELECT DISTINCT o FROM e JOIN n1 USING (p) WHERE o <> 1) SELECT 1 AS key, 0 AS distance UNION ALL SELECT p, 1 FROM n1 UNION ALL SELECT o, 2 FROM n2"),
-    "neighbourhood_whole": (neighbourhood_whole, "WITH e AS (SELECT l_orderkey AS o, -l_partkey - 1 AS p FROM lineitem), n1 AS (SELECT DISTINCT p FROM e WHERE o = 1), n2 AS (SELECT DISTINCT o FROM e JOIN n1 USING (p) WHERE o <> 1) SELECT 1 AS key, 0 AS distance UNION ALL SELECT p, 1 FROM n1 UNION ALL SELECT o, 2 FROM n2"),
+    "neighbourhood": (neighbourhood, "WITH e AS (SELECT l_orderkey AS o, -l_partkey - 1 AS p FROM lineitem), n1 AS (SELECT DISTINCT p FROM e WHERE o = 1), n2 AS (SELECT DISTINCT o FROM e JOIN n1 USING (p) WHERE o <> 1) SELECT 1 AS key, 0 AS distance UNION ALL SELECT p, 1 FROM n1 UNION ALL SELECT o, 2 FROM n2"),
     "doc_blocks": (doc_blocks, None),
-    "doc_paragraphs": (doc_paragraphs, None),
-    "outline": (outline, None),
-    "doc_links": (doc_links, None),
     "page_links": (page_links, "SELECT page_id, (i - 1)::INT AS ord, l[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1) AS l FROM pages), unnest(range(1, len(l) + 1)) AS t(i)"),
     "link_counts": (link_counts, "SELECT 'links' AS predicate, href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 2"),
     "keyset_page": (keyset_page, "SELECT source, doc_id FROM documents WHERE (source, doc_id) > ('a', 0) ORDER BY source, doc_id LIMIT 50"),

@@ -136,13 +136,13 @@ def test_whole_walk_and_durations_against_python(spark):
     for _ in range(4):
         paths += level
         level = [(*p, k) for p in level if p[-1] not in p[:-1] for k in own]
-    got = catalogue.QUERIES["follow_cycle_whole"](spark, d).collect()
+    got = catalogue.QUERIES["follow_cycle"](spark, d).collect()
     assert sorted((r.n_nationkey, r.d) for r in got) == sorted((p[-1], len(p)) for p in paths) and len(own) == 5
 
     def text(n):
         parts = [(n // 86400, "d"), (n // 3600 % 24, "h"), (n // 60 % 60, "m"), (n % 60, "s")]
         return " ".join(f"{x}{u}" for x, u in parts if x) or "0s"
 
-    rows = catalogue.QUERIES["durations_whole"](spark, d).collect()
+    rows = catalogue.QUERIES["durations"](spark, d).collect()
     assert len(rows) == spark.read.parquet(f"{d}/events.parquet").count()
     assert all(r.d == text(r.event_id * 61) for r in rows) and any("d" in r.d for r in rows)
