@@ -90,7 +90,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "rows_block": ("nation { n_regionkey, top: $rows first { n_name values order by n_nationkey desc }, late: $rows collect { n_name values where n_nationkey > 10 limit 2 } group by n_regionkey }", "SELECT n_regionkey, arg_max(n_name, n_nationkey) AS top, coalesce(list(n_name ORDER BY n_nationkey) FILTER (n_nationkey > 10), [])[:2] AS late FROM nation GROUP BY 1"),
     "collect_distinct": ("orders { o_orderstatus, p: collect($rows { select distinct o_orderpriority values order by o_orderpriority }) group by o_orderstatus }", "SELECT o_orderstatus, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS p FROM orders GROUP BY 1"),
     "rows_ungrouped": ("lineitem { l_orderkey, l_linenumber, s: sum($rows { l_quantity * l_extendedprice values }), n: count($rows) }", "SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS s, 1 AS n FROM lineitem"),
-    "sum_absent": ("events { event_id, s: sum(nope), c: sum(value) }", "SELECT event_id, 0.0 AS s, coalesce(value, 0) AS c FROM events"),
+    "sum_absent": ("events { event_id, s: sum(nope), c: sum(value) }", "SELECT event_id, 0.0::DOUBLE AS s, coalesce(value, 0)::DOUBLE AS c FROM events"),
     "guarded": ("events { event_id where false and foo(event_id) or value > 50 }", "SELECT event_id FROM events WHERE value > 50"),
     "mixed_tuple": ('part { p_partkey where p_size in (1, "x", 7, null) }', "SELECT p_partkey FROM part WHERE p_size IN (1, 7) OR p_size IS NULL"),
     "text_range": ('orders { o_orderkey where o_orderdate.date() in range("1995-01-01...1996-01-01") and o_totalprice in range("1000..200000") }', "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' AND o_totalprice BETWEEN 1000 AND 200000"),
