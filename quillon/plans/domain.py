@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import history, search
+from ..operators import history, search, writes
+from ..operators.edits import apply_edits
 from ..sources import corpus, store
 from ..sources.catalog import Catalog
 from ..streaming import feed
@@ -203,6 +204,79 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The store's blocks as the edits read them, and with their types."""
+    b = store.tables(talks(spark, sf_dir))["blocks"].select(F.col("_doc_id").alias("doc"), F.col("_id").alias("id"), F.col("_ordinal").alias("order"), F.col("_raw").alias("raw"), "_type", "_text", "checked", "level")
+    return b.select("doc", "id", "order", "raw"), b
+
+
+def write_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, typed = _blocks(spark, sf_dir)
+    return apply_edits(rows, writes.complete_tasks(typed.where("checked = false")))[0].where("raw like '%[x]%'").select("id", "raw")
+
+
+def write_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, typed = _blocks(spark, sf_dir)
+    return apply_edits(rows, writes.rename_sections(typed.where("level = 2 and _text = 'Tasks'"), F.lit("To do")))[0].where("raw like '## T%'").select("id", "raw")
+
+
+def write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _blocks(spark, sf_dir)
+    made = writes.append_to_documents(rows, rows.where("doc like '%0'").select("doc").distinct(), F.concat(F.lit("Seen "), "doc"))
+    out = apply_edits(rows, made)[0]
+    return out.groupBy("doc").agg(F.max_by("raw", "order").alias("raw"), F.count(F.lit(1)).alias("n"))
+
+
+def write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Tasks section goes in front of all, and gets one more item at its end."""
+    rows, typed = _blocks(spark, sf_dir)
+    part = typed.where("level = 2 and _text in ('Tasks', 'Links')").groupBy("doc").agg(F.min("order").alias("first"), (F.max("order") - 1).alias("last"))
+    moved = apply_edits(rows, writes.move_sections(part, rows, F.lit(None).cast("string")))[0]
+    end = moved.where("order = 2").select("doc", "id", "order")
+    return apply_edits(moved, writes.insert_list_items(end, F.lit("more")))[0].where("order < 5").select("doc", "order", "raw")
+
+
+def write_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _blocks(spark, sf_dir)
+    hits = execute(_store(spark, sf_dir), 'blocks { doc: _doc_id, id: _id, order: _ordinal, raw: _raw where under_heading("turn 1 ") and _type == "paragraph" }')
+    return apply_edits(rows, writes.directed(hits, "update", F.lit("gone"), 1_000_000_000))[0].where("raw = 'gone'").select("id")
+
+
+def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, typed = _blocks(spark, sf_dir)
+    return writes.plan(writes.complete_tasks(typed.where("_type = 'task'"))).select("edits", "documents")
+
+
+def write_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents become their proposals, without the first heading, with the links first and the tasks' heading renamed."""
+    rows, typed = _blocks(spark, sf_dir)
+    new = typed.where("level is null or level = 2").select("doc", F.when(F.col("raw").like("See %"), -1).otherwise(F.col("order")).alias("order"), F.when(F.col("raw") == "## Tasks", "## To do").otherwise(F.col("raw")).alias("raw"))
+    out, outcomes = apply_edits(rows, writes.update_documents(rows, new))
+    failed = outcomes.where("error is not null").select("doc").distinct()
+    return out.join(failed, "doc", "left_anti").groupBy("doc").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "raw"))), lambda x: x["raw"]), "|")).alias("digest"))
+
+
+def stat_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("source").alias("mtime"))
+    cache = listing.withColumn("size", F.when(F.col("path") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))).where("path % 11 <> 0")
+    return feed.stale(cache, listing).select("path")
+
+
+def resurrection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.recoverable(_read(spark, sf_dir, "events").select("event_id", F.col("ts").alias("deleted_at")), "2024-02-10 00:00:00", 30).select("event_id")
+
+
+def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through the streaming reader, batch by batch, into a table that counts them by type."""
+    import uuid
+
+    out = f"{feed.shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    events = _read(spark, sf_dir, "events").select("event_id", "event_type")
+    events.write.parquet(f"{out}/in")
+    feed.drain(feed.tail(spark, f"{out}/in", events.schema), feed.append(f"{out}/seen"), f"{out}/cursor").awaitTermination()
+    return spark.read.option("basePath", f"{out}/seen").parquet(f"{out}/seen").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
 def bound_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = Catalog.parquet(spark, sf_dir, ["orders"])
     rows = [{"k": 1, "least": 1000.0}, {"k": 2, "least": 100000.0}, {"k": 7, "least": None}]
@@ -250,6 +324,16 @@ DOMAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "hashed_vectors": (hashed_vectors, "WITH k AS (SELECT item_id, ('0x' || substr(md5(t), 1, 6))::BIGINT AS h FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM benchmark)), v AS (SELECT item_id, d, coalesce(sum(CASE WHEN h // 16 % 2 = 0 THEN 1.0 ELSE -1.0 END) FILTER (h % 16 = d), 0)::DOUBLE AS x FROM k, range(16) r(d) GROUP BY ALL), n AS (SELECT item_id, list(x ORDER BY d) AS v, sqrt(sum(x * x)) AS len FROM v GROUP BY 1) SELECT item_id, list_transform(v, lambda x: round(CASE WHEN len = 0 THEN 0 ELSE x / len END, 6)) AS vector FROM n"),
     "bound_rows": (bound_rows, "WITH r(k, least) AS (VALUES (1, 1000.0), (2, 100000.0), (7, NULL)) SELECT k::BIGINT AS k, (SELECT count(*) FROM orders WHERE o_custkey = k AND o_totalprice >= least AND o_orderstatus IN ('O', 'F')) AS n FROM r"),
     "host_functions": (host_functions, "SELECT c_custkey, upper(substr(c_mktsegment, 1, 2)) AS i, round(c_acctbal * 2, 2) AS s FROM customer"),
+    "write_tasks": (write_tasks, "WITH {T} SELECT 'b_d_' || c || '_' || o AS id, CASE WHEN text LIKE 'send%' THEN '  - [x] ' ELSE '- [x] ' END || text AS raw FROM b WHERE type = 'task'"),
+    "write_rename": (write_rename, "WITH {T} SELECT 'b_d_' || c || '_' || o AS id, CASE text WHEN 'Tasks' THEN '## To do' ELSE '## ' || text END AS raw FROM b WHERE level = 2 AND text LIKE 'T%'"),
+    "write_append": (write_append, "WITH {T} SELECT id AS doc, CASE WHEN c % 10 = 0 THEN 'Seen ' || id ELSE (SELECT text FROM b WHERE b.c = d.c AND o = 2 * n + 6) END AS raw, 2 * n + 6 + CASE WHEN c % 10 = 0 THEN 1 ELSE 0 END AS n FROM d"),
+    "write_sections": (write_sections, "WITH {T} SELECT id AS doc, unnest([0, 1, 2, 3, 4]) AS \"order\", unnest(['## Tasks', '- [x] check ' || c, '  - [ ] send ' || c, '- more', '# ' || title]) AS raw FROM d"),
+    "write_directed": (write_directed, "WITH {T} SELECT 'b_d_' || c || '_' || (3 + 2 * i) AS id FROM t WHERE turn = 1"),
+    "write_plan": (write_plan, "WITH {T} SELECT 2 * count(*) AS edits, count(*) AS documents FROM d"),
+    "write_proposal": (write_proposal, "WITH {T}, r AS (SELECT c, CASE WHEN text LIKE 'See [%' THEN -1 ELSE o END AS o, CASE WHEN text = 'Tasks' AND level = 2 THEN '## To do' WHEN level = 2 THEN '## ' || text WHEN type = 'task' AND text LIKE 'check%' THEN '- [x] ' || text WHEN type = 'task' THEN '  - [ ] ' || text ELSE text END AS raw FROM b WHERE level IS NULL OR level = 2) SELECT 'd_' || c AS doc, md5(string_agg(raw, '|' ORDER BY o)) AS digest FROM r GROUP BY c"),
+    "stat_sweep": (stat_sweep, "SELECT doc_id AS path FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0"),
+    "resurrection": (resurrection, "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-02-10' - INTERVAL 30 DAY"),
+    "feed_stream": (feed_stream, "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1"),
     "default_order": (language_order, "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey)::INT AS at FROM part WHERE p_size < 10 ORDER BY p_partkey LIMIT 20"),
 }
 DOMAIN = {n: (f, None if s is None else s.replace("{T}", _T)) for n, (f, s) in DOMAIN.items()}

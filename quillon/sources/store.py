@@ -40,12 +40,15 @@ def tables(documents: DataFrame, revisions: DataFrame | None = None, keys: tuple
     node = sections.select(F.col("id").alias("_doc_id"), F.concat(F.lit("s_"), "id", F.lit("_"), "first").alias("_id"), F.lit("md:section").alias("_kind"), F.col("heading").alias("_name"), bid(F.col("id"), F.col("first")).alias("_block_id"), "level", F.col("first").alias("first_ordinal"), F.col("last").alias("last_ordinal"), F.lit(None).cast("boolean").alias("checked"))
     none = F.lit(None).cast("int")
     task = corpus.tasks(body, "id").select(F.col("id").alias("_doc_id"), F.concat(F.lit("t_"), "id", F.lit("_"), "ordinal").alias("_id"), F.lit("md:task").alias("_kind"), F.col("text").alias("_name"), bid(F.col("id"), F.col("ordinal")).alias("_block_id"), none.alias("level"), none.alias("first_ordinal"), none.alias("last_ordinal"), "checked")
-    found = corpus.links(body, "id").withColumn("target", F.regexp_replace("target", "^/", ""))
+    # A fragment names a place in the document that the rest leads to; an external address stays whole.
+    found = corpus.links(body, "id").withColumn("_anchor", F.regexp_extract("target", "#(.*)$", 1))
+    external = F.col("target").rlike("^[a-z][a-z0-9+.-]*:")
+    found = found.withColumn("target", F.when(external, F.col("target")).otherwise(F.regexp_replace(F.regexp_replace("target", "#.*$", ""), "^/", "")))
     edges = corpus.resolved(found, live.select("path", "id"), "path", "id")
     nth = Window.partitionBy("id", "ordinal").orderBy("kind", "target")
     links = edges.select(
         F.concat(F.lit("e_"), "id", F.lit("_"), "ordinal", F.lit("_"), F.row_number().over(nth)).alias("_id"), F.col("id").alias("_src"), bid(F.col("id"), F.col("ordinal")).alias("_block_id"),
-        F.col("kind").alias("_predicate"), F.col("dst").alias("_dst_node"), F.col("dst_kind").alias("_dst_kind"), F.regexp_extract("target", "#(.*)$", 1).alias("_anchor"),
+        F.col("kind").alias("_predicate"), F.col("dst").alias("_dst_node"), F.col("dst_kind").alias("_dst_kind"), "_anchor",
     ).join(paths.withColumnRenamed("_doc_id", "_src"), "_src")
     out = {"docs": docs, "blocks": blocks, "nodes": node.unionByName(task).join(paths, "_doc_id"), "links": links}
     if revisions is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,16 @@ from ..operators.history import read_at
 from ..operators.search import due
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only where none is set and Spark runs in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="feed-")
+    return found.rstrip("/")
+
+
 def tail(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """An append-only Parquet feed as a stream; the query's checkpoint is the consumer's cursor."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)

@@ -3,7 +3,13 @@
 import pytest
 from test_queries import DIR, duck, plain  # noqa: F401
 
-from quillon.plans.domain import DOMAIN
+from quillon import tools
+from quillon.operators import search, writes
+from quillon.plans.domain import DOMAIN, talks
+from quillon.plans.lower import execute
+from quillon.plans.parser import QueryError
+from quillon.sources import store
+from quillon.streaming import feed
 
 
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in DOMAIN.items() if sql))
@@ -16,3 +22,97 @@ def test_domain(name, spark, duck):  # noqa: F811
     got = sorted(([plain(v) for v in r] for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=str)
     want = sorted(([plain(v) for v in r] for r in want.fetchall()), key=str)
     assert got and got == want
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    docs = [
+        ("d_1", "a/one.md", "---\ntitle: One\nlayer: canon\n---\n\n# First\n\n- [ ] do\n  - [x] done\n\nSee [two](a/two.md#part) and [none](gone.md).\n", False),
+        ("d_2", "a/two.md", "# Second\n\nPlain furnace text.\n\n## Part\n\nMore.\n", False),
+        ("d_3", "b.md", "old\n", True),
+        ("d_4", "c.md", None, False),
+    ]
+    revisions = [("d_1", 1, "x"), ("d_1", 2, "y"), ("d_3", 1, "old")]
+    return store.tables(spark.createDataFrame(docs, "id string, path string, text string, deleted boolean"), spark.createDataFrame(revisions, "doc string, seq int, text string"), ("layer",))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("docs { _path }", [("a/one.md",), ("a/two.md",), ("c.md",)]),
+        ("docs { _title }", [("One",), ("Second",), ("c.md",)]),
+        ("links { _dst_node, _anchor }", [("d_2", "part"), ("phantom:gone.md", "")]),
+        ("revisions { _doc_id, t: _doc._title, d: _doc._id }", [("d_1", "One", "d_1"), ("d_1", "One", "d_1"), ("d_3", None, "d_3")]),
+        ("revisions { _id where _doc == null }", [("r_d_3_1",)]),
+        ('blocks { _text where under("b_d_1_2") }', [("do",), ("done",)]),
+        ('blocks { _text where has_anchor() }', [("See [two](a/two.md#part) and [none](gone.md).",)]),
+        ('docs { _id where text("FURNACE") }', [("d_2",)]),
+        ('nodes { _name where text("part") }', [("Part",)]),
+        ("docs { _id where text(\"\") }", []),
+        ("docs { _id, n: _blocks count { }, r: _revisions { _seq values } }", [("d_1", 4, [1, 2]), ("d_2", 4, []), ("d_4", 0, [])]),
+    ],
+)
+def test_store(text, want, small):
+    assert sorted((tuple(r) for r in execute(store.catalog(small), text).collect()), key=str) == sorted(want, key=str)
+
+
+def test_functions_say_where_they_are_missing(small):
+    for text in ('links { _id where text("x") }', 'docs { _id where within("a") }', 'docs { _id where semantic("unknown") > 0 }'):
+        with pytest.raises(QueryError):
+            execute(store.catalog(small), text)
+
+
+def test_semantic(small):
+    vectors = search.hashed_vectors(small["blocks"], "_id", "_text", 8).withColumnRenamed("vector", "_vector")
+    held = small | {"blocks": small["blocks"].join(vectors, "_id")}
+    q = vectors.where("_id = 'b_d_2_1'").first()._vector
+    got = execute(store.catalog(held, {"heat": q}), 'blocks { _id where semantic("heat") > 0.999 }').collect()
+    assert [r._id for r in got] == ["b_d_2_1"]
+
+
+def test_resolve(spark):
+    rows = DOMAIN["resolve"][0](spark, DIR).collect()
+    texts = {r.id: r.text for r in talks(spark, DIR).collect()}
+    assert len(rows) == 20
+    for r in rows:
+        words = r.preview.rstrip("\u2026").split()
+        doc = "d_" + r._id.split("_")[2]
+        assert r.locator == f"talks/{doc[2:]}.md#paragraph[{r._id.split('_')[3]}]" and len(words) <= 12 and " ".join(words) in texts[doc] and words[0] == "Said"
+
+
+def test_tools_and_command_line(spark, small, tmp_path, capsys):
+    c = store.catalog(small)
+    assert [r._path for r in tools.call(c, "docs_list").collect()] == ["a/one.md", "a/two.md", "c.md"]
+    assert tools.call(c, "docs_read", path="a/two.md").first().text == "# Second\n\nPlain furnace text.\n\n## Part\n\nMore."
+    assert {(r.directory, r.n) for r in tools.call(c, "docs_tree").collect()} == {("", 3), ("a", 2)}
+    assert tools.call(c, "blocks_search", text="furnace").first()._id == "b_d_2_1"
+    assert {r.dst for r in tools.call(c, "links_stale").collect()} == {"phantom:gone.md"}
+    with pytest.raises(QueryError):
+        tools.call(c, "nothing")
+    for n, df in small.items():
+        df.write.parquet(f"{tmp_path}/{n}.parquet")
+    tools.main(["query", str(tmp_path), "docs { _id limit 1 }"])
+    assert capsys.readouterr().out.strip().endswith('{"_id": "d_1"}')
+
+
+def test_directed_writes_keep_their_bound(spark):
+    hits = spark.createDataFrame([("d", f"b{i}", i, "x") for i in range(5)], "doc string, id string, order int, raw string")
+    assert writes.directed(hits, "remove", at_most=5).count() == 5
+    with pytest.raises(Exception, match="more than 4 hits"):
+        writes.directed(hits, "remove", at_most=4).collect()
+
+
+def test_plan_digest(spark):
+    rows = spark.createDataFrame([("d", i, "update", f"b{i}", "x", None, "y") for i in range(6)], "doc string, seq int, op string, id string, raw string, after string, expect string")
+    digest = lambda df: writes.plan(df).first().digest
+    assert digest(rows) == digest(rows.repartition(3)) != digest(rows.where("seq > 0"))
+
+
+def test_embedding_stream_adds_nothing_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("h1", "c1"), ("h2", "c2")], "content_hash string, ctx_hash string")
+    each = feed.embedded(lambda b: b, str(tmp_path / "v"), lambda t: t, "m")
+    each(rows.where("content_hash = 'h1'"), 0)
+    each(rows, 1)
+    each(rows, 1)
+    got = spark.read.option("basePath", str(tmp_path / "v")).parquet(str(tmp_path / "v")).collect()
+    assert sorted((r.content_hash, r.batch) for r in got) == [("h1", 0), ("h2", 1)]
