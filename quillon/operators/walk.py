@@ -58,8 +58,9 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH, distinct: b
     return out
 
 
-def neighbourhood(links: DataFrame, start: list, degrees: int = 1, direction: str = "both", predicate: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, links) within some degrees of start documents: documents with their distance, links among them.
+def neighbourhood(links: DataFrame, start: list, degrees: int = 1, direction: str = "both", predicate: str | None = None, max_documents: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, links) within some degrees of start documents: documents with their distance, links among them. With
+    max_documents the nearest ones alone, by (distance, key).
 
     links: src, dst, predicate. start is a literal list of ids, given with the query.
     """
@@ -72,5 +73,7 @@ def neighbourhood(links: DataFrame, start: list, degrees: int = 1, direction: st
         reached = front.join(edges, F.col("key") == F.col("src")).select(F.col("dst").alias("key")).distinct()
         front = reached.join(seen, "key", "left_anti").withColumn("distance", F.lit(d)).persist()
         seen = seen.unionByName(front)
+    if max_documents is not None:
+        seen = seen.orderBy("distance", "key").limit(max_documents)
     among = chosen.join(seen.select(F.col("key").alias("src")), "src", "left_semi").join(seen.select(F.col("key").alias("dst")), "dst", "left_semi")
     return seen, among

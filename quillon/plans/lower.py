@@ -137,6 +137,8 @@ class Lowering:
         key = next((x for n, _, x in body.select or [] if n == "$key"), None)
         if body.select is not None:
             body.select = [i for i in body.select if i[0] != "$key"]
+        if body.group:
+            self.staged(body)
         after = [e for e in conjuncts(body.where) if body.follow and any(d == 0 and n in WALKED for d, n in self.reads(e))]
         self.where(frame, [e for e in conjuncts(body.where) if e not in after])
         if body.follow:
@@ -173,6 +175,15 @@ class Lowering:
             frame.df = frame.df.limit(body.limit)
         return frame, items
 
+    def staged(self, body: Body) -> None:
+        """Clauses before `group by` see rows, so they can't read an item that was written for the group's rows."""
+        late = {n for n, _, e in body.select or [] if n and ("$rows" in repr(e))}
+        before = {"where": [body.where], "from": [body.source], "frontier": [body.frontier], "flatten": [e for _, e in body.flatten], "group by": [e for n, e in body.group if e != ("name", 0, n)]}
+        for clause, trees in before.items():
+            for depth, name in set().union(*(self.reads(e) for e in trees if e is not None)) if trees else set():
+                if depth == 0 and name in late:
+                    raise QueryError(f"`{name}` reads `$rows`, which `{clause}` has not grouped yet; `having` can read it")
+
     def where(self, frame: Frame, tests: list[tuple]) -> None:
         """Conjuncts from left to right; one that is false ends them, and errors of later ones wait for a row."""
         for i, e in enumerate(tests):

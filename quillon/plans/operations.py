@@ -103,6 +103,11 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.neighbourhood(links, [1], 2, "both")[0]
 
 
+def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"), F.lit("holds").alias("predicate"))
+    return walk.neighbourhood(links, [1], 2, "both", "holds", 12)[0]
+
+
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.blocks(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -182,6 +187,7 @@ OPERATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "retention": (retention, "WITH a AS (SELECT user_id, event_id, ts, floor((epoch_ms(TIMESTAMP '2024-02-15') - epoch_ms(ts)) / 86400000) AS age FROM events), g AS (SELECT *, CASE WHEN age >= 20 THEN 1 WHEN age >= 5 THEN 0 ELSE -1 END AS rung, CASE WHEN age >= 20 THEN date_trunc('week', ts) WHEN age >= 5 THEN date_trunc('day', ts) END AS p FROM a) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 2 OR age < 5 OR rung < 0 OR row_number() OVER (PARTITION BY user_id, rung, p ORDER BY event_id DESC) = 1 AS kept FROM g"),
     "sweep": (sweep, "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)"),
     "neighbourhood": (neighbourhood, "WITH e AS (SELECT l_orderkey AS o, -l_partkey - 1 AS p FROM lineitem), n1 AS (SELECT DISTINCT p FROM e WHERE o = 1), n2 AS (SELECT DISTINCT o FROM e JOIN n1 USING (p) WHERE o <> 1) SELECT 1 AS key, 0 AS distance UNION ALL SELECT p, 1 FROM n1 UNION ALL SELECT o, 2 FROM n2"),
+    "nearest_documents": (nearest_documents, "WITH e AS (SELECT l_orderkey AS o, -l_partkey - 1 AS p FROM lineitem), n1 AS (SELECT DISTINCT p FROM e WHERE o = 1), n2 AS (SELECT DISTINCT o FROM e JOIN n1 USING (p) WHERE o <> 1) SELECT key, distance FROM (SELECT 1 AS key, 0 AS distance UNION ALL SELECT p, 1 FROM n1 UNION ALL SELECT o, 2 FROM n2) ORDER BY distance, key LIMIT 12"),
     "doc_blocks": (doc_blocks, None),
     "page_links": (page_links, "SELECT page_id, (i - 1)::INT AS ord, l[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1) AS l FROM pages), unnest(range(1, len(l) + 1)) AS t(i)"),
     "link_counts": (link_counts, "SELECT 'links' AS predicate, href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 2"),

@@ -104,7 +104,7 @@ def test_errors(text):
         parse(text)
 
 
-@pytest.mark.parametrize("text", ["people single { id }", "people { id, m: tags single { $it > 0 } }", "people { id, s: ^people single { id values where name == ^name } }", "people { id where true and foo(1) }", "people { id where id > 0 and foo(1) }", "people { s: sum(name) }", "people { a: b, b: a }"])
+@pytest.mark.parametrize("text", ["people single { id }", "people { id, m: tags single { $it > 0 } }", "people { id, s: ^people single { id values where name == ^name } }", "people { id where true and foo(1) }", "people { id where id > 0 and foo(1) }", "people { s: sum(name) }", "people { a: b, b: a }", "people { name, n: count($rows) where n > 1 group by name }", "people { n: count($rows) group by k: n + 1 }", 'people { id where name ~ "(?=a)" }', 'people { id where name ~ "(a)\\\\1" }'])
 def test_evaluation_errors(text, small):
     with pytest.raises(Exception):
         execute(small, text).collect()
