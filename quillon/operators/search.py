@@ -10,10 +10,12 @@ import math
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem, stems, tokens, words
 from .ranking import top_k
 
 #: Fixed values of the ranking formulas.
@@ -30,11 +32,6 @@ class Term:
     prefix: bool = False
 
 
-def words(text: str) -> tuple[str, ...]:
-    """Lower-cased runs of letters and digits."""
-    return tuple(re.findall(r"[^\W_]+", text.lower()))
-
-
 def parse_search(query: str) -> list[Term]:
     """A search box's text: quoted phrases, words, `word*` prefixes; what holds no letter or digit is dropped."""
     out = []
@@ -47,28 +44,27 @@ def parse_search(query: str) -> list[Term]:
     return out
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of a text, as a list; absent gives an empty list."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+def _cut(toks: Column, heads: set[str]) -> Column:
+    """The stems of the tokens that may have one of some stems, in their places; other tokens are empty. A stem keeps all of
+    its word but a suffix, and ends in at most two letters that the word hasn't there, so most tokens are never cut."""
+    may = lambda t: reduce(Column.__or__, (F.startswith(t, F.lit(h)) for h in sorted(heads)))
+    return stems(F.transform(toks, lambda t: F.when(may(t), t).otherwise("")))
 
 
 def hits(toks: Column, term: Term) -> Column:
-    """How often a term stands in a list of tokens."""
-    last = len(term.words) - 1
-
-    def at(i: Column) -> Column:
-        test = F.lit(True)
-        for k, w in enumerate(term.words):
-            got = F.get(toks, i + k)
-            test &= F.coalesce(F.startswith(got, F.lit(w)) if term.prefix and k == last else got == w, F.lit(False))
-        return test
-
+    """How often a term stands in a list of tokens; words meet by their stems, a prefix meets the stems that begin with its own."""
+    wanted = [stem(w) for w in term.words]
+    last = len(wanted) - 1
+    toks = toks if last else F.filter(toks, lambda t: F.startswith(t, F.lit(wanted[0][:-2])))
+    toks = _cut(toks, {w[:-2] for w in wanted})
+    meets = lambda t, k: F.startswith(t, F.lit(wanted[k])) if term.prefix and k == last else t == F.lit(wanted[k])
     if last == 0:
-        w = F.lit(term.words[0])
-        return F.size(F.filter(toks, lambda t: F.startswith(t, w) if term.prefix else t == w))
-    starts = F.when(F.size(toks) > last, F.sequence(F.lit(0), F.size(toks) - 1 - last)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, at))
+        return F.size(F.filter(toks, lambda t: meets(t, 0)))
+    # One pass with the number of words met so far would lose overlaps, so each place is tested against the stems in it.
+    none = F.array().cast("array<int>")
+    at = lambda ts, i: reduce(Column.__and__, (F.coalesce(meets(F.get(ts, i + k), k), F.lit(False)) for k in range(last + 1)))
+    counted = F.transform(F.array(toks), lambda ts: F.size(F.filter(F.when(F.size(ts) > last, F.sequence(F.lit(0), F.size(ts) - 1 - last)).otherwise(none), lambda i: at(ts, i))))
+    return counted[0]
 
 
 def text_filter(df: DataFrame, text: str, query: str) -> DataFrame:
@@ -101,8 +97,8 @@ def bm25(df: DataFrame, key: str, text: str, query: str, limit: int = 50) -> Dat
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index: (term, key, tf). Counts are combined before the shuffle; a frequent term has many keys."""
-    return df.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """Inverted index: (stem, key, tf) as term, key, tf. Counts are combined before the shuffle; a frequent term has many keys."""
+    return df.select(key, F.explode(stems(tokens(F.col(text)))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -228,7 +224,8 @@ def due(tasks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
 def hashed_vectors(df: DataFrame, key: str, text: str, dims: int = 32) -> DataFrame:
     """A provider without a model: tokens hashed to signed dimensions, summed, at unit length; for tests and cold starts."""
     digest = lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long")
-    h = F.transform(tokens(F.col(text)), digest)
+    lowered = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    h = F.transform(lowered, digest)
     vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(x % dims == d, F.when(F.floor(x / dims) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
     return df.select(key, F.transform(vector, lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x / length)).alias("vector"))

@@ -72,7 +72,7 @@ STORE: dict[str, tuple[str, str]] = {
     "block_sections": ('blocks { _id, s: _section { _name values } where _type == "paragraph" }', f"SELECT 'b_d_' || b.c || '_' || b.o AS _id, list(s.text ORDER BY 's_d_' || s.c || '_' || s.o) AS s FROM b JOIN s ON s.c = b.c AND b.o BETWEEN s.o AND s.last WHERE type = 'paragraph' GROUP BY b.c, b.o"),
     "under_heading": ('blocks { _id where under_heading("turn 1 ") }', f"SELECT {_ID} AS _id FROM (SELECT DISTINCT b.c, b.o FROM b JOIN s ON s.c = b.c AND b.o BETWEEN s.o AND s.last WHERE lower(s.text) LIKE '%turn 1 %')"),
     "text_blocks": ('blocks { _id where text("said die") }', f"SELECT {_ID} AS _id FROM b WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), 'said') AND list_contains(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), 'die')"),
-    "text_docs": ('docs { _id where text("die unge*") and not text("zzzz") }', "SELECT DISTINCT 'd_' || c AS _id FROM b WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'die') AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'unge'))) > 0"),
+    "text_docs": ('docs { _id where text("die unge*") and not text("zzzz") }', "SELECT DISTINCT 'd_' || c AS _id FROM b WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'die') AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'ung'))) > 0"),
     "has_edge": ('docs { _id where has_edge("md:link", "https://example.org/2") and has_edge("md:wikilink") }', "SELECT id AS _id FROM d WHERE c % 5 = 2"),
     "within": ('blocks { _id where within("talks/1*.md") and _type == "task" }', f"SELECT {_ID} AS _id FROM b JOIN d USING (c) WHERE path LIKE 'talks/1%.md' AND type = 'task'"),
     "within_doc": ('blocks { _id where within("d_3") or within("/talks/4.md") }', f"SELECT {_ID} AS _id FROM b WHERE c IN (3, 4)"),

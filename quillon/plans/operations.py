@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stemming import MARKED, PLAIN, sql_stem
 from ..operators import history, search, walk
 from ..operators.edits import apply_edits
 from ..operators.matching import match_blocks
@@ -21,7 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_TOKENS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{MARKED}', '{PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+#: (doc_id, t): the stems of every document; each distinct word is cut once.
+_STEMS = f"""(WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS x FROM documents), k AS (SELECT x, {sql_stem("x")} AS y FROM (SELECT DISTINCT x FROM w))
+SELECT doc_id, coalesce(t, []) AS t FROM documents LEFT JOIN (SELECT doc_id, list(y) AS t FROM w JOIN k USING (x) GROUP BY 1) USING (doc_id))"""
 
 
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,19 +166,19 @@ def _dql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: execute(tables(spark, sf_dir), dql.translate(text, names).tree)
 
 
-_RANKED = """WITH d AS (SELECT doc_id, {tok} AS t FROM documents), c AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'er')) AS a, len(list_filter(t, lambda x: x = 'and')) AS b FROM d),
+_RANKED = """WITH d AS (SELECT doc_id, t FROM {stems}), c AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'er')) AS a, len(list_filter(t, lambda x: x = 'and')) AS b FROM d),
 s AS (SELECT count(*) AS m, avg(n) AS g, count(*) FILTER (a > 0) AS x, count(*) FILTER (b > 0) AS y FROM c),
 r AS (SELECT doc_id, greatest(ln((m - x + 0.5) / (x + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / g)) + greatest(ln((m - y + 0.5) / (y + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / g)) AS score FROM c, s WHERE a > 0 AND b > 0)
-SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r""".format(tok=_TOKENS)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r""".format(stems=_STEMS)
 _COSINE = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, coalesce(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 0) AS cosine, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings, q"
 _SETS = "SELECT id, list_distinct(CASE WHEN len(t) > 2 THEN list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS s FROM (SELECT id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS t FROM ({src}))"
 _MSG = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
 
 #: name: (query, SQL or None)
 OPERATIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "text_filter": (text_filter, f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'er'))) > 0"),
+    "text_filter": (text_filter, f"SELECT doc_id FROM {_STEMS} WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'er'))) > 0"),
     "bm25": (bm25, f"SELECT doc_id, round(score, 6) AS score, rank::INT AS rank FROM ({_RANKED}) WHERE rank <= 20"),
-    "postings": (postings, f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL"),
+    "postings": (postings, f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM {_STEMS}) GROUP BY ALL"),
     "vector_topk": (vector_topk, f"SELECT vec_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM ({_COSINE}) WHERE rank <= 10"),
     "rrf": (rrf, f"SELECT doc_id, round(coalesce(1 / (60 + t.rank), 0) + coalesce(1 / (60 + v.rank), 0), 9) AS score FROM (SELECT * FROM ({_RANKED}) WHERE rank <= 200) t FULL JOIN (SELECT vec_id AS doc_id, rank FROM ({_COSINE}) WHERE rank <= 200) v USING (doc_id) ORDER BY coalesce(1 / (60 + t.rank), 0) + coalesce(1 / (60 + v.rank), 0) DESC, doc_id LIMIT 50"),
     "near_pairs": (near_pairs, "WITH b AS (" + _SETS.replace("{src}", _MSG) + "), a AS (" + _SETS.replace("{src}", "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -id - 1, text FROM (" + _MSG + ")") + ") SELECT a.id AS item_id, b.id AS msg, round(2 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)), 6) AS similarity FROM a, b WHERE len(a.s) > 0 AND len(b.s) > 0 AND 2 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) >= 0.8"),

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import temporal
+from quillon.functions import stemming, temporal
 from quillon.operators import history, search
 from quillon.operators.ranking import ranked
 from quillon.operators.walk import walk
@@ -61,6 +61,38 @@ def test_search_parse():
     assert got == [(("guides", "onboarding"), False), (("exact", "phrase"), False), (("other",), True), (("a",), False), (("b",), False)]
 
 
+def test_stems_are_those_of_sqlite(spark):
+    """Words of the documents and words made of stems and suffixes, against the porter tokenizer of SQLite's index."""
+    import random
+    import sqlite3
+
+    r = random.Random(5)
+    ends = [*stemming.STEP2, *stemming.STEP3, *stemming.STEP4, "ion", "s", "es", "ed", "eed", "ing", "y", "e", "ll", ""]
+    words = {w for t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").dropna().collect() for w in stemming.words(t.text)}
+    words |= {"".join(r.choice("abeioutrslyzwxnm") for _ in range(r.randint(1, 5))) + "".join(r.choice(ends) for _ in range(r.randint(0, 3))) for _ in range(20000)}
+    words = sorted(words | {"caf\u00e9s", "x" * 70 + "ing", "\u00fc", "yb", "eed"})
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    db.execute("create virtual table v using fts5vocab(t, 'instance')")
+    db.executemany("insert into t(rowid, x) values (?, ?)", enumerate(words))
+    want = {d: t for t, d in db.execute("select term, doc from v")}
+    folded = [stemming.folded(w) for w in words]
+    assert [stemming.stem(w) for w in folded] == [want[i] for i in range(len(words))]
+    rows = spark.createDataFrame(list(enumerate(folded)), "i int, w string").select("i", "w", stemming.stems(F.array("w"))[0].alias("s")).collect()
+    assert {x.i: x.s for x in rows} == want
+    assert all(x.w.startswith(x.s[:-2]) for x in rows)
+
+
+def test_search_meets_stems(spark):
+    df = spark.createDataFrame([(1, "Relational databases were running"), (2, "He runs; relate them"), (3, "Caf\u00e9 run away run away"), (4, None)], "id int, text string")
+    ids = lambda q: sorted(r.id for r in search.text_filter(df, "text", q).collect())
+    assert ids("runs") == [1, 2, 3] and ids("relate") == [1, 2] and ids("cafe") == [3] and ids('"database was"') == [] and ids('"databases were run"') == [1]
+    assert ids("databas*") == [1] and ids('"running away"') == [3] and ids('"away runs"') == [3]
+    count = df.select("id", search.hits(search.tokens(F.col("text")), search.Term(("run", "away"))).alias("n")).collect()
+    assert {r.id: r.n for r in count} == {1: 0, 2: 0, 3: 2, 4: 0}
+    assert {(r.term, r.key, r.tf) for r in search.postings(df.withColumnRenamed("id", "key"), "key", "text").where("key = 3").collect()} == {("cafe", 3, 1), ("run", 3, 2), ("awai", 3, 2)}
+
+
 def test_search_cases(spark):
     df = spark.createDataFrame([(1, "Red furnace, red door"), (2, "the red DOOR"), (3, None), (4, "")], "id int, text string")
     ids = lambda q: sorted(r.id for r in search.text_filter(df, "text", q).collect())
