@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, search, writes
 from ..operators.edits import apply_edits
-from ..sources import corpus, store
+from ..sources import corpus, mapping, store
 from ..sources.catalog import Catalog
 from ..streaming import feed
 from .lower import execute
@@ -78,6 +78,10 @@ STORE: dict[str, tuple[str, str]] = {
     "within_doc": ('blocks { _id where within("d_3") or within("/talks/4.md") }', f"SELECT {_ID} AS _id FROM b WHERE c IN (3, 4)"),
     "nesting": ('blocks { _id, k: child_count(), p: parent_type(), m: _children { _text values } where _type == "task" }', f"SELECT {_ID} AS _id, CASE WHEN text LIKE 'check%' THEN 1 ELSE 0 END AS k, CASE WHEN text LIKE 'send%' THEN 'task' END AS p, CASE WHEN text LIKE 'check%' THEN ['send ' || c] ELSE [] END AS m FROM b WHERE type = 'task'"),
     "under_block": ('blocks { _id where under_kind("task", "check") or has_anchor() }', f"SELECT {_ID} AS _id FROM b WHERE text LIKE 'send%' AND type = 'task'"),
+    "refs_lookup": ('docs { _id, t: refs(_path) { _title values } where refs(_path) exists { layer == "canon" } }', "SELECT id AS _id, [title] AS t FROM d WHERE layer = 'canon'"),
+    "refs_dangling": ('links { _id, n: refs(_dst_node) count { } where _predicate == "md:link" and _dst_kind != "external" }', "SELECT 'e_' || src || '_' || o || '_2' AS _id, CASE WHEN dst LIKE 'd\\_%' ESCAPE '\\' THEN 1 ELSE 0 END AS n FROM e WHERE predicate = 'md:link' AND dst NOT LIKE 'https:%'"),
+    "root_object": ('$it { d: docs count { }, l: links count { where _predicate == "md:wikilink" } }', "SELECT (SELECT count(*) FROM d) AS d, (SELECT count(*) FROM e WHERE predicate = 'md:wikilink') AS l"),
+    "root_path": ('docs { _id, n: ^$it.blocks count { where _doc_id == ^_id and level == 2 } }', "SELECT id AS _id, n + 2 AS n FROM d"),
     "group_relation": ("blocks { l, n: count($rows), t: count($rows { select distinct _type values }) group by l: _doc.layer }", "SELECT layer AS l, count(*) AS n, count(DISTINCT type) AS t FROM b JOIN d USING (c) GROUP BY 1"),
 }
 
@@ -137,6 +141,24 @@ def talk_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.properties(corpus.blocks(talks(spark, sf_dir), "id", "text"), "id").select("id", "name", "value", "kind")
 
 
+def computed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and tags of all conversations as Markdown, the role of each turn as a tag."""
+    said = F.concat(F.lit("Turn #"), F.coalesce("role", F.lit("none")), F.lit(" and #"), F.coalesce("role", F.lit("none")), F.lit("\n\n"))
+    rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("p"))
+    text = F.concat(F.lit("## Not it\n\n# Talk "), "conv_id", F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x["s"]), ""))
+    return corpus.computed(corpus.blocks(rows.select("conv_id", text.alias("text")), "conv_id", "text"), "conv_id").select("conv_id", "name", "ord", "value")
+
+
+def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# a part\nname: '"), "p_name", F.lit("'\nsize: "), "p_size", F.lit("\nat:\n  brand: "), "p_brand", F.lit(" # note\n  kinds:\n  - "), "p_type", F.lit("\n  - other\n  parts: [{n: 1}]\nnone:\n"))
+    return mapping.properties(_read(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", "yaml")
+
+
+def json_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "[1]").otherwise(F.concat(F.lit('{"p": '), "props", F.lit(', "l": [true, null]}'))).alias("text"), F.lit("json").alias("format"))
+    return mapping.properties(rows, "event_id", "text")
+
+
 def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents rendered from their blocks are the documents; only the last line end and the gaps are not theirs."""
     docs = talks(spark, sf_dir)
@@ -309,6 +331,9 @@ DOMAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "directory_tree": (directory_tree, "WITH p AS (SELECT string_split(regexp_replace(url, '^https?://', ''), '/') AS q FROM pages) SELECT array_to_string(q[:i], '/') AS directory, count(*) AS n FROM p, unnest(range(0, len(q))) AS r(i) GROUP BY 1"),
     "edge_samples": (edge_samples, "SELECT 'links' AS predicate, href, count(*) AS n, list_sort(list(DISTINCT page_id))[:3] AS samples FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY href"),
     "json_documents": (json_documents, "SELECT event_id, 'k' AS name, 'number' AS kind, props->>'k' AS value FROM events"),
+    "computed_facts": (computed_facts, "WITH r AS (SELECT conv_id, coalesce(role, 'none') AS value, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, '_tags' AS name, (row_number() OVER (PARTITION BY conv_id ORDER BY t) - 1)::INT AS ord, value FROM r UNION ALL SELECT DISTINCT conv_id, '_title', 0, 'Talk ' || conv_id FROM conversations"),
+    "yaml_documents": (yaml_documents, "SELECT p_partkey, r.* FROM part, LATERAL (VALUES ('name', 'scalar', 0, p_name, 'string'), ('size', 'scalar', 0, p_size::VARCHAR, 'number'), ('at.brand', 'scalar', 0, p_brand, 'string'), ('at.kinds', 'list', 0, p_type, 'string'), ('at.kinds', 'list', 1, 'other', 'string'), ('at.parts', 'list', 0, '[{\"n\":1}]', 'json'), ('none', 'scalar', 0, NULL, 'null')) AS r(name, card, ord, value, kind)"),
+    "json_mappings": (json_mappings, "SELECT event_id, r.* FROM events, LATERAL (VALUES ('p.k', 'scalar', 0, props->>'k', 'number'), ('l', 'list', 0, 'true', 'bool'), ('l', 'list', 1, NULL, 'null')) AS r(name, card, ord, value, kind) WHERE event_id % 10 <> 0"),
     "talk_outline": (talk_outline, "WITH {T} SELECT 'd_' || c AS id, o AS ordinal, CASE WHEN level = 2 THEN '  ' ELSE '' END || text AS line FROM s"),
     "talk_properties": (talk_properties, "WITH {T} SELECT id, 'title' AS name, title AS value, 'string' AS kind FROM d UNION ALL SELECT id, 'layer', layer, 'string' FROM d"),
     "rebuilt_documents": (rebuilt, "WITH {T}, x AS (SELECT c, string_agg(CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' ' ELSE '' END || text, chr(10) ORDER BY o) AS t FROM b WHERE type <> 'task' AND o < (SELECT 2 * n + 2 FROM d WHERE d.c = b.c) GROUP BY c) SELECT id, md5('---' || chr(10) || 'title: ' || title || chr(10) || 'layer: ' || layer || chr(10) || '---' || chr(10) || x.t || chr(10) || '## Tasks' || chr(10) || '- [x] check ' || c || chr(10) || '## Links' || chr(10) || (SELECT text FROM b WHERE b.c = d.c AND b.o = 2 * d.n + 6)) AS digest FROM d JOIN x USING (c)"),

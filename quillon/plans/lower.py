@@ -59,6 +59,10 @@ def conjuncts(e: tuple | None) -> list[tuple]:
     return [e]
 
 
+#: The collection of names by which refs() finds documents.
+NAMES = "$names"
+
+
 class Lowering:
     def __init__(self, catalog: Catalog, ordered: bool = False):
         self.catalog, self.ids, self.ordered = catalog, count(), ordered
@@ -73,13 +77,15 @@ class Lowering:
         if name not in self.catalog.tables:
             raise QueryError(f"unknown collection {name!r}")
         df, tag = self.catalog.tables[name], self.fresh()
-        fields = {c: f"{tag}_{c}" for c in df.columns}
+        fields = {c: f"{tag}_{i}" if "." in c else f"{tag}_{c}" for i, c in enumerate(df.columns)}
         frame = Frame(df.toDF(*fields.values()), fields, [fields[c] for c in self.catalog.keys[name]], parent)
         frame.coll = name
         return frame
 
     def root(self, e: tuple, frame: Frame | None) -> str | None:
-        """The collection that a receiver names: a name which no row on the way has."""
+        """The collection that a receiver names: a name which no row on the way has, or one read from the root object."""
+        if e[0] == "get" and e[1][0] == "name" and e[1][2] == "$it" and (frame is None or frame.at(e[1][1]) is None):
+            return e[2]
         if e[0] != "name" or e[2] in ("$rows", "$it"):
             return None
         at = frame.at(e[1]) if frame else None
@@ -90,6 +96,14 @@ class Lowering:
     def related(self, frame: Frame, e: tuple) -> tuple:
         """A block whose receiver is a relation of the row, as a block over the relation's collection."""
         receiver, consumer, body = (e[1], e[2], e[3]) if e[0] == "block" else (e, "collect", Body())
+        if receiver[0] == "call" and receiver[1] == "refs" and NAMES in self.catalog.tables:
+            if len(receiver[2]) != 1 or receiver[2][0][0] not in ("name", "lit"):
+                raise QueryError("refs() takes a name or a text")
+            x = receiver[2][0]
+            if x[0] == "name" and isinstance(self.typed(frame, x)[1], T.ArrayType):
+                raise QueryError("refs() takes one text: flatten the list first")
+            test = ("op", "==", ("name", 0, "_name"), ("name", x[1] + 1, x[2]) if x[0] == "name" else x)
+            return ("block", ("name", 1, NAMES), consumer, replace(body, where=test if body.where is None else ("op", "and", test, body.where)))
         if receiver[0] != "name" or (at := frame.at(receiver[1])) is None or (rel := self.catalog.relations.get((at.coll, receiver[2]))) is None:
             return e
         test = reduce(lambda a, b: ("op", "and", a, b), [("op", MIRROR[op], ("name", 0, theirs), ("name", receiver[1] + 1, own)) for own, op, theirs in rel.on])
@@ -100,7 +114,14 @@ class Lowering:
         if e[0] == "method" or e[0] != "block":
             raise QueryError("a query is a collection with a body")
         _, receiver, consumer, body = e
-        frame = self.union(receiver[1]) if receiver[0] == "tuple" else self.scan(self.root(receiver, None) or "", None)
+        if receiver == ("name", 0, "$it"):  # the root object: one row, whose names are the collections
+            frame = Frame(next(iter(self.catalog.tables.values())).sparkSession.range(1).toDF(one := self.fresh()), {}, [one], None)
+        elif receiver[0] == "call" and receiver[1] == "refs" and receiver[2] and receiver[2][0][0] == "lit":
+            frame = self.scan(NAMES, None)
+            self.filter(frame, ("op", "==", ("name", 0, "_name"), receiver[2][0]))
+            del frame.fields["_name"]
+        else:
+            frame = self.union(receiver[1]) if receiver[0] == "tuple" else self.scan(self.root(receiver, None) or "", None)
         if consumer in ("exists", "none", "count"):
             frame = self.shaped(frame, body)[0]
             n = frame.df.agg(F.count(F.lit(1)).alias("value"))
@@ -850,6 +871,8 @@ class Lowering:
                 if rel.consumer == "first" and rel.on[0][2] == e[2]:  # the row holds it itself
                     return self.name(frame, e[1][1], rel.on[0][0])
                 return self.expr(frame, ("get", linked, e[2]))
+            if e[1][0] == "name" and (at := frame.at(e[1][1])) is not None and e[1][2] not in at.fields and f"{e[1][2]}.{e[2]}" in at.fields:
+                return self.name(frame, e[1][1], f"{e[1][2]}.{e[2]}")  # a column with a dotted name
             c, t = self.typed(frame, e[1])
             if isinstance(t, T.StructType):
                 return c[e[2]] if e[2] in t.fieldNames() else F.lit(None)
@@ -873,6 +896,8 @@ class Lowering:
             return F.array(*(self.value(frame, x) for x in e[1]))
         if op == "block":
             return self.block(frame, e)
+        if op == "call" and (linked := self.related(frame, e)) is not e:
+            return self.block(frame, linked)
         if op == "call":
             return self.call(frame, e[1], e[2])
         if op == "method":

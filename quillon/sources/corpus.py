@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCKS = "ordinal int, parent int, depth int, type string, text string, raw string, start int, end int, level int, checked boolean, info string"
+from . import mapping
+
+BLOCKS = "ordinal int, parent int, depth int, type string, text string, raw string, start int, end int, level int, checked boolean, info string, above array<struct<ordinal: int, type: string, text: string>>"
 
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^`]*)$")
@@ -35,7 +37,8 @@ class Block:
     level: int | None = None
     checked: bool | None = None
     info: str | None = None
-    lines: list[str] = field(default_factory=list)
+    #: Ordinals of the blocks that hold it, outermost first.
+    above: tuple[int, ...] = ()
 
 
 def parse_blocks(text: str) -> list[Block]:
@@ -85,7 +88,7 @@ def parse_blocks(text: str) -> list[Block]:
             while at < len(bare) and bare[at].strip() and not _starts(bare[at]):
                 body.append(bare[at].strip())
                 at += 1
-            add("task" if m[3] else "list_item", first, at, text="\n".join(body), depth=len(items), parent=items[-1][1] if items else None, checked=m[3] in "xX" if m[3] else None)
+            add("task" if m[3] else "list_item", first, at, text="\n".join(body), depth=len(items), parent=items[-1][1] if items else None, checked=m[3] in "xX" if m[3] else None, above=tuple(i for _, i in items))
             items.append((indent, len(out) - 1))
         elif line.lstrip().startswith(">"):
             while at < len(bare) and bare[at].lstrip().startswith(">"):
@@ -121,12 +124,17 @@ def _starts(line: str) -> bool:
 
 
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, parent, depth, type, text, raw, start, end, level, checked, info); null texts have no block."""
+    """(key, ordinal, parent, depth, type, text, raw, start, end, level, checked, info, above); null texts have no block."""
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(BLOCKS).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = [(k, i, b.parent, b.depth, b.type, b.text, t[b.start : b.end], b.start, b.end, b.level, b.checked, b.info) for k, t in zip(p[key], p["_text"]) for i, b in enumerate(parse_blocks(t))]
+            rows = []
+            for k, t in zip(p[key], p["_text"]):
+                found = parse_blocks(t)
+                for i, b in enumerate(found):
+                    above = [{"ordinal": o, "type": found[o].type, "text": found[o].text} for o in b.above]
+                    rows.append((k, i, b.parent, b.depth, b.type, b.text, t[b.start : b.end], b.start, b.end, b.level, b.checked, b.info, above))
             out = pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
             yield out
 
@@ -247,20 +255,39 @@ def scalar_kind(value: Column) -> Column:
     )
 
 
+#: Inline fields: [name:: value] or (name:: value) in a line, and name:: value as a line, after a list marker or not.
+_FIELDS = [r"[\[(]([A-Za-z][A-Za-z0-9_]*)::[ \t]*([^\]\n)]*?)[ \t]*[\])]", r"(?m)^[ \t]*(?:(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?([A-Za-z][A-Za-z0-9_]*)::[ \t]*([^\n]*?)[ \t]*$"]
+
+
 def properties(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, source, name, ord, value, kind): `name: value` lines of the front matter, `[a, b]` lists an element a row,
-    and inline `name:: value` fields. Indented lines are not read."""
-    front = blocks.where(F.col("type") == "frontmatter").select(key, F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    front = front.select(key, F.lit("frontmatter").alias("source"), "p", F.regexp_extract("line", r"^([A-Za-z_][\w.-]*):(.*)$", 1).alias("name"), F.trim(F.regexp_extract("line", r"^([A-Za-z_][\w.-]*):(.*)$", 2)).alias("v")).where("name <> ''")
-    body = blocks.where(~F.col("type").isin("code", "frontmatter")).select(key, "ordinal", F.explode(F.split("text", "\n")).alias("line"))
-    body = body.select(key, F.lit("inline").alias("source"), F.col("ordinal").alias("p"), F.regexp_extract("line", r"^([A-Za-z_][\w-]*)::(.*)$", 1).alias("name"), F.trim(F.regexp_extract("line", r"^([A-Za-z_][\w-]*)::(.*)$", 2)).alias("v")).where("name <> ''")
-    rows = front.unionByName(body)
-    is_list = F.col("v").rlike(r"^\[.*\]$")
-    parts = F.when(is_list, F.filter(F.transform(F.split(F.expr("substring(v, 2, length(v) - 2)"), ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("v"))
-    quoted = F.col("raw").rlike("""^(".*"|'.*')$""")
-    rows = rows.select(key, "source", "name", F.posexplode(parts).alias("ord", "raw"))
-    value = F.when(quoted, F.expr("substring(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))
-    return rows.select(key, "source", "name", "ord", value.alias("value"), F.when(quoted, "string").otherwise(scalar_kind(F.col("raw"))).alias("kind"))
+    """(key, source, name, ord, value, kind, card): the front matter's mapping and inline fields outside code. A field that
+    a document has several times is a list in the order of its places."""
+    front = mapping.properties(blocks.where(F.col("type") == "frontmatter").select(key, "text"), key, "text", "yaml").withColumn("source", F.lit("frontmatter"))
+    body = blocks.where(~F.col("type").isin("code", "frontmatter")).select(key, "ordinal", F.regexp_replace("text", r"(`+)[^`]+\1", "").alias("text"))
+
+    def found(form: int) -> Column:
+        groups = lambda m: F.struct(F.lit(form).alias("form"), F.regexp_extract(m, _FIELDS[form], 1).alias("name"), F.regexp_extract(m, _FIELDS[form], 2).alias("value"))
+        return F.transform(F.regexp_extract_all("text", F.lit(_FIELDS[form]), F.lit(0)), groups)
+
+    fields = body.select(key, "ordinal", F.posexplode(F.concat(found(0), found(1))).alias("p", "m")).select(key, "ordinal", "p", "m.name", F.trim("m.value").alias("value"))
+    each = Window.partitionBy(key, "name")
+    fields = fields.withColumn("ord", F.row_number().over(each.orderBy("ordinal", "p")) - 1).withColumn("card", F.when(F.count(F.lit(1)).over(each) > 1, "list").otherwise("scalar"))
+    number = r"^([-+]?(\d+|\d*\.\d+|\d+\.)([eE][-+]?\d+)?|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)$"
+    fields = fields.withColumn("kind", F.when(F.col("value").isin("true", "false"), "bool").when(F.col("value").rlike(number), "number").otherwise("string")).withColumn("source", F.lit("inline"))
+    out = [key, "source", "name", "ord", "value", "kind", "card"]
+    return front.select(*out).unionByName(fields.select(*out))
+
+
+def computed(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, name, ord, value): `_title`, the first top heading with a text, and `_tags`, the #tags outside headings and
+    code, each once, in the order in which they first stand."""
+    body = blocks.where(~F.col("type").isin("code", "frontmatter"))
+    heads = body.where("type = 'heading' and level = 1 and trim(text) <> ''")
+    titles = heads.groupBy(key).agg(F.min_by("text", "ordinal").alias("value")).select(key, F.lit("_title").alias("name"), F.lit(0).alias("ord"), "value")
+    tags = body.where("type <> 'heading'").select(key, "ordinal", F.posexplode(F.regexp_extract_all("raw", F.lit(r"(?:^|\s)#([a-zA-Z][\w/-]*)"), F.lit(1))).alias("p", "value"))
+    tags = tags.groupBy(key, "value").agg(F.min(F.struct("ordinal", "p")).alias("at"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
+    return titles.unionByName(tags.select(key, F.lit("_tags").alias("name"), order.alias("ord"), "value"))
 
 
 def outline(blocks: DataFrame, key: str) -> DataFrame:

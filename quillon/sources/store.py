@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import search
+from ..plans.lower import NAMES
 from ..plans.parser import Body, QueryError
 from . import corpus
 from .catalog import Catalog, Relation
 
 
-def tables(documents: DataFrame, revisions: DataFrame | None = None, keys: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def tables(documents: DataFrame, revisions: DataFrame | None = None, keys: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The five collections of documents (id string, path, text, deleted boolean). keys: authored front matter keys that
-    become columns of docs. revisions: (doc, seq, text) or None. Deleted documents leave all but the revisions."""
+    become columns of docs, nested ones dotted; lists: those that become lists of texts. revisions: (doc, seq, text) or None. Deleted documents leave all but the revisions."""
     live = documents.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in documents.columns else documents
     parsed = corpus.blocks(live.select("id", "text"), "id", "text")
     paths = live.select(F.col("id").alias("_doc_id"), F.col("path").alias("_path"))
@@ -28,15 +29,17 @@ def tables(documents: DataFrame, revisions: DataFrame | None = None, keys: tuple
     body = parsed.where(F.col("type") != "frontmatter").withColumn("_top", F.max(F.when(F.col("depth") == 0, F.col("ordinal"))).over(order))
     blocks = body.select(
         bid(F.col("id"), F.col("ordinal")).alias("_id"), F.col("id").alias("_doc_id"), F.col("type").alias("_type"), F.col("text").alias("_text"), F.col("raw").alias("_raw"), F.sha2("raw", 256).alias("_hash"),
-        F.col("ordinal").alias("_ordinal"), F.col("depth").alias("_depth"), bid(F.col("id"), F.col("parent")).alias("_parent_id"), "_top", "level", "checked",
+        F.col("ordinal").alias("_ordinal"), F.col("depth").alias("_depth"), bid(F.col("id"), F.col("parent")).alias("_parent_id"), "_top", "level", "checked", F.col("above").alias("_above"),
     ).join(paths, "_doc_id")
     sections = corpus.sections(body, "id")
     title = sections.groupBy("id").agg(F.min_by("heading", "first").alias("heading"))
-    props = corpus.properties(parsed, "id").where("source = 'frontmatter' and ord = 0")
-    wanted = ("title", *keys)
-    authored = props.where(F.col("name").isin(*wanted)).groupBy("id").agg(*(F.max(F.when(F.col("name") == k, F.col("value"))).alias(f"p_{k}") for k in wanted))
+    wanted = tuple(dict.fromkeys(("title", *keys)))
+    props = corpus.properties(parsed, "id").where((F.col("source") == "frontmatter") & F.col("name").isin(*wanted, *lists))
+    first = lambda k: F.max(F.when((F.col("name") == k) & (F.col("ord") == 0), F.col("value"))).alias(f"p_{k}")
+    whole = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == k, F.struct("ord", "value")))), lambda x: x["value"]).alias(f"q_{k}")
+    authored = props.groupBy("id").agg(*(first(k) for k in wanted), *(whole(k) for k in lists))
     docs = live.select("id", "path", F.sha2("text", 256).alias("_hash")).join(authored, "id", "left").join(title, "id", "left")
-    docs = docs.select(F.col("id").alias("_id"), F.col("path").alias("_path"), "_hash", F.coalesce("p_title", "heading", "path").alias("_title"), *(F.col(f"p_{k}").alias(k) for k in keys))
+    docs = docs.select(F.col("id").alias("_id"), F.col("path").alias("_path"), "_hash", F.coalesce("p_title", "heading", "path").alias("_title"), *(F.col(f"`p_{k}`").alias(k) for k in keys), *(F.coalesce(F.col(f"`q_{k}`"), F.array().cast("array<string>")).alias(k) for k in lists))
     node = sections.select(F.col("id").alias("_doc_id"), F.concat(F.lit("s_"), "id", F.lit("_"), "first").alias("_id"), F.lit("md:section").alias("_kind"), F.col("heading").alias("_name"), bid(F.col("id"), F.col("first")).alias("_block_id"), "level", F.col("first").alias("first_ordinal"), F.col("last").alias("last_ordinal"), F.lit(None).cast("boolean").alias("checked"))
     none = F.lit(None).cast("int")
     task = corpus.tasks(body, "id").select(F.col("id").alias("_doc_id"), F.concat(F.lit("t_"), "id", F.lit("_"), "ordinal").alias("_id"), F.lit("md:task").alias("_kind"), F.col("text").alias("_name"), bid(F.col("id"), F.col("ordinal")).alias("_block_id"), none.alias("level"), none.alias("first_ordinal"), none.alias("last_ordinal"), "checked")
@@ -59,6 +62,15 @@ def tables(documents: DataFrame, revisions: DataFrame | None = None, keys: tuple
     return out
 
 
+def references(docs: DataFrame, rows: DataFrame, key: str, held: str) -> DataFrame:
+    """(key, pos, dst, path) of the documents that the texts of a list column name, by path with or without a leading
+    slash, else by id; in the list's order, repeated ones kept, dangling ones dropped. One equality join over names."""
+    names = docs.select(F.col("_path").alias("_name"), F.lit(0).alias("_by"), "_id", "_path").unionByName(docs.where(F.col("_id").startswith("d_")).select(F.col("_id").alias("_name"), F.lit(1).alias("_by"), "_id", "_path"))
+    each = rows.select(F.col(key).alias("_k"), F.posexplode(held).alias("pos", "_t")).withColumn("_name", F.regexp_replace("_t", "^/", ""))
+    best = each.join(names, "_name").groupBy("_k", "pos").agg(F.min_by(F.struct("_id", "_path"), F.struct("_by", "_id")).alias("d"))
+    return best.select(F.col("_k").alias(key), "pos", F.col("d._id").alias("dst"), F.col("d._path").alias("path"))
+
+
 def _to(to: str, own: str, theirs: str, consumer: str | None = None) -> Relation:
     return Relation(to, ((own, "==", theirs),), consumer)
 
@@ -145,22 +157,22 @@ def _under_heading(coll: str | None, args: list) -> tuple:
 
 
 def _under(coll: str | None, args: list) -> tuple:
-    """Blocks in the tree of a block: it, its children and theirs; nesting is at most a few levels."""
+    """A block, and the blocks that it holds at any depth."""
     _only(coll, ("blocks",), "under")
-    target = ("lit", _literal(args))
-    parent = lambda inner: _exists("blocks", ("op", "==", _name("_id"), _name("_parent_id", 1)), inner)
-    test = ("op", "==", _name("_id"), target)
-    for _ in range(4):
-        test = ("op", "or", ("op", "==", _name("_id"), target), parent(test))
-    return test
+    target = F.lit(_literal(args))
+
+    def test(frame) -> Column:
+        doc = F.col(frame.fields["_doc_id"])
+        return (F.col(frame.fields["_id"]) == target) | F.exists(F.col(frame.fields["_above"]), lambda a: F.concat(F.lit("b_"), doc, F.lit("_"), a["ordinal"]) == target)
+
+    return ("host", test)
 
 
 def _under_kind(coll: str | None, args: list) -> tuple:
+    """Blocks that a block of a type holds, at any depth, with a text in it if there is one."""
     _only(coll, ("blocks",), "under_kind")
-    tests = [("op", "==", _name("_type"), ("lit", _literal(args)))]
-    if len(args) > 1:
-        tests.append(("method", _name("_text"), "contains", [("lit", _literal(args, 1))]))
-    return _exists("blocks", ("op", "==", _name("_id"), _name("_parent_id", 1)), *tests)
+    kind, text = _literal(args), _literal(args, 1) if len(args) > 1 else ""
+    return ("host", lambda frame: F.exists(F.col(frame.fields["_above"]), lambda a: (a["type"] == kind) & F.contains(a["text"], F.lit(text))))
 
 
 def _has_edge(coll: str | None, args: list) -> tuple:
@@ -207,4 +219,8 @@ def catalog(collections: dict[str, DataFrame], phrases: dict[str, list[float]] |
     out = Catalog(relations=dict(RELATIONS), macros=dict(MACROS) | {"semantic": _semantic(phrases or {})})
     for name, df in collections.items():
         out.add(name, df, ORDER[name])
+    if "docs" in collections:
+        docs = collections["docs"]
+        names = F.array(F.col("_path"), F.concat(F.lit("/"), "_path"), F.when(F.col("_id").startswith("d_"), F.col("_id")))
+        out.add(NAMES, docs.withColumn("_name", F.explode(F.array_compact(names))), ["_path", "_id"])
     return out

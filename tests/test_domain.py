@@ -8,7 +8,7 @@ from quillon.operators import search, writes
 from quillon.plans.domain import DOMAIN, talks
 from quillon.plans.lower import execute
 from quillon.plans.parser import QueryError
-from quillon.sources import store
+from quillon.sources import corpus, store
 from quillon.streaming import feed
 
 
@@ -116,3 +116,65 @@ def test_embedding_stream_adds_nothing_twice(spark, tmp_path):
     each(rows, 1)
     got = spark.read.option("basePath", str(tmp_path / "v")).parquet(str(tmp_path / "v")).collect()
     assert sorted((r.content_hash, r.batch) for r in got) == [("h1", 0), ("h2", 1)]
+
+
+NESTED = """---
+title: One
+see:
+- /a/two.md
+- d_1
+- gone.md
+- a/two.md
+meta: {owner: ann}
+---
+
+# First
+
+- [ ] do
+  - mid
+    - [x] deep #tag
+
+See (due:: 3) and `[k:: v]` #tag #b/c
+k:: v
+- k:: true
+"""
+
+
+@pytest.fixture(scope="module")
+def nested(spark):
+    docs = spark.createDataFrame([("d_1", "a/one.md", NESTED), ("d_2", "a/two.md", "x"), ("d_3", "none.md", None)], "id string, path string, text string")
+    return corpus.blocks(docs, "id", "text"), store.tables(docs, None, ("title", "meta.owner"), ("see",))
+
+
+def test_properties_of_nested_front_matter_and_fields(nested):
+    got = {(r.source, r.name, r.ord, r.value, r.kind, r.card) for r in corpus.properties(nested[0], "id").collect()}
+    front = {("frontmatter", "see", i, v, "string", "list") for i, v in enumerate(["/a/two.md", "d_1", "gone.md", "a/two.md"])}
+    front |= {("frontmatter", "title", 0, "One", "string", "scalar"), ("frontmatter", "meta.owner", 0, "ann", "string", "scalar")}
+    assert got == front | {("inline", "due", 0, "3", "number", "scalar"), ("inline", "k", 0, "v", "string", "list"), ("inline", "k", 1, "true", "bool", "list")}
+    assert sorted((r.name, r.ord, r.value) for r in corpus.computed(nested[0], "id").collect()) == [("_tags", 0, "tag"), ("_tags", 1, "b/c"), ("_title", 0, "First")]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("docs { s, r: refs(s) { _id values } flatten see as s }", [("/a/two.md", ["d_2"]), ("a/two.md", ["d_2"]), ("d_1", ["d_1"]), ("gone.md", [])]),
+        ('docs { _id, n: refs("/a/two.md") count { } where refs(_path) exists { title == "One" } }', [("d_1", 1)]),
+        ('refs("a/two.md") { _id }', [("d_2",)]),
+        ("docs { _id where size(refs(_path)) == 1 }", [("d_1",), ("d_2",), ("d_3",)]),
+        ("docs { _id, meta.owner where meta.owner }", [("d_1", "ann")]),
+        ('blocks { _text where under("b_d_1_2") }', [("deep #tag",), ("do",), ("mid",)]),
+        ('blocks { _text where under_kind("task", "do") }', [("deep #tag",), ("mid",)]),
+        ('blocks { _text where under_kind("list_item") }', [("deep #tag",)]),
+        ('$it { n: docs count { }, b: blocks count { where _type == "task" } }', [(3, 2)]),
+    ],
+)
+def test_references_and_ancestors(text, want, nested):
+    assert sorted((tuple(r) for r in execute(store.catalog(nested[1]), text).collect()), key=str) == want
+
+
+def test_reference_lists_keep_order(nested):
+    docs = nested[1]["docs"]
+    assert sorted((r.pos, r.dst) for r in store.references(docs, docs.select("_title", "see"), "_title", "see").collect()) == [(0, "d_2"), (1, "d_1"), (3, "d_2")]
+    for text in ("docs { n: size(refs(see)) }", 'docs { _id where refs("a", "b") exists { } }'):
+        with pytest.raises(QueryError):
+            execute(store.catalog(nested[1]), text)

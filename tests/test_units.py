@@ -15,7 +15,7 @@ from quillon.plans import dql, reflect
 from quillon.plans.catalogue import CATALOGUE
 from quillon.plans.lower import execute
 from quillon.plans.parser import QueryError, parse
-from quillon.sources import corpus
+from quillon.sources import corpus, mapping
 from quillon.sources.catalog import Catalog
 from quillon.streaming import feed
 
@@ -133,6 +133,59 @@ last
 """
 
 
+YAML = """# c
+title: "My: note"   # why
+f: 1.50
+tags:
+- a
+- 'b''c'
+nested:
+  deep:
+    x: yes it is
+      going on
+    y: ~
+  list:
+    - p: 1
+      q: [1, {r: s}]
+    - z
+flow: {"b": [x y, "q,r"], c}
+url: http://x.y/z#frag
+lit: |
+  one
+    two
+
+fold: >-
+  a
+  b
+
+  c
+multi: [a,
+  b]
+e: []
+"""
+
+
+def test_mappings():
+    want = [
+        ("title", "scalar", 0, "My: note", "string"), ("f", "scalar", 0, "1.5", "number"), ("tags", "list", 0, "a", "string"), ("tags", "list", 1, "b'c", "string"),
+        ("nested.deep.x", "scalar", 0, "yes it is going on", "string"), ("nested.deep.y", "scalar", 0, None, "null"), ("nested.list", "list", 0, '[{"p":1,"q":[1,{"r":"s"}]},"z"]', "json"),
+        ("flow.b", "list", 0, "x y", "string"), ("flow.b", "list", 1, "q,r", "string"), ("flow.c", "scalar", 0, None, "null"), ("url", "scalar", 0, "http://x.y/z#frag", "string"),
+        ("lit", "scalar", 0, "one\n  two\n", "string"), ("fold", "scalar", 0, "a b\nc", "string"), ("multi", "list", 0, "a", "string"), ("multi", "list", 1, "b", "string"),
+    ]
+    assert mapping.rows_of(YAML, "yaml") == want
+    assert mapping.rows_of(YAML.replace("\n", "\r\n"), "yaml") == want
+
+
+@pytest.mark.parametrize("text", ["a: 1\na: 2", "- x", "plain", "a: &x 1", "a: [1", "\ta: 1", "a: b: c", "", "a: 1\n b: 2", 'a: "x', "a: 1\n- b", None])
+def test_malformed_mappings_have_no_rows(text):
+    assert mapping.rows_of(text, "yaml") == []
+
+
+def test_json_mappings():
+    assert mapping.rows_of('{"a": {"b": [1, 2.0]}, "c": [[1]], "c": 3}', "json") == [("a.b", "list", 0, "1", "number"), ("a.b", "list", 1, "2", "number"), ("c", "scalar", 0, "3", "number")]
+    assert [mapping.rows_of(t, "json") for t in ("[1]", '{"a": NaN}', '{"a": 1,}', "")] == [[], [], [], []]
+
+
 def test_blocks(spark):
     bs = corpus.parse_blocks(MARKDOWN)
     assert [b.type for b in bs] == ["frontmatter", "heading", "paragraph", "list_item", "task", "task", "list_item", "heading", "blockquote", "table", "code", "heading", "thematic_break", "paragraph"]
