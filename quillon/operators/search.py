@@ -44,6 +44,11 @@ def parse_search(query: str) -> list[Term]:
     return out
 
 
+def _head(of: str) -> str:
+    """What every word with a stem begins with: its first letter, and all but its last two."""
+    return of[: max(1, len(of) - 2)]
+
+
 def _cut(toks: Column, heads: set[str]) -> Column:
     """The stems of the tokens that may have one of some stems, in their places; other tokens are empty. A stem keeps all of
     its word but a suffix, and ends in at most two letters that the word hasn't there, so most tokens are never cut."""
@@ -55,8 +60,8 @@ def hits(toks: Column, term: Term) -> Column:
     """How often a term stands in a list of tokens; words meet by their stems, a prefix meets the stems that begin with its own."""
     wanted = [stem(w) for w in term.words]
     last = len(wanted) - 1
-    toks = toks if last else F.filter(toks, lambda t: F.startswith(t, F.lit(wanted[0][:-2])))
-    toks = _cut(toks, {w[:-2] for w in wanted})
+    toks = toks if last else F.filter(toks, lambda t: F.startswith(t, F.lit(_head(wanted[0]))))
+    toks = _cut(toks, {_head(w) for w in wanted})
     meets = lambda t, k: F.startswith(t, F.lit(wanted[k])) if term.prefix and k == last else t == F.lit(wanted[k])
     if last == 0:
         return F.size(F.filter(toks, lambda t: meets(t, 0)))

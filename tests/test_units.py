@@ -80,7 +80,7 @@ def test_stems_are_those_of_sqlite(spark):
     assert [stemming.stem(w) for w in folded] == [want[i] for i in range(len(words))]
     rows = spark.createDataFrame(list(enumerate(folded)), "i int, w string").select("i", "w", stemming.stems(F.array("w"))[0].alias("s")).collect()
     assert {x.i: x.s for x in rows} == want
-    assert all(x.w.startswith(x.s[:-2]) for x in rows)
+    assert all(x.w.startswith(search._head(x.s)) for x in rows)
 
 
 def test_search_meets_stems(spark):
