@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .spark_util import partitions, removed, written
+from .spark_util import bounded_batches, partitions, removed, written
 
 FAMILY_BITS = 6
 FAMILIES = 1 << FAMILY_BITS
@@ -52,6 +52,8 @@ BURN_IN, SAMPLES, SEED = 1, 2, np.uint64(20240607)
 #: Customers that are seated one by one; each later step seats a 32nd of those seated.
 SINGLY = 32
 SLICE = 6 << 20
+#: Of an Arrow batch: a batch of documents is one slice, and a shard's blobs come a few at a time.
+BATCH = SLICE - (SLICE >> 4)
 #: Text of a shard at most, on average.
 SHARD_BYTES = 10 << 20
 #: Log probabilities are summed as integers of this unit, so that the order of the sums doesn't matter.
@@ -194,11 +196,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One model row per shard: sorted words, number of contexts of each, contexts (also those asked for), place of each
     pair's, counts."""
     for shard, rows in _by_shard(batches, ("shard", "blob")):
-        parts = [_unpack(r[0]) for r in rows]
+        rows.reverse()
+        parts = [_unpack(rows.pop()[0]) for _ in range(len(rows))]  # a blob goes as soon as it is unpacked
         words, contexts = (np.unique(np.concatenate([p[i] for p in parts])) for i in (0, 2))
         key = np.concatenate([np.repeat(np.searchsorted(words, p[0]), p[1]) << 32 | np.searchsorted(contexts, p[2])[p[3]] for p in parts])
         count = np.concatenate([p[4].astype(np.int64) for p in parts])
-        del parts, rows
+        del parts
         order = np.argsort(key)
         key, count = key[order], count[order]
         pair = T.distinct_runs(key)
@@ -414,8 +417,13 @@ def _kinds(model: DataFrame, seatings: list[tuple[DataFrame, DataFrame]]) -> Dat
     return rows
 
 
+def _placed(rows: DataFrame, shards: int, by: str) -> DataFrame:
+    """A partition for each shard: dealt by hash, several large ones would meet in one task."""
+    return rows.repartitionById(shards, F.col(by).cast("int"))
+
+
 def _sorted(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "slice")
+    return _placed(rows, shards, "shard").sortWithinPartitions("shard", "kind", "slice")
 
 
 def _swept(model: DataFrame, vocabulary: int, number: int, before: tuple[DataFrame, DataFrame] | None, head: Totals | None, shards: int) -> tuple[DataFrame, DataFrame, Totals]:
@@ -423,7 +431,7 @@ def _swept(model: DataFrame, vocabulary: int, number: int, before: tuple[DataFra
     rows = _sorted(_kinds(model, [before] if before else []), shards)
     sent = written(rows.mapInArrow(_seated(vocabulary, number, head, shards), "kind int, place long, shard long, blob binary"), "seating", "kind")
     asked = sent.where(F.col("kind") == TOTALS).drop("kind")
-    out = written(asked.repartition(shards, "place").sortWithinPartitions("place", "shard").mapInArrow(_summed, "shard long, slice long, blob binary"), "totals")
+    out = written(_placed(asked, shards, "place").sortWithinPartitions("place", "shard").mapInArrow(_summed, "shard long, slice long, blob binary"), "totals")
     removed(sent, f"kind={TOTALS}")
     row = out.where("shard < 0").first()
     *sums, n = _unpack(row["blob"]) if row else [np.empty(0, np.int64)] * 4 + [np.zeros(6, np.int64)]
@@ -568,12 +576,19 @@ def _sum(n_tokens: int):
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with bounded_batches(docs.sparkSession, BATCH):
+        n_tokens, answers = _answers(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), burn_in, samples)
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return answers.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), out)
+
+
+def _answers(base: DataFrame, burn_in: int, samples: int) -> tuple[int, DataFrame]:
+    """Tokens learnt from, and rows for _sum(). All are written here: slices are numbered by Arrow's batches, so the ids
+    must not be cut later, when the session's batches may differ."""
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     counted = base.mapInArrow(_count(shards), "shard long, blob binary")
-    model = written(counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, blob binary, n long, v long"), "restaurants")
+    model = written(_placed(counted, shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, blob binary, n long, v long"), "restaurants")
     n_tokens, vocabulary = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     seatings: list[tuple[DataFrame, DataFrame]] = []
     head, heads = None, []
@@ -582,10 +597,9 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
         seatings.append((state, reply))
         heads.append(head)
     last = _kinds(model, seatings[burn_in + 1 :])
-    answers = base.mapInArrow(_ids, "slice long, kind int, blob binary")
+    answers = written(base.mapInArrow(_ids, "slice long, kind int, blob binary"), "ids")
     for part in range(ROUNDS):
         rows = base.mapInArrow(_ask(shards, part), SCORE).unionByName(last.where(F.col("shard") % ROUNDS == part))
         found = written(_sorted(rows, shards).mapInArrow(_answer(vocabulary, n_tokens, heads[burn_in + 1 :], shards), "slice long, blob binary"), "answers")
         answers = answers.unionByName(found.select("slice", F.lit(1).alias("kind"), "blob"))
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return answers.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_sum(n_tokens), out)
+    return n_tokens, answers

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,28 @@ def removed(table: DataFrame, part: str = "") -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes after which Spark ends an Arrow batch; unset, a batch has 10,000 rows of whatever size, and both the JVM and the
+#: Python worker hold it several times over.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int) -> None:
+    """From now on the session's Arrow batches end at about size bytes, unless a limit is set already."""
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(size))
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """For what runs inside, Arrow batches end at about size bytes."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -299,6 +300,37 @@ def test_language_model_ignores_partitions(spark):
     assert found[0] == found[1]
 
 
+def test_language_model_has_a_partition_for_each_shard(spark):
+    rows = spark.range(0, 600, 1, 3).select((F.col("id") % 30).alias("shard"), F.lit(0).alias("kind"), F.col("id").alias("slice"))
+    found = hpy._sorted(rows, 30).select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+    assert len(found) == 30 and {r["count"] for r in found} == {1}
+
+
+def test_language_model_reads_bounded_batches(spark, monkeypatch):
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 7, ' '), 10000)").alias("text"))
+    seen, count = [], hpy._count
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def spied(shards):
+        seen.append(max(r["n"] for r in docs.select("text").mapInArrow(size, "n long").collect()))
+        return count(shards)
+
+    monkeypatch.setattr(hpy, "_count", spied)
+    scores = hpy.language_model_scores(docs)
+    assert 1 << 20 < seen[0] <= hpy.SLICE
+    # Batches of another size when the scores are read don't mix up slices.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    try:
+        spark.conf.set(key, "7")
+        assert sorted(r["doc_id"] for r in scores.collect()) == list(range(300))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_each_word_is_a_context(spark):
     """Unlike preceding words share no restaurant, and customers of all restaurants are counted."""
     rows = [(i, " ".join(f"w{i}x{j} {'the' if j % 2 else 'a'}" for j in range(100))) for i in range(100)]
