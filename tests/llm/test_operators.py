@@ -607,6 +607,31 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert zlib.crc32(raw[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(raw)
 
 
+def test_pipeline_reads_bounded_batches(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 7, ' '), 10000)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(60000).cast("long").alias("n_chars"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        after = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, DIR)
+        # The stage's rows are read after it has returned.
+        assert 1 << 20 < max(r["n"] for r in docs.select("text").mapInArrow(size, "n long").collect()) <= 4 << 20
+        kept = after.select("doc_id", F.length("text").alias("n")).collect()
+        assert sorted(r["doc_id"] for r in kept) == list(range(300))
+        assert sorted(r["doc_id"] for r in kept if r["n"]) == list(range(293, 300))
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+        else:
+            spark.conf.unset(key)
+
+
 def test_pipeline_takes_effect(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
