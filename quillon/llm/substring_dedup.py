@@ -16,8 +16,9 @@ path, with its source coordinates (document, first window).
    nothing. Hashes above only propose.
 
 Each slice of documents settles its own repeats of a path before the shuffle (all but the least coordinates are spans
-already), so a path that a third of all rows hold sends one row per slice; both joins stream over sorted rows and hold
-one row at a time, whatever the size of a group.
+already, compacted there and sent along a few dozen to a row), so a path that a third of all rows hold sends one row per
+slice and every text is cut into paths once; both joins stream over sorted rows and hold one row at a time, whatever the
+size of a group.
 
 Coordinates order by (doc_id, hash of the text, position), so rows that repeat both are one document, with one result
 each. Null id: below all others, kept null. Null or empty text: no words. Empty table: no rows. Extra columns are not
@@ -88,14 +89,25 @@ def paths(codes: np.ndarray, first: np.ndarray, window: int, anchor: int = ANCHO
 
 REPEAT, BRANCH = 1, 2
 SPAN = "doc long, th long, lo int, n int, sdoc long, sth long, slo int"
-ROW = "anchor long, path long, " + SPAN
+#: settled: null for a path, else repeats that a slice has settled itself, packed as SETTLED.
+ROW = "anchor long, path long, doc long, th long, lo int, n int, settled binary"
 FOUND = "kind int, " + SPAN
+SETTLED = np.dtype([("doc", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("sdoc", "<i8"), ("sth", "<i8"), ("slo", "<i4")])
+#: Settled repeats of a row: a batch of 10,000 such rows has 28 MB.
+PACK = 64
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32()}
     names, types = zip(*(f.split() for f in schema.split(", ")))
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), kinds[t]) for c, t in zip(columns, types)], list(names))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.asarray(c), kinds[t]) for c, t in zip(columns, types)], list(names))
+
+
+def _follows(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, n: np.ndarray, sdoc: np.ndarray, sth: np.ndarray, slo: np.ndarray) -> np.ndarray:
+    """Mask of sorted repeats: it continues the one before, and its source that one's source."""
+    on = np.zeros(len(doc), bool)
+    on[1:] = (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (lo[1:] == lo[:-1] + n[:-1]) & (sdoc[1:] == sdoc[:-1]) & (sth[1:] == sth[:-1]) & (slo[1:] == slo[:-1] + n[:-1])
+    return on
 
 
 def _paths(window: int):
@@ -115,9 +127,27 @@ def _paths(window: int):
             d, p = doc[order], start[order]
             head = np.maximum.accumulate(np.where(source, np.arange(len(order)), 0))
             source |= (s.ids[d] == s.ids[d[head]]) & (th[d] == th[d[head]]) & (p == p[head])
-            # n > 0: a path to be shuffled; n < 0: a repeated span of -n windows, settled here.
-            n = (hi - lo + 1)[order] * np.where(source, 1, -1)
-            yield _batch([T.signed(anchor[order]), T.signed(path[order]), s.ids[d], th[d], p, n, s.ids[d[head]], th[d[head]], p[head]], ROW)
+            n = (hi - lo + 1)[order]
+            i = np.flatnonzero(source)
+            yield _batch([T.signed(anchor[order[i]]), T.signed(path[order[i]]), s.ids[d[i]], th[d[i]], p[i], n[i], pa.nulls(len(i), pa.binary())], ROW)
+            i = np.flatnonzero(~source)
+            if not len(i):
+                continue
+            i = i[np.lexsort((p[i], d[i]))]
+            h = head[i]
+            spans = [s.ids[d[i]], th[d[i]], p[i], n[i], s.ids[d[h]], th[d[h]], p[h]]
+            # By rows of the slice, not by ids: a repeated row's spans stay its own.
+            at = np.flatnonzero(~_follows(d[i], *spans[1:]))
+            rows = np.empty(len(at), SETTLED)
+            for name, x in zip(SETTLED.names, spans):
+                rows[name] = x[at]
+            rows["n"] = np.add.reduceat(n[i], at)
+            first = np.arange(0, len(rows), PACK)
+            blobs = pa.array([rows[j : j + PACK].tobytes() for j in first.tolist()], pa.binary())
+            # Dealt by where they begin: by anchor, those of a hot one would meet in one task.
+            deal = T.mix64(rows["doc"][first].astype(T.U64) + T.mix64(rows["lo"][first].astype(T.U64)))
+            zero = np.zeros(len(first), np.int64)
+            yield _batch([T.signed(deal), zero, zero, zero, zero, zero, blobs], ROW)
 
     return run
 
@@ -127,12 +157,16 @@ EDGE = "h1 long, h2 long, doc long, th long, lo int"
 
 def _met(by_path: bool):
     """Rows sorted by two keys and coordinates: later coordinates of equal keys as REPEAT of the first ones. by_path (keys
-    anchor and path): also first coordinates as BRANCH, where the anchor has several paths."""
+    anchor and path): also first coordinates as BRANCH, where the anchor has several paths, and settled repeats as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # keys and source of the row before
         held = None  # the source of an anchor's only path so far
         for b in batches:
+            if by_path and (packs := b.column(6).drop_null()):
+                rows = np.frombuffer(b"".join(packs.to_pylist()), SETTLED)
+                yield _batch([np.full(len(rows), REPEAT), *(rows[c] for c in SETTLED.names)], FOUND)
+                b = b.filter(b.column(6).is_null())
             if not b.num_rows:
                 continue
             a, k, doc, th, lo = (np.asarray(b.column(i)) for i in range(5))
@@ -242,9 +276,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         doc, th, lo, n, sdoc, sth, slo = (np.asarray(b.column(i)) for i in range(7))
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (lo[1:] != lo[:-1] + n[:-1]) | (sdoc[1:] != sdoc[:-1]) | (sth[1:] != sth[:-1]) | (slo[1:] != slo[:-1] + n[:-1])
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(~_follows(doc, th, lo, n, sdoc, sth, slo))
         rows = np.empty(len(at), RUN)
         for name, x in (("lo", lo), ("sdoc", sdoc), ("sth", sth), ("slo", slo)):
             rows[name] = x[at]
@@ -274,9 +306,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     p = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = base.mapInArrow(_paths(window), ROW)
-    met = rows.where("n > 0").select("anchor", "path", "doc", "th", "lo", "n").repartition(p, "anchor").sortWithinPartitions("anchor", "path", "doc", "th", "lo").mapInArrow(_met(True), FOUND)
-    settled = rows.where("n < 0").select(F.lit(REPEAT).alias("kind"), "doc", "th", "lo", (-F.col("n")).alias("n"), "sdoc", "sth", "slo")
-    found = written(met.unionByName(settled), "spans")
+    found = written(rows.repartition(p, "anchor").sortWithinPartitions("anchor", "path", "doc", "th", "lo").mapInArrow(_met(True), FOUND), "spans")
 
     branching = packed(found.where(F.col("kind") == BRANCH)).withColumnRenamed("spans", "asked")
     cut = hashed(docs, id_col, text_col).join(branching, ["doc", "th"]).select("id", "text", "doc", "th", "asked")

@@ -408,6 +408,39 @@ def test_repeats_are_verified_by_their_source(spark, monkeypatch):
     assert {r.n_removed for r in sd.substring_dedup(docs).collect()} == {0}
 
 
+def test_texts_are_cut_into_paths_once(spark, monkeypatch):
+    """One pass over the texts finds the paths and what their slices settle, and copies that a slice settles are one span each."""
+    from quillon.llm import substring_dedup as sd
+
+    text = " ".join(f"w{j}" for j in range(2000))
+    periodic = " ".join("abc"[j % 3] for j in range(400))
+    texts = [text] * 10 + [f"{text[:4000]} other {text[4000:]}", periodic, periodic, "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, text)], "doc_id long, text string").coalesce(1).localCheckpoint()
+    plans, spans, write = [], [], sd.written
+
+    def written(df, name):
+        if name != "spans":
+            return write(df, name)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        spans.append(write(df, name))
+        return spans[-1]
+
+    monkeypatch.setattr(sd, "written", written)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.substring_dedup(docs).collect())
+    seen, want = set(), collections.Counter()
+    for i, t in enumerate(texts):
+        words, gone = (t or "").split(), set()
+        for j in range(len(words) - 19):
+            w = tuple(words[j : j + 20])
+            gone.update(range(j, j + 20) if w in seen else ())
+            seen.add(w)
+        kept = " ".join(w for j, w in enumerate(words) if j not in gone)
+        want[i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 2 if i == 3 else 1
+    assert got == want
+    assert plans[0].count("MapInArrow") == 2 and "Union" not in plans[0]
+    assert spans[0].where(F.col("kind") == sd.REPEAT).where("doc between 1 and 9").count() == 10
+
+
 def test_rows_that_share_an_id_are_one_document(spark):
     line = "one line that is long enough"
     docs = spark.createDataFrame([(5, line + "\nx"), (5, line + "\ny"), (6, line)], "doc_id long, text string")
