@@ -158,9 +158,14 @@ _SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 def shingles(text: Column) -> Column:
     """The set of three-token shingles; one or two tokens are one shingle, no token none."""
     toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda t: t != "")
-    many = F.transform(F.sequence(F.lit(1), F.size(toks) - 2), lambda i: F.array_join(F.slice(toks, i, F.lit(3)), " "))
-    few = F.when(F.size(toks) > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.when(F.size(toks) > 2, many).otherwise(few))
+
+    def of(ts: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(ts) - 3), lambda i: F.concat_ws(" ", F.get(ts, i), F.get(ts, i + 1), F.get(ts, i + 2)))
+        few = F.when(F.size(ts) > 0, F.array(F.array_join(ts, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(ts) > 2, many).otherwise(few)
+
+    # The one-element list binds the tokens; named inside of many, a text would be split anew for each of its shingles.
+    return F.array_distinct(F.transform(F.array(toks), of)[0])
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -169,25 +174,58 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+#: Bits of the sketch of how frequent shingles are (a byte for each value), and keys that copies of one text join in at once.
+SKETCH_BITS, COPIES = 18, (256, 32)
+
+
+def _sketch(hashes: DataFrame) -> bytes:
+    """Classes of frequency, a sixteenth of a power of two each, of the hashes (h) that share their lowest bits."""
+    counts = hashes.groupBy(F.expr(f"h & {(1 << SKETCH_BITS) - 1}").cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    out = bytearray(1 << SKETCH_BITS)
+    for i, n in counts.toLocalIterator():
+        out[i] = min(255, round(16 * math.log2(n)))
+    return bytes(out)
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, text: str, threshold: float = 0.8) -> DataFrame:
     """(key_a, key_b, similarity) of all pairs at or above a Dice threshold.
 
-    Two sets that similar share one of the first |S| - ceil(|S| * t / (2 - t)) + 1 of their shingles in any common
-    order, here that of hashes, so only these prefixes meet in a join; the sets are compared once per candidate pair.
-    Texts without tokens pair with nothing.
+    Rows with one set are a class, and classes are compared. Two sets that similar share one of the first
+    |S| - ceil(|S| * t / (2 - t)) + 1 of their shingles in any common order, so only these prefixes meet in a join. The
+    order is from rare to frequent by a sketch of bounded size; where it errs, more prefixes meet, but none is missed.
+    What can't reach the threshold from the place where two prefixes meet is dropped, the rest is compared once. At the
+    end a class's keys, which lie in its row, pair block by block. Texts without tokens pair with nothing.
     """
     least = threshold / (2 - threshold)
-
-    def prefixed(df: DataFrame, key: str, side: str) -> tuple[DataFrame, DataFrame]:
-        sets = df.select(F.col(key).alias(key), F.array_sort(F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s))).alias(side)).where(F.size(side) > 0)
-        keep = F.size(side) - F.ceil(F.size(side) * least - 1e-9).cast("int") + 1
-        return sets, sets.select(key, F.size(side).alias(f"n{side}"), F.explode(F.slice(side, F.lit(1), keep)).alias("h"))
-
-    (sa, pa), (sb, pb) = prefixed(a, key_a, "_a"), prefixed(b, key_b, "_b")
-    near = (F.col("n_a") >= F.floor(F.col("n_b") * least)) & (F.col("n_b") >= F.floor(F.col("n_a") * least))
-    pairs = pa.join(pb, "h").where(near).select(key_a, key_b).distinct()
-    out = pairs.join(sa, key_a).join(sb, key_b)
-    return out.select(key_a, key_b, dice(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    none = lambda df, key: F.lit(None).cast(df.schema[key].dataType)
+    hashes = F.array_sort(F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s))).alias("s")
+    rows = a.select(F.col(key_a).alias("ka"), none(b, key_b).alias("kb"), hashes).unionByName(b.select(none(a, key_a).alias("ka"), F.col(key_b).alias("kb"), hashes))
+    classes = rows.groupBy(F.md5(F.array_join(F.col("s").cast("array<string>"), " ")).alias("c")).agg(F.first("s").alias("s"), F.collect_list("ka").alias("ka"), F.collect_list("kb").alias("kb")).where(F.size("s") > 0).persist()
+    sketch = F.lit(bytearray(_sketch(classes.select(F.explode("s").alias("h")))))
+    place = lambda h: F.substring(sketch, h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int") + 1, F.lit(1))
+    order = F.array_sort(F.transform("s", lambda h: F.struct(place(h).alias("f"), h.alias("h"))))
+    keep = F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1
+    prefix = classes.select("c", F.size("s").alias("n"), (F.size("ka") > 0).alias("a"), (F.size("kb") > 0).alias("b"), F.posexplode(F.slice(order, F.lit(1), keep)).alias("p", "x")).select("c", "n", "a", "b", "p", "x.h")
+    x, y = (prefix.select("h", *(F.col(k).alias(k + side) for k in ("c", "n", "a", "b", "p"))) for side in ("1", "2"))
+    shared = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    may = (F.col("c1") < F.col("c2")) & ((F.col("a1") & F.col("b2")) | (F.col("a2") & F.col("b1"))) & (shared >= (F.col("n1") + F.col("n2")) * (threshold / 2) - 1e-9)
+    near = x.join(y, "h").where(may).select("c1", "c2").distinct()
+    sets = lambda side: classes.select(F.col("c").alias("c" + side), F.col("s").alias("s" + side))
+    near = near.join(sets("1"), "c1").join(sets("2"), "c2").select("c1", "c2", dice(F.col("s1"), F.col("s2")).alias("similarity")).where(F.col("similarity") >= threshold)
+    both = near.select(F.explode(F.array(F.struct("c1", "c2"), F.struct(F.col("c2").alias("c1"), F.col("c1").alias("c2")))).alias("p"), "similarity").select("p.c1", "p.c2", "similarity")
+    # Each class pair is cut into blocks of keys of either side, so copies of one text pair in many tasks.
+    blocks = lambda keys, n: F.ceil(F.size(keys) / n).cast("int")
+    sized = lambda side, k: classes.where(F.size(k) > 0).select(F.col("c").alias("c" + side), blocks(k, COPIES[int(side) - 1]).alias("m" + side))
+    alike = classes.where((F.size("ka") > 0) & (F.size("kb") > 0)).select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.lit(1.0).alias("similarity"), blocks("ka", COPIES[0]).alias("m1"), blocks("kb", COPIES[1]).alias("m2"))
+    cells = both.join(sized("1", "ka"), "c1").join(sized("2", "kb"), "c2").unionByName(alike)
+    cells = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m2") - 1)))
+
+    def keys(k: str, side: str, at: str, name: str) -> DataFrame:
+        each = classes.select(F.col("c").alias("c" + side), F.posexplode(k).alias("p", name))
+        return each.select("c" + side, F.floor(F.col("p") / COPIES[int(side) - 1]).cast("int").alias(at), name)
+
+    out = cells.join(keys("ka", "1", "i", "_ka"), ["c1", "i"]).join(keys("kb", "2", "j", "_kb"), ["c2", "j"])
+    return out.select(F.col("_ka").alias(key_a), F.col("_kb").alias(key_b), "similarity")
 
 
 def idf(n: int, found: int) -> float:

@@ -116,3 +116,21 @@ def test_moves_take_the_most_similar_first(spark):
     schema = "doc string, id string, position int, type string, text string"
     got = {(r.carried_id, r.replaced_id): (r.kind, round(r.confidence, 6)) for r in moves(spark.createDataFrame(gone, schema), spark.createDataFrame(came, schema)).collect()}
     assert got == {("o0", "n0"): ("moved", 1.0), ("o2", "n2"): ("edited_moved", round(text_sim(base[2], base[2] + " tail"), 6))}
+
+
+def test_similar_pairs_of_copies_and_variants(spark):
+    """All pairs of rows, copies in several blocks of keys among them; a text is split once, not once a shingle."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import search
+    from quillon.operators.matching import shingle_set
+
+    assert str(search.shingles(F.col("text"))).count("split") == 1
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words)] * 70 + [" ".join(words).upper()] + [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in range(0, 40, 5)] + ["one", "one  ", "two words", "", None]
+    a = list(enumerate(texts)) + [(5, "other text of five words")]
+    b = [(f"m{i}", t) for i, t in a[30:]]
+    got = search.similar_pairs(spark.createDataFrame(a, "k long, text string"), spark.createDataFrame(b, "m string, text string"), "k", "m", "text", 0.8).collect()
+    sets = lambda rows: [(k, shingle_set(t or "")) for k, t in rows]
+    want = [(k, m, 2 * len(x & y) / (len(x) + len(y))) for k, x in sets(a) for m, y in sets(b) if x and y and 2 * len(x & y) >= 0.8 * (len(x) + len(y))]
+    assert sorted((r.k, r.m, round(r.similarity, 9)) for r in got) == sorted((k, m, round(s, 9)) for k, m, s in want)
