@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 OPS = ("insert", "update", "move", "remove", "split", "merge")
 
@@ -64,10 +65,6 @@ def apply_one(blocks: list[tuple[str, str]], op: str, new: str, id_: str | None,
     return [*blocks[:i], (id_, blocks[i][1] + (raw or "") + blocks[i + 1][1]), *blocks[i + 2 :]]
 
 
-def _whole(x: object) -> object:
-    return None if x is None or isinstance(x, float) and x != x else x
-
-
 def apply_edits(blocks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, outcomes): the new snapshot, and per edit seq with its error or null."""
     doc = blocks.schema["doc"].dataType
@@ -75,19 +72,23 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFra
     need = {"id": "string", "raw": "string", "after": "string", "at": "int", "expect": "string"}
     edits = edits.select(F.col("doc").alias("doc"), F.col("seq").cast("long").alias("seq"), "op", *(F.col(c).cast(t).alias(c) if c in edits.columns else F.lit(None).cast(t).alias(c) for c, t in need.items()))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = (a if len(a) else b)["doc"].iloc[0]
-        now = list(a.sort_values(["order", "id"])[["id", "raw"]].itertuples(index=False, name=None))
+    arrow = to_arrow_schema(schema)
+    last = lambda *key: [(x is None, x) for x in key]  # nulls are last
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        d = (a if a.num_rows else b)["doc"][0].as_py()
+        rows = sorted(zip(*(a[c].to_pylist() for c in ("order", "id", "raw"))), key=lambda r: last(*r[:2]))
+        now = [(i, r) for _, i, r in rows]
         out = []
-        for seq, op, id_, raw, after, at, expect in b.sort_values("seq")[["seq", "op", *need]].itertuples(index=False, name=None):
-            error, at = None, _whole(at)
+        for seq, op, id_, raw, after, at, expect in sorted(zip(*(b[c].to_pylist() for c in ("seq", "op", *need))), key=lambda r: last(r[0])):
+            error = None
             try:
-                now = apply_one(now, op, fresh_id(d, seq), _whole(id_), _whole(raw), _whole(after), None if at is None else int(at), _whole(expect))
+                now = apply_one(now, op, fresh_id(d, seq), id_, raw, after, at, expect)
             except Conflict as e:
                 error = str(e)
             out.append((d, "edit", None, seq, None, error))
         out += [(d, "block", i, n, r, None) for n, (i, r) in enumerate(now)]
-        return pd.DataFrame(out, columns=schema.fieldNames(), dtype=object)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
-    rows = blocks.select("doc", "id", "order", "raw").groupBy("doc").cogroup(edits.groupBy("doc")).applyInPandas(run, schema).persist()
+    rows = blocks.select("doc", "id", "order", "raw").groupBy("doc").cogroup(edits.groupBy("doc")).applyInArrow(run, schema).persist()
     return rows.where("kind = 'block'").select("doc", "id", "order", "raw"), rows.where("kind = 'edit'").select("doc", F.col("order").alias("seq"), "error")

@@ -7,10 +7,11 @@ blocks, is compared within its document in one task.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .search import similar_pairs
 
@@ -54,21 +55,24 @@ def match_blocks(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD) -
         right = right.join(found.select("doc", F.col("new_id").alias("id")), ["doc", "id"], "left_anti")
     schema = T.StructType([T.StructField("doc", old.schema["doc"].dataType), *T.StructType.fromDDL("old_id string, new_id string, method string, similarity double").fields])
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = (a if len(a) else b)["doc"].iloc[0]
+    arrow = to_arrow_schema(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        d = (a if a.num_rows else b)["doc"][0].as_py()
+        ao, bo = a["ordinal"].to_pylist(), b["ordinal"].to_pylist()
         by: dict[tuple, list[int]] = {}
-        sets = [shingle_set(t) for t in b["text"]]
+        sets = [shingle_set(t) for t in b["text"].to_pylist()]
         for j, s in enumerate(sets):
             for x in s:
                 by.setdefault(x, []).append(j)
         pairs = []
-        for i, t in enumerate(a["text"]):
+        for i, t in enumerate(a["text"].to_pylist()):
             mine, shared = shingle_set(t), {}
             for x in mine:
                 for j in by.get(x, ()):
                     shared[j] = shared.get(j, 0) + 1
-            pairs += [(-2 * n / (len(mine) + len(sets[j])), abs(a["ordinal"].iloc[i] - b["ordinal"].iloc[j]), i, j) for j, n in shared.items()]
-        ai, bi, out, used_a, used_b = list(a["id"]), list(b["id"]), [], set(), set()
+            pairs += [(-2 * n / (len(mine) + len(sets[j])), abs(ao[i] - bo[j]), i, j) for j, n in shared.items()]
+        ai, bi, out, used_a, used_b = a["id"].to_pylist(), b["id"].to_pylist(), [], set(), set()
         for s, _, i, j in sorted(pairs):
             if i in used_a or j in used_b:
                 continue
@@ -80,9 +84,9 @@ def match_blocks(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD) -
                 out.append((d, ai[i], bi[j], "near", -s))
         out += [(d, x, None, "deleted", None) for i, x in enumerate(ai) if i not in used_a]
         out += [(d, None, x, "inserted", None) for j, x in enumerate(bi) if j not in used_b]
-        return pd.DataFrame(out, columns=schema.fieldNames()).astype({"similarity": "float64"})
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
-    rest = left.groupBy("doc").cogroup(right.groupBy("doc")).applyInPandas(run, schema)
+    rest = left.groupBy("doc").cogroup(right.groupBy("doc")).applyInArrow(run, schema)
     return matched.unionByName(rest)
 
 

@@ -10,10 +10,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import mapping
 
@@ -123,22 +124,37 @@ def _starts(line: str) -> bool:
     return bool(_HEADING.match(line) or _FENCE.match(line) or _RULE.match(line) or _ITEM.match(line) or line.lstrip().startswith(">"))
 
 
+#: Bytes at which an Arrow batch of texts ends unless the session has a limit; unset, it has 10,000 texts of whatever size.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+#: Blocks after which a task hands on what it has parsed.
+CHUNK = 4_000
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The blocks of batches of (key, text)."""
+    for batch in batches:
+        at, rows = [], []
+        for n in range(batch.num_rows):
+            t = batch.column(1)[n].as_py()
+            found = parse_blocks(t)
+            for i, b in enumerate(found):
+                above = [{"ordinal": o, "type": found[o].type, "text": found[o].text} for o in b.above]
+                at.append(n)
+                rows.append((i, b.parent, b.depth, b.type, b.text, t[b.start : b.end], b.start, b.end, b.level, b.checked, b.info, above))
+            if rows and (len(rows) >= CHUNK or n + 1 == batch.num_rows):
+                values = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *values], schema=schema)
+                at, rows = [], []
+
+
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, parent, depth, type, text, raw, start, end, level, checked, info, above); null texts have no block."""
+    """(key, ordinal, parent, depth, type, text, raw, start, end, level, checked, info, above); null texts have no block.
+    Blocks leave Python by CHUNK, so a task holds a batch of texts and the blocks of a few documents, however many it has."""
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(BLOCKS).fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for k, t in zip(p[key], p["_text"]):
-                found = parse_blocks(t)
-                for i, b in enumerate(found):
-                    above = [{"ordinal": o, "type": found[o].type, "text": found[o].text} for o in b.above]
-                    rows.append((k, i, b.parent, b.depth, b.type, b.text, t[b.start : b.end], b.start, b.end, b.level, b.checked, b.info, above))
-            out = pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
-            yield out
-
-    return docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).mapInPandas(run, schema)
+    if not docs.sparkSession.conf.get(_BATCH, None):
+        docs.sparkSession.conf.set(_BATCH, str(_BATCH_BYTES))
+    arrow = to_arrow_schema(schema)
+    return docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).mapInArrow(lambda batches: _parsed(batches, arrow), schema)
 
 
 def sections(blocks: DataFrame, key: str) -> DataFrame:

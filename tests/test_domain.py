@@ -178,3 +178,18 @@ def test_reference_lists_keep_order(nested):
     for text in ("docs { n: size(refs(see)) }", 'docs { _id where refs("a", "b") exists { } }'):
         with pytest.raises(QueryError):
             execute(store.catalog(nested[1]), text)
+
+
+def test_blocks_leave_python_in_pieces():
+    """However many documents a batch has, few blocks are held at once, and all come in order."""
+    import pyarrow as pa
+
+    ddl = "doc long, " + corpus.BLOCKS
+    schema = corpus.to_arrow_schema(corpus.T.StructType.fromDDL(ddl))
+    texts = ["# T\n\n- a\n  - b\n\nText.\n", ""] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts)], names=["doc", "_text"])
+    out = list(corpus._parsed(iter([batch]), schema))
+    assert len(out) > 1 and max(p.num_rows for p in out) < corpus.CHUNK + 4
+    got = pa.Table.from_batches(out)
+    assert got["doc"].to_pylist() == [2 * d for d in range(3000) for _ in range(4)]
+    assert got["text"].to_pylist() == ["T", "a", "b", "Text."] * 3000 and got["above"].to_pylist()[2] == [{"ordinal": 1, "type": "list_item", "text": "a"}]
