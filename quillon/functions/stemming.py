@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,12 +72,27 @@ def stem(word: str) -> str:
     return word
 
 
+def _ends(guard: str) -> list[str]:
+    """What words that a guard lets in end with; of many endings, which the rules ask for again, the last two letters."""
+    ends = re.sub(r"^\.?\(\?:|\)\$$|\$$", "", guard).replace("\\", "").split("|")
+    return ends if len(ends) < 4 else sorted({e[-2:] for e in ends})
+
+
+def _fits(w: Column, pattern: str) -> Column:
+    """A rule's pattern; the letters that it ends in are compared first, as that takes no regular expression."""
+    end = re.search(r"(?<![\\a-z])([a-z]+)\$$", pattern)
+    return F.endswith(w, F.lit(end[1])) & w.rlike(pattern) if end else w.rlike(pattern)
+
+
 def _step(guard: str, rules: list[Rule]) -> Callable[[Column], Column]:
+    ends = _ends(guard)
+
     def step(w: Column) -> Column:
-        new = F.when(~w.rlike(guard), w)
+        lets = reduce(Column.__or__, (F.endswith(w, F.lit(e)) for e in ends)) if len(ends) < 4 else F.substring(w, -2, 2).isin(ends)
+        new = F.when(~lets, w)
         for pattern, drop, add in rules:
             kept = F.substring(w, F.lit(1), F.length(w) - drop) if drop else w
-            new = new.when(w.rlike(pattern), F.concat(kept, F.lit(add)) if add else kept)
+            new = new.when(_fits(w, pattern), F.concat(kept, F.lit(add)) if add else kept)
         return new.otherwise(w)
 
     return step
@@ -88,7 +104,7 @@ def stems(words: Column) -> Column:
     out = F.transform(words, lambda w: F.when(F.octet_length(w).between(LEAST, MOST), w).otherwise(F.concat(w, F.lit("\x00"))))
     for guard, rules in STEPS:
         out = F.transform(out, _step(guard, rules))
-    return F.transform(out, lambda w: F.rtrim(w, F.lit("\x00")))
+    return F.transform(out, lambda w: F.when(F.endswith(w, F.lit("\x00")), F.rtrim(w, F.lit("\x00"))).otherwise(w))
 
 
 def sql_stem(word: str) -> str:

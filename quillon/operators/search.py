@@ -1,7 +1,7 @@
 """Full-text filters, BM25 ranking, vector ranking, rank fusion and token-shingle similarity.
 
-A search reads the collection twice, once for its statistics (one row) and once for the scores; it builds no index and
-shuffles no texts. `postings` builds the inverted index for those who search it often.
+A ranked search reads the collection once, keeps its counts, a few numbers a row, and takes statistics (one row) and scores
+from them; it builds no index and shuffles no texts. `postings` builds the inverted index for those who search it often.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ def bm25(df: DataFrame, key: str, text: str, query: str, limit: int = 50) -> Dat
     if not terms:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
     counted = df.select(F.col(key), tokens(F.col(text)).alias("toks"))
-    counted = counted.select(key, F.size("toks").alias("len"), *(hits(F.col("toks"), t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    # A few numbers a row, kept so that statistics and scores don't cut the texts twice.
+    counted = counted.select(key, F.size("toks").alias("len"), *(hits(F.col("toks"), t).alias(f"tf{i}") for i, t in enumerate(terms))).persist()
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     matching = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
     score = F.lit(0.0)

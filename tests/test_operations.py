@@ -134,3 +134,22 @@ def test_similar_pairs_of_copies_and_variants(spark):
     sets = lambda rows: [(k, shingle_set(t or "")) for k, t in rows]
     want = [(k, m, 2 * len(x & y) / (len(x) + len(y))) for k, x in sets(a) for m, y in sets(b) if x and y and 2 * len(x & y) >= 0.8 * (len(x) + len(y))]
     assert sorted((r.k, r.m, round(r.similarity, 9)) for r in got) == sorted((k, m, round(s, 9)) for k, m, s in want)
+
+
+def test_stems_try_a_pattern_only_on_its_ending(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import stemming
+
+    assert str(stemming.stems(F.col("w"))).count("rlike(") == sum(len(rules) for _, rules in stemming.STEPS)
+    words = [f"{a}{b}" for a in ("", "x", "ca", "hop", "relat", "tt", "oscill", "é") for b in ("", "s", "ies", "sses", "eed", "ing", "izing", "ed", "y", "ational", "tional", "ion", "sion", "ement", "ment", "ent", "er", "e", "ll", "alism", "ness", "icate", "ж")]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(stemming.stems(F.col("w"))).first()[0]
+    assert got == [stemming.stem(w) for w in words]
+
+
+def test_ranked_search_cuts_texts_once(spark):
+    from quillon.operators import search
+
+    out = search.bm25(spark.createDataFrame([(1, "er and er"), (2, "and"), (3, "er and")], "k long, t string"), "k", "t", "er and")
+    assert out._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 2
+    assert [r.k for r in out.orderBy("rank").collect()] == [1, 3]
